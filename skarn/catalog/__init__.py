@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("telemetry",)
+MODULES = ("telemetry", "corpus")
 
 
 def load():

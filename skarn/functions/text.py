@@ -77,10 +77,9 @@ def alphabetic_ratio(col: Column) -> Column:
     return letters / F.greatest(F.lit(1), F.length(col))
 
 
-def word_length_score(col: Column) -> Column:
+def word_length_score(col: Column, n_words: Column) -> Column:
     """1.0 where words average 4 to 8 characters."""
-    tokens = F.greatest(F.lit(1), F.size(words(col)))
-    mean = F.length(F.regexp_replace(col, SPACE, "")) / tokens
+    mean = F.length(F.regexp_replace(col, SPACE, "")) / F.greatest(F.lit(1), n_words)
     return F.when(mean.between(4, 8), 1.0).otherwise(0.0)
 
 
@@ -113,7 +112,7 @@ def quality_components(col: Column) -> Column:
     text = F.coalesce(col, F.lit(""))
     return F.struct(
         alphabetic_ratio(text).alias("alphabetic_ratio"),
-        word_length_score(text).alias("word_length"),
+        word_length_score(text, F.size(words(text))).alias("word_length"),
         unique_bigram_ratio(words(text)).alias("unique_bigrams"),
         unique_paragraph_ratio(text).alias("unique_paragraphs"),
     )
@@ -128,8 +127,12 @@ def quality_tier(raw_score: Column) -> Column:
     return F.when(raw_score >= HIGH, "high").when(raw_score >= MEDIUM, "medium").otherwise("low")
 
 
+def tokens_of(n_words: Column) -> Column:
+    return F.floor(n_words * F.lit(TOKENS_PER_WORD)).cast("int")
+
+
 def token_estimate(col: Column) -> Column:
-    return F.floor(F.size(words(F.coalesce(col, F.lit("")))) * F.lit(TOKENS_PER_WORD)).cast("int")
+    return tokens_of(F.size(words(F.coalesce(col, F.lit("")))))
 
 
 def detect_language(col: Column) -> Column:
