@@ -63,7 +63,7 @@ def _(v):
 
 @query("lang_detect")
 def _(v):
-    found = op.lang_gate(v.corpus)
+    found = op.lang_gate(op.spread(v.corpus))
     return found.groupBy("language", "language_detected").agg(F.count("*").alias("n"))
 
 
@@ -84,12 +84,12 @@ def _(v):
         FROM ({SCORED}) AS s""",
 )
 def _(v):
-    return op.corpus_metadata(op.score(op.with_hash(v.corpus)))
+    return op.corpus_metadata(op.score(op.with_hash(op.spread(v.corpus))))
 
 
 @query("pii_flag", f"SELECT document_id, {PII} AS pii_detected FROM corpus")
 def _(v):
-    return op.pii_flag(v.corpus).select("document_id", "pii_detected")
+    return op.pii_flag(op.spread(v.corpus)).select("document_id", "pii_detected")
 
 
 ADMITTED = f"""
@@ -159,7 +159,7 @@ def _(v):
 
 @query("dedup_hash", f"SELECT document_id, sha256({NORM}) AS dedup_hash FROM corpus")
 def _(v):
-    return op.with_hash(v.corpus).select("document_id", "dedup_hash")
+    return op.with_hash(op.spread(v.corpus)).select("document_id", "dedup_hash")
 
 
 @query(
@@ -168,13 +168,13 @@ def _(v):
                round(p, 9) AS unique_paragraphs FROM ({SCORED}) AS s""",
 )
 def _(v):
-    parts = v.corpus.withColumn("q", tx.quality_components(F.col("raw_text")))
+    parts = op.spread(v.corpus).withColumn("q", tx.quality_components(F.col("raw_text")))
     return rounded(parts.select("document_id", "q.*"), 9)
 
 
 @query("quality_score", f"SELECT document_id, quality_score, quality_tier FROM ({SCORED}) AS s")
 def _(v):
-    return op.score(v.corpus).select("document_id", "quality_score", "quality_tier")
+    return op.score(op.spread(v.corpus)).select("document_id", "quality_score", "quality_tier")
 
 
 @query(

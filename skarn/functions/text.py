@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 # Score weights, tier bounds, tokens per word.
 WEIGHTS = {"alphabetic_ratio": 0.3, "word_length": 0.2, "unique_bigrams": 0.3, "unique_paragraphs": 0.2}
@@ -23,16 +23,21 @@ STOP_WORDS = {
 #: Unicode white space plus the four separators that also count as such in text processing.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
-# Marks of personal data.
+#: The characters of SPACE that can end a paragraph, for trimming without a pattern.
+SPACE_CHARS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
+
+# Marks of personal data, each cut to what decides that there is one.
 PII_PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
+    "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "phone": r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
     "card": r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc_arrow(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
@@ -67,19 +72,29 @@ def dedup_hash(col: Column) -> Column:
     return F.sha2(normalise_text(col), 256)
 
 
+def flatten(col: Column) -> Column:
+    """White-space runs to one space, trimmed; case and form kept."""
+    return F.trim(F.regexp_replace(col, SPACE, " "))
+
+
 def words(col: Column) -> Column:
     """Whitespace-separated words; none for blank text."""
-    return F.filter(F.split(col, SPACE), lambda w: w != "")
+    return words_of_flat(flatten(col))
+
+
+def words_of_flat(flat: Column) -> Column:
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
 def alphabetic_ratio(col: Column) -> Column:
-    letters = F.length(F.regexp_replace(col, r"[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace(col, r"[^\p{L}]+", ""))
     return letters / F.greatest(F.lit(1), F.length(col))
 
 
-def word_length_score(col: Column, n_words: Column) -> Column:
-    """1.0 where words average 4 to 8 characters."""
-    mean = F.length(F.regexp_replace(col, SPACE, "")) / F.greatest(F.lit(1), n_words)
+def word_length_score(flat: Column, n_words: Column) -> Column:
+    """1.0 where the words of flat text average 4 to 8 characters."""
+    characters = F.length(flat) - F.greatest(n_words - 1, F.lit(0))
+    mean = characters / F.greatest(F.lit(1), n_words)
     return F.when(mean.between(4, 8), 1.0).otherwise(0.0)
 
 
@@ -99,9 +114,8 @@ def unique_bigram_ratio(tokens: Column) -> Column:
 
 def unique_paragraph_ratio(col: Column) -> Column:
     """Distinct paragraphs (parts between blank lines, stripped, not empty) over all."""
-    strip = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
     parts = F.filter(
-        F.transform(F.split(col, "\n\n"), lambda p: F.regexp_replace(p, strip, "")),
+        F.transform(F.split(col, "\n\n"), lambda p: F.btrim(p, F.lit(SPACE_CHARS))),
         lambda p: p != "",
     )
     return F.size(F.array_distinct(parts)) / F.greatest(F.lit(1), F.size(parts))
@@ -112,7 +126,7 @@ def quality_components(col: Column) -> Column:
     text = F.coalesce(col, F.lit(""))
     return F.struct(
         alphabetic_ratio(text).alias("alphabetic_ratio"),
-        word_length_score(text, F.size(words(text))).alias("word_length"),
+        word_length_score(flatten(text), F.size(words(text))).alias("word_length"),
         unique_bigram_ratio(words(text)).alias("unique_bigrams"),
         unique_paragraph_ratio(text).alias("unique_paragraphs"),
     )
@@ -150,5 +164,4 @@ def detect_language(col: Column) -> Column:
 
 
 def pii_detected(col: Column) -> Column:
-    text = F.coalesce(col, F.lit(""))
-    return reduce(lambda a, b: a | b, [text.rlike(p) for p in PII_PATTERNS.values()])
+    return F.coalesce(col, F.lit("")).rlike("|".join(PII_PATTERNS.values()))

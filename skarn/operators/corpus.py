@@ -12,6 +12,18 @@ MIN_SCORE = 0.6
 TOKEN_RANGE = (100, 32768)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Deal rows over all cores where the scan has fewer splits than there are cores.
+
+    A small file with one row group is read by one task, and the text work is heavy per row.
+    Tables with enough splits are left as they are.
+    """
+    if docs.isStreaming:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def lang_gate(docs: DataFrame, language: Column | None = None, want: str = "en") -> DataFrame:
     """Adds ``language_detected``, ``rejected`` and ``reason``.
 
@@ -49,22 +61,27 @@ def dedup_first(docs: DataFrame, key: str = "dedup_hash", order: str = "doc_id")
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """Adds ``quality_score`` (4 digits), ``quality_tier`` of the unrounded score, token count."""
+    """Adds ``quality_score`` (4 digits), ``quality_tier`` of the unrounded score, token count.
+
+    Flat text and words are columns of their own: every document is cut into words once.
+    """
     body = F.coalesce("raw_text", F.lit(""))
+    n_words = F.size("_words")
     parts = F.struct(
         tx.alphabetic_ratio(body).alias("alphabetic_ratio"),
-        tx.word_length_score(body, F.size("_words")).alias("word_length"),
+        tx.word_length_score(F.col("_flat"), n_words).alias("word_length"),
         tx.unique_bigram_ratio(F.col("_words")).alias("unique_bigrams"),
         tx.unique_paragraph_ratio(body).alias("unique_paragraphs"),
     )
     return (
-        docs.withColumn("_words", tx.words(body))
+        docs.withColumn("_flat", tx.flatten(body))
+        .withColumn("_words", tx.words_of_flat(F.col("_flat")))
         .withColumn("_parts", parts)
         .withColumn("_raw", tx.raw_quality_score(F.col("_parts")))
         .withColumn("quality_score", F.round("_raw", 4))
         .withColumn("quality_tier", tx.quality_tier(F.col("_raw")))
-        .withColumn("token_count_estimate", tx.tokens_of(F.size("_words")))
-        .drop("_words", "_parts", "_raw")
+        .withColumn("token_count_estimate", tx.tokens_of(n_words))
+        .drop("_flat", "_words", "_parts", "_raw")
     )
 
 
