@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("telemetry", "corpus")
+MODULES = ("telemetry", "corpus", "joins", "windows")
 
 
 def load():

@@ -240,6 +240,8 @@ def with_views(sql: str) -> str:
         return sql
     head = "WITH " + ",\n".join(ctes)
     stripped = sql.lstrip()
-    if stripped[:5].upper() == "WITH ":
+    if stripped.startswith("WITH RECURSIVE "):
+        return head.replace("WITH", "WITH RECURSIVE", 1) + ",\n" + stripped[15:]
+    if stripped.startswith("WITH "):
         return head + ",\n" + stripped[5:]
     return head + "\n" + sql
