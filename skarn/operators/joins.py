@@ -154,10 +154,10 @@ def zone_route_alerts(zones: DataFrame, routes: DataFrame, p: float = HIGH_DAMAG
     )
 
 
-# Square cells in degrees, 2**13 of them around the globe, doubled per level.
-_AROUND = 13
+# Square cells in degrees, 2**16 of them around the globe (600 m), doubled per level up to 5.6 degrees.
+_AROUND = 16
 _BASE_DEG = 360.0 / (1 << _AROUND)
-_LEVELS = 8
+_LEVELS = 11
 
 
 def _cells(lat: Column, lng: Column) -> tuple[Column, Column]:
@@ -225,7 +225,8 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = 1) -> DataFrame:
     )
     pairs = placed.join(_blocks(spots).drop("cy", "cx"), ["lvl", "y", "x"]).select(
         "id", "target_id",
-        haversine_km(F.col("lat"), F.col("lng"), F.col("tlat"), F.col("tlng")).alias("km"),
+        # Distances equal to a micrometre are ties, settled by the target's id.
+        (F.rint(haversine_km(F.col("lat"), F.col("lng"), F.col("tlat"), F.col("tlng")) * 1e9) / 1e9).alias("km"),
     )
     if k == 1:
         best = F.min(F.struct("km", "target_id")).alias("b")

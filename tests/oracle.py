@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from collections import Counter
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -51,9 +52,9 @@ def compare(spark, folder, key, query, sql):
         return ("FAIL", f"columns {got_cols} != {want_cols}")
     if len(got) != len(want):
         return ("FAIL", f"rows {len(got)} != {len(want)}; first {got[:1]} / {want[:1]}")
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
-    if bad:
-        return ("FAIL", f"{len(bad)} of {len(got)} differ: {bad[0]}")
+    extra, missing = Counter(got) - Counter(want), Counter(want) - Counter(got)
+    if extra or missing:
+        return ("FAIL", f"{extra.total()} of {len(got)} differ: {min(extra)} / {min(missing)}")
     return ("ok" if got else "EMPTY", f"{len(got)} rows")
 
 
