@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("telemetry", "corpus", "joins", "windows")
+MODULES = ("telemetry", "corpus", "joins", "windows", "sources")
 
 
 def load():
