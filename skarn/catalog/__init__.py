@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("telemetry", "corpus", "joins", "windows", "sources")
+MODULES = ("telemetry", "corpus", "joins", "windows", "sources", "features", "hazard", "quality")
 
 
 def load():

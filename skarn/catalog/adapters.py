@@ -63,7 +63,7 @@ VIEWS: dict[str, str] = {
         FROM {part}""",
     "scrapes": """
         SELECT concat('host-', o_custkey % 50) AS host, o_orderdate AS ts, o_orderkey AS seq,
-               floor(o_totalprice / 100) AS success_total, floor(o_totalprice / 9000) AS failure_total,
+               floor(o_totalprice / 20000) AS success_total, floor(o_totalprice / 90000) AS failure_total,
                floor(o_totalprice * 3) AS prompt_tokens_total,
                floor(o_totalprice * 5) AS generation_tokens_total,
                o_totalprice / 1000 AS latency_p50_ms
