@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("telemetry", "corpus", "joins", "windows", "sources", "features", "hazard", "quality")
+MODULES = (
+    "telemetry", "corpus", "joins", "windows", "sources", "features", "hazard", "quality", "streams",
+)
 
 
 def load():

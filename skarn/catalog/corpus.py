@@ -8,6 +8,7 @@ from skarn.catalog.book import query
 from skarn.catalog.telemetry import rounded
 from skarn.functions import text as tx
 from skarn.operators import corpus as op, telemetry as tel
+from skarn.operators.ordered import spread
 from skarn.plans import corpus as plan
 
 NORM = "trim(regexp_replace(nfc_normalize(lower(raw_text)), '\\s+', ' ', 'g'))"
@@ -63,7 +64,7 @@ def _(v):
 
 @query("lang_detect")
 def _(v):
-    found = op.lang_gate(op.spread(v.corpus))
+    found = op.lang_gate(spread(v.corpus))
     return found.groupBy("language", "language_detected").agg(F.count("*").alias("n"))
 
 
@@ -84,12 +85,12 @@ def _(v):
         FROM ({SCORED}) AS s""",
 )
 def _(v):
-    return op.corpus_metadata(op.score(op.with_hash(op.spread(v.corpus))))
+    return op.corpus_metadata(op.score(op.with_hash(spread(v.corpus))))
 
 
 @query("pii_flag", f"SELECT document_id, {PII} AS pii_detected FROM corpus")
 def _(v):
-    return op.pii_flag(op.spread(v.corpus)).select("document_id", "pii_detected")
+    return op.pii_flag(spread(v.corpus)).select("document_id", "pii_detected")
 
 
 ADMITTED = f"""
@@ -159,7 +160,7 @@ def _(v):
 
 @query("dedup_hash", f"SELECT document_id, sha256({NORM}) AS dedup_hash FROM corpus")
 def _(v):
-    return op.with_hash(op.spread(v.corpus)).select("document_id", "dedup_hash")
+    return op.with_hash(spread(v.corpus)).select("document_id", "dedup_hash")
 
 
 @query(
@@ -168,13 +169,13 @@ def _(v):
                round(p, 9) AS unique_paragraphs FROM ({SCORED}) AS s""",
 )
 def _(v):
-    parts = op.spread(v.corpus).withColumn("q", tx.quality_components(F.col("raw_text")))
+    parts = spread(v.corpus).withColumn("q", tx.quality_components(F.col("raw_text")))
     return rounded(parts.select("document_id", "q.*"), 9)
 
 
 @query("quality_score", f"SELECT document_id, quality_score, quality_tier FROM ({SCORED}) AS s")
 def _(v):
-    return op.score(op.spread(v.corpus)).select("document_id", "quality_score", "quality_tier")
+    return op.score(spread(v.corpus)).select("document_id", "quality_score", "quality_tier")
 
 
 @query(

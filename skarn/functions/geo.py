@@ -24,11 +24,8 @@ def gmpe_pga(magnitude: Column, depth_km: Column, distance_km: Column) -> Column
 
 
 def liquefaction_factor(kind: Column) -> Column:
-    factor = F.lit(1.0)
-    for name, value in LIQUEFACTION_FACTOR.items():
-        if value != 1.0:
-            factor = F.when(kind == name, value).otherwise(factor)
-    return factor
+    factors = F.create_map(*[F.lit(x) for pair in LIQUEFACTION_FACTOR.items() for x in pair])
+    return F.coalesce(F.try_element_at(factors, kind), F.lit(1.0))
 
 
 def damage_probability(pga: Column, kind: Column | None = None) -> Column:

@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skarn.functions import text as tx
-from skarn.operators.ordered import running_total
+from skarn.operators.ordered import running_total, spread
 
 # Admission bounds.
 MIN_SCORE = 0.6
 TOKEN_RANGE = (100, 32768)
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Deal rows over all cores where the scan has fewer splits than there are cores.
-
-    A small file with one row group is read by one task, and the text work is heavy per row.
-    Tables with enough splits are left as they are.
-    """
-    if docs.isStreaming:
-        return docs
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-
-
 def lang_gate(docs: DataFrame, language: Column | None = None, want: str = "en") -> DataFrame:
     """Adds ``language_detected``, ``rejected`` and ``reason``.
 

@@ -265,19 +265,30 @@ def liquefaction_lookup(
     cells of their bounding boxes, so a point meets only those of its own cell.
     """
     lats, lngs = F.transform("ring", lambda v: v["lat"]), F.transform("ring", lambda v: v["lng"])
-    span = lambda xs: F.sequence(cell_index(F.array_min(xs), res), cell_index(F.array_max(xs), res))
+    span = lambda low, high: F.explode(F.sequence(cell_index(F.col(low), res), cell_index(F.col(high), res)))
     indexed = (
-        polygons.select("ord", F.lower("class").alias("_class"), "ring", F.explode(span(lats)).alias("_cy"), lngs.alias("_lngs"))
-        .withColumn("_cx", F.explode(span(F.col("_lngs")))).drop("_lngs")
+        polygons.select(
+            "ord", F.lower("class").alias("_class"), "ring",
+            F.array_min(lats).alias("y0"), F.array_max(lats).alias("y1"),
+            F.array_min(lngs).alias("x0"), F.array_max(lngs).alias("x1"),
+        )
+        .withColumn("_cy", span("y0", "y1")).withColumn("_cx", span("x0", "x1"))
     )
+
+    def inside(g) -> Column:
+        """Bounding box first: the ring is walked for the few polygons that pass."""
+        lat, lng = F.col("lat"), F.col("lng")
+        box = lat.between(g["y0"], g["y1"]) & lng.between(g["x0"], g["x1"])
+        return box & inside_ring(lat, lng, g["ring"])
+
     placed = points.withColumn("_cy", cell_index(F.col("lat"), res)).withColumn(
         "_cx", cell_index(F.col("lng"), res)
     )
     if polygons.limit(SMALL_POLYGONS + 1).count() <= SMALL_POLYGONS:
         shelf = indexed.groupBy("_cy", "_cx").agg(
-            F.array_sort(F.collect_list(F.struct("ord", "_class", "ring"))).alias("_near")
+            F.array_sort(F.collect_list(F.struct("ord", "_class", "y0", "y1", "x0", "x1", "ring"))).alias("_near")
         )
-        holds = F.filter("_near", lambda g: inside_ring(F.col("lat"), F.col("lng"), g["ring"]))
+        holds = F.filter("_near", inside)
         return (
             placed.join(shelf, ["_cy", "_cx"], "left")
             .withColumn("liquefaction_class", F.coalesce(F.get(holds, F.lit(0))["_class"], F.lit(default)))
@@ -287,7 +298,7 @@ def liquefaction_lookup(
     spots = placed.select("lat", "lng", "_cy", "_cx").distinct()
     first = (
         spots.join(indexed, ["_cy", "_cx"])
-        .filter(inside_ring(F.col("lat"), F.col("lng"), F.col("ring")))
+        .filter(inside({c: F.col(c) for c in ("y0", "y1", "x0", "x1", "ring")}))
         .groupBy("lat", "lng").agg(F.min(F.struct("ord", "_class"))["_class"].alias("_class"))
     )
     return (

@@ -18,6 +18,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 SLICE_ROWS = 4_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores where the scan has fewer splits than there are cores.
+
+    A small file with one row group is read by one task; this is for work that is heavy per row.
+    Tables with enough splits are left as they are.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ordinal(df: DataFrame, col: str) -> Column:
     """Numeric position of an orderable column; timestamps become microseconds."""
     kind = df.schema[col].dataType

@@ -11,31 +11,28 @@ from skarn.operators.ordered import merge_by_key
 
 @dataclass(frozen=True)
 class Expectation:
-    """A named check: condition of an unexpected value, or a bound on the row count."""
+    """A named check: SQL condition of an unexpected value, or a bound on the row count."""
 
     name: str
     column: str | None = None
-    bad: Column | None = None
+    bad: str | None = None
     rows: tuple[int, int | None] | None = None
     unique: bool = False
 
 
 def not_null(col: str) -> Expectation:
-    return Expectation("not_null", col, F.col(col).isNull())
+    return Expectation("not_null", col, f"`{col}` IS NULL")
 
 
 def between(col: str, low=None, high=None, strict: bool = False) -> Expectation:
     """Values in [low, high], either bound open; ``strict`` leaves the low bound out."""
-    c, bad = F.col(col), F.lit(False)
-    if low is not None:
-        bad = bad | ((c <= F.lit(low)) if strict else (c < F.lit(low)))
-    if high is not None:
-        bad = bad | (c > F.lit(high))
-    return Expectation("between", col, bad)
+    bad = [f"`{col}` {'<=' if strict else '<'} {low}"] if low is not None else []
+    bad += [f"`{col}` > {high}"] if high is not None else []
+    return Expectation("between", col, " OR ".join(bad) or "false")
 
 
 def fresh(col: str, max_lag_ms: int, as_of_ms: int) -> Expectation:
-    return Expectation("fresh", col, F.col(col) < F.lit(as_of_ms - max_lag_ms))
+    return Expectation("fresh", col, f"`{col}` < {as_of_ms - max_lag_ms}")
 
 
 def row_count(low: int = 1, high: int | None = None) -> Expectation:
@@ -47,7 +44,9 @@ def unique(col: str) -> Expectation:
 
 
 def in_set(col: str, values: list) -> Expectation:
-    return Expectation("in_set", col, ~F.col(col).isin(*values))
+    """Values out of a list of strings, numbers or booleans."""
+    texts = [str(x).lower() if isinstance(x, bool) else repr(x) for x in values]
+    return Expectation("in_set", col, f"`{col}` NOT IN ({', '.join(texts)})")
 
 
 def gpu_telemetry_suite(as_of_ms: int, max_rows: int | None = None) -> list[Expectation]:
@@ -85,8 +84,8 @@ def validate(df: DataFrame, suite: list[Expectation], name: str, run_at: str) ->
     for i, e in enumerate(suite):
         if e.column:
             counts.append(F.count_if(F.col(e.column).isNull()).alias(f"_null{i}"))
-        if e.bad is not None:
-            counts.append(F.count_if(e.bad).alias(f"_bad{i}"))
+        if e.bad:
+            counts.append(F.count_if(F.expr(e.bad)).alias(f"_bad{i}"))
     parts = [df.agg(*counts)]
     for i, e in enumerate(suite):
         if e.unique:

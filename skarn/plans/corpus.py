@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skarn.operators import corpus as op
+from skarn.operators.ordered import spread
 
 CLEAN_COLUMNS = (
     "document_id", "source", "dedup_hash", "language_detected", "quality_score", "quality_tier",
@@ -18,7 +19,7 @@ def corpus_clean(docs: DataFrame, language: Column | None = None) -> DataFrame:
     Everything that reads the text is done before the only shuffle, which then carries narrow
     rows; ``min`` over (id, columns) combines map-side, so copies collapse before they move.
     """
-    accepted, _ = op.route(op.lang_gate(op.spread(docs), language))
+    accepted, _ = op.route(op.lang_gate(spread(docs), language))
     narrow = op.pii_flag(op.score(op.with_hash(accepted))).select("doc_id", *CLEAN_COLUMNS)
     rest = [c for c in CLEAN_COLUMNS if c != "dedup_hash"]
     first = F.min_by(F.struct(*rest), "doc_id").alias("row")

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skarn.functions import geo
 from skarn.functions.fields import rationale_text
 from skarn.operators import joins as jn, windows as wn
-from skarn.operators.ordered import top_n
+from skarn.operators.ordered import spread, top_n
+from skarn.session import settle
 from skarn.sources.parsers import parse_firms, parse_usgs
 
 # Ember flight (metres, metres per step, share of height per step), particles.
@@ -42,7 +43,7 @@ def damage_cells(
     """
     n = round(2 * half / res) + 1
     steps = F.sequence(F.lit(0), F.lit(n - 1))
-    grid = events.select(
+    grid = spread(events).select(
         F.col("id").alias("event_id"), "magnitude", "depth",
         F.col("lat").alias("_y"), F.col("lng").alias("_x"), F.explode(steps).alias("_i"),
     ).withColumn("_j", F.explode(steps))
@@ -159,7 +160,7 @@ def dispatch_actions(
     k = DAMAGE_ZONES + EMBER_ZONES
     free = crews.filter(F.col("status").isin(*statuses)).select(F.col("crew_identifier").alias("id"), "lat", "lng")
     offer = F.array_sort(F.collect_list(F.struct(F.col("km"), F.col("target_id").alias("crew"))))
-    first = top_n(jn.high_damage(zones), ["event_id"], [F.col("cell")], DAMAGE_ZONES)
+    first = settle(top_n(jn.high_damage(zones), ["event_id"], [F.col("cell")], DAMAGE_ZONES), "dispatch")
     near = jn.nearest(first.select("id", "lat", "lng"), free, k).groupBy("id").agg(offer.alias("crews"))
     wanted = first.join(near, "id").select(
         "event_id",
@@ -244,13 +245,13 @@ def rule_actions(
     ``batch`` is the number of newest ember zones a planning call looks at.  ``reach_km`` stands
     for a quarter of an hour of travel.
     """
-    risky = wn.newest(ember, "seq", "id", batch).filter(F.col("probability") > EMBER_RISK)
+    risky = settle(wn.newest(ember, "seq", "id", batch).filter(F.col("probability") > EMBER_RISK), "ember")
     assigned = crews.filter(F.col("assigned_zone_id").isNotNull()).select(F.col("assigned_zone_id").alias("id"))
     everyone = crews.select(F.col("crew_identifier").alias("id"), "lat", "lng")
     close = jn.nearest(risky.select("id", "lat", "lng"), everyone).filter(F.col("km") <= reach_km).select("id")
     uncovered = risky.join(assigned, "id", "left_anti").join(close, "id", "left_anti")
     standby = crews.filter(F.col("status") == "standby").select(F.col("crew_identifier").alias("id"), "lat", "lng")
-    dispatch = assign_once(uncovered, standby).select(
+    dispatch = assign_once(settle(uncovered, "uncovered"), standby).select(
         F.lit("dispatch").alias("action_type"), F.col("crew_id").alias("resource_id"), "zone_id",
         F.col("probability").alias("confidence"), F.lit("immediate").alias("time_sensitivity"),
     )

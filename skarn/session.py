@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings a job should run with. Shuffle partitions are left to the cluster.
 SETTINGS = {
@@ -47,3 +47,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         return tempfile.mkdtemp(prefix=f"skarn-{purpose}-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a small intermediate to the scratch folder and read it back.
+
+    For results that several branches of one plan use: the costly part runs once, and a lost
+    executor costs a read, not the whole lineage.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,8 +19,7 @@ def parquet_stream(spark: SparkSession, path: str, max_files: int = 100) -> Data
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     folder, _, name = path.rstrip("/").rpartition("/")
-    single = spark.read.parquet(path).limit(1).select(F.input_file_name().alias("f")).first()
-    if single and single["f"].endswith(f"/{name}"):
+    if (_a_file(spark.read.parquet(path)) or "").endswith(f"/{name}"):
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
@@ -75,7 +74,9 @@ def compact_table(spark: SparkSession, path: str, where: str, files: int, out: s
     and moved in by a dynamic partition overwrite, so a failed run leaves the table as it was.
     """
     table = spark.read.parquet(path)
-    parts = [f.name for f in table.schema if f.name in _partition_columns(path, table)]
+    parts = _partition_columns(path, table)
+    if not parts:
+        raise ValueError(f"{path} has no partition folders")
     rows = table.filter(where).repartition(files)
     if out:
         rows.write.mode("overwrite").partitionBy(*parts).parquet(out)
@@ -90,9 +91,14 @@ def compact_table(spark: SparkSession, path: str, where: str, files: int, out: s
 
 def _partition_columns(path: str, table: DataFrame) -> list[str]:
     """Names in ``name=value`` folders of one of the table's files."""
-    first = table.limit(1).select(F.input_file_name().alias("f")).first()
-    tail = first["f"].split(path.rstrip("/").rsplit("/", 1)[-1], 1)[-1] if first else ""
-    return [p.split("=")[0] for p in tail.split("/") if "=" in p]
+    folders = (_a_file(table) or "").rsplit(path.rstrip("/").rsplit("/", 1)[-1] + "/", 1)[-1].split("/")[:-1]
+    return [f.split("=")[0] for f in folders if "=" in f]
+
+
+def _a_file(table: DataFrame) -> str | None:
+    """Path of one file that the table is read from."""
+    row = table.select(F.input_file_name().alias("f")).first()
+    return row["f"] if row else None
 
 
 def expire_partitions(df: DataFrame, date_col: str, days: int, as_of: str) -> DataFrame:
