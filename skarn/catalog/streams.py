@@ -120,17 +120,34 @@ def _(v):
         return finish(v, kept, "actions").select("id")
 
 
+# Alerts that still wait when the input ends are not out yet.
 STREAM_JOIN = """
-WITH t AS (SELECT node_id, timestamp_ms, device_id, utilization_pct FROM telemetry),
-b AS (SELECT a.alert_id, a.node_id, p.utilization_pct AS u, p.device_id AS d
-      FROM (SELECT *, epoch_us(triggered_at) // 1000 AS ms FROM alerts) a ASOF LEFT JOIN t p ON a.node_id = p.node_id AND a.ms >= p.timestamp_ms)
-SELECT alert_id, node_id, u AS gpu_utilization_pct, d AS gpu_device_id FROM b
+SELECT alert_id, node_id, gpu_utilization_pct, gpu_device_id FROM (
+WITH t AS (SELECT node_id, timestamp_ms, max(device_id) AS device_id FROM telemetry
+           WHERE (node_id, ts) NOT IN (SELECT (node_id, triggered_at) FROM alerts) GROUP BY 1, 2),
+tt AS (SELECT t.*, m.utilization_pct FROM t JOIN telemetry m ON t.node_id = m.node_id AND t.timestamp_ms = m.timestamp_ms
+       AND t.device_id = m.device_id),
+b AS (SELECT a.alert_id, a.node_id, a.ms, p.timestamp_ms AS bms, p.utilization_pct AS bu, p.device_id AS bd
+      FROM (SELECT *, epoch_us(triggered_at) // 1000 AS ms FROM alerts) a ASOF LEFT JOIN tt p
+      ON a.node_id = p.node_id AND a.ms >= p.timestamp_ms),
+f AS (SELECT b.*, n.timestamp_ms AS nms, n.utilization_pct AS nu, n.device_id AS nd
+      FROM b ASOF LEFT JOIN tt n ON b.node_id = n.node_id AND b.ms <= n.timestamp_ms)
+SELECT alert_id, node_id, CASE WHEN ms - bms < 3600000 THEN bu WHEN nms - ms < 3600000 THEN nu END AS gpu_utilization_pct,
+       CASE WHEN ms - bms < 3600000 THEN bd WHEN nms - ms < 3600000 THEN nd END AS gpu_device_id
+FROM f WHERE ms - bms < 3600000 OR nms IS NOT NULL
+          OR ms + 3600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 30000)
 """
 
 
+def live_quiet_telemetry(v) -> DataFrame:
+    """Telemetry stream without the alerting events themselves."""
+    calm = tb.parquet_stream(v.spark, v.path("events")).filter("event_type <> 'error'")
+    return v.apply("telemetry", {"events": calm})
+
+
 @query("stream_alert_join", STREAM_JOIN)
 def _(v):
-    joined = state.alert_join(live(v, "alerts"), live(v, "telemetry"))
+    joined = state.alert_join(live(v, "alerts"), live_quiet_telemetry(v))
     with state.rocksdb(v.spark):
         rows = finish(v, joined, "alert-join")
     return rows.select("alert_id", "node_id", "gpu_utilization_pct", "gpu_device_id")
@@ -146,7 +163,7 @@ def _(v):
 )
 def _(v):
     base = scratch_dir(v.spark, "alerts")
-    job = jobs.alert_job(live(v, "alerts"), live(v, "telemetry"), v.nodes, v.k8s, f"{base}/out", f"{base}/checkpoint")
+    job = jobs.alert_job(live(v, "alerts"), live_quiet_telemetry(v), v.nodes, v.k8s, f"{base}/out", f"{base}/checkpoint")
     job.awaitTermination()
     body = "alert_id STRING, gpu_utilization_pct DOUBLE, hostname STRING, pod_phase STRING"
     messages = v.spark.read.schema("key STRING, value STRING").parquet(f"{base}/out")

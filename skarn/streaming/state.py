@@ -31,53 +31,97 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(_PROVIDER, before)
 
 
+_OUT = ["alert", *GPU.values()]
+_KINDS = {n: "float64" for n in list(GPU.values())[:3]}
+
+
 class AlertGpuProcessor(StatefulProcessor):
-    """Keeps the latest telemetry of a node and the alerts that wait for a first one."""
+    """Keeps the latest telemetry of a node and the alerts that wait for the next one.
+
+    Both live for ``ttl_ms`` of event time: an older sample does not count for an alert, and an
+    alert that waited that long leaves without telemetry.
+    """
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", _GPU_SCHEMA, self.ttl_ms)
-        self.waiting = handle.getListState("waiting", "alert string", self.ttl_ms)
+        self.handle = handle
+        self.latest = handle.getValueState("latest", f"at_ms long, {_GPU_SCHEMA}")
+        self.waiting = handle.getListState("waiting", "at_ms long, alert string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = list(GPU.values())
         for chunk in rows:
-            # Rows that arrive together are put in time order, telemetry before alerts.
-            chunk = chunk.sort_values(["at_ms", "is_alert"], kind="stable").reset_index(drop=True)
-            samples = chunk.loc[~chunk["is_alert"], names]
-            known = self.latest.get() if self.latest.exists() else None
-            first = known if known is not None else (tuple(samples.iloc[0]) if len(samples) else None)
-            alerts = chunk.loc[chunk["is_alert"], ["alert"]]
-            if first is None:
-                if len(alerts):
-                    self.waiting.appendList([(a,) for a in alerts["alert"]])
-                continue
-            place = samples.index.to_series().reindex(chunk.index).ffill()[alerts.index]
-            gpu = samples.reindex(place.to_numpy()).set_axis(alerts.index)
-            early = place.isna().to_numpy()
-            for name, value in zip(names, first):
-                gpu[name] = gpu[name].mask(early, value) if early.any() else gpu[name]
-            if self.waiting.exists():
-                held = pd.DataFrame({"alert": [r[0] for r in self.waiting.get()]})
-                self.waiting.clear()
-                yield held.assign(**dict(zip(names, first)))[["alert", *names]]
-            if len(samples):
-                self.latest.update(tuple(samples.iloc[-1]))
-            if len(alerts):
-                yield pd.concat([alerts, gpu], axis=1)[["alert", *names]].astype(
-                    {n: "float64" for n in names[:3]}
-                )
+            found = self._match(chunk)
+            if len(found):
+                yield found[_OUT].astype(_KINDS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        limit = expiredTimerInfo.getExpiryTimeInMs() - self.ttl_ms
+        done = [r for r in held if r[0] <= limit]
+        if done:
+            self._keep([r for r in held if r[0] > limit])
+            bare = pd.DataFrame({"alert": [r[1] for r in done]}).reindex(columns=_OUT)
+            yield bare.astype({**_KINDS, "gpu_device_id": "object"})
+
+    def _keep(self, rows: list[tuple]) -> None:
+        if rows:
+            self.waiting.put([(int(at), alert) for at, alert in rows])
+        else:
+            self.waiting.clear()
+
+    def _match(self, chunk: pd.DataFrame) -> pd.DataFrame:
+        """Alerts of this chunk and waiting ones against its samples and the kept sample."""
+        # Rows that arrive together are put in time order.
+        chunk = chunk.sort_values("at_ms", kind="stable")
+        fields = ["at_ms", *GPU.values()]
+        samples = chunk.loc[~chunk["is_alert"], fields]
+        if self.latest.exists():
+            kept = pd.DataFrame([tuple(self.latest.get())], columns=fields)
+            samples = pd.concat([kept, samples]) if len(samples) else kept
+        if len(samples):
+            samples = samples.sort_values("at_ms", kind="stable")
+            self.latest.update((int(samples["at_ms"].iloc[-1]), *samples.iloc[-1, 1:].tolist()))
+        asked = chunk.loc[chunk["is_alert"], ["at_ms", "alert"]]
+        if self.waiting.exists():
+            held = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=["at_ms", "alert"])
+            asked = pd.concat([held, asked]).sort_values("at_ms", kind="stable")
+        if asked.empty:
+            return asked
+        if samples.empty:
+            hit = asked.reindex(columns=["at_ms", *_OUT])
+            later = pd.Series(False, index=range(len(asked)))
+        else:
+            times, at = samples["at_ms"].to_numpy(), asked["at_ms"].to_numpy()
+            back = times.searchsorted(at, side="right") - 1
+            ahead = times.searchsorted(at, side="left").clip(max=len(times) - 1)
+            fresh = (back >= 0) & (at - times[back] < self.ttl_ms)
+            later = pd.Series(times[-1] >= at)
+            soon = ~fresh & later.to_numpy() & (times[ahead] - at < self.ttl_ms)
+            gpu = samples[list(GPU.values())].iloc[[b if f else a for b, a, f in zip(back, ahead, fresh)]]
+            gpu = gpu.reset_index(drop=True).where(pd.Series(fresh | soon), axis=0)
+            hit = pd.concat([asked.reset_index(drop=True), gpu], axis=1)
+            later = later | pd.Series(fresh)
+        wait = hit.reset_index(drop=True)[~later.to_numpy()]
+        for at in wait["at_ms"]:
+            self.handle.registerTimer(int(at) + self.ttl_ms)
+        self._keep(list(zip(wait["at_ms"], wait["alert"])))
+        return hit.reset_index(drop=True)[later.to_numpy()]
 
     def close(self) -> None:
         pass
 
 
 def alert_join(
-    alerts: DataFrame, telemetry: DataFrame, ttl_seconds: int = 3600, alert_ts: str = "triggered_at"
+    alerts: DataFrame, telemetry: DataFrame, ttl_seconds: int = 3600, alert_ts: str = "triggered_at",
+    lateness: str = "30 seconds",
 ) -> DataFrame:
-    """Alerts of a stream with the node's latest telemetry; alerts before the first one wait for it."""
+    """Alerts of a stream with telemetry of their node: the latest within the TTL, else the next one.
+
+    The stream form of the batch join; alerts that find none leave once the watermark has passed
+    their TTL.
+    """
     schema = alerts.schema
     none = {n: F.lit(None).cast("string" if n == "gpu_device_id" else "double").alias(n) for n in GPU.values()}
     asked = alerts.select(
@@ -90,9 +134,10 @@ def alert_join(
         *[F.col(c).cast("string" if c == "device_id" else "double").alias(n) for c, n in GPU.items()],
     )
     joined = (
-        asked.unionByName(told).groupBy("node_id")
+        asked.unionByName(told).withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", lateness)
+        .groupBy("node_id")
         .transformWithStateInPandas(
-            AlertGpuProcessor(ttl_seconds * 1000), f"alert string, {_GPU_SCHEMA}", "append", "ProcessingTime"
+            AlertGpuProcessor(ttl_seconds * 1000), f"alert string, {_GPU_SCHEMA}", "append", "EventTime"
         )
     )
     return joined.select(F.from_json("alert", schema).alias("a"), *GPU.values()).select("a.*", *GPU.values())
