@@ -41,6 +41,11 @@ def ordinal(df: DataFrame, col: str) -> Column:
     return F.col(col)
 
 
+def _literals(values: list, kind: str) -> Column:
+    """Constant array out of one text literal, cheap to build however long it is."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def slice_splits(df: DataFrame, col: str, slice_rows: int | None = None) -> list:
     """Cut points of a numeric column giving slices of about ``slice_rows`` rows.
 
@@ -50,8 +55,8 @@ def slice_splits(df: DataFrame, col: str, slice_rows: int | None = None) -> list
     parts = -(-df.count() // slice_rows)
     if parts <= 1:
         return []
-    probs = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: i / F.lit(parts))
-    cuts = df.agg(F.percentile_approx(col, probs, max(10_000, 20 * parts))).first()[0]
+    probs = _literals([i / parts for i in range(1, parts)], "double")
+    cuts = df.agg(F.percentile_approx(col, probs, F.lit(max(10_000, 20 * parts)))).first()[0]
     return sorted(cuts or [])
 
 
@@ -60,7 +65,7 @@ def slice_of(x: Column, splits: list, inclusive: bool = False) -> Column:
     if not splits:
         return F.lit(0)
     kind = "bigint" if all(isinstance(s, int) for s in splits) else "double"
-    table = F.split(F.lit(",".join(repr(s) for s in splits)), ",").cast(f"array<{kind}>")
+    table = _literals(splits, kind)
     steps = [1 << b for b in reversed(range(len(splits).bit_length()))]
 
     def advance(found: Column, step: Column) -> Column:
