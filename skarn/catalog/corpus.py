@@ -10,6 +10,7 @@ from skarn.functions import text as tx
 from skarn.operators import corpus as op, telemetry as tel
 from skarn.operators.ordered import spread
 from skarn.plans import corpus as plan
+from skarn.session import settle
 
 NORM = "trim(regexp_replace(nfc_normalize(lower(raw_text)), '\\s+', ' ', 'g'))"
 GATED = """
@@ -114,7 +115,8 @@ FROM (SELECT *, CAST('0x' || substr(md5(document_id), 1, 15) AS BIGINT) AS place
 
 @query("training_dataset", SHARDED)
 def _(v):
-    return plan.training_dataset(_clean(v), 8)
+    # The clean table is written first, as it is in the lake: sharding reads it more than once.
+    return plan.training_dataset(settle(_clean(v), "clean"), 8)
 
 
 @query(

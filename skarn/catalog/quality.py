@@ -5,6 +5,7 @@ from __future__ import annotations
 from skarn.catalog.book import query
 from skarn.catalog.corpus import CLEAN, _clean
 from skarn.operators import quality as op
+from skarn.session import settle
 
 RUN_AT = "2024-01-31 00:00:00"
 AS_OF_MS = 1706659200000
@@ -61,7 +62,7 @@ def _(v):
 
 @query("suite_training_corpus", result_sql("silver.training_corpus_clean", CLEAN, CORPUS_CHECKS))
 def _(v):
-    return op.validate(_clean(v), op.training_corpus_suite(), "silver.training_corpus_clean", RUN_AT)
+    return op.validate(settle(_clean(v), "clean"), op.training_corpus_suite(), "silver.training_corpus_clean", RUN_AT)
 
 
 def one(key: str, check: tuple, expectation: op.Expectation, view: str, rows: str):

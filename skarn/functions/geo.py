@@ -50,6 +50,12 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     return EARTH_RADIUS_KM * 2 * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 
+def decimals(x: Column, digits: int) -> Column:
+    """Rounding by scaled nearest integer; stays in generated code, unlike decimal rounding."""
+    scale = float(10**digits)
+    return F.rint(x * scale) / scale
+
+
 def cell_index(x: Column, res: float) -> Column:
     return F.floor(x / F.lit(res)).cast("bigint")
 

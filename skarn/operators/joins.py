@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from skarn.functions.geo import HIGH_DAMAGE, cell_index, haversine_km, inside_ring
+from skarn.functions.geo import HIGH_DAMAGE, cell_index, decimals, haversine_km, inside_ring
 from skarn.operators.ordered import asof_last, join_keys, merge_by_key, ordinal, top_n
 
 # Defaults of the feeds.
@@ -226,7 +226,7 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = 1) -> DataFrame:
     pairs = placed.join(_blocks(spots).drop("cy", "cx"), ["lvl", "y", "x"]).select(
         "id", "target_id",
         # Distances equal to a micrometre are ties, settled by the target's id.
-        (F.rint(haversine_km(F.col("lat"), F.col("lng"), F.col("tlat"), F.col("tlng")) * 1e9) / 1e9).alias("km"),
+        decimals(haversine_km(F.col("lat"), F.col("lng"), F.col("tlat"), F.col("tlng")), 9).alias("km"),
     )
     if k == 1:
         best = F.min(F.struct("km", "target_id")).alias("b")
@@ -257,7 +257,7 @@ def crew_in_zone(
 
 
 def liquefaction_lookup(
-    points: DataFrame, polygons: DataFrame, default: str = "low", res: float = 0.25
+    points: DataFrame, polygons: DataFrame, default: str = "low", res: float = 0.1
 ) -> DataFrame:
     """Points with the class of the first polygon holding them, lower-cased, else ``default``.
 
@@ -288,11 +288,14 @@ def liquefaction_lookup(
         shelf = indexed.groupBy("_cy", "_cx").agg(
             F.array_sort(F.collect_list(F.struct("ord", "_class", "y0", "y1", "x0", "x1", "ring"))).alias("_near")
         )
-        holds = F.filter("_near", inside)
+        # Exploding the (at most one) hit makes it a column of its own: tested once per point,
+        # however often later expressions use the class.
+        first = F.transform(F.slice(F.filter("_near", inside), 1, 1), lambda g: g["_class"])
         return (
             placed.join(shelf, ["_cy", "_cx"], "left")
-            .withColumn("liquefaction_class", F.coalesce(F.get(holds, F.lit(0))["_class"], F.lit(default)))
-            .select(*points.columns, "liquefaction_class")
+            .select(*points.columns, F.explode_outer(first).alias("_class"))
+            .withColumn("liquefaction_class", F.coalesce("_class", F.lit(default)))
+            .drop("_class")
         )
     # Many polygons: look up distinct positions, keep the first hit of each, join back.
     spots = placed.select("lat", "lng", "_cy", "_cx").distinct()

@@ -73,9 +73,9 @@ def damage_grid(events: DataFrame, res: float = 0.01, half: float = 0.5, polygon
         "cell",
         F.concat(F.lit("CELL_"), "cell").alias("grid_cell_id"),
         F.concat(F.lit("DAMAGE_"), "event_id", F.lit("_"), "cell").alias("id"),
-        F.round("lat", 6).alias("lat"),
-        F.round("lng", 6).alias("lng"),
-        F.round("damage_probability", 3).alias("damage_probability"),
+        geo.decimals(F.col("lat"), 6).alias("lat"),
+        geo.decimals(F.col("lng"), 6).alias("lng"),
+        geo.decimals(F.col("damage_probability"), 3).alias("damage_probability"),
         "liquefaction_class",
     )
 
