@@ -225,13 +225,14 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = 1) -> DataFrame:
     )
     pairs = placed.join(_blocks(spots).drop("cy", "cx"), ["lvl", "y", "x"]).select(
         "id", "target_id",
-        # Distances equal to a micrometre are ties, settled by the target's id.
-        decimals(haversine_km(F.col("lat"), F.col("lng"), F.col("tlat"), F.col("tlng")), 9).alias("km"),
+        haversine_km(F.col("lat"), F.col("lng"), F.col("tlat"), F.col("tlng")).alias("km"),
     )
+    # Distances equal to a micrometre are ties, settled by the target's id.
+    near = decimals(F.col("km"), 9).alias("near")
     if k == 1:
-        best = F.min(F.struct("km", "target_id")).alias("b")
+        best = F.min(F.struct(near, "target_id", "km")).alias("b")
         return pairs.groupBy("id").agg(best).select("id", "b.target_id", "b.km")
-    return top_n(pairs, ["id"], [F.col("km"), F.col("target_id")], k)
+    return top_n(pairs, ["id"], [decimals(F.col("km"), 9), F.col("target_id")], k)
 
 
 def nearest_crew(zones: DataFrame, crews: DataFrame, statuses=("available", "standby")) -> DataFrame:

@@ -54,7 +54,9 @@ def ingest_bronze(parsed: DataFrame, ingested_at: Column | None = None, ms: str
     return out.withColumn("date", F.to_date(ts_of_ms(F.col(ms))))
 
 
-def write_clustered(df: DataFrame, path: str, partitions: list[str], keys: list[str], mode: str = "append") -> None:
+def write_clustered(
+    df: DataFrame, path: str, partitions: list[str], keys: list[str], mode: str = "append", files: int | None = None
+) -> None:
     """Partitioned write whose files hold narrow ranges of the clustering keys.
 
     Ranges go over partition columns and keys together, so a large partition is cut into
@@ -62,7 +64,7 @@ def write_clustered(df: DataFrame, path: str, partitions: list[str], keys: list[
     """
     order = [*partitions, *keys]
     (
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
         .write.mode(mode).partitionBy(*partitions).parquet(path)
     )
 
