@@ -200,7 +200,9 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = 1) -> DataFrame:
         F.col("id").alias("target_id"), F.col("lat").alias("tlat"), F.col("lng").alias("tlng"),
         *[c.alias(n) for c, n in zip(_cells(F.col("lat"), F.col("lng")), ("cy", "cx"))],
     )
-    # Counting cells, not targets, keeps a crowded position from being copied around.
+    # Of targets at one position no more than k can be among the nearest: those of lowest id.
+    spots = top_n(spots, ["tlat", "tlng"], [F.col("target_id")], k)
+    # Counting cells, not targets, keeps a crowded one from being copied around.
     crowd = spots.groupBy("cy", "cx").agg(F.count("*").alias("n"))
     occupied = (
         _blocks(crowd).groupBy("lvl", "y", "x").agg(F.sum("n").alias("n"))

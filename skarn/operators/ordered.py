@@ -95,10 +95,15 @@ def running_total(
     *,
     tie: list[str] | None = None,
     slice_rows: int | None = None,
+    splits: list | None = None,
 ) -> DataFrame:
-    """Cumulative sum of ``value`` per key in the order of a numeric column."""
+    """Cumulative sum of ``value`` per key in the order of a numeric column.
+
+    ``splits`` may come from the rows that ``df`` was aggregated from, which are cheaper to scan.
+    """
     rank = [order, *(tie or [])]
-    splits = slice_splits(df, order, slice_rows)
+    if splits is None:
+        splits = slice_splits(df, order, slice_rows)
     if not splits:
         win = W.partitionBy(*keys).orderBy(*rank).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumn(out, F.sum(value).over(win))
@@ -278,7 +283,9 @@ def _sliced_percentiles(
         .agg(F.count("*").alias("_n"))
     )
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    upto = running_total(counts, keys, "_v", "_n", "_upto", slice_rows=slice_rows)
+    values = df.select(F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    splits = slice_splits(values, "_v", slice_rows)
+    upto = running_total(counts, keys, "_v", "_n", "_upto", splits=splits)
     if keys:
         ranked = join_keys(upto, totals, keys)
     else:

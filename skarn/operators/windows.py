@@ -135,7 +135,7 @@ def action_dedup(
     at = actions.select(*keys, ordinal(actions, ts).alias("_at"), F.col(row_id).alias("_id"))
     firsts = at.groupBy(*keys, "_at").agg(F.min("_id").alias("_id"))
     gap = seconds * (1000 if isinstance(actions.schema[ts].dataType, T.LongType) else 1_000_000)
-    splits = slice_splits(firsts, "_at", slice_rows)
+    splits = slice_splits(at, "_at", slice_rows)
     id_type = firsts.schema["_id"].dataType
     kept_schema = T.StructType([T.StructField("_id", id_type)])
 
@@ -209,7 +209,8 @@ def delivery_health(
         win = W.partitionBy(key).orderBy("_at").rangeBetween(-reach, 0)
         counted = per_instant.withColumn("failures", F.sum("_n").over(win))
     else:
-        upto = running_total(per_instant, [key], "_at", "_n", "_upto", slice_rows=slice_rows)
+        splits = slice_splits(failures.select(ordinal(failures, ts).alias("_at")), "_at", slice_rows)
+        upto = running_total(per_instant, [key], "_at", "_n", "_upto", splits=splits)
         floor = upto.withColumn("_floor", F.col("_at") - reach)
         counted = asof_last(
             floor, upto, [key], "_floor", "_at", ["_upto"], "_before", strict=True, slice_rows=slice_rows
