@@ -63,7 +63,19 @@ def _(v):
     return op.lang_gate(v.corpus, F.col("language")).select(*GATE_COLUMNS)
 
 
-@query("lang_detect")
+# Words of a list instead of a pattern.
+SCORES = ", ".join(
+    f"{{'n': len(list_filter(ws, lambda w: list_contains([{', '.join(repr(x) for x in words.split())}], w))), 'l': '{lang}'}}"
+    for lang, words in tx.STOP_WORDS.items()
+)
+DETECTED = f"""
+SELECT language, CASE WHEN best.n > 0 THEN best.l END AS language_detected
+FROM (SELECT language, list_max([{SCORES}]) AS best
+      FROM (SELECT language, string_split_regex(lower(raw_text), '[^\\p{{L}}\\p{{N}}_]+') AS ws FROM corpus))
+"""
+
+
+@query("lang_detect", f"SELECT language, language_detected, count(*) AS n FROM ({DETECTED}) GROUP BY 1, 2")
 def _(v):
     found = op.lang_gate(spread(v.corpus))
     return found.groupBy("language", "language_detected").agg(F.count("*").alias("n"))

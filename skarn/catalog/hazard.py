@@ -76,7 +76,29 @@ def hotspot_rows(v):
     )
 
 
-@query("ember_points")
+def _number(i: int) -> str:
+    """The i-th of eight uniform numbers in two hashes."""
+    return f"((CAST('0x' || substr(h{i // 4}, {1 + 13 * (i % 4)}, 13) AS BIGINT) + 1) / 4503599627370496e0)"
+
+
+def _gauss(i: int) -> str:
+    return f"sqrt(-2e0 * ln({_number(i)})) * cos(2e0 * pi() * {_number(i + 1)})"
+
+
+POINTS = f"""
+SELECT id AS hotspot_id, y + n * (-cos(radians(direction_deg)) * speed_ms) / 111000e0 + 0.0001e0 * sqrt(n) * {_gauss(4)} AS lat,
+       x + n * (-sin(radians(direction_deg)) * speed_ms) / (111000e0 * cos(radians(y))) + 0.0001e0 * sqrt(n) * {_gauss(6)} AS lng
+FROM (SELECT *, ceil(ln((least(greatest(frp * 0.8e0 + 30e0 * {_gauss(0)}, 1), 200) + 100) / 100) / -ln(0.95e0)) AS n,
+             lat + 0.001e0 * (2 * {_number(2)} - 1) AS y, lng + 0.001e0 * (2 * {_number(3)} - 1) AS x
+      FROM (SELECT *, sha256('0-0:' || id || ':' || p) AS h0, sha256('0-1:' || id || ':' || p) AS h1
+            FROM (SELECT h.id, h.lat, h.lng, frp, coalesce(w.speed_ms, 5.0e0) AS speed_ms, coalesce(w.direction_deg, 270.0e0) AS direction_deg
+                  FROM hotspots h LEFT JOIN (SELECT round(lat, 4) AS wy, round(lng, 4) AS wx, max(speed_ms) AS speed_ms,
+                       arg_max(direction_deg, speed_ms) AS direction_deg FROM wind GROUP BY 1, 2) w
+                  ON round(h.lat, 4) = wy AND round(h.lng, 4) = wx WHERE confidence IN ('h', '72')), range(1, 201) r(p)))
+"""
+
+
+@query("ember_points", f"SELECT hotspot_id, round(lat, 6) AS lat, round(lng, 6) AS lng FROM ({POINTS})")
 def _(v):
     from skarn.operators.joins import hotspot_wind
     from skarn.sources.parsers import parse_firms
@@ -84,15 +106,19 @@ def _(v):
     return rounded(plan.ember_points(hotspot_wind(parse_firms(hotspot_rows(v)), v.wind)))
 
 
-@query("hotspot_zones")
+@query(
+    "hotspot_zones",
+    f"""WITH c AS (SELECT floor(lat / 0.01e0) AS cy, floor(lng / 0.01e0) AS cx, count(*) AS n FROM ({POINTS}) GROUP BY 1, 2)
+        SELECT printf('EMBER_run-1_%.4f_%.4f', round(cy * 0.01e0, 4), round(cx * 0.01e0, 4)) AS id, round(cy * 0.01e0, 4) AS lat,
+               round(cx * 0.01e0, 4) AS lng, round(n / (SELECT max(n) FROM c), 3) AS probability, n AS particle_count,
+               NULL AS hotspot_id FROM c""",
+)
 def _(v):
     return plan.hotspot_zones(hotspot_rows(v), v.wind, "run-1")
 
 
-@query(
-    "dispatch_actions",
-    # Zone by zone, the crews already taken kept in a list.
-    f"""WITH RECURSIVE g AS ({GRID}),
+# Zone by zone, the crews already taken kept in a list.
+DISPATCH = f"""WITH RECURSIVE g AS ({GRID}),
     zn AS (SELECT event_id, id AS zone_id, lat, lng, damage_probability AS p, 'damage' AS kind,
                   row_number() OVER (PARTITION BY event_id ORDER BY cell) AS o FROM g WHERE damage_probability > 0.7
            QUALIFY o <= 3),
@@ -113,8 +139,10 @@ def _(v):
            CASE kind WHEN 'damage' THEN 'immediate' ELSE 'high' END AS time_sensitivity,
            'Deploy ' || crew || CASE kind WHEN 'damage' THEN ' to high-damage zone (prob ' ELSE ' to ember risk zone (density ' END
            || CAST(round_even(p * 100, 0) AS INTEGER) || '%)' AS rationale
-    FROM s JOIN q ON q.event_id = s.event_id AND q.n = s.n""",
-)
+    FROM s JOIN q ON q.event_id = s.event_id AND q.n = s.n"""
+
+
+@query("dispatch_actions", DISPATCH)
 def _(v):
     return plan.dispatch_actions(v.quakes, coarse_grid(v), v.ember, v.crews)
 
@@ -142,7 +170,11 @@ def _(v):
     return plan.rule_actions(v.ember, v.zones, v.crews, v.shelters, v.hospitals, v.routes, reach_km=0.8)
 
 
-@query("seismic_actions")
+FRESH = """WITH RECURSIVE fresh AS (SELECT id, magnitude, CASE WHEN depth >= 20 THEN 10 ELSE depth END AS depth, lat, lng
+           FROM quakes WHERE magnitude >= 5.1),"""
+
+
+@query("seismic_actions", FRESH + DISPATCH.removeprefix("WITH RECURSIVE").replace("quakes", "fresh"))
 def _(v):
     seen = v.quakes.filter(F.col("magnitude") < 5.1).select("id")
     return plan.seismic_actions(quake_feed(v), seen, soil_polygons(v), v.ember, v.crews, res=COARSE)[1]

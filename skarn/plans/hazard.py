@@ -80,16 +80,28 @@ def damage_grid(events: DataFrame, res: float = 0.01, half: float = 0.5, polygon
     )
 
 
-def _uniform(salt: str, *cols) -> Column:
-    """Number in (0, 1] fixed by the row's key and a salt."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(salt), *cols), 11)
-    return (bits + 1) / F.lit(float(1 << 53))
+# Hex digits of one number: 13 digits are 52 bits, four numbers fit a SHA-256.
+_DIGITS, _PER_HASH = 13, 4
 
 
-def _normal(salt: str, *cols) -> Column:
-    """Standard normal number by the Box-Muller transform of two uniform ones."""
-    radius = F.sqrt(-2.0 * F.log(_uniform(f"{salt}-r", *cols)))
-    return radius * F.cos(2.0 * math.pi * _uniform(f"{salt}-a", *cols))
+def _hashes(seed: str, *key: str, numbers: int) -> list[Column]:
+    """Hashes of the row's key, enough for ``numbers`` uniform numbers."""
+    return [
+        F.sha2(F.concat_ws(":", F.lit(f"{seed}-{i}"), *[F.col(k).cast("string") for k in key]), 256)
+        for i in range(-(-numbers // _PER_HASH))
+    ]
+
+
+def _uniform(hashes: list[Column], i: int) -> Column:
+    """The ``i``-th number in (0, 1] that the hashes hold."""
+    digits = F.substring(hashes[i // _PER_HASH], 1 + _DIGITS * (i % _PER_HASH), _DIGITS)
+    return (F.conv(digits, 16, 10).cast("bigint") + 1) / F.lit(float(16**_DIGITS))
+
+
+def _normal(hashes: list[Column], i: int) -> Column:
+    """Standard normal number by the Box-Muller transform of numbers ``i`` and ``i + 1``."""
+    radius = F.sqrt(-2.0 * F.log(_uniform(hashes, i)))
+    return radius * F.cos(2.0 * math.pi * _uniform(hashes, i + 1))
 
 
 def landing_steps(height: Column) -> Column:
@@ -103,16 +115,18 @@ def ember_points(hotspots: DataFrame, particles: int = PARTICLES, seed: str = "0
 
     Random numbers are hashes of seed, hotspot and particle: the same on every run and task.
     """
-    key = ("id", "_p")
     flying = hotspots.withColumn("_p", F.explode(F.sequence(F.lit(1), F.lit(particles))))
-    loft = F.col("frp") * LOFT_PER_FRP + LOFT_SPREAD * _normal(f"{seed}h", *key)
+    made = _hashes(seed, "id", "_p", numbers=8)
+    held = [F.col(f"_h{i}") for i in range(len(made))]
+    flying = flying.withColumns({f"_h{i}": h for i, h in enumerate(made)})
+    loft = F.col("frp") * LOFT_PER_FRP + LOFT_SPREAD * _normal(held, 0)
     height = F.least(F.greatest(loft, F.lit(LOFT_MIN)), F.lit(LOFT_MAX))
-    start = lambda axis: F.col(axis) + START_JITTER * (2 * _uniform(f"{seed}{axis}", *key) - 1)
-    launched = flying.withColumns({"_n": landing_steps(height), "_y": start("lat"), "_x": start("lng")})
+    start = lambda axis, i: F.col(axis) + START_JITTER * (2 * _uniform(held, i) - 1)
+    launched = flying.withColumns({"_n": landing_steps(height), "_y": start("lat", 2), "_x": start("lng", 3)})
     wind = (F.col("speed_ms"), F.col("direction_deg"))
-    noise = lambda axis: STEP_NOISE * F.sqrt("_n") * _normal(f"{seed}n{axis}", *key)
-    north = F.col("_n") * geo.wind_north(*wind) / METRES_PER_DEGREE + noise("lat")
-    east = F.col("_n") * geo.wind_east(*wind) / (METRES_PER_DEGREE * F.cos(F.radians("_y"))) + noise("lng")
+    noise = lambda i: STEP_NOISE * F.sqrt("_n") * _normal(held, i)
+    north = F.col("_n") * geo.wind_north(*wind) / METRES_PER_DEGREE + noise(4)
+    east = F.col("_n") * geo.wind_east(*wind) / (METRES_PER_DEGREE * F.cos(F.radians("_y"))) + noise(6)
     return launched.select(
         F.col("id").alias("hotspot_id"), (F.col("_y") + north).alias("lat"), (F.col("_x") + east).alias("lng")
     )

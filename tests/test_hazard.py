@@ -46,7 +46,8 @@ def test_ember_points(spark):
 
 
 def test_uniform_and_normal(spark):
-    r = spark.range(20_000).select(hz._uniform("a", "id").alias("u"), hz._normal("b", "id").alias("z")).agg(
+    held = hz._hashes("a", "id", numbers=3)
+    r = spark.range(20_000).select(hz._uniform(held, 2).alias("u"), hz._normal(held, 0).alias("z")).agg(
         F.avg("u"), F.min("u"), F.max("u"), F.avg("z"), F.stddev("z")
     ).first()
     assert r[0] == pytest.approx(0.5, abs=0.01) and 0 < r[1] and r[2] <= 1
