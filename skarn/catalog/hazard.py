@@ -9,6 +9,7 @@ from skarn.catalog.joins import FACILITY, IN_ZONE, ROUTE, SOIL, km, soil_polygon
 from skarn.catalog.sources import quake_feed
 from skarn.catalog.telemetry import rounded
 from skarn.operators import telemetry as tel
+from skarn.operators.ordered import spread
 from skarn.plans import hazard as plan
 
 COARSE = 0.1
@@ -40,7 +41,7 @@ FROM ({cells_sql('0.1', 10, True)}) WHERE damage_probability > 0.05
 
 
 def coarse_grid(v):
-    return plan.damage_grid(v.quakes, COARSE, polygons=soil_polygons(v))
+    return plan.damage_grid(spread(v.quakes), COARSE, polygons=soil_polygons(v))
 
 
 @query("damage_grid", GRID)
@@ -54,7 +55,7 @@ def _(v):
                count(*) FILTER (damage_probability > 0.7) AS cells_above_70 FROM ({cells_sql('0.01', 100, False)}) GROUP BY 1""",
 )
 def _(v):
-    return tel.damage_summary(plan.damage_cells(v.quakes))
+    return tel.damage_summary(plan.damage_cells(spread(v.quakes)))
 
 
 @query(
@@ -103,7 +104,7 @@ def _(v):
     from skarn.operators.joins import hotspot_wind
     from skarn.sources.parsers import parse_firms
 
-    return rounded(plan.ember_points(hotspot_wind(parse_firms(hotspot_rows(v)), v.wind)))
+    return rounded(plan.ember_points(hotspot_wind(spread(parse_firms(hotspot_rows(v))), v.wind)))
 
 
 @query(

@@ -11,13 +11,14 @@ from skarn.catalog.book import query
 from skarn.catalog.telemetry import rounded
 from skarn.functions import fields as fd, geo
 from skarn.operators import joins as jn
+from skarn.operators.ordered import spread
 from skarn.operators.telemetry import BANDWIDTHS
 from skarn.sources import parsers as ps, tables as tb
 
 
 def telemetry_json(v):
     """One JSON object per event; temperature is absent in some, a host key is extra in others."""
-    t = v.events.select(
+    t = spread(v.events).select(
         "event_id",
         F.concat(F.lit("node-"), F.col("user_id") % 16).alias("node_id"),
         F.concat(F.lit("gpu-"), F.col("event_id") % 8).alias("device_id"),
@@ -113,7 +114,7 @@ def _(v):
         F.lit("}"),
     )
     required = {"node_id": "str", "timestamp_ms": "int", "utilization_pct": "float"}
-    checked = ps.validate_records(v.events.select("event_id", text.alias("value")), required)
+    checked = ps.validate_records(spread(v.events).select("event_id", text.alias("value")), required)
     return checked.select("event_id", "valid", "reason")
 
 

@@ -22,7 +22,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal rows over all cores where the scan has fewer splits than there are cores.
 
     A small file with one row group is read by one task; this is for work that is heavy per row.
-    Tables with enough splits are left as they are.
+    Tables with enough splits are left as they are.  Meant for scans: asking a plan with shuffles
+    for its partitions would run them.
     """
     if df.isStreaming:
         return df

@@ -43,7 +43,7 @@ def damage_cells(
     """
     n = round(2 * half / res) + 1
     steps = F.sequence(F.lit(0), F.lit(n - 1))
-    grid = spread(events).select(
+    grid = events.select(
         F.col("id").alias("event_id"), "magnitude", "depth",
         F.col("lat").alias("_y"), F.col("lng").alias("_x"), F.explode(steps).alias("_i"),
     ).withColumn("_j", F.explode(steps))
@@ -138,6 +138,8 @@ def ember_density(points: DataFrame, keys: list[str] = (), res: float = 0.01) ->
     cells = points.groupBy(
         *keys, geo.cell_index(F.col("lat"), res).alias("_cy"), geo.cell_index(F.col("lng"), res).alias("_cx")
     ).agg(F.count("*").alias("particle_count"))
+    # Written once: cells are few, the points behind them many and costly.
+    cells = settle(cells, "ember-cells")
     if keys:
         top = cells.groupBy(*keys).agg(F.max("particle_count").alias("_top"))
         cells = cells.join(top, keys)
@@ -154,7 +156,7 @@ def ember_density(points: DataFrame, keys: list[str] = (), res: float = 0.01) ->
 
 def hotspot_zones(rows: DataFrame, wind: DataFrame, run_id: str, res: float = 0.01, **options) -> DataFrame:
     """Feed rows to ember zones of one run: parse, add wind, land particles, count cells."""
-    flown = ember_points(jn.hotspot_wind(parse_firms(rows), wind), **options)
+    flown = ember_points(jn.hotspot_wind(spread(parse_firms(rows)), wind), **options)
     cells = ember_density(flown, res=res)
     zone = F.concat_ws("_", F.lit("EMBER"), F.lit(run_id), F.format_string("%.4f", "lat"), F.format_string("%.4f", "lng"))
     return cells.select(
