@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from skarn.llm.packing import op5_best_fit_packing
+from skarn.llm.quality import op8_quality_rules
+from skarn.llm.simhash import op7_simhash_near_dedup
 from skarn.llm.token_files import op9_token_files
 
 QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
 }
 ORACLES: dict[str, str] = {}

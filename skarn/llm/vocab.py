@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import unicodedata
 
 import numpy as np
@@ -138,14 +140,16 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file, made once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for a vocabulary file, made once.
+
+    Tasks get this function by value, with globals of their own, so what lasts from task to task is
+    kept in a module of the worker's interpreter.
+    """
+    kept = sys.modules.setdefault("skarn_llm_worker", types.ModuleType("skarn_llm_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def default_path() -> str:
