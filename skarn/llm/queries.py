@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skarn.llm.decontamination import op3_benchmark_decontamination
+from skarn.llm.line_dedup import op2_line_dedup
 from skarn.llm.packing import op5_best_fit_packing
 from skarn.llm.quality import op8_quality_rules
 from skarn.llm.secrets import op4_secret_scans
@@ -10,6 +11,7 @@ from skarn.llm.simhash import op7_simhash_near_dedup
 from skarn.llm.token_files import op9_token_files
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_secret_scans": op4_secret_scans,
     "op5_best_fit_packing": op5_best_fit_packing,
