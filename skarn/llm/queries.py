@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from skarn.llm.decontamination import op3_benchmark_decontamination
+from skarn.llm.html_text import op1_html_extraction
 from skarn.llm.line_dedup import op2_line_dedup
 from skarn.llm.packing import op5_best_fit_packing
 from skarn.llm.quality import op8_quality_rules
 from skarn.llm.secrets import op4_secret_scans
 from skarn.llm.simhash import op7_simhash_near_dedup
 from skarn.llm.token_files import op9_token_files
+from skarn.llm.url_filter import op6_url_filters
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_secret_scans": op4_secret_scans,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_url_filters": op6_url_filters,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
