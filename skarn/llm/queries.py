@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from skarn.llm.chat import op10_chat_formatting
 from skarn.llm.decontamination import op3_benchmark_decontamination
 from skarn.llm.html_text import op1_html_extraction
 from skarn.llm.line_dedup import op2_line_dedup
@@ -22,5 +24,7 @@ QUERIES = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
+    "pipeline": corpus_pipeline.run,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 ORACLES: dict[str, str] = {}
