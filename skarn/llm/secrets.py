@@ -30,11 +30,12 @@ SCOPE = 200
 
 #: The base kinds in the order of their names' rank, with their patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+#: Matches of these two are whole runs, so the least length may stand in the pattern.
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 #: Weak kinds.
 LOGIN = r"""(?i)\b(user|username|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)"""
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}"
 ENDPOINT = r"""\b[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+"""
 
 KINDS = ("assign", "access", "hex", "login", "token", "endpoint")
@@ -68,10 +69,8 @@ def _second_longer(pattern: str, n: int):
     return lambda _: F.transform(second, lambda g: F.length(g) >= n)
 
 
-def _mixed(n: int):
-    return lambda matches: F.transform(
-        matches, lambda m: (F.length(m) >= n) & m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")
-    )
+def _mixed(matches: Column) -> Column:
+    return F.transform(matches, lambda m: m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]"))
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -83,7 +82,7 @@ def parts(docs: DataFrame) -> DataFrame:
             _part("access", ACCESS, r"AKIA[A-Z0-9]{16}", _longer(20)),
             _part("hex", HEX, r"[0-9a-f]{24}", _longer(24)),
             _part("login", LOGIN, LOGIN, _second_longer(LOGIN, 3)),
-            _part("token", TOKEN, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32}", _mixed(32)),
+            _part("token", TOKEN, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32}", _mixed),
             _part("endpoint", ENDPOINT, "://", _longer(8)),
         )
     )

@@ -90,7 +90,7 @@ def test_packing(spark):
 def test_packing_edges(spark):
     long = "word " * 5000
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, long, 0), (4, "a b", 0), (5, "word " * 2047, 0)], "doc_id long, text string, row int")
-    assert check_packing(spark, docs, pack_documents(docs)) == (5, 4)
+    assert check_packing(spark, docs, pack_documents(docs)) == (4, 4)
     twice = pack_documents(docs.union(docs)).collect()
     assert len(twice) == 2 * cut_pieces(docs, default_path(), 2048).count()
     assert pack_documents(docs.limit(0)).count() == 0
