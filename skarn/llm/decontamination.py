@@ -115,10 +115,11 @@ def _leaks(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     index = items.select("item_id", F.col("print").alias("item_print"), F.posexplode(_blocks(F.col("print"))).alias("block", "value"))
     index = index.select("item_id", "item_print", "block", F.explode(F.transform(changes, lambda c: F.col("value").bitwiseXOR(c))).alias("value"))
     prints = found.select("print").distinct().select("print", F.posexplode(_blocks(F.col("print"))).alias("block", "value"))
-    near = prints.join(index, ["block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    # Both sides are shuffled: the index is thousands of rows an item, which Spark's estimate of it misses.
+    near = prints.join(index.hint("merge"), ["block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     near = written(near.select("print", "item_id").distinct(), "near")
 
-    pairs = found.join(near, "print").join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
+    pairs = found.join(near.hint("merge"), "print").join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
     pairs = pairs.select("doc_id", "item_id", "start", F.size("words").alias("n_words"), _shingles(F.col("words"), size).alias("a"), _shingles(F.col("item_words"), size).alias("b"))
     return pairs.select("doc_id", "item_id", "start", "n_words", _bag_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
