@@ -2,8 +2,6 @@
 
 import hashlib
 import math
-import re
-import unicodedata
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -19,48 +17,49 @@ TEXTS = [
 ]
 
 
-def quality(text):
-    words = text.split()
-    paragraphs = [p.strip() for p in text.split("\n\n") if p.strip()]
-    mean = sum(map(len, words)) / max(1, len(words))
-    return (
-        sum(c.isalpha() for c in text) / max(1, len(text)),
-        1.0 if 4 <= mean <= 8 else 0.0,
-        len(set(zip(words, words[1:]))) / max(1, len(words) - 1),
-        len(set(paragraphs)) / max(1, len(paragraphs)),
-    )
-
-
-def normal(text):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text.lower())).strip()
+# Worked out by hand: letters over characters, word length mark, different pairs over pairs,
+# different paragraphs over paragraphs, score, tier, tokens, normal form.
+BY_HAND = [
+    ("", (0, 0, 0, 0), 0.0, "low", 0, ""),
+    ("one", (1, 0, 0, 1), 0.5, "low", 1, "one"),
+    ("Two  words", (0.8, 1, 1, 1), 0.94, "high", 2, "two words"),
+    ("a\n\nb\n\na", (3 / 7, 0, 1, 2 / 3), 0.5619, "low", 3, "a b a"),
+    ("same same same same", (16 / 19, 1, 1 / 3, 1), 0.7526, "medium", 5, "same same same same"),
+    ("12345 !!! ???", (0, 0, 1, 1), 0.5, "low", 3, "12345 !!! ???"),
+    ("E\u0301cole", (5 / 6, 1, 0, 1), 0.65, "medium", 1, "\u00e9cole"),
+    ("\tTabs\x1cand\u2003wide gaps \n", (15 / 21, 0, 1, 1), 0.7143, "medium", 5, "tabs and wide gaps"),
+]
 
 
-def check_texts(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, raw_text string")
-    scored = cp.score(cp.with_hash(df)).withColumn("q", tx.quality_components(F.col("raw_text")))
+def test_texts_by_hand(spark):
+    df = spark.createDataFrame([(i, row[0]) for i, row in enumerate(BY_HAND)], "doc_id bigint, raw_text string")
+    scored = cp.score(cp.with_hash(df)).withColumns(
+        {"q": tx.quality_components(F.col("raw_text")), "n": tx.normalise_text(F.col("raw_text"))}
+    )
     for r in scored.collect():
-        text = texts[r["doc_id"]]
-        want = quality(text)
-        assert tuple(r["q"]) == pytest.approx(want), text
-        raw = want[0] * 0.3 + want[1] * 0.2 + want[2] * 0.3 + want[3] * 0.2
-        assert r["quality_score"] == pytest.approx(round(raw, 4), abs=1.01e-4)
-        assert r["quality_tier"] == ("high" if raw >= 0.8 else "medium" if raw >= 0.6 else "low")
-        assert r["token_count_estimate"] == int(len(text.split()) * 1.3)
-        if "İ" not in text:
-            assert r["dedup_hash"] == hashlib.sha256(normal(text).encode()).hexdigest(), text
-
-
-def test_texts(spark):
-    check_texts(spark, TEXTS)
+        _, parts, score, tier, tokens, form = BY_HAND[r["doc_id"]]
+        assert tuple(r["q"]) == pytest.approx(parts)
+        assert (r["quality_score"], r["quality_tier"], r["token_count_estimate"]) == (score, tier, tokens)
+        assert r["n"] == form and r["dedup_hash"] == hashlib.sha256(form.encode()).hexdigest()
 
 
-words = st.text(alphabet="abcé́ \n\t.Z9", max_size=40)
+words = st.text(alphabet="abc\u00e9\u0301 \n\t.Z9", max_size=40)
 
 
 @settings(max_examples=8, deadline=None)
 @given(texts=st.lists(words, min_size=1, max_size=30))
-def test_any_text(spark, texts):
-    check_texts(spark, texts)
+def test_text_properties(spark, texts):
+    wider = [" \n" + t.replace(" ", " \t\n ") + "\u2003" for t in [*TEXTS, *texts]]
+    df = spark.createDataFrame(list(zip([*TEXTS, *texts], wider)), "t string, wide string")
+    once = tx.normalise_text(F.col("t"))
+    rows = df.select(
+        tx.quality_components(F.col("t")).alias("q"), once.alias("n"), tx.normalise_text(once).alias("nn"),
+        tx.dedup_hash(F.col("t")).alias("h"), tx.dedup_hash(F.col("wide")).alias("hw"), tx.token_estimate(F.col("t")).alias("k"),
+    ).collect()
+    for r in rows:
+        assert all(0 <= x <= 1 for x in r["q"]) and r["q"]["word_length"] in (0.0, 1.0)
+        assert r["n"] == r["nn"] and r["h"] == r["hw"] and "  " not in r["n"] and r["n"] == r["n"].strip()
+        assert r["k"] >= 0 and (r["k"] == 0) == (r["n"] == "")
 
 
 def test_arrow_normal_form_agrees(spark):
