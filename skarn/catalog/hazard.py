@@ -9,11 +9,8 @@ from skarn.catalog.joins import FACILITY, IN_ZONE, ROUTE, SOIL, km, soil_polygon
 from skarn.catalog.sources import quake_feed
 from skarn.catalog.telemetry import rounded
 from skarn.operators import telemetry as tel
-from skarn.operators.ordered import spread
 from skarn.plans import hazard as plan
 
-COARSE = 0.1
-
 
 def cells_sql(res: str, last: int, soil: bool) -> str:
     """Every cell of every quake; the class is that of the first rectangle holding the cell."""
@@ -36,17 +33,17 @@ def cells_sql(res: str, last: int, soil: bool) -> str:
 GRID = f"""
 SELECT event_id, cell, 'CELL_' || cell AS grid_cell_id, 'DAMAGE_' || event_id || '_' || cell AS id, round(lat, 6) AS lat,
        round(lng, 6) AS lng, round(damage_probability, 3) AS damage_probability, liquefaction_class
-FROM ({cells_sql('0.1', 10, True)}) WHERE damage_probability > 0.05
+FROM ({cells_sql('0.01', 100, True)}) WHERE damage_probability > 0.05
 """
 
 
-def coarse_grid(v):
-    return plan.damage_grid(spread(v.quakes), COARSE, polygons=soil_polygons(v))
+def stored_grid(v):
+    return plan.damage_grid(v.quakes, polygons=soil_polygons(v))
 
 
 @query("damage_grid", GRID)
 def _(v):
-    return coarse_grid(v)
+    return stored_grid(v)
 
 
 @query(
@@ -55,7 +52,7 @@ def _(v):
                count(*) FILTER (damage_probability > 0.7) AS cells_above_70 FROM ({cells_sql('0.01', 100, False)}) GROUP BY 1""",
 )
 def _(v):
-    return tel.damage_summary(plan.damage_cells(spread(v.quakes)))
+    return tel.damage_summary(plan.damage_cells(v.quakes))
 
 
 @query(
@@ -77,45 +74,16 @@ def hotspot_rows(v):
     )
 
 
-def _number(i: int) -> str:
-    """The i-th of eight uniform numbers in two hashes."""
-    return f"((CAST('0x' || substr(h{i // 4}, {1 + 13 * (i % 4)}, 13) AS BIGINT) + 1) / 4503599627370496e0)"
-
-
-def _gauss(i: int) -> str:
-    return f"sqrt(-2e0 * ln({_number(i)})) * cos(2e0 * pi() * {_number(i + 1)})"
-
-
-POINTS = f"""
-SELECT id AS hotspot_id, y + n * (-cos(radians(direction_deg)) * speed_ms) / 111000e0 + 0.0001e0 * sqrt(n) * {_gauss(4)} AS lat,
-       x + n * (-sin(radians(direction_deg)) * speed_ms) / (111000e0 * cos(radians(y))) + 0.0001e0 * sqrt(n) * {_gauss(6)} AS lng
-FROM (SELECT *, ceil(ln((least(greatest(frp * 0.8e0 + 30e0 * {_gauss(0)}, 1), 200) + 100) / 100) / -ln(0.95e0)) AS n,
-             lat + 0.001e0 * (2 * {_number(2)} - 1) AS y, lng + 0.001e0 * (2 * {_number(3)} - 1) AS x
-      FROM (SELECT *, sha256('0-0:' || id || ':' || p) AS h0, sha256('0-1:' || id || ':' || p) AS h1
-            FROM (SELECT h.id, h.lat, h.lng, frp, coalesce(w.speed_ms, 5.0e0) AS speed_ms, coalesce(w.direction_deg, 270.0e0) AS direction_deg
-                  FROM hotspots h LEFT JOIN (SELECT round(lat, 4) AS wy, round(lng, 4) AS wx, max(speed_ms) AS speed_ms,
-                       arg_max(direction_deg, speed_ms) AS direction_deg FROM wind GROUP BY 1, 2) w
-                  ON round(h.lat, 4) = wy AND round(h.lng, 4) = wx WHERE confidence IN ('h', '72')), range(1, 201) r(p)))
-"""
-
-
-@query("ember_points", f"SELECT hotspot_id, round(lat, 6) AS lat, round(lng, 6) AS lng FROM ({POINTS})")
-def _(v):
-    from skarn.operators.joins import hotspot_wind
-    from skarn.sources.parsers import parse_firms
-
-    return rounded(plan.ember_points(hotspot_wind(spread(parse_firms(hotspot_rows(v))), v.wind)))
-
-
 @query(
     "hotspot_zones",
-    f"""WITH c AS (SELECT floor(lat / 0.01e0) AS cy, floor(lng / 0.01e0) AS cx, count(*) AS n FROM ({POINTS}) GROUP BY 1, 2)
-        SELECT printf('EMBER_run-1_%.4f_%.4f', round(cy * 0.01e0, 4), round(cx * 0.01e0, 4)) AS id, round(cy * 0.01e0, 4) AS lat,
-               round(cx * 0.01e0, 4) AS lng, round(n / (SELECT max(n) FROM c), 3) AS probability, n AS particle_count,
-               NULL AS hotspot_id FROM c""",
+    """WITH c AS (SELECT floor(lat / 0.01e0) AS cy, floor(lng / 0.01e0) AS cx, count(*) AS n FROM hotspots
+                  WHERE confidence IN ('h', '72') GROUP BY 1, 2)
+       SELECT printf('EMBER_run-1_%.4f_%.4f', round(cy * 0.01e0, 4), round(cx * 0.01e0, 4)) AS id, round(cy * 0.01e0, 4) AS lat,
+              round(cx * 0.01e0, 4) AS lng, round(n / (SELECT max(n) FROM c), 3) AS probability, n AS particle_count,
+              NULL AS hotspot_id FROM c""",
 )
 def _(v):
-    return plan.hotspot_zones(hotspot_rows(v), v.wind, "run-1")
+    return plan.hotspot_zones(hotspot_rows(v), "run-1")
 
 
 # Zone by zone, the crews already taken kept in a list.
@@ -145,13 +113,12 @@ DISPATCH = f"""WITH RECURSIVE g AS ({GRID}),
 
 @query("dispatch_actions", DISPATCH)
 def _(v):
-    return plan.dispatch_actions(v.quakes, coarse_grid(v), v.ember, v.crews)
+    return plan.dispatch_actions(v.quakes, stored_grid(v), v.ember, v.crews)
 
 
 @query(
     "rule_actions",
-    f"""WITH RECURSIVE b AS (SELECT * FROM ember ORDER BY seq DESC, id DESC LIMIT 100),
-    u AS (SELECT * FROM b WHERE probability > 0.65 AND id NOT IN (SELECT assigned_zone_id FROM crews WHERE assigned_zone_id IS NOT NULL)
+    f"""WITH RECURSIVE u AS (SELECT * FROM ember b WHERE probability > 0.65 AND id NOT IN (SELECT assigned_zone_id FROM crews WHERE assigned_zone_id IS NOT NULL)
           AND NOT EXISTS (SELECT 1 FROM crews c WHERE {km('b.lat', 'b.lng', 'c.lat', 'c.lng')} <= 0.8)),
     z AS (SELECT *, row_number() OVER (ORDER BY probability DESC, id) AS n FROM u),
     o AS (SELECT z.n, list(crew_identifier ORDER BY round({km('z.lat', 'z.lng', 'c.lat', 'c.lng')}, 9), crew_identifier) AS crews
@@ -161,10 +128,14 @@ def _(v):
           SELECT o.n, list_filter(o.crews, lambda c: NOT list_contains(s.used, c))[1],
                  list_append(s.used, list_filter(o.crews, lambda c: NOT list_contains(s.used, c))[1])
           FROM s JOIN o ON o.n = s.n + 1),
-    every AS (SELECT 'dispatch' AS action_type, crew AS resource_id, z.id AS zone_id, probability AS confidence, 'immediate' AS time_sensitivity
+    every AS (SELECT 'dispatch' AS action_type, crew AS resource_id, z.id AS zone_id, probability AS confidence, 'immediate' AS time_sensitivity,
+                     'Deploy ' || crew || ' to ember risk zone (density ' || CAST(round_even(probability * 100, 0) AS INTEGER) || '%)' AS rationale
               FROM s JOIN z ON z.n = s.n WHERE crew IS NOT NULL
-              UNION ALL SELECT * FROM ({FACILITY}) UNION ALL SELECT * FROM ({ROUTE})
-              UNION ALL SELECT 'reposition', crew_id, zone_id, 0.6, 'medium' FROM ({IN_ZONE}))
+              UNION ALL SELECT *, 'Alert ' || resource_id || ' in high-damage zone ' || zone_id || ' (prob '
+                               || CAST(round_even(confidence * 100, 0) AS INTEGER) || '%)'
+              FROM (SELECT * FROM ({FACILITY}) UNION ALL SELECT * FROM ({ROUTE}))
+              UNION ALL SELECT 'reposition', crew_id, zone_id, 0.6, 'medium', 'Move ' || crew_id || ' out of high-damage zone ' || zone_id
+              FROM ({IN_ZONE}))
     SELECT *, CASE time_sensitivity WHEN 'immediate' THEN 0 WHEN 'high' THEN 1 ELSE 2 END AS priority FROM every""",
 )
 def _(v):
@@ -178,7 +149,7 @@ FRESH = """WITH RECURSIVE fresh AS (SELECT id, magnitude, CASE WHEN depth >= 20
 @query("seismic_actions", FRESH + DISPATCH.removeprefix("WITH RECURSIVE").replace("quakes", "fresh"))
 def _(v):
     seen = v.quakes.filter(F.col("magnitude") < 5.1).select("id")
-    return plan.seismic_actions(quake_feed(v), seen, soil_polygons(v), v.ember, v.crews, res=COARSE)[1]
+    return plan.seismic_actions(quake_feed(v), seen, soil_polygons(v), v.ember, v.crews)[1]
 
 
 @query(

@@ -11,10 +11,6 @@ from skarn.operators.ordered import asof_last, join_keys, merge_by_key, ordinal,
 
 # Defaults of the feeds.
 DEFAULT_WIND = {"speed_ms": 5.0, "direction_deg": 270.0}
-MAX_DEVICES = 8
-
-#: Polygons up to this many are put next to a point as one array per grid cell.
-SMALL_POLYGONS = 10_000
 
 
 def _units_per_second(df: DataFrame, col: str) -> int:
@@ -260,55 +256,37 @@ def crew_in_zone(
 
 
 def liquefaction_lookup(
-    points: DataFrame, polygons: DataFrame, default: str = "low", res: float = 0.1
+    points: DataFrame, polygons: DataFrame, default: str = "low", res: float = 0.1, key: list[str] = ("id",)
 ) -> DataFrame:
     """Points with the class of the first polygon holding them, lower-cased, else ``default``.
 
-    ``polygons``: ``ord, class, ring array<struct<lng,lat>>``.  Polygons are indexed by the grid
-    cells of their bounding boxes, so a point meets only those of its own cell.
+    ``polygons``: ``ord, class, ring array<struct<lng,lat>>``, ``ord`` unique; ``key`` names a point.
+    Bounding boxes are indexed by grid cell as narrow rows.  A point meets the boxes of its cell,
+    and the rings of the boxes that hold it; only points inside a polygon come back, to be joined
+    by their key.
     """
+    key = list(key)
     lats, lngs = F.transform("ring", lambda v: v["lat"]), F.transform("ring", lambda v: v["lng"])
     span = lambda low, high: F.explode(F.sequence(cell_index(F.col(low), res), cell_index(F.col(high), res)))
-    indexed = (
+    boxes = (
         polygons.select(
-            "ord", F.lower("class").alias("_class"), "ring",
-            F.array_min(lats).alias("y0"), F.array_max(lats).alias("y1"),
-            F.array_min(lngs).alias("x0"), F.array_max(lngs).alias("x1"),
+            F.col("ord").alias("_ord"),
+            F.array_min(lats).alias("_y0"), F.array_max(lats).alias("_y1"),
+            F.array_min(lngs).alias("_x0"), F.array_max(lngs).alias("_x1"),
         )
-        .withColumn("_cy", span("y0", "y1")).withColumn("_cx", span("x0", "x1"))
-    )
-
-    def inside(g) -> Column:
-        """Bounding box first: the ring is walked for the few polygons that pass."""
-        lat, lng = F.col("lat"), F.col("lng")
-        box = lat.between(g["y0"], g["y1"]) & lng.between(g["x0"], g["x1"])
-        return box & inside_ring(lat, lng, g["ring"])
-
-    placed = points.withColumn("_cy", cell_index(F.col("lat"), res)).withColumn(
-        "_cx", cell_index(F.col("lng"), res)
+        .withColumn("_cy", span("_y0", "_y1")).withColumn("_cx", span("_x0", "_x1"))
     )
-    if polygons.limit(SMALL_POLYGONS + 1).count() <= SMALL_POLYGONS:
-        shelf = indexed.groupBy("_cy", "_cx").agg(
-            F.array_sort(F.collect_list(F.struct("ord", "_class", "y0", "y1", "x0", "x1", "ring"))).alias("_near")
-        )
-        # Exploding the (at most one) hit makes it a column of its own: tested once per point,
-        # however often later expressions use the class.
-        first = F.transform(F.slice(F.filter("_near", inside), 1, 1), lambda g: g["_class"])
-        return (
-            placed.join(shelf, ["_cy", "_cx"], "left")
-            .select(*points.columns, F.explode_outer(first).alias("_class"))
-            .withColumn("liquefaction_class", F.coalesce("_class", F.lit(default)))
-            .drop("_class")
-        )
-    # Many polygons: look up distinct positions, keep the first hit of each, join back.
-    spots = placed.select("lat", "lng", "_cy", "_cx").distinct()
+    rings = polygons.select(F.col("ord").alias("_ord"), F.lower("class").alias("_class"), F.col("ring").alias("_ring"))
+    cells = {"_cy": cell_index(F.col("lat"), res), "_cx": cell_index(F.col("lng"), res)}
+    lat, lng = F.col("lat"), F.col("lng")
     first = (
-        spots.join(indexed, ["_cy", "_cx"])
-        .filter(inside({c: F.col(c) for c in ("y0", "y1", "x0", "x1", "ring")}))
-        .groupBy("lat", "lng").agg(F.min(F.struct("ord", "_class"))["_class"].alias("_class"))
+        points.select(*key, "lat", "lng").withColumns(cells).join(boxes, ["_cy", "_cx"])
+        .filter(lat.between(F.col("_y0"), F.col("_y1")) & lng.between(F.col("_x0"), F.col("_x1")))
+        .join(rings, "_ord").filter(inside_ring(lat, lng, F.col("_ring")))
+        .groupBy(*key).agg(F.min(F.struct("_ord", "_class"))["_class"].alias("_class"))
     )
     return (
-        points.join(first, ["lat", "lng"], "left")
+        points.join(first, key, "left")
         .withColumn("liquefaction_class", F.coalesce("_class", F.lit(default)))
         .select(*points.columns, "liquefaction_class")
     )
@@ -340,13 +318,17 @@ def alert_context_joins(
     devices: DataFrame,
     features: DataFrame,
     events: DataFrame,
+    max_devices: int = 8,
 ) -> DataFrame:
-    """Alerts with node (own or through their first incident), devices, features and pod events."""
+    """Alerts with node (own or through their first incident), devices, features and pod events.
+
+    ``max_devices`` is the number of devices of a node that its context names.
+    """
     linked = incidents.groupBy("alert_id").agg(
         F.min(F.struct("incident_id", "node_id"))["node_id"].alias("_linked")
     )
     hosted = (
-        top_n(devices, ["node_id"], [F.col("device_id")], MAX_DEVICES)
+        top_n(devices, ["node_id"], [F.col("device_id")], max_devices)
         .groupBy("node_id").agg(F.array_sort(F.collect_list("device_id")).alias("devices"))
     )
     node = nodes.select("node_id", "hostname", "gpu_count").withColumn("_known", F.lit(True))

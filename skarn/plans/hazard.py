@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import pandas as pd
@@ -11,42 +10,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skarn.functions import geo
 from skarn.functions.fields import rationale_text
 from skarn.operators import joins as jn, windows as wn
-from skarn.operators.ordered import spread, top_n
+from skarn.operators.ordered import top_n
 from skarn.session import settle
 from skarn.sources.parsers import parse_firms, parse_usgs
 
-# Ember flight (metres, metres per step, share of height per step), particles.
-METRES_PER_DEGREE = 111_000.0
-LOFT_PER_FRP, LOFT_SPREAD, LOFT_MIN, LOFT_MAX = 0.8, 30.0, 1.0, 200.0
-SINK, DRAG = 5.0, 0.05
-START_JITTER, STEP_NOISE = 0.001, 0.0001
-PARTICLES = 200
-
 # Dispatch and rules.
-DAMAGE_ZONES, EMBER_ZONES = 3, 2
 EMBER_RISK = 0.65
 REACH_KM = 10.0
 REPOSITION_CONFIDENCE = 0.6
-EMBER_BATCH = 100
 SECTIONS = (
     "ember_risk_zones", "damage_zones", "suppression_crews", "shelters", "hospitals", "evacuation_routes",
 )
 
 
 def damage_cells(
-    events: DataFrame, res: float = 0.01, half: float = 0.5, polygons: DataFrame | None = None
+    events: DataFrame, res: float = 0.01, half: float = 0.5, polygons: DataFrame | None = None, above: float | None = None
 ) -> DataFrame:
     """All grid cells around every epicentre with their unrounded probability, row by row.
 
-    Cells come from two explodes of an index range, so the work is spread with the events and
-    needs no shuffle; soil classes join by grid cell.
+    Cells come from two explodes of an index range.  An event is some ten thousand cells, so the
+    narrow event rows are dealt over the shuffle partitions first.  ``above`` drops cells whose
+    probability is not above it, most of them before soil classes are looked up: no class more than
+    doubles the probability.
     """
     n = round(2 * half / res) + 1
     steps = F.sequence(F.lit(0), F.lit(n - 1))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grid = events.select(
-        F.col("id").alias("event_id"), "magnitude", "depth",
-        F.col("lat").alias("_y"), F.col("lng").alias("_x"), F.explode(steps).alias("_i"),
-    ).withColumn("_j", F.explode(steps))
+        F.col("id").alias("event_id"), "magnitude", "depth", F.col("lat").alias("_y"), F.col("lng").alias("_x")
+    ).repartition(parts, "event_id").withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
     placed = grid.withColumns(
         {
             "cell": F.col("_i") * n + F.col("_j"),
@@ -54,20 +46,24 @@ def damage_cells(
             "lng": F.col("_x") - half + F.col("_j") * F.lit(res),
         }
     )
+    km = geo.planar_km(F.col("lat") - F.col("_y"), F.col("lng") - F.col("_x"), F.col("_y"))
+    pga = geo.gmpe_pga(F.col("magnitude"), F.col("depth"), km)
+    if above is not None:
+        most = F.lit(max(geo.LIQUEFACTION_FACTOR.values()))
+        placed = placed.filter(geo.damage_probability(pga) * most > above)
     if polygons is None:
         soil = placed.withColumn("liquefaction_class", F.lit("low"))
     else:
-        soil = jn.liquefaction_lookup(placed, polygons)
-    km = geo.planar_km(F.col("lat") - F.col("_y"), F.col("lng") - F.col("_x"), F.col("_y"))
-    pga = geo.gmpe_pga(F.col("magnitude"), F.col("depth"), km)
-    return soil.withColumn(
+        soil = jn.liquefaction_lookup(placed, polygons, key=["event_id", "cell"])
+    cells = soil.withColumn(
         "damage_probability", geo.damage_probability(pga, F.col("liquefaction_class"))
     ).select("event_id", "cell", "lat", "lng", "damage_probability", "liquefaction_class")
+    return cells if above is None else cells.filter(F.col("damage_probability") > above)
 
 
 def damage_grid(events: DataFrame, res: float = 0.01, half: float = 0.5, polygons: DataFrame | None = None) -> DataFrame:
     """Cells above the damage floor (tested before rounding), as stored."""
-    cells = damage_cells(events, res, half, polygons).filter(F.col("damage_probability") > geo.DAMAGE_FLOOR)
+    cells = damage_cells(events, res, half, polygons, geo.DAMAGE_FLOOR)
     return cells.select(
         "event_id",
         "cell",
@@ -80,58 +76,6 @@ def damage_grid(events: DataFrame, res: float = 0.01, half: float = 0.5, polygon
     )
 
 
-# Hex digits of one number: 13 digits are 52 bits, four numbers fit a SHA-256.
-_DIGITS, _PER_HASH = 13, 4
-
-
-def _hashes(seed: str, *key: str, numbers: int) -> list[Column]:
-    """Hashes of the row's key, enough for ``numbers`` uniform numbers."""
-    return [
-        F.sha2(F.concat_ws(":", F.lit(f"{seed}-{i}"), *[F.col(k).cast("string") for k in key]), 256)
-        for i in range(-(-numbers // _PER_HASH))
-    ]
-
-
-def _uniform(hashes: list[Column], i: int) -> Column:
-    """The ``i``-th number in (0, 1] that the hashes hold."""
-    digits = F.substring(hashes[i // _PER_HASH], 1 + _DIGITS * (i % _PER_HASH), _DIGITS)
-    return (F.conv(digits, 16, 10).cast("bigint") + 1) / F.lit(float(16**_DIGITS))
-
-
-def _normal(hashes: list[Column], i: int) -> Column:
-    """Standard normal number by the Box-Muller transform of numbers ``i`` and ``i + 1``."""
-    radius = F.sqrt(-2.0 * F.log(_uniform(hashes, i)))
-    return radius * F.cos(2.0 * math.pi * _uniform(hashes, i + 1))
-
-
-def landing_steps(height: Column) -> Column:
-    """Steps until a particle is down: height above -100 m shrinks by the drag every step."""
-    floor = SINK / DRAG
-    return F.ceil(F.log((height + floor) / floor) / -math.log(1 - DRAG))
-
-
-def ember_points(hotspots: DataFrame, particles: int = PARTICLES, seed: str = "0") -> DataFrame:
-    """Landed particles of every hotspot (``id, lat, lng, frp, speed_ms, direction_deg``).
-
-    Random numbers are hashes of seed, hotspot and particle: the same on every run and task.
-    """
-    flying = hotspots.withColumn("_p", F.explode(F.sequence(F.lit(1), F.lit(particles))))
-    made = _hashes(seed, "id", "_p", numbers=8)
-    held = [F.col(f"_h{i}") for i in range(len(made))]
-    flying = flying.withColumns({f"_h{i}": h for i, h in enumerate(made)})
-    loft = F.col("frp") * LOFT_PER_FRP + LOFT_SPREAD * _normal(held, 0)
-    height = F.least(F.greatest(loft, F.lit(LOFT_MIN)), F.lit(LOFT_MAX))
-    start = lambda axis, i: F.col(axis) + START_JITTER * (2 * _uniform(held, i) - 1)
-    launched = flying.withColumns({"_n": landing_steps(height), "_y": start("lat", 2), "_x": start("lng", 3)})
-    wind = (F.col("speed_ms"), F.col("direction_deg"))
-    noise = lambda i: STEP_NOISE * F.sqrt("_n") * _normal(held, i)
-    north = F.col("_n") * geo.wind_north(*wind) / METRES_PER_DEGREE + noise(4)
-    east = F.col("_n") * geo.wind_east(*wind) / (METRES_PER_DEGREE * F.cos(F.radians("_y"))) + noise(6)
-    return launched.select(
-        F.col("id").alias("hotspot_id"), (F.col("_y") + north).alias("lat"), (F.col("_x") + east).alias("lng")
-    )
-
-
 def ember_density(points: DataFrame, keys: list[str] = (), res: float = 0.01) -> DataFrame:
     """Landed points per cell, and their share of the fullest cell of the run (``keys``)."""
     keys = list(keys)
@@ -154,10 +98,9 @@ def ember_density(points: DataFrame, keys: list[str] = (), res: float = 0.01) ->
     )
 
 
-def hotspot_zones(rows: DataFrame, wind: DataFrame, run_id: str, res: float = 0.01, **options) -> DataFrame:
-    """Feed rows to ember zones of one run: parse, add wind, land particles, count cells."""
-    flown = ember_points(jn.hotspot_wind(spread(parse_firms(rows)), wind), **options)
-    cells = ember_density(flown, res=res)
+def hotspot_zones(rows: DataFrame, run_id: str, res: float = 0.01) -> DataFrame:
+    """Feed rows to ember zones of one run: parse, then count the detections of every cell."""
+    cells = ember_density(parse_firms(rows), res=res)
     zone = F.concat_ws("_", F.lit("EMBER"), F.lit(run_id), F.format_string("%.4f", "lat"), F.format_string("%.4f", "lng"))
     return cells.select(
         zone.alias("id"), "lat", "lng", F.col("density").alias("probability"), "particle_count",
@@ -166,17 +109,18 @@ def hotspot_zones(rows: DataFrame, wind: DataFrame, run_id: str, res: float = 0.
 
 
 def dispatch_actions(
-    events: DataFrame, zones: DataFrame, ember: DataFrame, crews: DataFrame, statuses=("available", "standby")
+    events: DataFrame, zones: DataFrame, ember: DataFrame, crews: DataFrame, statuses=("available", "standby"),
+    *, damage_zones: int = 3, ember_zones: int = 2,
 ) -> DataFrame:
     """Per event: the first high-damage zones, then the newest ember zones, take the nearest free crew.
 
-    At most five zones per event compete, so the five nearest crews of a zone are all that can
-    matter to it; the choice is then a fold over five short lists.
+    The numbers of zones are the rule's.  As many nearest crews of a zone are all that can matter to
+    it; the choice is then a fold over short lists.
     """
-    k = DAMAGE_ZONES + EMBER_ZONES
+    k = damage_zones + ember_zones
     free = crews.filter(F.col("status").isin(*statuses)).select(F.col("crew_identifier").alias("id"), "lat", "lng")
     offer = F.array_sort(F.collect_list(F.struct(F.col("km"), F.col("target_id").alias("crew"))))
-    first = settle(top_n(jn.high_damage(zones), ["event_id"], [F.col("cell")], DAMAGE_ZONES), "dispatch")
+    first = settle(top_n(jn.high_damage(zones), ["event_id"], [F.col("cell")], damage_zones), "dispatch")
     near = jn.nearest(first.select("id", "lat", "lng"), free, k).groupBy("id").agg(offer.alias("crews"))
     wanted = first.join(near, "id").select(
         "event_id",
@@ -187,12 +131,12 @@ def dispatch_actions(
     per_event = wanted.groupBy("event_id").agg(F.array_sort(F.collect_list("z")).alias("_zones"))
     kind = per_event.schema["_zones"].dataType
 
-    newest = ember.orderBy(F.col("seq").desc()).limit(EMBER_ZONES).select("seq", "id", "lat", "lng", "probability")
+    newest = ember.orderBy(F.col("seq").desc()).limit(ember_zones).select("seq", "id", "lat", "lng", "probability")
     embers = (
         newest.join(jn.nearest(newest.select("id", "lat", "lng"), free, k).groupBy("id").agg(offer.alias("crews")), "id")
         .select((-F.col("seq")).cast("int").alias("cell"), F.col("id").alias("zone_id"),
                 F.col("probability").alias("p"), F.lit("ember").alias("kind"), "crews")
-        .orderBy("cell").collect()  # two rows, the same for every event
+        .orderBy("cell").collect()  # ember_zones rows, the same for every event
     )
     shared = F.from_json(F.lit("[" + ",".join(_as_json(r) for r in embers) + "]"), kind)
     queue = F.concat(F.coalesce("_zones", F.array().cast(kind)), shared)
@@ -228,70 +172,99 @@ def _as_json(row) -> str:
     return json.dumps(row.asDict(recursive=True))
 
 
-def assign_once(zones: DataFrame, crews: DataFrame) -> DataFrame:
-    """Zones by falling probability take their nearest crew that is still free.
+def assign_in_order(zones: DataFrame, crews: DataFrame, batch: int = 4096, offers: int = 32) -> DataFrame:
+    """Zones by falling probability (then id) take their nearest crew that is still free.
 
-    ``zones`` is one batch, small by rule; with n zones, n nearest crews of each are enough.
+    Each choice depends on the ones before, so zones go in batches of ``batch``, each with the
+    ``offers`` nearest crews still free of each zone.  A zone all of whose offers were taken within
+    its batch ends it there; it opens the next one, so the result does not depend on either number.
+    One batch is in a task at a time, never all zones.
     """
-    n = zones.count()
-    if n == 0:
-        return zones.select(F.col("id").alias("zone_id"), F.col("id").alias("crew_id"), "probability")
-    offers = jn.nearest(zones.select("id", "lat", "lng"), crews, n).join(zones.select("id", "probability"), "id")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        order = pdf.sort_values(["probability", "id", "km", "target_id"], ascending=[False, True, True, True])
-        for (p, zone), near in order.groupby(["probability", "id"], sort=False):
-            crew = next((c for c in near["target_id"] if c not in used), None)
-            if crew is not None:
+    left = settle(zones.select("id", "lat", "lng", "probability"), "to-assign")
+    free, done = crews.select("id", "lat", "lng"), []
+    schema = "zone_id string, crew_id string, probability double"
+    order = [F.col("probability").desc(), F.col("id")]
+    while True:
+        some = settle(left.orderBy(*order).limit(batch), "batch")
+        if some.isEmpty() or free.isEmpty():
+            break
+        near = jn.nearest(some.select("id", "lat", "lng"), free, offers)
+        wanted = some.join(near, "id").groupBy("id", "probability").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct(geo.decimals(F.col("km"), 9), "target_id"))), lambda c: c["target_id"]).alias("crews")
+        )
+
+        def take(pdf: pd.DataFrame) -> pd.DataFrame:
+            used, rows = set(), []
+            for zone, p, crews in pdf.sort_values(["probability", "id"], ascending=[False, True])[["id", "probability", "crews"]].itertuples(index=False):
+                crew = next((c for c in crews if c not in used), None)
+                if crew is None and len(crews) == offers:
+                    break  # there may be more crews than it was offered
                 used.add(crew)
                 rows.append((zone, crew, p))
-        return pd.DataFrame(rows, columns=["zone_id", "crew_id", "probability"])
+            return pd.DataFrame(rows, columns=["zone_id", "crew_id", "probability"])
 
-    one_batch = offers.withColumn("_batch", F.lit("all")).groupBy("_batch")
-    return one_batch.applyInPandas(greedy, "zone_id string, crew_id string, probability double")
+        one = wanted.withColumn("_batch", F.lit(0)).groupBy("_batch").applyInPandas(take, schema)
+        done.append(settle(one, "assigned"))
+        left = left.join(done[-1].select(F.col("zone_id").alias("id")), "id", "left_anti")
+        free = free.join(done[-1].select(F.col("crew_id").alias("id")), "id", "left_anti")
+        left, free = settle(left, "to-assign"), settle(free, "free")
+    nothing = zones.select(F.col("id").alias("zone_id"), F.lit(None).cast("string").alias("crew_id"), "probability").limit(0)
+    return reduce(DataFrame.unionByName, done, nothing).filter(F.col("crew_id").isNotNull())
 
 
 def rule_actions(
     ember: DataFrame, zones: DataFrame, crews: DataFrame, shelters: DataFrame, hospitals: DataFrame,
-    routes: DataFrame, *, reach_km: float = REACH_KM, batch: int = EMBER_BATCH, res: float = 0.01,
+    routes: DataFrame, *, reach_km: float = REACH_KM, res: float = 0.01,
 ) -> DataFrame:
-    """All rules over one batch: ember dispatch, facility and route alerts, repositioning.
+    """All rules over all zones: ember dispatch, facility and route alerts, repositioning.
 
-    ``batch`` is the number of newest ember zones a planning call looks at.  ``reach_km`` stands
-    for a quarter of an hour of travel.
+    ``reach_km`` stands for a quarter of an hour of travel.  Every action says why.
     """
-    risky = settle(wn.newest(ember, "seq", "id", batch).filter(F.col("probability") > EMBER_RISK), "ember")
+    risky = settle(ember.filter(F.col("probability") > EMBER_RISK), "ember")
     assigned = crews.filter(F.col("assigned_zone_id").isNotNull()).select(F.col("assigned_zone_id").alias("id"))
     everyone = crews.select(F.col("crew_identifier").alias("id"), "lat", "lng")
     close = jn.nearest(risky.select("id", "lat", "lng"), everyone).filter(F.col("km") <= reach_km).select("id")
     uncovered = risky.join(assigned, "id", "left_anti").join(close, "id", "left_anti")
     standby = crews.filter(F.col("status") == "standby").select(F.col("crew_identifier").alias("id"), "lat", "lng")
-    dispatch = assign_once(settle(uncovered, "uncovered"), standby).select(
+    dispatch = assign_in_order(uncovered, standby).select(
         F.lit("dispatch").alias("action_type"), F.col("crew_id").alias("resource_id"), "zone_id",
         F.col("probability").alias("confidence"), F.lit("immediate").alias("time_sensitivity"),
+        rationale_text(F.col("crew_id"), "ember", F.col("probability")).alias("rationale"),
     )
     reposition = jn.crew_in_zone(crews, zones, res).select(
         F.lit("reposition").alias("action_type"), F.col("crew_id").alias("resource_id"), "zone_id",
         F.lit(REPOSITION_CONFIDENCE).alias("confidence"), F.lit("medium").alias("time_sensitivity"),
+        F.format_string("Move %s out of high-damage zone %s", "crew_id", "zone_id").alias("rationale"),
     )
-    alerts = jn.zone_facility_alerts(zones, [shelters, hospitals])
-    return wn.action_priority(
-        wn.action_union(dispatch, alerts, jn.zone_route_alerts(zones, routes), reposition)
-    )
+    alerts = jn.zone_facility_alerts(zones, [shelters, hospitals]).unionByName(jn.zone_route_alerts(zones, routes))
+    percent = F.bround(F.col("confidence") * 100).cast("int")
+    reason = F.format_string("Alert %s in high-damage zone %s (prob %d%%)", F.col("resource_id"), F.col("zone_id"), percent)
+    return wn.action_priority(wn.action_union(dispatch, alerts.withColumn("rationale", reason), reposition))
 
 
 def seismic_actions(
     feed: DataFrame, seen: DataFrame, polygons: DataFrame | None, ember: DataFrame, crews: DataFrame,
-    *, res: float = 0.01, at: Column | None = None,
+    *, res: float = 0.01, at: Column | None = None, recent: DataFrame | None = None, seconds: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
-    """Feed documents to damage cells and dispatch actions of events not seen before."""
+    """Feed documents to damage cells and dispatch actions of events not seen before.
+
+    With ``recent`` (logged actions: ``action_type, resource_id, created_at``) actions made ``at``
+    are those to append to the log: none whose type and resource the log has in the seconds before,
+    and of several for one resource the first (by event, then zone).
+    """
     new = wn.unseen_events(parse_usgs(feed, complete=False), seen).filter(
         F.col("magnitude").isNotNull() & F.col("lat").isNotNull()
     )
     cells = damage_grid(new, res, polygons=polygons)
     actions = dispatch_actions(new, cells, ember, crews)
-    return cells, actions.withColumn("created_at", at) if at is not None else actions
+    if at is not None:
+        actions = actions.withColumn("created_at", at)
+    if recent is not None:
+        rest = [c for c in actions.columns if c not in ("action_type", "resource_id")]
+        first = F.min(F.struct("event_id", "zone_id", *[c for c in rest if c not in ("event_id", "zone_id")])).alias("r")
+        once = actions.groupBy("action_type", "resource_id").agg(first).select("action_type", "resource_id", "r.*")
+        actions = jn.recent_action_antijoin(once.select(actions.columns), recent, seconds)
+    return cells, actions
 
 
 def agent_payload(sections: dict[str, DataFrame], limit: int = 50_000) -> DataFrame:
@@ -306,9 +279,10 @@ def agent_payload(sections: dict[str, DataFrame], limit: int = 50_000) -> DataFr
         return df.select("event_id", F.lit(name).alias("_s"), body.alias("_r"))
 
     every = reduce(DataFrame.unionByName, [records(s) for s in SECTIONS if s in sections])
-    largest = every.groupBy("event_id").count().agg(F.max("count")).first()[0] or 0
-    parts = max(1, -(-largest // limit))
-    part = F.pmod(F.xxhash64("_s", "_r"), F.lit(parts)).cast("int")
+    # Each event's own number of records decides its parts.
+    sizes = every.groupBy("event_id").agg(F.ceil(F.count("*") / limit).alias("_parts"))
+    every = every.join(sizes, "event_id")
+    part = F.pmod(F.xxhash64("_s", "_r"), F.col("_parts")).cast("int")
     held = lambda s: F.array_join(F.array_sort(F.collect_list(F.when(F.col("_s") == s, F.col("_r")))), ",")
     grouped = every.groupBy("event_id", part.alias("part")).agg(*[held(s).alias(s) for s in SECTIONS])
     pieces = []

@@ -1,5 +1,8 @@
 """Damage grid, ember particles and dispatch against small Python models."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,40 +21,19 @@ def test_replay_grid(spark):
     assert (middle["lat"], middle["lng"], middle["grid_cell_id"]) == (34.213, -118.537, "CELL_5100")
 
 
-def test_grid_needs_no_shuffle(spark):
-    plan = hz.damage_cells(spark.createDataFrame(REPLAY * 100, EVENT).repartition(8))
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange") == 1  # the repartition of the input
-
-
-def test_landing_steps(spark):
-    df = spark.createDataFrame([(float(h),) for h in (1, 5, 30, 77.7, 150, 200)], "h double")
-    for r in df.select("h", hz.landing_steps(F.col("h")).alias("n")).collect():
-        h, n = r["h"], 0
-        while h > 0:
-            h, n = h - (5.0 + h * 0.05), n + 1
-        assert r["n"] == n <= 30
+def test_grid_shuffles_events_only(spark):
+    events = spark.createDataFrame(REPLAY * 100, EVENT)
+    plan = hz.damage_cells(events)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan  # the event rows, before the cells
+    whole = hz.damage_cells(events.limit(1)).filter("damage_probability > 0.1")
+    assert hz.damage_cells(events.limit(1), above=0.1).exceptAll(whole).count() == 0 < whole.count()
 
 
-def test_ember_points(spark):
-    spot = spark.createDataFrame([("h1", 34.0, -118.0, 50.0, 10.0, 270.0)],
-                                 "id string, lat double, lng double, frp double, speed_ms double, direction_deg double")
-    a = hz.ember_points(spot).toPandas()
-    b = hz.ember_points(spot.repartition(3)).toPandas()
-    assert len(a) == 200 and a.sort_values("lng").lng.tolist() == b.sort_values("lng").lng.tolist()
-    # Wind from the west carries particles east and hardly north.
-    assert a.lng.mean() > -117.9995 and abs(a.lat.mean() - 34.0) < 0.0003
-    cells = hz.ember_density(hz.ember_points(spot)).toPandas()
-    assert cells.particle_count.sum() == 200 and cells.density.max() == 1.0 and (cells.density > 0).all()
-
-
-def test_uniform_and_normal(spark):
-    held = hz._hashes("a", "id", numbers=3)
-    r = spark.range(20_000).select(hz._uniform(held, 2).alias("u"), hz._normal(held, 0).alias("z")).agg(
-        F.avg("u"), F.min("u"), F.max("u"), F.avg("z"), F.stddev("z")
-    ).first()
-    assert r[0] == pytest.approx(0.5, abs=0.01) and 0 < r[1] and r[2] <= 1
-    assert r[3] == pytest.approx(0, abs=0.03) and r[4] == pytest.approx(1, abs=0.03)
+def test_hotspot_zones_count_detections(spark):
+    rows = spark.createDataFrame([("a", "34.001", "-118.001", "50.0", "h"), ("b", "34.002", "-118.002", "5.0", "h"), ("c", "34.2", "-118.0", "9.0", "h"),
+                                  ("d", "34.2", "-118.0", "9.0", "l")], "id string, latitude string, longitude string, frp string, confidence string")
+    got = {r["id"]: (r["particle_count"], r["probability"]) for r in hz.hotspot_zones(rows, "r").collect()}
+    assert got == {"EMBER_r_34.0000_-118.0100": (2, 1.0), "EMBER_r_34.2000_-118.0000": (1, 0.5)}
 
 
 ZONES = [("e1", 3, "z3", 34.0, -118.0, 0.95), ("e1", 5, "z5", 34.0, -118.001, 0.855), ("e1", 9, "z9", 34.5, -118.5, 0.75),
@@ -76,15 +58,28 @@ def test_dispatch(spark):
     assert (got["e1", "z5"]["confidence"], got["e2", "m2"]["time_sensitivity"]) == (0.86, "high")
 
 
-def test_assign_once(spark):
-    zones = spark.createDataFrame([("a", 0.0, 0.0, 0.7), ("b", 0.0, 0.01, 0.9), ("c", 0.0, 0.02, 0.8)], "id string, lat double, lng double, probability double")
-    crews = spark.createDataFrame([("x", 0.0, 0.011), ("y", 0.0, 0.05)], "id string, lat double, lng double")
-    got = {r["zone_id"]: r["crew_id"] for r in hz.assign_once(zones, crews).collect()}
-    assert got == {"b": "x", "c": "y"}
-    assert hz.assign_once(zones.limit(0), crews).count() == 0
+@pytest.mark.parametrize("batch, offers", [(4096, 32), (3, 2), (5, 1), (40, 3)])
+def test_assign_in_order(spark, batch, offers):
+    rnd = random.Random(4)
+    zones = [(f"z{i:02}", rnd.random(), rnd.random(), rnd.choice([0.7, 0.8, 0.9])) for i in range(25)]
+    crews = [(f"c{i:02}", rnd.random(), rnd.random()) for i in range(18)]
+    z = spark.createDataFrame(zones, "id string, lat double, lng double, probability double")
+    c = spark.createDataFrame(crews, "id string, lat double, lng double")
+    free, want = dict((k, (y, x)) for k, y, x in crews), {}
+    for name, y, x, _ in sorted(zones, key=lambda z: (-z[3], z[0])):
+        if free:
+            want[name] = min(free, key=lambda k: haversine(y, x, *free[k]))
+            del free[want[name]]
+    assert {r["zone_id"]: r["crew_id"] for r in hz.assign_in_order(z, c, batch, offers).collect()} == want
+    assert hz.assign_in_order(z.limit(0), c).count() == hz.assign_in_order(z, c.limit(0)).count() == 0
+
 
+def haversine(a, b, c, d):
+    a, b, c, d = map(math.radians, (a, b, c, d))
+    return math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
 
-def test_polygons_many_and_few(spark, monkeypatch):
+
+def test_polygons(spark):
     ring = lambda x, y, d: [(x, y), (x + d, y), (x + d, y + d), (x, y + d), (x, y)]
     polys = spark.createDataFrame(
         [(2, "High", ring(0.0, 0.0, 2.0)), (1, "LOW", ring(1.0, 1.0, 2.0)), (3, "none", ring(5.0, 5.0, 0.3))],
@@ -93,8 +88,6 @@ def test_polygons_many_and_few(spark, monkeypatch):
     points = spark.createDataFrame([("a", 0.5, 0.5), ("b", 1.5, 1.5), ("c", 9.0, 9.0), ("d", 5.1, 5.1), ("e", 2.5, 2.5)], "id string, lat double, lng double")
     want = {"a": "high", "b": "low", "c": "moderate", "d": "none", "e": "low"}
     assert {r[0]: r["liquefaction_class"] for r in jn.liquefaction_lookup(points, polys, "moderate").collect()} == want
-    monkeypatch.setattr(jn, "SMALL_POLYGONS", 1)
-    assert {r["id"]: r["liquefaction_class"] for r in jn.liquefaction_lookup(points, polys, "moderate").collect()} == want
 
 
 def test_payload_parts_hold_all_records(spark):
@@ -107,6 +100,9 @@ def test_payload_parts_hold_all_records(spark):
     ids = lambda rs: sorted(z["id"] for r in rs for z in json.loads(r["payload"])["damage_zones"])
     assert ids(whole) == ids(cut) and len(ids(cut)) == 50
     assert set(json.loads(whole[0]["payload"])) == set(hz.SECTIONS)
+    small = spark.range(4).selectExpr("'e2' as event_id", "concat('y', id) as id")
+    both = hz.agent_payload({"damage_zones": rows.union(small)}, limit=10).collect()
+    assert sum(r["event_id"] == "e2" for r in both) == 1 and sum(r["event_id"] == "e1" for r in both) > 1
 
 
 def test_seismic_actions_skip_seen(spark):
@@ -122,3 +118,16 @@ def test_seismic_actions_skip_seen(spark):
     assert {r[0] for r in cells.select("event_id").distinct().collect()} == {"a"}
     assert actions.filter("event_id = 'a'").count() == 3 == actions.count()
     assert actions.filter("confidence > 0.7 and time_sensitivity = 'immediate'").count() == 3
+
+
+def test_seismic_actions_wait_ten_seconds(spark):
+    feed = spark.createDataFrame([('{"features":[' + ",".join(
+        f'{{"id":"{k}","properties":{{"mag":7.5}},"geometry":{{"coordinates":[-118.0,34.0,5.0]}}}}' for k in "ab") + "]}",)], "value string")
+    crews = spark.createDataFrame(CREWS, "crew_identifier string, lat double, lng double, status string")
+    ember = spark.createDataFrame(EMBER, "seq bigint, id string, lat double, lng double, probability double")
+    seen = spark.createDataFrame([], "id string")
+    log = spark.createDataFrame([("dispatch", "c1", 95_000), ("dispatch", "c2", 89_000)], "action_type string, resource_id string, created_at bigint")
+    at = F.lit(100_000).cast("bigint")
+    _, made = hz.seismic_actions(feed, seen, None, ember, crews, res=0.05, at=at, recent=log)
+    got = sorted((r["event_id"], r["resource_id"], r["created_at"]) for r in made.collect())
+    assert got == [("a", "c2", 100_000), ("a", "c4", 100_000)]  # c1 acted 5 seconds ago; b repeats a
