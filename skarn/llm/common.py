@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from skarn.session import scratch_dir
@@ -23,3 +26,16 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what a worker holds as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def by_slices(fn, *columns: pa.Array, rows: int = 512) -> pa.Array:
+    """``fn`` of a few values of each column at a time; gives one column."""
+    parts = [fn(*(c.slice(at, rows) for c in columns)) for at in range(0, max(1, len(columns[0])), rows)]
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)

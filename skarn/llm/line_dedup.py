@@ -27,12 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StringType
 
-from skarn.llm.common import table, written
+from skarn.llm.common import by_slices, slices, table, written
 
 #: Words of the shortest line that takes part.
 LEAST_WORDS = 8
@@ -88,13 +87,16 @@ def variant_keys(words: list[bytes]) -> np.ndarray:
     return (keys ^ keys >> np.uint64(31)).view(np.int64)
 
 
-@F.pandas_udf(BinaryType())
-def _pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _pressed(texts: pa.Array) -> pa.Array:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3)
-    for texts in batches:
-        yield pd.Series([press.compress(t.encode()) if isinstance(t, str) else None for t in texts], dtype=object)
+    return pa.array([None if t is None else press.compress(t.encode()) for t in texts.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def _pack(texts: pa.Array) -> pa.Array:
+    return by_slices(_pressed, texts)
 
 
 def _unpacked(blob: bytes | None) -> bytes:
@@ -103,28 +105,32 @@ def _unpacked(blob: bytes | None) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob) if blob is not None else b""
 
 
-@F.pandas_udf(StringType())
-def _without(blobs: pd.Series, dropped: pd.Series) -> pd.Series:
-    out = []
-    for blob, places in zip(blobs, dropped):
-        if blob is None or places is None or not len(places):
-            out.append(None if blob is None else _unpacked(blob).decode())
-            continue
-        gone = set(places)
-        out.append(b"\n".join([x for k, x in enumerate(_unpacked(blob).split(b"\n")) if k not in gone]).decode())
-    return pd.Series(out, dtype=object)
+def _left(blobs: pa.Array, dropped: pa.Array) -> pa.Array:
+    out: list[bytes | None] = []
+    for blob, places in zip(blobs.to_pylist(), dropped.to_pylist()):
+        text = None if blob is None else _unpacked(blob)
+        if text is not None and places:
+            gone = set(places)
+            text = b"\n".join([x for k, x in enumerate(text.split(b"\n")) if k not in gone])
+        out.append(text)
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
+@F.arrow_udf(StringType())
+def _without(blobs: pa.Array, dropped: pa.Array) -> pa.Array:
+    return by_slices(_left, blobs, dropped)
 
 
-@F.pandas_udf(BooleanType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([one_edit(x.split(), y.split()) for x, y in zip(a, b)], dtype=bool)
+@F.arrow_udf(BooleanType())
+def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([one_edit(x.split(), y.split()) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
 
 def _places(rows: DataFrame) -> DataFrame:
     """``key, at, line, halves``: every line that takes part, as hashes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             who, at, line, halves = [], [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 for place, x in enumerate((text or "").encode().split(b"\n")):
@@ -146,7 +152,7 @@ def _neighbourhoods(texts: DataFrame) -> DataFrame:
     """Rows (packed, lines: at, line, first) -> ``line, first, words, variants`` of those lines."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             line, first, words, variants = [], [], [], []
             for blob, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 lines = _unpacked(blob).split(b"\n")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from skarn.llm.common import table, written
+from skarn.llm.common import slices, table, written
 from skarn.llm.vocab import default_path, encoder
 
 #: Pieces of a shard, populations of a shard, packings of a population, and crossovers in an epoch.
@@ -222,7 +222,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, row = encoder(path), TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in slices(batches, 2048):
             out: list[list[int]] = [[], [], [], [], [], []]
             for k, ids in enumerate(coder.batch(b.column(1).to_pylist())):
                 ids = np.append(ids, coder.kind.type(end_id)).astype("<u4")
