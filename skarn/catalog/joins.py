@@ -203,15 +203,28 @@ def _(v):
 
 @query(
     "lineage_forward",
-    """SELECT model_id, count(DISTINCT u.version_id) AS versions, count(DISTINCT u.run_id) AS runs, 'f-5' AS raw_file,
-              (SELECT count(*) FROM corpus WHERE file_path = 'f-5') AS documents
-       FROM registry g JOIN version_runs u ON g.version_id = u.version_id JOIN runs r ON u.run_id = r.run_id
-       WHERE table_name = 'bronze.raw_text_corpus' GROUP BY model_id""",
+    """WITH d AS (SELECT document_id FROM corpus WHERE file_path = 'f-5'),
+       g AS (SELECT version_id FROM registry WHERE table_name = 'bronze.raw_text_corpus'),
+       u AS (SELECT DISTINCT version_id, run_id FROM version_runs WHERE version_id IN (SELECT version_id FROM g))
+       SELECT 'document' AS kind, 'f-5' AS source, document_id AS target FROM d
+       UNION ALL SELECT 'table', document_id, 'bronze.raw_text_corpus' FROM d
+       UNION ALL SELECT 'version', 'bronze.raw_text_corpus', version_id FROM g
+       UNION ALL SELECT 'run', version_id, run_id FROM u
+       UNION ALL SELECT DISTINCT 'model', run_id, model_id FROM runs WHERE run_id IN (SELECT run_id FROM u)""",
 )
 def _(v):
     return op.lineage_forward(v.corpus, v.registry, v.version_runs, v.runs, "f-5", "bronze.raw_text_corpus")
 
 
+@query(
+    "version_offsets",
+    """SELECT version_id, partition, coalesce(arg_min("offset", (timestamp_ms, "offset")) FILTER (timestamp_ms >= created_ms), -1) AS "offset"
+       FROM registry, topic_log GROUP BY 1, 2""",
+)
+def _(v):
+    return op.version_offsets(v.registry, v.topic_log)
+
+
 @query(
     "lineage_backward",
     """WITH u AS (SELECT run_id, min(version_id) AS version_id FROM version_runs GROUP BY 1),

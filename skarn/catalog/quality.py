@@ -5,7 +5,7 @@ from __future__ import annotations
 from skarn.catalog.book import query
 from skarn.catalog.corpus import CLEAN, _clean
 from skarn.operators import quality as op
-from skarn.session import settle
+from skarn.session import scratch_dir, settle
 
 RUN_AT = "2024-01-31 00:00:00"
 AS_OF_MS = 1706659200000
@@ -79,3 +79,11 @@ one("expect_fresh", ("fresh", "timestamp_ms", "timestamp_ms < 1706600000000 - 60
 one("expect_row_count", ("row_count", None, "count(*) BETWEEN 1 AND 100"), op.row_count(1, 100), "telemetry", "SELECT * FROM telemetry")
 one("expect_unique", ("unique", "raw_text", None), op.unique("raw_text"), "corpus", "SELECT * FROM corpus")
 one("expect_in_set", ("in_set", "language", "language NOT IN ('en', 'fr')"), op.in_set("language", ["en", "fr"]), "corpus", "SELECT * FROM corpus")
+
+
+@query("run_suite", result_sql("bronze.gpu_telemetry", "SELECT * FROM telemetry", TELEMETRY_CHECKS))
+def _(v):
+    store = scratch_dir(v.spark, "suites")
+    for _ in range(2):  # a repeated run replaces its rows
+        op.run_suite(v.telemetry, op.gpu_telemetry_suite(AS_OF_MS), "bronze.gpu_telemetry", RUN_AT, store)
+    return v.spark.read.parquet(store).drop("of", "at")

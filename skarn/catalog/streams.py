@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from skarn.catalog.adapters import VIEWS, _SOURCES
 from skarn.catalog.book import query
-from skarn.catalog.corpus import NORM, SCORED
+from skarn.catalog.corpus import ADMITTED, NORM, SCORED, _clean
 from skarn.catalog.quality import AS_OF_MS, TELEMETRY_CHECKS, result_sql
 from skarn.catalog.sources import telemetry_json
 from skarn.catalog.telemetry import HOURLY, rounded
 from skarn.functions.fields import ts_of_ms
-from skarn.operators import quality as ql
+from skarn.operators import corpus as cp, quality as ql, registry as rg
 from skarn.session import scratch_dir
-from skarn.sources import tables as tb
+from skarn.sources import schemas, tables as tb
 from skarn.streaming import jobs, state
 
 
@@ -246,16 +246,72 @@ def _(v):
     return v.spark.read.csv(path, header=True, escape='"')
 
 
+@query(
+    "remove_expired",
+    "SELECT event_id, CAST(ts AS DATE) AS date FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 7",
+)
+def _(v):
+    path = scratch_dir(v.spark, "expire")
+    v.events.select("event_id", F.to_date("ts").alias("date")).write.partitionBy("date").parquet(path)
+    tb.remove_expired(v.spark, path, "date", 7, "2024-01-31")
+    return v.spark.read.parquet(path)
+
+
+@query(
+    "create_tables",
+    """SELECT node_id, device_id, timestamp_ms, count(*) AS n FROM (SELECT node_id, device_id, timestamp_ms FROM telemetry) GROUP BY 1, 2, 3""",
+)
+def _(v):
+    # Rows go into the declared table by its own schema and partitions and come back.
+    base = scratch_dir(v.spark, "lake-tables")
+    declared = next(t for t in schemas.TABLES if t.name == "bronze.gpu_telemetry")
+    rows = tb.ingest_bronze(v.telemetry)
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in declared.schema if f.name not in rows.columns]
+    fitted = rows.select("*", *missing).select(*[F.col(f.name).cast(f.dataType) for f in declared.schema])
+    tb.write_clustered(fitted, f"{base}/bronze/gpu_telemetry", list(declared.partitions), ["node_id"])
+    stored = v.spark.read.schema(declared.schema).parquet(f"{base}/bronze/gpu_telemetry")
+    return stored.groupBy("node_id", "device_id", "timestamp_ms").agg(F.count("*").alias("n"))
+
+
+@query(
+    "event_log_append",
+    """SELECT source, count(*) || ' events' AS message, max(created_at) AS created_at FROM event_log GROUP BY 1""",
+)
+def _(v):
+    path = scratch_dir(v.spark, "log")
+    sums = v.event_log.groupBy("source").agg(F.count("*").alias("n"), F.max("created_at").alias("at"))
+    for r in sums.collect():  # a row per kind of event
+        rg.log_event(v.spark, path, r["source"], f"{r['n']} events", r["at"])
+    return v.spark.read.parquet(path).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query(
+    "publish_version",
+    f"""WITH a AS ({ADMITTED})
+        SELECT 'gold.training_dataset_v3' AS table_name, 3 AS snapshot_version, source, CAST(sum(token_count_estimate) AS BIGINT) AS tokens,
+               (SELECT count(*)::DOUBLE FROM a) AS documents, 'run-1,run-2' AS runs FROM a GROUP BY source""",
+)
+def _(v):
+    base = scratch_dir(v.spark, "registry")
+    version = rg.publish_version(cp.corpus_admit(_clean(v)), base, 3, "me", 8)
+    for run in ("run-1", "run-2"):
+        rg.mark_used(v.spark, base, version, run)
+    got = rg.get_version(v.spark, base, version)
+    stored = v.spark.read.parquet(f"{base}/versions").filter(F.col("version_id") == version)
+    return stored.select(
+        "table_name", "snapshot_version", F.explode("token_count_by_source").alias("source", "tokens"),
+        F.col("quality_metrics")["documents"].alias("documents"), F.lit(",".join(got["used_in_run_ids"])).alias("runs"),
+    )
+
+
 @query(
     "lake_training_dataset",
     f"SELECT count(*) AS documents, CAST(sum(token_count_estimate) AS BIGINT) AS tokens FROM ({SCORED}) WHERE NOT pii_detected",
 )
 def _(v):
-    from skarn.operators import corpus as cp, registry as rg
-    from skarn.operators.ordered import spread
 
     base = scratch_dir(v.spark, "lake")
-    rows = cp.score(cp.pii_flag(spread(v.corpus))).filter(~F.col("pii_detected"))
+    rows = cp.score(cp.pii_flag(v.corpus)).filter(~F.col("pii_detected"))
     path = rg.write_version(rows.select("document_id", "source", "token_count_estimate", "quality_tier"), base, 1, ["source", "quality_tier"])
     saved = v.spark.read.parquet(path)
     return saved.agg(F.count("*").alias("documents"), F.sum("token_count_estimate").cast("bigint").alias("tokens"))

@@ -242,7 +242,14 @@ scores AS (SELECT model_id, model_version, benchmark_name, avg(score) AS score,
 SELECT s.model_id, s.model_version, benchmark_name, round(score, 6) AS score, evaluated_at,
        round(error_rate, 6) AS error_rate, round(throughput_rps, 6) AS throughput_rps,
        round(p50, 6) AS p50_latency_ms, round(p95, 6) AS p95_latency_ms, round(p99, 6) AS p99_latency_ms
-FROM scores s LEFT JOIN serving i ON s.model_id = i.model_id AND s.model_version = i.model_version""",
+       , CAST(evaluated_at AS DATE) AS date, training_dataset_version, parameter_count
+FROM scores s LEFT JOIN serving i ON s.model_id = i.model_id AND s.model_version = i.model_version
+LEFT JOIN (SELECT model_id, max(version_id) AS training_dataset_version, max(max_steps)::BIGINT * 1000000 AS parameter_count
+           FROM runs r LEFT JOIN version_runs u ON r.run_id = u.run_id GROUP BY 1) m ON s.model_id = m.model_id""",
 )
 def _(v):
-    return rounded(op.model_performance_gold(v.evaluations, v.inference))
+    made = v.runs.join(v.version_runs.select("run_id", "version_id"), "run_id", "left").groupBy("model_id").agg(
+        F.max("version_id").alias("training_dataset_version"),
+        (F.max("max_steps").cast("bigint") * 1_000_000).alias("parameter_count"),
+    )
+    return rounded(op.model_performance_gold(v.evaluations, v.inference, made))

@@ -350,23 +350,25 @@ def batch_feature_get(ids: DataFrame, view: DataFrame, key: str) -> DataFrame:
 def lineage_forward(
     docs: DataFrame, registry: DataFrame, usage: DataFrame, runs: DataFrame, file_path: str, table: str
 ) -> DataFrame:
-    """From a file over its documents and the table's versions to runs and models.
+    """Edges from a file over its documents and the table's versions to runs and models.
 
-    One row per model: ``raw_file, documents, version_id, run_id, model_id``.  Documents are
-    counted, since every version of the table holds all of them.
+    ``kind, source, target``: file to document, document to table, table to version, version to run,
+    run to model.  Every id has its own row, and a table's documents are not paired with its versions,
+    so the result grows with the graph and not with its paths.
     """
-    held = docs.filter(F.col("file_path") == file_path).groupBy("file_path").agg(
-        F.count("*").alias("documents")
-    )
-    versions = (
-        registry.filter(F.col("table_name") == table)
-        .select("version_id").join(usage.select("version_id", "run_id"), "version_id")
-        .join(runs.select("run_id", "model_id"), "run_id")
-        .groupBy("model_id")
-        .agg(F.count_distinct("version_id").alias("versions"), F.count_distinct("run_id").alias("runs"))
-        .withColumn("file_path", F.lit(file_path))
-    )
-    return versions.join(held, "file_path").withColumnRenamed("file_path", "raw_file")
+    edge = lambda kind, source, target: [F.lit(kind).alias("kind"), source.alias("source"), target.alias("target")]
+    held = docs.filter(F.col("file_path") == file_path)
+    versions = registry.filter(F.col("table_name") == table).select("version_id")
+    used = usage.select("version_id", "run_id").join(versions, "version_id", "left_semi").distinct()
+    made = runs.select("run_id", "model_id").join(used.select("run_id"), "run_id", "left_semi").distinct()
+    parts = [
+        held.select(*edge("document", F.col("file_path"), F.col("document_id"))),
+        held.select(*edge("table", F.col("document_id"), F.lit(table))),
+        versions.select(*edge("version", F.lit(table), F.col("version_id"))),
+        used.select(*edge("run", F.col("version_id"), F.col("run_id"))),
+        made.select(*edge("model", F.col("run_id"), F.col("model_id"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def lineage_backward(
@@ -397,6 +399,20 @@ def lineage_backward(
     )
 
 
+def version_offsets(registry: DataFrame, log: DataFrame) -> DataFrame:
+    """``version_id, partition, offset``: per topic partition the first offset at or after a version's creation.
+
+    -1 where nothing follows.  Offsets rise with time inside a partition, so this is a forward as-of
+    join; the partitions of a topic, a handful of numbers, are the only rows that are collected.
+    """
+    partitions = [r[0] for r in log.select("partition").distinct().collect()]
+    every = F.explode(F.array(*map(F.lit, partitions)).cast(f"array<{log.schema['partition'].dataType.simpleString()}>"))
+    asked = registry.select("version_id", "created_ms", every.alias("partition"))
+    first = log.groupBy("partition", "timestamp_ms").agg(F.min("offset").alias("offset"))
+    found = asof_last(asked, first, ["partition"], "created_ms", "timestamp_ms", ["offset"], "_first", forward=True)
+    return found.select("version_id", "partition", F.coalesce("_first.offset", F.lit(-1).cast("bigint")).alias("offset"))
+
+
 def offsets_at_time(log: DataFrame, ts_ms: int) -> DataFrame:
     """Per partition the first offset at or after a time, -1 where there is none."""
     first = F.min(F.when(F.col("timestamp_ms") >= ts_ms, F.col("offset")))

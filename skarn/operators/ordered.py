@@ -18,19 +18,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 SLICE_ROWS = 4_000_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores where the scan has fewer splits than there are cores.
-
-    A small file with one row group is read by one task; this is for work that is heavy per row.
-    Tables with enough splits are left as they are.  Meant for scans: asking a plan with shuffles
-    for its partitions would run them.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def ordinal(df: DataFrame, col: str) -> Column:
     """Numeric position of an orderable column; timestamps become microseconds."""
     kind = df.schema[col].dataType
@@ -268,11 +255,14 @@ def summarise(
 def merge_by_key(keys: list[str], *parts: DataFrame) -> DataFrame:
     """Frames with one row per key and distinct columns, side by side (full outer).
 
-    A union and one aggregate: one shuffle however many parts, and none of them can multiply.
+    A union and one aggregate: one shuffle however many parts, and none of them can multiply.  Of a
+    part with several rows per key the highest whole row counts, never a mixture of them.
     """
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    values = [F.max(c).alias(c) for c in stacked.columns if c not in keys]
-    return stacked.groupBy(*keys).agg(*values)
+    own = [[c for c in p.columns if c not in keys] for p in parts]
+    rows = [p.select(*keys, F.struct(*cs).alias(f"_p{i}")) for i, (p, cs) in enumerate(zip(parts, own))]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    merged = stacked.groupBy(*keys).agg(*[F.max(f"_p{i}").alias(f"_p{i}") for i in range(len(parts))])
+    return merged.select(*keys, *[F.col(f"_p{i}.{c}").alias(c) for i, cs in enumerate(own) for c in cs])
 
 
 def _sliced_percentiles(

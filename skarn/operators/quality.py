@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -119,12 +120,16 @@ def _result(i: int, e: Expectation, suite: str, run_at: str) -> Column:
 def run_suite(
     df: DataFrame, suite: list[Expectation], name: str, run_at: str, store: str | None = None
 ) -> tuple[bool, str, DataFrame]:
-    """Run, append the result rows to ``store``, return pass or fail with a message."""
+    """Run, store the result rows below ``store``, return pass or fail with a message.
+
+    A run owns the folder of its suite and time, so running it again replaces its rows.
+    """
     results = validate(df, suite, name, run_at)
-    rows = results.collect()  # one row per expectation
-    kept = df.sparkSession.createDataFrame(rows, results.schema)
     if store:
-        kept.coalesce(1).write.mode("append").parquet(store)
+        place = f"{store}/of={quote(name, safe='')}/at={quote(run_at, safe='')}"
+        results.write.mode("overwrite").parquet(place)
+        results = df.sparkSession.read.schema(results.schema).parquet(place)
+    rows = results.collect()  # one row per expectation
     failed = [r for r in rows if not r["success"]]
     message = f"{name}: {len(failed)} of {len(rows)} expectations failed" if failed else f"{name}: passed"
-    return not failed, message, kept
+    return not failed, message, df.sparkSession.createDataFrame(rows, results.schema)

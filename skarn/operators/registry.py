@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skarn.operators.ordered import running_total
+from skarn.sources.tables import path_exists
 
 VERSIONS = (
     "version_id STRING, table_name STRING, snapshot_version BIGINT, "
@@ -40,7 +41,7 @@ def register_version(
     created_by: str,
     tokens: dict[str, int],
     metrics: dict[str, float],
-    snapshot_version: int = 0,
+    snapshot_version: int,
     created_at: datetime | None = None,
 ) -> str:
     version_id = str(uuid.uuid4())
@@ -60,16 +61,33 @@ def get_version(spark: SparkSession, base: str, version_id: str) -> dict:
     found = _read(spark, f"{base}/versions", VERSIONS).filter(F.col("version_id") == version_id).limit(1).collect()
     if not found:
         raise KeyError(f"no dataset version {version_id}")
-    try:
+    runs: list[str] = []
+    if path_exists(spark, f"{base}/usage"):  # else nothing is recorded yet
         usage = _read(spark, f"{base}/usage", USAGE).filter(F.col("version_id") == version_id)
-        runs = [r["run_id"] for r in usage.orderBy("used_at").select("run_id").collect()]
-    except Exception as exc:  # nothing recorded yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        runs = []
+        runs = [r["run_id"] for r in usage.orderBy("used_at", "run_id").select("run_id").toLocalIterator()]
     return {**found[0].asDict(), "used_in_run_ids": runs}
 
 
+def publish_version(
+    admitted: DataFrame, base: str, version: int, created_by: str, shards: int = 64, created_at: datetime | None = None
+) -> str:
+    """One call from admitted documents to a registered version: shard, write, sum up, register.
+
+    The version is written before its registry row, so a row never points at missing data; what the
+    row says is read from the written files.
+    """
+    from skarn.operators.corpus import shard_assign
+    from skarn.operators.telemetry import quality_metrics, tokens_by_source
+
+    path = write_version(shard_assign(admitted, shards), base, version, ["source", "quality_tier"])
+    saved = admitted.sparkSession.read.parquet(path)
+    tokens = {r["source"]: r["tokens"] for r in tokens_by_source(saved).collect()}  # a row per source
+    metrics = {r["metric"]: r["value"] for r in quality_metrics(saved).collect()}
+    return register_version(
+        admitted.sparkSession, base, f"gold.training_dataset_v{version}", created_by, tokens, metrics, version, created_at
+    )
+
+
 def usage_positions(usage: DataFrame, order: str, slice_rows: int | None = None) -> DataFrame:
     """Run ids per version with their place in the version's list, one row each.
 

@@ -274,8 +274,14 @@ def benchmark_regression(evaluations: DataFrame) -> DataFrame:
     return scores.withColumn("delta", F.col("score") - F.lag("score").over(before))
 
 
-def model_performance_gold(evaluations: DataFrame, inference: DataFrame, **options) -> DataFrame:
-    """Mean benchmark scores next to serving latency per model and version."""
+def model_performance_gold(
+    evaluations: DataFrame, inference: DataFrame, models: DataFrame | None = None, **options
+) -> DataFrame:
+    """Mean benchmark scores next to serving latency per model and version, with the day of evaluation.
+
+    ``models`` (``model_id, training_dataset_version, parameter_count``, a row per model) adds what the
+    model was made from.
+    """
     span = F.greatest(
         F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).cast("double"), F.lit(1.0)
     )
@@ -296,4 +302,7 @@ def model_performance_gold(evaluations: DataFrame, inference: DataFrame, **optio
     scores = evaluations.groupBy("model_id", "model_version", "benchmark_name").agg(
         F.avg("score").alias("score"), F.max("evaluated_at").alias("evaluated_at")
     )
-    return scores.join(serving, ["model_id", "model_version"], "left")
+    gold = scores.join(serving, ["model_id", "model_version"], "left").withColumn("date", F.to_date("evaluated_at"))
+    if models is None:
+        return gold
+    return gold.join(models.select("model_id", "training_dataset_version", "parameter_count"), "model_id", "left")

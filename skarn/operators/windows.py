@@ -127,12 +127,14 @@ def action_dedup(
 ) -> DataFrame:
     """Per key in time order: a row is kept if none was kept in the seconds before it.
 
-    Skipped rows do not extend the wait, so each decision depends on the one before.  Rows of one
+    Rows without a time wait for nothing and are kept.  Skipped rows do not extend the wait, so
+    each decision depends on the one before.  Rows of one
     instant are first reduced to their lowest id.  In slices, each one is summarised as "last time
     kept on entry -> last time kept on exit", the summaries are chained per key, and every slice
     then runs on its own from its entry.
     """
-    at = actions.select(*keys, ordinal(actions, ts).alias("_at"), F.col(row_id).alias("_id"))
+    timed = actions.filter(F.col(ts).isNotNull())
+    at = timed.select(*keys, ordinal(actions, ts).alias("_at"), F.col(row_id).alias("_id"))
     firsts = at.groupBy(*keys, "_at").agg(F.min("_id").alias("_id"))
     gap = seconds * (1000 if isinstance(actions.schema[ts].dataType, T.LongType) else 1_000_000)
     splits = slice_splits(at, "_at", slice_rows)
@@ -188,7 +190,8 @@ def action_dedup(
         summaries = cut.groupBy(*group).applyInPandas(summarise, summary_schema)
         entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema)
         kept = cut.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(replay, kept_schema)
-    return actions.join(kept.select(F.col("_id").alias(row_id)), row_id, "left_semi")
+    decided = timed.join(kept.select(F.col("_id").alias(row_id)), row_id, "left_semi").select(actions.columns)
+    return decided.unionByName(actions.filter(F.col(ts).isNull()))
 
 
 def delivery_health(
@@ -264,8 +267,7 @@ def action_priority(actions: DataFrame) -> DataFrame:
 
 def sparkline(telemetry: DataFrame, n: int = 20) -> DataFrame:
     """Mean utilisation of the last ``n`` timestamps."""
-    last = telemetry.select("ts").distinct().orderBy(F.col("ts").desc()).limit(n)
-    return telemetry.join(last, "ts").groupBy("ts").agg(F.avg("utilization_pct").alias("util"))
+    return telemetry.groupBy("ts").agg(F.avg("utilization_pct").alias("util")).orderBy(F.col("ts").desc()).limit(n)
 
 
 def table_page(df: DataFrame, key: str, tie: str, desc: bool = False, page: int = 0, size: int = 25) -> DataFrame:

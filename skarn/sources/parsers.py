@@ -100,7 +100,8 @@ def validate_records(
                 ~fits, F.concat(F.lit(f"{name}: expected {kind}, got "), got)
             )
         )
-    reason = F.when(F.col("_v").isNull(), "not a JSON object").otherwise(F.coalesce(*reasons))
+    no_object = F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT")
+    reason = F.when(no_object, "not a JSON object").otherwise(F.coalesce(*reasons))
     return doc.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()).drop("_v")
 
 

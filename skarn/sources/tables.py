@@ -69,26 +69,35 @@ def write_clustered(
     )
 
 
-def compact_table(spark: SparkSession, path: str, where: str, files: int, out: str | None = None) -> None:
-    """Rewrite the partitions that match ``where`` into about ``files`` files.
+def compact_table(
+    spark: SparkSession, path: str, where: str, files: int, out: str | None = None, keys: list[str] = ()
+) -> None:
+    """Rewrite the partitions that match ``where`` into about ``files`` files, clustered by ``keys``.
 
-    Without ``out`` the partitions are replaced in place: rows are written beside the table first
-    and moved in by a dynamic partition overwrite, so a failed run leaves the table as it was.
+    Ranges over partition columns and keys make about ``files`` files in all, and one more where a
+    range crosses a partition's end.  Without ``out`` the partitions are replaced in place by a dynamic
+    partition overwrite, which stages the new files and swaps folders when all are written: a failed
+    run leaves the table as it was.
     """
     table = spark.read.parquet(path)
     parts = _partition_columns(path, table)
     if not parts:
         raise ValueError(f"{path} has no partition folders")
-    rows = table.filter(where).repartition(files)
-    if out:
-        rows.write.mode("overwrite").partitionBy(*parts).parquet(out)
-        return
-    staged = f"{path.rstrip('/')}__compact"
-    rows.write.mode("overwrite").partitionBy(*parts).parquet(staged)
-    (
-        spark.read.schema(table.schema).parquet(staged).repartition(files)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
-    )
+    order = [*parts, *keys]
+    rows = table.filter(where).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    writer = rows.write.mode("overwrite").partitionBy(*parts)
+    writer.parquet(out) if out else writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its terms."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _hadoop(spark, path)
+    return fs.exists(place)
 
 
 def _partition_columns(path: str, table: DataFrame) -> list[str]:
@@ -108,6 +117,24 @@ def expire_partitions(df: DataFrame, date_col: str, days: int, as_of: str) -> Da
     return df.filter(F.col(date_col) >= F.date_sub(F.lit(as_of).cast("date"), days))
 
 
+def remove_expired(spark: SparkSession, path: str, date_col: str, days: int, as_of: str) -> list[str]:
+    """Delete the partition folders of days older than ``days`` before ``as_of``; returns the days.
+
+    ``date_col`` is the table's first partition column.  Only folder names are read, one per day.
+    """
+    from datetime import date, timedelta
+
+    oldest = date.fromisoformat(as_of) - timedelta(days=days)
+    fs, place = _hadoop(spark, path)
+    gone = []
+    for folder in fs.listStatus(place):
+        name, _, value = folder.getPath().getName().partition("=")
+        if name == date_col and value[:1].isdigit() and date.fromisoformat(value) < oldest:
+            fs.delete(folder.getPath(), True)
+            gone.append(value)
+    return sorted(gone)
+
+
 def time_range(
     df: DataFrame, ts: str, start: str, end: str, *, entity: tuple[str, str] | None = None, date: str | None = None
 ) -> DataFrame:

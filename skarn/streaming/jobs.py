@@ -9,7 +9,7 @@ from skarn.functions.fields import event_key, sentinel_to_null
 from skarn.operators import corpus as cp, joins as jn, quality as ql
 from skarn.operators.telemetry import BANDWIDTHS
 from skarn.operators.windows import upsert_latest
-from skarn.sources.tables import run_batches, sink_json
+from skarn.sources.tables import path_exists, run_batches, sink_json
 from skarn.streaming.state import alert_join, rocksdb
 
 
@@ -62,22 +62,23 @@ def corpus_job(
 ) -> StreamingQuery:
     """Documents to clean rows, rejected rows and metadata messages.
 
-    Rejected documents skip de-duplication: their key is their own id.  Text is scored after the
-    duplicates are gone.  Every batch owns its sub-folders, so a retry replaces them.
+    Everything that reads the text is done before the shuffle to the state store, which then
+    carries hash, scores and narrow columns.  Rejected documents skip de-duplication: their key is
+    their own id.  Every batch owns its sub-folders, so a retry replaces them.
     """
-    gated = cp.with_hash(cp.lang_gate(docs, language))
+    marked = cp.pii_flag(cp.score(cp.with_hash(cp.lang_gate(docs, language)))).drop("raw_text")
     own = F.concat(F.lit("rejected:"), F.col("document_id"))
-    once = dedup(gated.withColumn("_key", F.when(F.col("rejected"), own).otherwise(F.col("dedup_hash"))), "_key", ts)
+    once = dedup(marked.withColumn("_key", F.when(F.col("rejected"), own).otherwise(F.col("dedup_hash"))), "_key", ts)
+    judged = [c for c in marked.columns if c not in docs.columns and c not in ("language_detected", "rejected", "reason", "dedup_hash")]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         accepted, rejected = cp.route(batch.drop("_key"))
-        clean = cp.pii_flag(cp.score(accepted)).drop("raw_text", "rejected", "reason").persist()
+        clean = accepted.drop("rejected", "reason")
         place = lambda name: f"{out}/{name}/batch={batch_id}"
         clean.write.mode("overwrite").parquet(place("clean"))
-        rejected.drop("raw_text").write.mode("overwrite").parquet(place("rejected"))
+        rejected.drop(*judged).write.mode("overwrite").parquet(place("rejected"))
         sink_json(cp.corpus_metadata(clean)).write.mode("overwrite").text(place("metadata"))
-        clean.unpersist()
         batch.unpersist()
 
     return run_batches(once, write, checkpoint, **trigger)
@@ -100,14 +101,20 @@ def compact_latest(
     """Table with the latest row per key.
 
     Rows live in hash buckets of the key; a batch rewrites the buckets it touches and no others.
-    The merge takes the highest version, so running a batch twice changes nothing.
+    The merge takes the highest version, so running a batch twice changes nothing, and a query that
+    starts over on a table that is there merges into it.  A table of other columns or more buckets
+    is another query's, which is an error.
     """
     spark = stream.sparkSession
     fields = stream.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(buckets)))
-        if batch_id:
+        if path_exists(spark, path):
+            stored = spark.read.parquet(path)
+            high = stored.agg(F.max("_bucket")).first()[0]
+            if set(stored.columns) != set(rows.columns) or (high is not None and high >= buckets):
+                raise ValueError(f"{path} holds another table")
             touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most `buckets`
             table = spark.read.schema(rows.schema).parquet(path)
             rows = upsert_latest(table.filter(F.col("_bucket").isin(touched)), rows, ["_bucket", *keys], version)

@@ -106,6 +106,11 @@ def test_action_dedup(spark, slice_rows):
     assert {r["id"] for r in got.collect()} == greedy_model(rows, 9000)
 
 
+def test_action_dedup_without_times(spark):
+    rows = spark.createDataFrame([(1, "a", 1000), (2, "a", None), (3, "a", 2000), (4, "a", None)], "id int, key string, at bigint")
+    assert {r["id"] for r in wn.action_dedup(rows, ["key"], "at").collect()} == {1, 2, 4}
+
+
 @pytest.mark.parametrize("slice_rows", [None, 50])
 def test_delivery_health(spark, slice_rows):
     rows = [(i, k, at * 1000, v) for i, k, at, v in skewed(6)]

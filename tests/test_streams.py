@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from skarn.operators import quality as ql, windows as wn
@@ -82,6 +84,13 @@ def test_compacted_table_over_batches(spark, tmp_path):
     out = str(tmp_path / "out")
     jobs.compact_latest(stream, ["id"], "at", out, str(tmp_path / "c"), buckets=3).awaitTermination()
     assert {tuple(r)[:3] for r in spark.read.parquet(out).collect()} == {("a", "done", 5), ("b", "done", 9), ("c", "new", 2)}
+    # A query that starts over, with a checkpoint of its own, loses nothing; one of another shape fails.
+    more = files(spark, str(tmp_path / "in2"), schema, [[("d", "new", 4), ("b", "old", 2)]])
+    jobs.compact_latest(more, ["id"], "at", out, str(tmp_path / "c2"), buckets=3).awaitTermination()
+    assert {tuple(r)[:2] for r in spark.read.parquet(out).collect()} == {("a", "done"), ("b", "done"), ("c", "new"), ("d", "new")}
+    other = files(spark, str(tmp_path / "in3"), "id string, at bigint", [[("e", 1)]])
+    with pytest.raises(StreamingQueryException, match="another table"):
+        jobs.compact_latest(other, ["id"], "at", out, str(tmp_path / "c3"), buckets=3).awaitTermination()
 
 
 def test_dual_sink_retry_replaces_a_batch(spark, tmp_path):

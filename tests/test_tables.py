@@ -8,9 +8,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.operators import joins as jn, quality as ql, registry as rg, windows as wn
+from skarn.operators import joins as jn, ordered as od, quality as ql, registry as rg, windows as wn
 from skarn.plans.corpus import corpus_clean, training_dataset
-from skarn.sources import schemas, tables as tb
+from skarn.sources import parsers as ps, schemas, tables as tb
 
 
 def plan_of(df):
@@ -47,11 +47,37 @@ def test_compaction_keeps_other_partitions(spark, tmp_path):
     tb.compact_table(spark, path, "p = 0", 1)
     assert len(glob.glob(f"{path}/p=0/*.parquet")) == 1 and len(glob.glob(f"{path}/p=1/*.parquet")) > 1
     assert spark.read.parquet(path).agg(F.sum("id")).first()[0] == 4950
+    assert not glob.glob(f"{tmp_path}/*__*") and not glob.glob(f"{path}/.spark*")
+    many = str(tmp_path / "many")
+    spark.range(1000).selectExpr("id", "id % 10 as p").repartition(8).write.partitionBy("p").parquet(many)
+    tb.compact_table(spark, many, "true", 4, keys=["id"])
+    assert len(glob.glob(f"{many}/*/*.parquet")) <= 4 + 10 and spark.read.parquet(many).agg(F.sum("id")).first()[0] == 499_500
     with pytest.raises(ValueError):
         spark.range(5).write.parquet(str(tmp_path / "flat"))
         tb.compact_table(spark, str(tmp_path / "flat"), "id > 1", 1)
 
 
+def test_expired_days_are_deleted(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(40).selectExpr("id", "date_add(date'2024-01-01', cast(id % 20 as int)) as day").write.partitionBy("day").parquet(path)
+    gone = tb.remove_expired(spark, path, "day", 5, "2024-01-20")
+    assert gone[0] == "2024-01-01" and gone[-1] == "2024-01-14" and len(glob.glob(f"{path}/day=*")) == 6
+    assert spark.read.parquet(path).count() == 12
+
+
+def test_merge_by_key_keeps_rows_whole(spark):
+    a = spark.createDataFrame([(1, 5, 0), (1, 2, 9)], "k int, x int, y int")
+    b = spark.createDataFrame([(2, "z")], "k int, w string")
+    got = {r["k"]: tuple(r) for r in od.merge_by_key(["k"], a, b).collect()}
+    assert got == {1: (1, 5, 0, None), 2: (2, None, None, "z")}
+
+
+def test_records_that_are_no_objects(spark):
+    rows = spark.createDataFrame([("[1]",), ("5",), ("{",), ('{"a": 1}',)], "value string")
+    got = [r["reason"] for r in ps.validate_records(rows, {"a": "int"}).collect()]
+    assert got == ["not a JSON object"] * 3 + [None]
+
+
 def test_csv_text(spark, tmp_path):
     rows = [("1", 'say "hi", you', None), ("2", "line\nbreak", "")]
     tb.export_csv(spark.createDataFrame(rows, "a string, b string, c string").coalesce(1), str(tmp_path / "c"))
@@ -75,7 +101,7 @@ def test_registry(spark, tmp_path):
     base = str(tmp_path / "r")
     when = lambda d: datetime(2024, 1, d, tzinfo=timezone.utc)
     one = rg.register_version(spark, base, "silver.clean", "me", {"web": 5}, {"mean": 0.5}, 3, when(1))
-    two = rg.register_version(spark, base, "silver.clean", "me", {}, {}, created_at=when(2))
+    two = rg.register_version(spark, base, "silver.clean", "me", {}, {}, 4, when(2))
     assert rg.get_version(spark, base, one)["used_in_run_ids"] == []
     for d, run in ((3, "run-1"), (4, "run-10"), (5, "run-1")):
         rg.mark_used(spark, base, one, run, when(d))
@@ -112,6 +138,7 @@ def test_run_suite_stores_results(spark, tmp_path):
     ok, message, rows = ql.run_suite(df, suite, "s", "now", store)
     assert not ok and "3 of 5" in message
     ql.run_suite(df, suite, "s", "later", store)
+    ql.run_suite(df, suite, "s", "later", store)
     saved = spark.read.parquet(store)
     assert saved.count() == 10
     got = {r["expectation"]: r for r in rows.collect()}
