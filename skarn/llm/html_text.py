@@ -24,13 +24,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from skarn.llm.common import table, written
+from skarn.llm.common import by_slices, slices, table, written
 
 #: Fixed values of HTML: elements without an end, elements whose content is no markup, and blocks.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -184,41 +183,53 @@ def _same_start(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _hashes(pages: pd.Series) -> list[list[int]]:
+def _hashes(pages: pa.Array) -> pa.Array:
     import xxhash
 
-    return [[xxhash.xxh3_64_intdigest(text.encode()) >> 1 for text, _ in lines(p)] for p in pages]
+    found = [[xxhash.xxh3_64_intdigest(text.encode()) >> 1 for text, _ in lines(p)] for p in pages.to_pylist()]
+    return pa.array(found, pa.list_(pa.int64()))
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _line_hashes(pages: pd.Series) -> pd.Series:
-    return pd.Series(_hashes(pages), dtype=object)
-
-
-@F.pandas_udf(BinaryType())
-def _pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _pressed(pages: pa.Array) -> pa.Array:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3)
-    for pages in batches:
-        yield pd.Series([press.compress((p if isinstance(p, str) else "").encode()) for p in pages], dtype=object)
+    return pa.array([press.compress((p or "").encode()) for p in pages.to_pylist()], pa.binary())
 
 
-@F.pandas_udf(StructType().add("text", "string").add("n_shared", "long"))
-def _text(packed: pd.Series, shared: pd.Series) -> pd.DataFrame:
+def _kept(packed: pa.Array, shared: pa.Array) -> pa.Array:
     import zstandard
 
     press = zstandard.ZstdDecompressor()
-    out = []
-    for blob, places in zip(packed, shared):
+    texts, counts = [], []
+    for blob, places in zip(packed.to_pylist(), shared.to_pylist()):
         found = lines(press.decompress(blob).decode())
-        repeated = set() if places is None else set(places)
+        repeated = set(places or ())
         undecided = [k for k, (_, mark) in enumerate(found) if mark == OPEN]
         if undecided and repeated.issuperset(undecided):
             repeated = set()
-        text = "\n\n".join(x for k, (x, mark) in enumerate(found) if mark == ARTICLE or mark == OPEN and k not in repeated)
-        out.append((text, len(repeated)))
-    return pd.DataFrame(out, columns=["text", "n_shared"])
+        texts.append("\n\n".join(x for k, (x, mark) in enumerate(found) if mark == ARTICLE or mark == OPEN and k not in repeated))
+        counts.append(len(repeated))
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["text", "n_shared"])
+
+
+#: Pages that a worker holds as Python objects at a time.
+ROWS = 128
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _line_hashes(pages: pa.Array) -> pa.Array:
+    return by_slices(_hashes, pages, rows=ROWS)
+
+
+@F.arrow_udf(BinaryType())
+def _pack(pages: pa.Array) -> pa.Array:
+    return by_slices(_pressed, pages, rows=ROWS)
+
+
+@F.arrow_udf(StructType().add("text", "string").add("n_shared", "long"))
+def _text(packed: pa.Array, shared: pa.Array) -> pa.Array:
+    return by_slices(_kept, packed, shared, rows=ROWS)
 
 
 KEYS = ("page_id", "url", "h")
@@ -246,7 +257,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     before = row = None
     schema = None
-    for b in batches:
+    for b in slices(batches):
         schema = pa.schema([*(b.schema.field(k) for k in KEYS), pa.field("shared", pa.list_(pa.int32()))])
         out = []
         for after in b.to_pylist():

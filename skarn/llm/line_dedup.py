@@ -7,9 +7,10 @@ still counts as an earlier one. Order is document, then place in it. Lines of fe
 word is most of what they say.
 
 1. Equal lines become one row with its first place. What is left are different lines.
-2. A line that is alike to another has an equal half with it: one edit leaves the first or the last
-   ``l // 2`` words as they are, where l is the shorter line's length. Only lines that share such a
-   half go on; nothing is lost by this, and most lines end here.
+2. One edit leaves the first or the last words of a line as they are: of ``h`` words at either end,
+   with 2 h no more than the line's words, one end is whole. ``h`` is a power of two that depends on
+   the line's length, so most lines have two keys. Only lines that share an end with another go on;
+   nothing is lost by this, and most lines finish here.
 3. These emit their deletion variants as hashed keys: the line itself, and the line without each
    one of its words. Lines with the same variant and the same place of the left-out word differ by
    a replacement; a line that equals a variant of another lacks one word of it. So the members of a
@@ -58,12 +59,16 @@ def _hash(data: bytes, seed: int = 0) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def half_keys(words: list[bytes]) -> list[int]:
-    """Keys of the halves under which a line meets lines alike: of its own length, and as the longer."""
+def end_keys(words: list[bytes]) -> list[int]:
+    """Keys of the ends under which a line meets all lines alike to it.
+
+    ``h`` is the highest power of two up to half the words. Where a line of one word less has a
+    lower one, the longer line has the keys of both.
+    """
     n, out = len(words), []
-    for shorter in (n, n - 1):
-        m = shorter // 2
-        out += [_hash(b" ".join(words[:m]), 2 * shorter), _hash(b" ".join(words[n - m :]), 2 * shorter + 1)]
+    h = 1 << (n // 2).bit_length() - 1
+    for size in (h, h // 2) if n == 2 * h else (h,):
+        out += [_hash(b" ".join(words[:size]), 2 * size), _hash(b" ".join(words[n - size :]), 2 * size + 1)]
     return out
 
 
@@ -126,12 +131,12 @@ def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([one_edit(x.split(), y.split()) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """``key, at, line, halves``: every line that takes part, as hashes."""
+def _places(rows: DataFrame, ends: bool) -> DataFrame:
+    """``key, at, line`` and, if asked for, ``ends``: every line that takes part, as hashes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            who, at, line, halves = [], [], [], []
+            who, at, line, keys = [], [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 for place, x in enumerate((text or "").encode().split(b"\n")):
                     words = x.split()
@@ -139,13 +144,15 @@ def _places(rows: DataFrame) -> DataFrame:
                         who.append(k)
                         at.append(place)
                         line.append(_hash(b" ".join(words)))
-                        halves.append(half_keys(words))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(who, pa.int64())), pa.array(at, pa.int32()), pa.array(line, pa.int64()), pa.array(halves, pa.list_(pa.int64()))],
-                ["key", "at", "line", "halves"],
-            )
+                        if ends:
+                            keys.append(end_keys(words))
+            columns = {"key": b.column(0).take(pa.array(who, pa.int64())), "at": pa.array(at, pa.int32()), "line": pa.array(line, pa.int64())}
+            if ends:
+                columns["ends"] = pa.array(keys, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    return rows.mapInArrow(cut, f"key {rows.schema['key'].dataType.simpleString()}, at int, line long, halves array<long>")
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, at int, line long"
+    return rows.mapInArrow(cut, schema + ", ends array<long>" * ends)
 
 
 def _neighbourhoods(texts: DataFrame) -> DataFrame:
@@ -192,13 +199,12 @@ def _near(lines: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, dropped``: places (from 0) of the lines of a document that go; no row if none does."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    places = written(_places(rows), "lines")
     first = F.min(F.struct("key", "at")).alias("first")
-    different = written(places.groupBy("line").agg(first, F.any_value("halves").alias("halves")), "different")
+    different = written(_places(rows, True).groupBy("line").agg(first, F.any_value("ends").alias("ends")), "different")
 
-    halves = different.select("line", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    going_on = halves.join(shared, "half", "left_semi").select("line").distinct()
+    ends = different.select("line", F.explode("ends").alias("end"))
+    shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
+    going_on = ends.join(shared, "end", "left_semi").select("line").distinct()
     going_on = written(different.select("line", "first").join(going_on, "line", "left_semi"), "candidates")
 
     wanted = going_on.groupBy(F.col("first.key").alias("of")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "line", "first")).alias("lines"))
@@ -207,7 +213,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     near = written(_near(neighbours), "near").withColumn("near", F.lit(True))
 
     lines = different.select("line", "first").join(near, "line", "left")
-    gone = places.select("key", "at", "line").join(lines, "line").where(F.col("near") | (F.col("first") < F.struct("key", "at")))
+    # The places are found again, which costs less than keeping them.
+    gone = _places(rows, False).join(lines, "line").where(F.col("near") | (F.col("first") < F.struct("key", "at")))
     return gone.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
 
 

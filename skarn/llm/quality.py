@@ -11,13 +11,11 @@ words. Documents of any length are measured whole; memory is that of a document'
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skarn.llm.common import table
+from skarn.llm.common import by_slices, table
 
 #: Below so many bytes: least and most bytes of text per compressed byte.
 BANDS = ((200, 0.0, 3.0), (500, 1.1, 3.5), (1_000, 1.2, 4.0), (4_000, 1.4, 4.5), (16_000, 1.45, 5.0), (float("inf"), 1.5, 6.0))
@@ -73,14 +71,14 @@ def in_band(size: int, ratio: float, bands=BANDS) -> bool:
     return False
 
 
-def _rows(texts: pd.Series, bands, chunk: int, bad_share: float) -> pd.DataFrame:
+def _rows(texts: pa.Array, bands, chunk: int, bad_share: float) -> pa.Array:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=LEVEL)
     size = lambda b: len(press.compress(b))
     out = []
-    for text in texts:
-        text = text if isinstance(text, str) else ""
+    for text in texts.to_pylist():
+        text = text or ""
         data = text.encode()
         words = data.split()  # bytes: blank and the controls 9 to 13
         n = len(words)
@@ -97,16 +95,17 @@ def _rows(texts: pd.Series, bands, chunk: int, bad_share: float) -> pd.DataFrame
         out.append(
             (n, len(text) - sum(map(text.count, " \t\n\x0b\x0c\r")), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, kept, ratio, share)
         )
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]] for c in SCHEMA.split(", ")]
+    return pa.StructArray.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out) if out else [()] * len(names), kinds)], names)
 
 
 def quality(text: Column, bands=BANDS, chunk: int = CHUNK, bad_share: float = BAD_SHARE) -> Column:
     """A struct of the counts, the verdict and the ratios behind it."""
 
-    @F.pandas_udf(SCHEMA)
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield _rows(texts, bands, chunk, bad_share)
+    @F.arrow_udf(SCHEMA)
+    def measure(texts: pa.Array) -> pa.Array:
+        return by_slices(lambda part: _rows(part, bands, chunk, bad_share), texts)
 
     return measure(text.cast("string"))
 

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from skarn.llm.common import table, written
+from skarn.llm.common import by_slices, table, written
 from skarn.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -38,7 +37,7 @@ def fingerprint_of(text: str | None) -> int:
     """The unsigned fingerprint of a whole text; without words it is zero."""
     import xxhash
 
-    words = (text if isinstance(text, str) else "").encode().lower().split()  # bytes: only A to Z change, white space is blank and 9 to 13
+    words = (text or "").encode().lower().split()  # bytes: only A to Z change, white space is blank and 9 to 13
     n = len(words)
     if not n:
         return 0
@@ -56,10 +55,13 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(2 * ones > m, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(LongType())
-def _fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64))
+def _prints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint_of(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
+
+
+@F.arrow_udf(LongType())
+def _fingerprint(texts: pa.Array) -> pa.Array:
+    return by_slices(_prints, texts)
 
 
 def fingerprint(text: Column) -> Column:

@@ -21,9 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words, and parts of words, that a worker remembers before it starts afresh; bounds memory, not the result.
-REMEMBERED = 600_000
+REMEMBERED_WORDS, REMEMBERED_PARTS = 80_000, 150_000
+#: A word is remembered if a portion of the texts has it so many times.
+COMMON = 3
 #: Characters of text coded at a time.
-PORTION = 6_000_000
+PORTION = 2_000_000
 
 #: Contractions that the vocabulary's pattern takes as words of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -75,11 +77,12 @@ class Encoder:
         """Ids of one text by the library alone."""
         return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of new words, from those of their parts."""
         cut = [_WORD.findall(c) for c in chunks]
         new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.parts]
-        if len(self.parts) + len(new) > REMEMBERED:
-            self.parts.clear()
+        if len(self.parts) + len(new) > REMEMBERED_PARTS:
+            self.parts = {}
             new = list(dict.fromkeys(p for c in cut for p in c))
         if new:
             ids = np.asarray(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
@@ -91,21 +94,24 @@ class Encoder:
             else:
                 self.parts.update((p, self.whole(p).tobytes()) for p in new)
         parts = self.parts
-        self.known.update((c, b"".join([parts[p] for p in ps])) for c, ps in zip(chunks, cut))
+        return [b"".join([parts[p] for p in ps]) for ps in cut]
 
     def _cut(self, texts: list[str]) -> list[np.ndarray]:
         flat = pa.array([t.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts], pa.large_string())
         split = pc.split_pattern(flat, " ")
         coded = split.flatten().dictionary_encode()
         chunks, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = [c for c in chunks if c not in self.known]
+        data = list(map(self.known.get, chunks))
+        new = [k for k, d in enumerate(data) if d is None]
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
+            often = np.bincount(which, minlength=len(chunks)) >= COMMON
+            found = self._learn([chunks[k] for k in new])
+            if len(self.known) + int(often[new].sum()) > REMEMBERED_WORDS:
                 self.known = {"": b""}
-                new = chunks
-            self._learn(new)
-        known = self.known
-        data = [known[c] for c in chunks]
+            for k, d in zip(new, found):
+                data[k] = d
+                if often[k]:
+                    self.known[chunks[k]] = d
         ids = np.frombuffer(b"".join(data), self.kind)
         length = np.fromiter(map(len, data), np.int64, len(data)) // self.kind.itemsize
         first = np.cumsum(length) - length

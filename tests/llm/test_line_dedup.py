@@ -2,7 +2,7 @@
 
 import random
 
-from skarn.llm.line_dedup import LEAST_WORDS, drop_repeats, half_keys, one_edit, op2_line_dedup, variant_keys
+from skarn.llm.line_dedup import LEAST_WORDS, drop_repeats, end_keys, one_edit, op2_line_dedup, variant_keys
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -45,7 +45,7 @@ def test_keys_meet():
         i = rnd.randrange(len(a))
         change = rnd.choice(("replace", "add", "drop"))
         b[i : i + (change != "add")] = [] if change == "drop" else [b"new"]
-        assert set(half_keys(a)) & set(half_keys(b))
+        assert set(end_keys(a)) & set(end_keys(b))
         x, y = variant_keys(a).tolist(), variant_keys(b).tolist()
         met = {(k, i) for i, k in enumerate(x) if i} & {(k, i) for i, k in enumerate(y) if i}
         assert met or x[0] in y[1:] or y[0] in x[1:]

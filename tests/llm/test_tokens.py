@@ -27,8 +27,9 @@ def test_ids_of_odd_texts(library, monkeypatch):
     pool = "abcÀéñßĿŉǆ012 \t\n'’.,;-|<>&" + "'sd"
     odd += ["".join(rnd.choices(pool, k=rnd.randint(1, 60))) for _ in range(600)]
     want = [library.encode(t, add_special_tokens=False).ids for t in odd]
-    for remembered, portion in ((600_000, 6_000_000), (5, 100)):
-        monkeypatch.setattr(vocab, "REMEMBERED", remembered)
+    for remembered, portion in ((vocab.REMEMBERED_PARTS, vocab.PORTION), (5, 100)):
+        monkeypatch.setattr(vocab, "REMEMBERED_PARTS", remembered)
+        monkeypatch.setattr(vocab, "REMEMBERED_WORDS", remembered)
         monkeypatch.setattr(vocab, "PORTION", portion)
         coder = Encoder(default_path())
         for _ in range(2):
