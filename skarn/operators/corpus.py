@@ -98,11 +98,12 @@ def corpus_admit(
 
 
 def shard_assign(
-    docs: DataFrame, shards: int, key: str = "document_id", slice_rows: int | None = None
+    docs: DataFrame, shards: int, key: str = "document_id", cell: int = 1 << 48
 ) -> DataFrame:
     """``shard_id`` by hash of the key, ``shard_offset`` by hash order within the shard.
 
-    Offsets come from the sliced running total, so a shard may be larger than a task.
+    Offsets come from a running total over cells of ``cell`` hash values (4096 of them), so a shard may
+    be larger than a task.
     """
     place = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
     placed = (
@@ -111,6 +112,6 @@ def shard_assign(
         .withColumn("_one", F.lit(1).cast("bigint"))
     )
     numbered = running_total(
-        placed, ["shard_id"], "_place", "_one", "_upto", tie=[key], slice_rows=slice_rows
+        placed, ["shard_id"], "_place", "_one", "_upto", tie=[key], cell=cell
     )
     return numbered.withColumn("shard_offset", F.col("_upto") - 1).drop("_place", "_one", "_upto")

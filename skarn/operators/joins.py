@@ -29,7 +29,7 @@ def pit_join(
     cols: list[str] | None = None,
     prefix: str | None = None,
     created: str | None = None,
-    slice_rows: int | None = None,
+    cell: int | None = None,
 ) -> DataFrame:
     """Entity rows with the latest feature row at or before their time, within the TTL.
 
@@ -37,7 +37,7 @@ def pit_join(
     """
     cols = cols or [c for c in features.columns if c not in {*keys, feature_ts, created}]
     hit = asof_last(
-        entities, features, keys, ts, feature_ts, cols, "_hit", tie=created, slice_rows=slice_rows
+        entities, features, keys, ts, feature_ts, cols, "_hit", tie=created, cell=cell
     )
     if ttl_seconds is not None:
         unit = _units_per_second(features, feature_ts)
@@ -70,7 +70,7 @@ def alert_telemetry_join(
     alert_ts: str = "triggered_at",
     telemetry_ts: str = "ts",
     max_gap_seconds: int = 3600,
-    slice_rows: int | None = None,
+    cell: int | None = None,
 ) -> DataFrame:
     """Alerts with the node's latest telemetry, else the first that follows; both within the gap."""
     fields = {
@@ -83,7 +83,7 @@ def alert_telemetry_join(
     for out, forward in (("_back", False), ("_next", True)):
         near = asof_last(
             near, telemetry, [key], alert_ts, telemetry_ts, list(fields), out,
-            forward=forward, tie="device_id", slice_rows=slice_rows,
+            forward=forward, tie="device_id", cell=cell,
         )
     unit = _units_per_second(telemetry, telemetry_ts)
     near = near.withColumns({"_bt": F.col("_back.ts"), "_nt": F.col("_next.ts")})
@@ -293,12 +293,12 @@ def liquefaction_lookup(
 
 
 def recent_action_antijoin(
-    actions: DataFrame, recent: DataFrame, seconds: int = 10, slice_rows: int | None = None
+    actions: DataFrame, recent: DataFrame, seconds: int = 10, cell: int | None = None
 ) -> DataFrame:
     """Actions whose (type, resource) does not occur in ``recent`` during the seconds before."""
     keys = ["action_type", "resource_id"]
     hit = asof_last(
-        actions, recent, keys, "created_at", "created_at", [], "_hit", strict=True, slice_rows=slice_rows
+        actions, recent, keys, "created_at", "created_at", [], "_hit", strict=True, cell=cell
     ).withColumn("_hit_ts", F.col("_hit.ts"))
     unit = _units_per_second(recent, "created_at")
     age = ordinal(hit, "created_at") - ordinal(hit, "_hit_ts")

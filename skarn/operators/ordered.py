@@ -1,11 +1,12 @@
 """Ordered work per key that does not depend on how rows spread over the keys.
 
 A window partitioned by key alone puts the whole of a hot key into one task.  The
-functions here cut the order axis (time, value, hash) at approximate quantiles into
-*slices* of about ``slice_rows`` rows over all keys, so a (key, slice) group is bounded
-whatever the key skew.  What crosses a slice border (a running total, the last seen row)
-is aggregated per (key, slice), scanned over the few slices of each key and joined back.
-Inputs of at most ``slice_rows`` rows need no cut and run as one plain window.
+functions here cut the order axis into fixed *cells* (a day of time by default, a
+sixteenth of an octave of a measured value), so a (key, cell) group is bounded whatever the
+key skew.  What crosses a cell border (a running total, the last seen row) is aggregated
+per (key, cell), scanned over the cells of each key and joined back.  A cell depends on
+the value alone: nothing is counted or sampled before the work, and the same rows give
+the same plan and the same answer at every size.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-#: Rows one ordered group may put into a single task.
-SLICE_ROWS = 4_000_000
+#: Width of a cell of time, in milliseconds.
+DAY_MS = 86_400_000
+#: Cells per doubling of a measured value.
+PER_OCTAVE = 16
 
 
 def ordinal(df: DataFrame, col: str) -> Column:
@@ -29,39 +32,21 @@ def ordinal(df: DataFrame, col: str) -> Column:
     return F.col(col)
 
 
-def _literals(values: list, kind: str) -> Column:
-    """Constant array out of one text literal, cheap to build however long it is."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+def cell_width(kind: T.DataType) -> int:
+    """Default width of a cell in the units of ``ordinal``: a day; numbers count as epoch milliseconds."""
+    return DAY_MS * (1000 if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else 1)
 
 
-def slice_splits(df: DataFrame, col: str, slice_rows: int | None = None) -> list:
-    """Cut points of a numeric column giving slices of about ``slice_rows`` rows.
+def cell_of(df: DataFrame, col: str, cell: int | None = None) -> Column:
+    """Cell of an orderable column; it never falls where the column rises.
 
-    Repeated cut points mark a single value that fills more than one slice.
+    Floating-point values have ``cell`` cells per doubling, others are cut every ``cell`` units.
     """
-    slice_rows = slice_rows or SLICE_ROWS
-    parts = -(-df.count() // slice_rows)
-    if parts <= 1:
-        return []
-    probs = _literals([i / parts for i in range(1, parts)], "double")
-    cuts = df.agg(F.percentile_approx(col, probs, F.lit(max(10_000, 20 * parts)))).first()[0]
-    return sorted(cuts or [])
-
-
-def slice_of(x: Column, splits: list, inclusive: bool = False) -> Column:
-    """Number of cut points below ``x`` (or at most ``x``), by binary search."""
-    if not splits:
-        return F.lit(0)
-    kind = "bigint" if all(isinstance(s, int) for s in splits) else "double"
-    table = _literals(splits, kind)
-    steps = [1 << b for b in reversed(range(len(splits).bit_length()))]
-
-    def advance(found: Column, step: Column) -> Column:
-        cut = F.get(table, found + step - 1)
-        hit = (cut <= x) if inclusive else (cut < x)
-        return found + F.when(hit, step).otherwise(0)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        x = F.col(col).cast("double")
+        return F.floor(F.signum(x) * F.log2(1 + F.abs(x)) * (cell or PER_OCTAVE)).cast("bigint")
+    return F.floor(ordinal(df, col) / F.lit(cell or cell_width(kind))).cast("bigint")
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -82,34 +67,25 @@ def running_total(
     out: str,
     *,
     tie: list[str] | None = None,
-    slice_rows: int | None = None,
-    splits: list | None = None,
+    cell: int | None = None,
 ) -> DataFrame:
-    """Cumulative sum of ``value`` per key in the order of a numeric column.
-
-    ``splits`` may come from the rows that ``df`` was aggregated from, which are cheaper to scan.
-    """
+    """Cumulative sum of ``value`` per key in the order of a column (then ``tie``)."""
     rank = [order, *(tie or [])]
-    if splits is None:
-        splits = slice_splits(df, order, slice_rows)
-    if not splits:
-        win = W.partitionBy(*keys).orderBy(*rank).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumn(out, F.sum(value).over(win))
-    cut = df.withColumn("_slice", slice_of(F.col(order), splits))
+    cut = df.withColumn("_cell", cell_of(df, order, cell))
     inner = (
-        W.partitionBy(*keys, "_slice").orderBy(*rank)
+        W.partitionBy(*keys, "_cell").orderBy(*rank)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*keys, "_slice").agg(F.sum(value).alias("_n"))
-        .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        cut.groupBy(*keys, "_cell").agg(F.sum(value).alias("_n"))
+        .select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     inside = cut.withColumn(out, F.sum(value).over(inner))
     return (
-        join_keys(inside, offsets, [*keys, "_slice"])
+        join_keys(inside, offsets, [*keys, "_cell"])
         .withColumn(out, F.col(out) + F.col("_offset"))
-        .drop("_slice", "_offset")
+        .drop("_cell", "_offset")
     )
 
 
@@ -125,101 +101,75 @@ def asof_last(
     forward: bool = False,
     strict: bool = False,
     tie: str | None = None,
-    slice_rows: int | None = None,
+    cell: int | None = None,
 ) -> DataFrame:
     """Left rows plus ``out``: a struct of the nearest earlier right row of the same key.
 
     Equal times match unless ``strict``; ``forward`` looks for the nearest later row.  The
-    struct holds ``ts`` (time of the match) and ``cols``.  Left rows are never multiplied.
-    Both sides are laid on one time axis and a window carries the last right row along, so
-    there is no range join.
+    struct holds ``ts`` (time of the match) and ``cols``; of right rows at one instant the one of
+    the highest ``tie``, then of the highest struct, counts.  A key with a null matches nothing.
+    Left rows are never multiplied.  Both sides are laid on one time axis and a window carries the
+    last right row along, so there is no range join.
     """
     sign = -1 if forward else 1
     # Order inside one instant: right rows first, unless the match has to be strictly earlier.
     left_flag, right_flag = (0, 1) if strict else (1, 0)
     keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(on)]
     names = [f"_k{i}" for i in range(len(on))]
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on], F.lit(True))
     found = F.struct(F.col(right_ts).alias("ts"), *[F.col(c) for c in cols])
+    kind = right.select(found.alias("f")).schema[0].dataType
     tie_col = F.col(tie) if tie else F.lit(None).cast("bigint")
-    rows = left.select(
+    width = F.lit(cell or cell_width(left.schema[left_ts].dataType))
+    place = lambda: F.floor(F.col("_at") / width).cast("bigint").alias("_cell")
+    rows = left.filter(known).select(
         *keys,
         (sign * ordinal(left, left_ts)).alias("_at"),
         F.lit(left_flag).alias("_flag"),
-        F.lit(None).cast(right.select(tie_col.alias("t")).schema[0].dataType).alias("_tie"),
         F.struct(*left.columns).alias("_row"),
-        F.lit(None).cast(right.select(found.alias("f")).schema[0].dataType).alias("_found"),
-    )
-    seen = right.filter(F.col(right_ts).isNotNull()).select(
-        *keys,
-        (sign * ordinal(right, right_ts)).alias("_at"),
-        F.lit(right_flag).alias("_flag"),
-        tie_col.alias("_tie"),
-        F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
-        found.alias("_found"),
-    )
-    axis = rows.select("_at").union(seen.select("_at"))
-    splits = slice_splits(axis, "_at", slice_rows)
-    if not splits:
-        win = (
-            W.partitionBy(*names).orderBy("_at", "_flag", "_tie")
-            .rowsBetween(W.unboundedPreceding, W.currentRow)
-        )
-        merged = rows.unionByName(seen)
-        return (
-            merged.withColumn("_found", F.last("_found", ignorenulls=True).over(win))
-            .filter(F.col("_row").isNotNull())
-            .select("_row.*", F.col("_found").alias(out))
-        )
-
-    # One right row per (key, instant), so that only left rows can pile up on an instant ...
+        F.lit(None).cast(kind).alias("_found"),
+    ).withColumn("_cell", place())
+    # One right row per (key, instant).
     seen = (
-        seen.groupBy(*names, "_at", "_flag")
-        .agg(F.max_by("_found", F.struct("_tie", "_found")).alias("_found"))
-        .withColumn("_tie", F.lit(None).cast(rows.schema["_tie"].dataType))
-        .withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))
-    )
-    below = slice_of(F.col("_at"), splits)
-    # ... and those are dealt over all the slices which that instant fills.
-    width = slice_of(F.col("_at"), splits, inclusive=True) - below
-    deal = F.when(width > 1, F.pmod(F.xxhash64("_row"), width)).otherwise(0)
-    last_of = below + F.greatest(width - 1, F.lit(0)) if strict else below
-    rows = rows.withColumn("_slice", (below + deal).cast("int"))
-    seen = seen.withColumn("_slice", last_of.cast("int"))
-
-    ends = seen.groupBy(*names, "_slice").agg(
-        F.max_by("_found", "_at").alias("_found"), F.max("_at").alias("_end")
+        right.filter(known & F.col(right_ts).isNotNull())
+        .select(*keys, (sign * ordinal(right, right_ts)).alias("_at"), tie_col.alias("_tie"), found.alias("_found"))
+        .groupBy(*names, "_at").agg(F.max(F.struct("_tie", "_found"))["_found"].alias("_found"))
+        .select(
+            *names, "_at", F.lit(right_flag).alias("_flag"),
+            F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_found",
+        ).withColumn("_cell", place())
     )
-    wanted = rows.groupBy(*names, "_slice").agg(F.lit(True).alias("_wanted"))
-    before = W.partitionBy(*names).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+
+    # What each cell with left rows enters with: the last right row of the cells before.
+    ends = seen.groupBy(*names, "_cell").agg(F.max_by("_found", "_at").alias("_found"))
+    wanted = rows.groupBy(*names, "_cell").agg(F.lit(True).alias("_wanted"))
+    before = W.partitionBy(*names).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     carried = (
         ends.unionByName(wanted, allowMissingColumns=True)
-        .groupBy(*names, "_slice")
-        .agg(
-            F.max_by("_found", "_end").alias("_found"),
-            F.max("_wanted").alias("_wanted"),
-        )
+        .groupBy(*names, "_cell")
+        .agg(F.max("_found").alias("_found"), F.max("_wanted").alias("_wanted"))
         .withColumn("_found", F.last("_found", ignorenulls=True).over(before))
         .filter(F.col("_wanted") & F.col("_found").isNotNull())
         .select(
             *names,
             F.lit(-(1 << 62)).cast(rows.schema["_at"].dataType).alias("_at"),
             F.lit(-1).alias("_flag"),
-            F.lit(None).cast(rows.schema["_tie"].dataType).alias("_tie"),
             F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
             "_found",
-            "_slice",
+            "_cell",
         )
     )
     win = (
-        W.partitionBy(*names, "_slice").orderBy("_at", "_flag")
+        W.partitionBy(*names, "_cell").orderBy("_at", "_flag")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    return (
+    matched = (
         rows.unionByName(seen).unionByName(carried)
         .withColumn("_found", F.last("_found", ignorenulls=True).over(win))
         .filter(F.col("_row").isNotNull())
         .select("_row.*", F.col("_found").alias(out))
     )
+    return matched.unionByName(left.filter(~known).withColumn(out, F.lit(None).cast(kind)))
 
 
 def summarise(
@@ -229,27 +179,24 @@ def summarise(
     percentiles: dict[str, tuple[str, float]],
     *,
     exact: bool = True,
-    slice_rows: int | None = None,
+    cell: int | None = None,
 ) -> DataFrame:
     """``groupBy(keys)`` with plain aggregates and percentiles ``{name: (column, p)}``.
 
-    ``exact=False`` takes the mergeable sketch.  Exact percentiles interpolate linearly; for
-    inputs above ``slice_rows`` they come from counts per distinct value and a sliced running
-    total, since the built-in aggregate would gather all values of a group in one task.
+    ``exact=False`` takes the mergeable sketch.  Exact percentiles interpolate linearly; they come
+    from counts per distinct value and a running total over cells, since the built-in aggregate
+    would gather all values of a group in one task.
     """
-    slice_rows = slice_rows or SLICE_ROWS
     if not exact:
         sketches = [F.percentile_approx(c, p).alias(n) for n, (c, p) in percentiles.items()]
         return df.groupBy(*keys).agg(*aggs, *sketches)
-    if df.count() <= slice_rows:
-        whole = [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in percentiles.items()]
-        return df.groupBy(*keys).agg(*aggs, *whole)
     result = df.groupBy(*keys).agg(*(aggs or [F.lit(True).alias("_any")]))
+    if not keys:
+        df, result = df.withColumn("_all", F.lit(0)), result.withColumn("_all", F.lit(0))
     for column in dict.fromkeys(c for c, _ in percentiles.values()):
         wanted = {n: p for n, (c, p) in percentiles.items() if c == column}
-        found = _sliced_percentiles(df, keys, column, wanted, slice_rows)
-        result = join_keys(result, found, keys) if keys else merge_by_key([], result, found)
-    return result.drop("_any")
+        result = join_keys(result, _percentiles(df, keys or ["_all"], column, wanted, cell), keys or ["_all"])
+    return result.drop("_any", "_all")
 
 
 def merge_by_key(keys: list[str], *parts: DataFrame) -> DataFrame:
@@ -265,8 +212,8 @@ def merge_by_key(keys: list[str], *parts: DataFrame) -> DataFrame:
     return merged.select(*keys, *[F.col(f"_p{i}.{c}").alias(c) for i, cs in enumerate(own) for c in cs])
 
 
-def _sliced_percentiles(
-    df: DataFrame, keys: list[str], column: str, wanted: dict[str, float], slice_rows: int
+def _percentiles(
+    df: DataFrame, keys: list[str], column: str, wanted: dict[str, float], cell: int | None
 ) -> DataFrame:
     counts = (
         df.filter(F.col(column).isNotNull())
@@ -274,13 +221,8 @@ def _sliced_percentiles(
         .agg(F.count("*").alias("_n"))
     )
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    values = df.select(F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    splits = slice_splits(values, "_v", slice_rows)
-    upto = running_total(counts, keys, "_v", "_n", "_upto", splits=splits)
-    if keys:
-        ranked = join_keys(upto, totals, keys)
-    else:
-        ranked = upto.withColumn("_total", F.lit(totals.first()["_total"]).cast("bigint"))
+    upto = running_total(counts, keys, "_v", "_n", "_upto", cell=cell)
+    ranked = join_keys(upto, totals, keys)
 
     def at(rank: Column) -> Column:
         holds = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))

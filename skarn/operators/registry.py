@@ -88,13 +88,13 @@ def publish_version(
     )
 
 
-def usage_positions(usage: DataFrame, order: str, slice_rows: int | None = None) -> DataFrame:
+def usage_positions(usage: DataFrame, order: str, cell: int | None = None) -> DataFrame:
     """Run ids per version with their place in the version's list, one row each.
 
     Rows in place of arrays: a version that everything uses does not become one huge value.
     """
     ones = usage.withColumn("_one", F.lit(1).cast("bigint"))
-    placed = running_total(ones, ["version_id"], order, "_one", "position", tie=["run_id"], slice_rows=slice_rows)
+    placed = running_total(ones, ["version_id"], order, "_one", "position", tie=["run_id"], cell=cell)
     return placed.select("version_id", "position", "run_id")
 
 

@@ -14,7 +14,7 @@ LATENCY_SLO_MS, ERROR_SLO = 500, 0.01
 BANDWIDTHS = ("hbm_bandwidth_gbps", "pcie_bandwidth_gbps")
 
 
-def telemetry_hourly(telemetry: DataFrame, *, exact: bool = True, slice_rows: int | None = None) -> DataFrame:
+def telemetry_hourly(telemetry: DataFrame, *, exact: bool = True, cell: int | None = None) -> DataFrame:
     """Per node, device and hour: averages, maxima, 95th percentile, sample count."""
     clean = telemetry.withColumns({c: sentinel_to_null(F.col(c)) for c in BANDWIDTHS})
     hourly = clean.withColumn("hour", trunc_ts(telemetry, "hour", "ts"))
@@ -34,7 +34,7 @@ def telemetry_hourly(telemetry: DataFrame, *, exact: bool = True, slice_rows: in
         ],
         {"p95_utilization_pct": ("utilization_pct", 0.95)},
         exact=exact,
-        slice_rows=slice_rows,
+        cell=cell,
     ).withColumn("date", F.to_date("hour"))
 
 

@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from skarn.operators import ordered
-from skarn.operators.ordered import asof_last, ordinal, running_total, slice_of, slice_splits, top_n
+from skarn.operators.ordered import asof_last, cell_width, ordinal, running_total, top_n
 
 # Trend bounds of the loss slope.
 IMPROVING, DIVERGING = -0.001, 0.001
+#: Days of a cell of the gap rule, which runs in Python per key and cell.
+GAP_CELLS = 7
 # Order of time sensitivity.
 SENSITIVITY = ("immediate", "high", "medium", "low")
 
@@ -30,7 +31,7 @@ def latest_per_key(
 
 
 def counter_deltas(
-    df: DataFrame, keys: list[str], ts: str, counters: list[str], slice_rows: int | None = None
+    df: DataFrame, keys: list[str], ts: str, counters: list[str], cell: int | None = None
 ) -> DataFrame:
     """Increase of every counter since the previous scrape, 0 after a reset, from 0 at the first.
 
@@ -38,12 +39,8 @@ def counter_deltas(
     """
     other = [c for c in df.columns if c not in {*keys, ts, *counters}]
     scrapes = df.groupBy(*keys, ts).agg(*[F.max(c).alias(c) for c in [*counters, *other]])
-    if df.count() <= (slice_rows or ordered.SLICE_ROWS):
-        before = W.partitionBy(*keys).orderBy(ts)
-        prior = {c: F.lag(c).over(before) for c in counters}
-    else:
-        scrapes = asof_last(scrapes, scrapes, keys, ts, ts, counters, "_prev", strict=True, slice_rows=slice_rows)
-        prior = {c: F.col(f"_prev.{c}") for c in counters}
+    scrapes = asof_last(scrapes, scrapes, keys, ts, ts, counters, "_prev", strict=True, cell=cell)
+    prior = {c: F.col(f"_prev.{c}") for c in counters}
     gain = lambda c: F.greatest(F.lit(0.0), F.col(c) - F.coalesce(prior[c], F.lit(0.0)))
     return scrapes.withColumns({f"{c}_delta": gain(c) for c in counters}).drop("_prev")
 
@@ -123,84 +120,76 @@ def action_dedup(
     ts: str,
     row_id: str = "id",
     seconds: int = 10,
-    slice_rows: int | None = None,
+    cell: int | None = None,
 ) -> DataFrame:
     """Per key in time order: a row is kept if none was kept in the seconds before it.
 
     Rows without a time wait for nothing and are kept.  Skipped rows do not extend the wait, so
     each decision depends on the one before.  Rows of one
-    instant are first reduced to their lowest id.  In slices, each one is summarised as "last time
-    kept on entry -> last time kept on exit", the summaries are chained per key, and every slice
+    instant are first reduced to their lowest id.  Each cell of time is summarised as "last time
+    kept on entry -> last time kept on exit", the summaries are chained per key, and every cell
     then runs on its own from its entry.
     """
     timed = actions.filter(F.col(ts).isNotNull())
     at = timed.select(*keys, ordinal(actions, ts).alias("_at"), F.col(row_id).alias("_id"))
     firsts = at.groupBy(*keys, "_at").agg(F.min("_id").alias("_id"))
     gap = seconds * (1000 if isinstance(actions.schema[ts].dataType, T.LongType) else 1_000_000)
-    splits = slice_splits(at, "_at", slice_rows)
     id_type = firsts.schema["_id"].dataType
     kept_schema = T.StructType([T.StructField("_id", id_type)])
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+    width = cell or GAP_CELLS * cell_width(actions.schema[ts].dataType)
+    cut = firsts.withColumn("_cell", F.floor(F.col("_at") / F.lit(width)).cast("bigint"))
+    group = [*keys, "_cell"]
+    key_fields = [cut.schema[c] for c in group]
+    array = T.ArrayType(T.LongType())
+    summary_schema = T.StructType([*key_fields, T.StructField("heads", array), T.StructField("exits", array)])
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf["_at"].to_numpy())
+        following = np.searchsorted(times, times + gap)
+        last = times.copy()
+        for i in range(len(times) - 1, -1, -1):
+            if following[i] < len(times):
+                last[i] = last[following[i]]
+        # Only times within one gap of the cell's start can be the first kept one.
+        some = min(int(np.searchsorted(times, times[0] + gap)) + 1, len(times))
+        heads, exits = times[:some], last[:some]
+        ends = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
+        row = {c: pdf[c].iloc[0] for c in group}
+        return pd.DataFrame([{**row, "heads": heads[ends].tolist(), "exits": exits[ends].tolist()}])
+
+    entry_schema = T.StructType([*key_fields, T.StructField("_last", T.LongType())])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, entries = pdf.sort_values("_cell"), None, []
+        for heads, exits in zip(pdf["heads"], pdf["exits"]):
+            entries.append(last)
+            i = 0 if last is None else int(np.searchsorted(heads, last + gap))
+            if i < len(exits):
+                last = int(exits[i])
+        out = pdf[group].copy()
+        out["_last"] = pd.array(entries, dtype="Int64")
+        return out
+
+    def replay(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
-        return pdf.iloc[_greedy(pdf["_at"].to_numpy(), gap, None)][["_id"]]
+        last = entry["_last"].iloc[0]
+        start = None if pd.isna(last) else int(last)
+        return pdf.iloc[_greedy(pdf["_at"].to_numpy(), gap, start)][["_id"]]
 
-    if not splits:
-        kept = firsts.groupBy(*keys).applyInPandas(keep, kept_schema)
-    else:
-        cut = firsts.withColumn("_slice", slice_of(F.col("_at"), splits).cast("int"))
-        group = [*keys, "_slice"]
-        key_fields = [cut.schema[c] for c in group]
-        array = T.ArrayType(T.LongType())
-        summary_schema = T.StructType([*key_fields, T.StructField("heads", array), T.StructField("exits", array)])
-
-        def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-            times = np.sort(pdf["_at"].to_numpy())
-            following = np.searchsorted(times, times + gap)
-            last = times.copy()
-            for i in range(len(times) - 1, -1, -1):
-                if following[i] < len(times):
-                    last[i] = last[following[i]]
-            # Only times within one gap of the slice's start can be the first kept one.
-            some = min(int(np.searchsorted(times, times[0] + gap)) + 1, len(times))
-            heads, exits = times[:some], last[:some]
-            ends = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
-            row = {c: pdf[c].iloc[0] for c in group}
-            return pd.DataFrame([{**row, "heads": heads[ends].tolist(), "exits": exits[ends].tolist()}])
-
-        entry_schema = T.StructType([*key_fields, T.StructField("_last", T.LongType())])
-
-        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf, last, entries = pdf.sort_values("_slice"), None, []
-            for heads, exits in zip(pdf["heads"], pdf["exits"]):
-                entries.append(last)
-                i = 0 if last is None else int(np.searchsorted(heads, last + gap))
-                if i < len(exits):
-                    last = int(exits[i])
-            out = pdf[group].copy()
-            out["_last"] = pd.array(entries, dtype="Int64")
-            return out
-
-        def replay(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_at")
-            last = entry["_last"].iloc[0]
-            start = None if pd.isna(last) else int(last)
-            return pdf.iloc[_greedy(pdf["_at"].to_numpy(), gap, start)][["_id"]]
-
-        summaries = cut.groupBy(*group).applyInPandas(summarise, summary_schema)
-        entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema)
-        kept = cut.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(replay, kept_schema)
+    summaries = cut.groupBy(*group).applyInPandas(summarise, summary_schema)
+    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema)
+    kept = cut.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(replay, kept_schema)
     decided = timed.join(kept.select(F.col("_id").alias(row_id)), row_id, "left_semi").select(actions.columns)
     return decided.unionByName(actions.filter(F.col(ts).isNull()))
 
 
 def delivery_health(
-    failures: DataFrame, key: str, ts: str, n: int = 3, seconds: int = 60, slice_rows: int | None = None
+    failures: DataFrame, key: str, ts: str, n: int = 3, seconds: int = 60, cell: int | None = None
 ) -> DataFrame:
     """Instants at which a key has more than ``n`` failures in the last seconds (both ends in).
 
-    Failures are counted per instant first.  Large inputs take the difference of two running
-    totals, so a hot key is cut over many tasks.
+    Failures are counted per instant first; the difference of two running totals cuts a hot key
+    over many tasks.
     """
     unit = 1000 if isinstance(failures.schema[ts].dataType, T.LongType) else 1_000_000
     per_instant = (
@@ -208,20 +197,15 @@ def delivery_health(
         .groupBy(key, ts, "_at").agg(F.count("*").alias("_n"))
     )
     reach = seconds * unit
-    if failures.count() <= (slice_rows or ordered.SLICE_ROWS):
-        win = W.partitionBy(key).orderBy("_at").rangeBetween(-reach, 0)
-        counted = per_instant.withColumn("failures", F.sum("_n").over(win))
-    else:
-        splits = slice_splits(failures.select(ordinal(failures, ts).alias("_at")), "_at", slice_rows)
-        upto = running_total(per_instant, [key], "_at", "_n", "_upto", splits=splits)
-        floor = upto.withColumn("_floor", F.col("_at") - reach)
-        counted = asof_last(
-            floor, upto, [key], "_floor", "_at", ["_upto"], "_before", strict=True, slice_rows=slice_rows
-        ).withColumn("failures", F.col("_upto") - F.coalesce("_before._upto", F.lit(0)))
+    upto = running_total(per_instant, [key], "_at", "_n", "_upto", cell=cell or cell_width(failures.schema[ts].dataType))
+    floor = upto.withColumn("_floor", F.col("_at") - reach)
+    counted = asof_last(
+        floor, upto, [key], "_floor", "_at", ["_upto"], "_before", strict=True, cell=cell or cell_width(failures.schema[ts].dataType)
+    ).withColumn("failures", F.col("_upto") - F.coalesce("_before._upto", F.lit(0)))
     return counted.filter(F.col("failures") > n).select(key, ts, "failures")
 
 
-def cell_ring_rank(cells: DataFrame, events: DataFrame, slice_rows: int | None = None) -> DataFrame:
+def cell_ring_rank(cells: DataFrame, events: DataFrame, cell: int | None = None) -> DataFrame:
     """Cells of an event ranked outwards by distance from its epicentre (in degrees)."""
     centre = events.select(F.col("id").alias("event_id"), F.col("lat").alias("_y"), F.col("lng").alias("_x"))
     dy, dx = F.col("lat") - F.col("_y"), F.col("lng") - F.col("_x")
@@ -230,7 +214,7 @@ def cell_ring_rank(cells: DataFrame, events: DataFrame, slice_rows: int | None =
         .withColumn("_d", F.sqrt(dy * dy + dx * dx))
         .withColumn("_one", F.lit(1).cast("bigint"))
     )
-    ranked = running_total(away, ["event_id"], "_d", "_one", "ring_rank", tie=["id"], slice_rows=slice_rows)
+    ranked = running_total(away, ["event_id"], "_d", "_one", "ring_rank", tie=["id"], cell=cell)
     return ranked.select(*cells.columns, "ring_rank")
 
 

@@ -26,11 +26,11 @@ def corpus_clean(docs: DataFrame, language: Column | None = None) -> DataFrame:
 
 
 def training_dataset(
-    clean: DataFrame, shards: int, slice_rows: int | None = None
+    clean: DataFrame, shards: int
 ) -> DataFrame:
     """Admitted documents with shard and offset, ready for an immutable version."""
     admitted = op.corpus_admit(clean)
-    return op.shard_assign(admitted, shards, slice_rows=slice_rows).select(
+    return op.shard_assign(admitted, shards).select(
         "document_id", "source", "dedup_hash", "token_count_estimate", "quality_score",
         "quality_tier", "file_path", "shard_id", "shard_offset",
     )

@@ -1,6 +1,5 @@
-"""The sliced forms give what the plain forms give, with hot keys, ties and tiny slices."""
+"""Cells of any width give what models give, with hot keys, ties and null keys."""
 
-import bisect
 import random
 from collections import defaultdict
 
@@ -27,13 +26,35 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "id bigint, key string, at bigint, v double")
 
 
-@pytest.mark.parametrize("splits", [[], [3], [1, 4, 4, 4, 9], list(range(0, 100, 3))])
-def test_slice_of_counts_cut_points(spark, splits):
-    xs = spark.range(-2, 110).select("id", od.slice_of(F.col("id"), splits).alias("lo"),
-                                     od.slice_of(F.col("id"), splits, inclusive=True).alias("hi"))
-    for r in xs.collect():
-        assert r["lo"] == bisect.bisect_left(splits, r["id"])
-        assert r["hi"] == bisect.bisect_right(splits, r["id"])
+def test_cells_rise_with_the_value(spark):
+    df = spark.range(-300, 300).selectExpr("id", "id * id * id / 7.0D as v", "timestamp_millis(id * 9000000) as t")
+    rows = df.select("id", od.cell_of(df, "id", 7).alias("a"), od.cell_of(df, "v").alias("b"), od.cell_of(df, "t").alias("c")).orderBy("id").collect()
+    for x, y in zip(rows, rows[1:]):
+        assert x["a"] <= y["a"] and x["b"] <= y["b"] and x["c"] <= y["c"]
+    assert len({r["c"] for r in rows}) > 60
+
+
+def test_building_a_plan_runs_no_job(spark):
+    group = "plan-only"
+    spark.sparkContext.setJobGroup(group, group)
+    rows = frame(spark, skewed(11))
+    od.asof_last(rows, rows, ["key"], "at", "at", ["id"])
+    od.summarise(rows, ["key"], [], {"p": ("v", 0.5)})
+    wn.counter_deltas(rows.drop("id"), ["key"], "at", ["v"])
+    wn.delivery_health(rows, "key", "at")
+    wn.action_dedup(rows, ["key"], "at")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert list(jobs) == []
+
+
+def test_asof_ties_and_null_keys(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, None, 5), (3, "b", 5)], "id int, key string, at bigint")
+    right = spark.createDataFrame([("a", 5, 7.0), ("a", 5, 9.0), (None, 5, 1.0), ("a", 4, 99.0)], "key string, at bigint, v double")
+    for cell in (None, 1, 3):
+        for parts in (1, 5):
+            got = od.asof_last(left, right.repartition(parts), ["key"], "at", "at", ["v"], "m", cell=cell).collect()
+            assert {r["id"]: r["m"] and r["m"]["v"] for r in got} == {1: 9.0, 2: None, 3: None}
 
 
 def asof_model(left, right, forward, strict):
@@ -54,12 +75,12 @@ def asof_model(left, right, forward, strict):
 
 @pytest.mark.parametrize("forward", [False, True])
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("slice_rows", [None, 40, 7])
-def test_asof(spark, forward, strict, slice_rows):
+@pytest.mark.parametrize("cell", [None, 40, 7])
+def test_asof(spark, forward, strict, cell):
     left, right = skewed(1), skewed(2, 300)
     got = od.asof_last(
         frame(spark, left), frame(spark, right), ["key"], "at", "at", ["id"], "m",
-        forward=forward, strict=strict, tie="id", slice_rows=slice_rows,
+        forward=forward, strict=strict, tie="id", cell=cell,
     ).collect()
     want = asof_model(left, right, forward, strict)
     assert len(got) == len(left)
@@ -67,10 +88,10 @@ def test_asof(spark, forward, strict, slice_rows):
         assert (r["m"] and r["m"]["ts"], r["m"] and r["m"]["id"]) == want[r["id"]], r
 
 
-@pytest.mark.parametrize("slice_rows", [None, 50, 9])
-def test_running_total(spark, slice_rows):
+@pytest.mark.parametrize("cell", [None, 50, 9])
+def test_running_total(spark, cell):
     rows = list({(k, at): (i, k, at, v) for i, k, at, v in skewed(3)}.values())
-    got = od.running_total(frame(spark, rows), ["key"], "at", "v", "s", slice_rows=slice_rows)
+    got = od.running_total(frame(spark, rows), ["key"], "at", "v", "s", cell=cell)
     for r in got.collect():
         assert r["s"] == sum(v for _, k, at, v in rows if k == r["key"] and at <= r["at"])
 
@@ -81,7 +102,7 @@ def test_exact_percentiles(spark, keys):
     wanted = {"p10": ("v", 0.1), "p50": ("v", 0.5), "p95": ("v", 0.95), "at99": ("at", 0.99)}
     aggs = [F.count("*").alias("n")]
     plain = od.summarise(df, keys, aggs, wanted).collect()
-    cut = od.summarise(df, keys, aggs, wanted, slice_rows=25).collect()
+    cut = od.summarise(df, keys, aggs, wanted, cell=200).collect()
     key = lambda r: r["key"] if keys else 0
     plain, cut = {key(r): r for r in plain}, {key(r): r for r in cut}
     assert plain.keys() == cut.keys()
@@ -99,10 +120,10 @@ def greedy_model(rows, gap):
     return kept
 
 
-@pytest.mark.parametrize("slice_rows", [None, 60, 11])
-def test_action_dedup(spark, slice_rows):
+@pytest.mark.parametrize("cell", [None, 60_000, 11_000])
+def test_action_dedup(spark, cell):
     rows = [(i, k, at * 1000, v) for i, k, at, v in skewed(5)]
-    got = wn.action_dedup(frame(spark, rows), ["key"], "at", seconds=9, slice_rows=slice_rows)
+    got = wn.action_dedup(frame(spark, rows), ["key"], "at", seconds=9, cell=cell)
     assert {r["id"] for r in got.collect()} == greedy_model(rows, 9000)
 
 
@@ -111,10 +132,10 @@ def test_action_dedup_without_times(spark):
     assert {r["id"] for r in wn.action_dedup(rows, ["key"], "at").collect()} == {1, 2, 4}
 
 
-@pytest.mark.parametrize("slice_rows", [None, 50])
-def test_delivery_health(spark, slice_rows):
+@pytest.mark.parametrize("cell", [None, 50_000])
+def test_delivery_health(spark, cell):
     rows = [(i, k, at * 1000, v) for i, k, at, v in skewed(6)]
-    got = wn.delivery_health(frame(spark, rows), "key", "at", n=5, seconds=4, slice_rows=slice_rows)
+    got = wn.delivery_health(frame(spark, rows), "key", "at", n=5, seconds=4, cell=cell)
     want = {}
     for _, k, at, _ in rows:
         n = sum(1 for _, k2, t, _ in rows if k2 == k and at - 4000 <= t <= at)
@@ -123,10 +144,10 @@ def test_delivery_health(spark, slice_rows):
     assert {(r["key"], r["at"]): r["failures"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("slice_rows", [None, 50])
-def test_counter_deltas(spark, slice_rows):
+@pytest.mark.parametrize("cell", [None, 50])
+def test_counter_deltas(spark, cell):
     rows = skewed(7)
-    got = wn.counter_deltas(frame(spark, rows).drop("id"), ["key"], "at", ["v"], slice_rows=slice_rows).collect()
+    got = wn.counter_deltas(frame(spark, rows).drop("id"), ["key"], "at", ["v"], cell=cell).collect()
     top = {}
     for _, k, at, v in rows:
         top[k, at] = max(v, top.get((k, at), 0.0))
@@ -148,7 +169,7 @@ def test_shard_offsets_are_dense(spark):
 
     docs = spark.range(500).selectExpr("concat('d', id) as document_id")
     plain = {r["document_id"]: tuple(r) for r in shard_assign(docs, 3).collect()}
-    cut = {r["document_id"]: tuple(r) for r in shard_assign(docs, 3, slice_rows=40).collect()}
+    cut = {r["document_id"]: tuple(r) for r in shard_assign(docs, 3, cell=1 << 57).collect()}
     assert plain == cut
     for shard in range(3):
         offsets = sorted(r[2] for r in cut.values() if r[1] == shard)
