@@ -231,7 +231,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     from pyspark.sql.pandas.types import to_arrow_type
 
     conv_type = to_arrow_type(rows.schema["conv"].dataType)
-    both = rows.join(ways, "slice").sortWithinPartitions("slice", "at")
+    # Dealt after the join, which may be split at large keys: a slice has to be in one task.
+    both = rows.join(ways, "slice").repartition("slice").sortWithinPartitions("slice", "at")
     return both.mapInArrow(apply, f"conv_id {types['conv']}, part int, n_turns int, cost double, roles array<string>, actions array<string>, text string")
 
 

@@ -308,7 +308,8 @@ def extract(pages: DataFrame) -> DataFrame:
     shared = shared.select(*(F.col(k).alias(f"_{k}") for k in KEYS), "shared")
     packed = pages.select("page_id", "url", F.xxhash64("html").alias("h"), _pack("html").alias("packed"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS]
-    found = packed.join(shared, same[0] & same[1] & same[2], "left")
+    # A merge join at every size: the functions on either side of it run in different stages.
+    found = packed.join(shared.hint("merge"), same[0] & same[1] & same[2], "left")
     return found.select("page_id", "url", _text("packed", "shared").alias("t")).select("page_id", "url", "t.*")
 
 

@@ -208,7 +208,9 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     going_on = written(different.select("line", "first").join(going_on, "line", "left_semi"), "candidates")
 
     wanted = going_on.groupBy(F.col("first.key").alias("of")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "line", "first")).alias("lines"))
-    texts = rows.select("key", _pack("text").alias("packed")).join(wanted, F.col("key").eqNullSafe(F.col("of")))
+    # Merge joins at every size: the functions before and after them then run in different stages, so a
+    # task has one Python worker.
+    texts = rows.select("key", _pack("text").alias("packed")).join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("of")))
     neighbours = written(_neighbourhoods(texts).dropDuplicates(["line"]), "neighbourhoods")
     near = written(_near(neighbours), "near").withColumn("near", F.lit(True))
 
@@ -228,7 +230,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """
     where = written(repeats(docs, text, key).select(F.col("key").alias("_key"), F.col("dropped").alias("_dropped")), "dropped")
     packed = docs.withColumn(text, _pack(F.col(text).cast("string")))
-    met = packed.join(where, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(text, _without(text, "_dropped"))
+    met = packed.join(where.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(text, _without(text, "_dropped"))
     return met.drop("dropped", "_key").withColumnRenamed("_dropped", "dropped")
 
 

@@ -222,7 +222,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, row = encoder(path), TaskContext.get().partitionId() << 40
-        for b in slices(batches, 2048):
+        for b in slices(batches, 1024):
             out: list[list[int]] = [[], [], [], [], [], []]
             for k, ids in enumerate(coder.batch(b.column(1).to_pylist())):
                 ids = np.append(ids, coder.kind.type(end_id)).astype("<u4")

@@ -67,7 +67,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int | None, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         end = b"" if end_id is None else np.array([end_id], coder.kind).tobytes()
-        for b in slices(batches, 2048):
+        for b in slices(batches, 1024):
             ids = [x.tobytes() + end for x in coder.batch(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), _binary(ids)], ["key", "ids"])
 
@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str |
     place[order] = np.arange(size)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2048):
+        for b in slices(batches, 1024):
             ids = [np.frombuffer(x, kind) for x in b.column(1).to_pylist()]
             pairs = [pack_ids(place[x]) for x in ids]
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +148,7 @@ def read_token_files(spark, folder: str, order: np.ndarray) -> DataFrame:
     ids = order.astype("<u4")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2048):
+        for b in slices(batches, 1024):
             n, control, data = (b.column(c).to_pylist() for c in ("n_tokens", "control", "data"))
             out = [ids[unpack_ids(*x)] for x in zip(n, control, data)]
             yield pa.RecordBatch.from_arrays(

@@ -25,7 +25,7 @@ REMEMBERED_WORDS, REMEMBERED_PARTS = 80_000, 150_000
 #: A word is remembered if a portion of the texts has it so many times.
 COMMON = 3
 #: Characters of text coded at a time.
-PORTION = 2_000_000
+PORTION = 1_500_000
 
 #: Contractions that the vocabulary's pattern takes as words of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
