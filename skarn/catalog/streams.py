@@ -115,7 +115,7 @@ def _(v):
               AND a.created_at = k.created_at""",
 )
 def _(v):
-    kept = state.action_dedup(live(v, "actions"), ["action_type", "resource_id"], "created_at", seconds=86_400)
+    kept = state.action_dedup(live(v, "actions"), ["action_type", "resource_id"], "created_at", seconds=86_400, lateness="0 seconds")
     with state.rocksdb(v.spark):
         return finish(v, kept, "actions").select("id")
 
@@ -135,7 +135,7 @@ f AS (SELECT b.*, n.timestamp_ms AS nms, n.utilization_pct AS nu, n.device_id AS
 SELECT alert_id, node_id, CASE WHEN ms - bms < 3600000 THEN bu WHEN nms - ms < 3600000 THEN nu END AS gpu_utilization_pct,
        CASE WHEN ms - bms < 3600000 THEN bd WHEN nms - ms < 3600000 THEN nd END AS gpu_device_id
 FROM f WHERE ms - bms < 3600000 OR nms IS NOT NULL
-          OR ms + 3600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 30000)
+          OR ms + 3600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events))
 """
 
 
@@ -147,7 +147,7 @@ def live_quiet_telemetry(v) -> DataFrame:
 
 @query("stream_alert_join", STREAM_JOIN)
 def _(v):
-    joined = state.alert_join(live(v, "alerts"), live_quiet_telemetry(v))
+    joined = state.alert_join(live(v, "alerts"), live_quiet_telemetry(v), lateness="0 seconds")
     with state.rocksdb(v.spark):
         rows = finish(v, joined, "alert-join")
     return rows.select("alert_id", "node_id", "gpu_utilization_pct", "gpu_device_id")
@@ -163,7 +163,7 @@ def _(v):
 )
 def _(v):
     base = scratch_dir(v.spark, "alerts")
-    job = jobs.alert_job(live(v, "alerts"), live_quiet_telemetry(v), v.nodes, v.k8s, f"{base}/out", f"{base}/checkpoint")
+    job = jobs.alert_job(live(v, "alerts"), live_quiet_telemetry(v), v.nodes, v.k8s, f"{base}/out", f"{base}/checkpoint", "0 seconds")
     job.awaitTermination()
     body = "alert_id STRING, gpu_utilization_pct DOUBLE, hostname STRING, pod_phase STRING"
     messages = v.spark.read.schema("key STRING, value STRING").parquet(f"{base}/out")

@@ -85,10 +85,11 @@ def corpus_job(
 
 
 def alert_job(
-    alerts: DataFrame, telemetry: DataFrame, nodes: DataFrame, events: DataFrame, out: str, checkpoint: str, **trigger
+    alerts: DataFrame, telemetry: DataFrame, nodes: DataFrame, events: DataFrame, out: str, checkpoint: str,
+    lateness: str = "30 seconds", **trigger
 ) -> StreamingQuery:
     """Alerts joined with telemetry (state), nodes and pod events (tables), as keyed JSON messages."""
-    with_gpu = alert_join(alerts, telemetry)
+    with_gpu = alert_join(alerts, telemetry, lateness=lateness)
     wide = jn.k8s_enrich(jn.node_enrich(with_gpu, nodes), events)
     messages = sink_json(wide, event_key(F.col("node_id"), F.col("alert_id")))
     with rocksdb(alerts.sparkSession):

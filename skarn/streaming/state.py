@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -35,35 +36,109 @@ _OUT = ["alert", *GPU.values()]
 _KINDS = {n: "float64" for n in list(GPU.values())[:3]}
 
 
-class AlertGpuProcessor(StatefulProcessor):
+#: Milliseconds of event time whose waiting rows are one state value.
+SPAN_MS = 60_000
+
+
+class Timeline(StatefulProcessor):
+    """Holds rows until the watermark has passed them, then plays them in time order.
+
+    However rows are cut into Arrow batches and whatever their order, ``play`` sees the rows of a key
+    in the order of their time.  Waiting rows are kept by spans of time, a state value each, and
+    leave the state when they are played.  Input has ``at_ms``; rows without it are given to ``loose``.
+    ``rest`` is asked again ``wait_ms`` after the last row.
+    """
+
+    wait_ms: int
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "span long", "rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            timeless = chunk["at_ms"].isna()
+            if timeless.any():
+                yield self.loose(chunk[timeless])
+                chunk = chunk[~timeless]
+            for span, part in chunk.groupby(chunk["at_ms"].astype("int64") // SPAN_MS):
+                kept = self._rows(span)
+                part = part if kept is None else pd.concat([kept, part])
+                self.held.updateValue((int(span),), (pickle.dumps(part),))
+                last = int(part["at_ms"].max())
+                self.handle.registerTimer(last)
+                # Set now: a timer that is set while timers fire may already be over.
+                self.handle.registerTimer(last + self.wait_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        span = now // SPAN_MS
+        rows = self._rows(span)
+        if rows is not None:
+            due = rows["at_ms"] <= now
+            if due.all():
+                self.held.removeKey((int(span),))
+            elif due.any():
+                self.held.updateValue((int(span),), (pickle.dumps(rows[~due]),))
+            if due.any():
+                yield from self.play(rows[due])
+        yield from self.rest(now)
+
+    def _rows(self, span: int) -> pd.DataFrame | None:
+        return pickle.loads(self.held.getValue((int(span),))[0]) if self.held.containsKey((int(span),)) else None
+
+    def loose(self, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def play(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def rest(self, now: int) -> Iterator[pd.DataFrame]:
+        """What is due at a time besides rows."""
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class AlertGpuProcessor(Timeline):
     """Keeps the latest telemetry of a node and the alerts that wait for the next one.
 
     Both live for ``ttl_ms`` of event time: an older sample does not count for an alert, and an
-    alert that waited that long leaves without telemetry.
+    alert that waited that long leaves without telemetry.  Of samples at one instant the one of the
+    highest device counts.
     """
 
     def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+        self.ttl_ms = self.wait_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.latest = handle.getValueState("latest", f"at_ms long, {_GPU_SCHEMA}")
         self.waiting = handle.getListState("waiting", "at_ms long, alert string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for chunk in rows:
-            found = self._match(chunk)
-            if len(found):
-                yield found[_OUT].astype(_KINDS)
+    def loose(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return self._bare(rows.loc[rows["is_alert"], "alert"].tolist())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def play(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        found = self._match(rows.sort_values(["at_ms", "gpu_device_id"], kind="stable", na_position="first"))
+        if len(found):
+            yield found[_OUT].astype(_KINDS)
+
+    def rest(self, now: int) -> Iterator[pd.DataFrame]:
+        limit = now - self.ttl_ms
+        if self.latest.exists() and self.latest.get()[0] <= limit:
+            self.latest.clear()
         held = list(self.waiting.get()) if self.waiting.exists() else []
-        limit = expiredTimerInfo.getExpiryTimeInMs() - self.ttl_ms
-        done = [r for r in held if r[0] <= limit]
+        done = [r[1] for r in held if r[0] <= limit]
         if done:
             self._keep([r for r in held if r[0] > limit])
-            bare = pd.DataFrame({"alert": [r[1] for r in done]}).reindex(columns=_OUT)
-            yield bare.astype({**_KINDS, "gpu_device_id": "object"})
+            yield self._bare(done)
+
+    @staticmethod
+    def _bare(alerts: list[str]) -> pd.DataFrame:
+        bare = pd.DataFrame({"alert": alerts}).reindex(columns=_OUT)
+        return bare.astype({**_KINDS, "gpu_device_id": "object"})
 
     def _keep(self, rows: list[tuple]) -> None:
         if rows:
@@ -72,9 +147,7 @@ class AlertGpuProcessor(StatefulProcessor):
             self.waiting.clear()
 
     def _match(self, chunk: pd.DataFrame) -> pd.DataFrame:
-        """Alerts of this chunk and waiting ones against its samples and the kept sample."""
-        # Rows that arrive together are put in time order.
-        chunk = chunk.sort_values("at_ms", kind="stable")
+        """Alerts of these rows and waiting ones against their samples and the kept sample."""
         fields = ["at_ms", *GPU.values()]
         samples = chunk.loc[~chunk["is_alert"], fields]
         if self.latest.exists():
@@ -104,14 +177,9 @@ class AlertGpuProcessor(StatefulProcessor):
             hit = pd.concat([asked.reset_index(drop=True), gpu], axis=1)
             later = later | pd.Series(fresh)
         wait = hit.reset_index(drop=True)[~later.to_numpy()]
-        for at in wait["at_ms"]:
-            self.handle.registerTimer(int(at) + self.ttl_ms)
         self._keep(list(zip(wait["at_ms"], wait["alert"])))
         return hit.reset_index(drop=True)[later.to_numpy()]
 
-    def close(self) -> None:
-        pass
-
 
 def alert_join(
     alerts: DataFrame, telemetry: DataFrame, ttl_seconds: int = 3600, alert_ts: str = "triggered_at",
@@ -119,8 +187,8 @@ def alert_join(
 ) -> DataFrame:
     """Alerts of a stream with telemetry of their node: the latest within the TTL, else the next one.
 
-    The stream form of the batch join; alerts that find none leave once the watermark has passed
-    their TTL.
+    The stream form of the batch join: an alert is decided once the watermark has passed its time, or
+    that of the next sample; one that finds none leaves when its TTL has passed.
     """
     schema = alerts.schema
     none = {n: F.lit(None).cast("string" if n == "gpu_device_id" else "double").alias(n) for n in GPU.values()}
@@ -143,36 +211,52 @@ def alert_join(
     return joined.select(F.from_json("alert", schema).alias("a"), *GPU.values()).select("a.*", *GPU.values())
 
 
-class ActionGapProcessor(StatefulProcessor):
-    """Passes a row only if none of its key passed during the gap before it."""
+class ActionGapProcessor(Timeline):
+    """Passes a row only if none of its key passed during the gap before it.
+
+    Of rows at one instant the lowest id counts; the time of the last row that passed leaves the
+    state when the gap is over.
+    """
 
     def __init__(self, gap_ms: int, columns: list[str]):
-        self.gap_ms, self.columns = gap_ms, columns
+        self.gap_ms = self.wait_ms = gap_ms
+        self.columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.last = handle.getValueState("last", "at_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for chunk in rows:
-            chunk = chunk.sort_values(["at_ms", "row_id"], kind="stable")
-            times, kept = chunk["at_ms"].to_numpy(), []
-            last = self.last.get()[0] if self.last.exists() else None
-            i = 0 if last is None else int(times.searchsorted(last + self.gap_ms))
-            while i < len(times):
-                kept.append(i)
-                last = int(times[i])
-                i = int(times.searchsorted(last + self.gap_ms))
-            if kept:
-                self.last.update((last,))
-                yield chunk.iloc[kept][self.columns]
+    def loose(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[self.columns]
 
-    def close(self) -> None:
-        pass
+    def play(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = rows.sort_values(["at_ms", "row_id"], kind="stable")
+        times, kept = rows["at_ms"].to_numpy(), []
+        last = self.last.get()[0] if self.last.exists() else None
+        i = 0 if last is None else int(times.searchsorted(last + self.gap_ms))
+        while i < len(times):
+            kept.append(i)
+            last = int(times[i])
+            i = int(times.searchsorted(last + self.gap_ms))
+        if kept:
+            self.last.update((last,))
+            yield rows.iloc[kept][self.columns]
+
+    def rest(self, now: int) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[0] + self.gap_ms <= now:
+            self.last.clear()
+        return iter(())
 
 
-def action_dedup(actions: DataFrame, keys: list[str], ts: str, row_id: str = "id", seconds: int = 10) -> DataFrame:
-    """Stream form of the gap rule; rows are taken as they arrive, in time order where they come together."""
+def action_dedup(
+    actions: DataFrame, keys: list[str], ts: str, row_id: str = "id", seconds: int = 10, lateness: str = "30 seconds"
+) -> DataFrame:
+    """Stream form of the gap rule: rows are decided in time order once the watermark has passed them.
+
+    Rows without a time pass at once.
+    """
     rows = actions.withColumn("at_ms", ms_of_ts(F.col(ts))).withColumn("row_id", F.col(row_id))
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        ActionGapProcessor(seconds * 1000, actions.columns), actions.schema, "append", "None"
+    timed = rows.withColumn("_event", F.timestamp_millis("at_ms")).withWatermark("_event", lateness)
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        ActionGapProcessor(seconds * 1000, actions.columns), actions.schema, "append", "EventTime"
     )

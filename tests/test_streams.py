@@ -1,13 +1,14 @@
 """Streams in several batches and over restarts."""
 
 import random
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from skarn.operators import quality as ql, windows as wn
+from skarn.operators import joins as jn, quality as ql, windows as wn
 from skarn.sources import tables as tb
 from skarn.streaming import jobs, state
 
@@ -47,18 +48,56 @@ def test_watermark_drops_late_rows(spark, tmp_path):
     assert rows[T0]["avg_hbm_bandwidth_gbps"] is None and rows[T0]["avg_pcie_bandwidth_gbps"] == 2.0
 
 
-def test_action_gap_over_batches(spark, tmp_path):
+@contextmanager
+def arrow_rows(spark, n):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("n, shuffled", [(1, True), (20, True), (10_000, True), (7, False)])
+def test_action_gap_over_batches(spark, tmp_path, n, shuffled):
     rnd = random.Random(1)
     schema = "id string, k string, at timestamp"
     times = sorted(rnd.randrange(200) for _ in range(90))
     rows = [(f"a{i:03}", rnd.choice("xy"), T0 + timedelta(seconds=t)) for i, t in enumerate(times)]
-    stream = files(spark, str(tmp_path / "in"), schema, [rows[:30], rows[30:60], rows[60:]])
+    given = rnd.sample(rows, len(rows)) if shuffled else rows
+    end = [("end", "z", T0 + timedelta(hours=9))]  # moves the watermark past all others
+    stream = files(spark, str(tmp_path / "in"), schema, [given[:30], given[30:60] + [("none", "x", None)], given[60:], end])
     out = str(tmp_path / "out")
-    with state.rocksdb(spark):
-        jobs.append_rows(state.action_dedup(stream, ["k"], "at"), out, str(tmp_path / "c")).awaitTermination()
+    with state.rocksdb(spark), arrow_rows(spark, n):
+        jobs.append_rows(state.action_dedup(stream, ["k"], "at", lateness="1 hour"), out, str(tmp_path / "c")).awaitTermination()
     batch = wn.action_dedup(spark.createDataFrame(rows, schema), ["k"], "at")
     got = sorted(r["id"] for r in spark.read.parquet(out).collect())
-    assert got == sorted(r["id"] for r in batch.collect()) and 0 < len(got) < 90
+    assert got == sorted([*(r["id"] for r in batch.collect()), "none"]) and 0 < len(got) < 90
+
+
+@pytest.mark.parametrize("n", [1, 20, 10_000])
+def test_alert_join_is_the_batch_join(spark, tmp_path, n):
+    rnd = random.Random(2)
+    at = lambda s: T0 + timedelta(seconds=s)
+    alert = "alert_id string, node_id string, triggered_at timestamp"
+    sample = "node_id string, device_id string, timestamp_ms bigint, utilization_pct double, temperature_c double, power_draw_w double"
+    told = [(f"n{rnd.randrange(3)}", f"g{rnd.randrange(3)}", 1704067200000 + 1000 * rnd.randrange(20_000), rnd.random(), 1.0, 2.0) for _ in range(120)]
+    told = list({r[:3]: r for r in told}.values())
+    asked = [(f"a{i}", f"n{rnd.randrange(4)}", at(rnd.randrange(20_000))) for i in range(60)]
+    end = [("n9", "g", 1704067200000 + 10**9, 0.0, 0.0, 0.0)]
+    rnd.shuffle(told)
+    alerts = files(spark, str(tmp_path / "a"), alert, [asked[:30], asked[30:]])
+    telemetry = files(spark, str(tmp_path / "t"), sample, [told[:70], told[70:], end])
+    out = str(tmp_path / "out")
+    with state.rocksdb(spark), arrow_rows(spark, n):
+        jobs.append_rows(state.alert_join(alerts, telemetry, lateness="10 hours"), out, str(tmp_path / "c")).awaitTermination()
+    batch = jn.alert_telemetry_join(
+        spark.createDataFrame(asked, alert), spark.createDataFrame(told, sample).withColumn("ts", F.timestamp_millis("timestamp_ms"))
+    )
+    fields = ["alert_id", "gpu_utilization_pct", "gpu_device_id"]
+    got, want = ({tuple(r) for r in df.select(fields).collect()} for df in (spark.read.parquet(out), batch))
+    assert got == want and len(want) == 60 and any(r[1] is None for r in want)
 
 
 def test_alert_join_waits_for_telemetry(spark, tmp_path):
