@@ -205,14 +205,14 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     ends = different.select("line", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
     going_on = ends.join(shared, "end", "left_semi").select("line").distinct()
-    going_on = written(different.select("line", "first").join(going_on, "line", "left_semi"), "candidates")
+    going_on = different.select("line", "first").join(going_on, "line", "left_semi")
 
     wanted = going_on.groupBy(F.col("first.key").alias("of")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "line", "first")).alias("lines"))
     # Merge joins at every size: the functions before and after them then run in different stages, so a
     # task has one Python worker.
     texts = rows.select("key", _pack("text").alias("packed")).join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("of")))
     neighbours = written(_neighbourhoods(texts).dropDuplicates(["line"]), "neighbourhoods")
-    near = written(_near(neighbours), "near").withColumn("near", F.lit(True))
+    near = _near(neighbours).withColumn("near", F.lit(True))
 
     lines = different.select("line", "first").join(near, "line", "left")
     # The places are found again, which costs less than keeping them.
@@ -228,7 +228,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     document in the order: lines at the same place of it do not repeat each other, so repeated rows
     stay alike.
     """
-    where = written(repeats(docs, text, key).select(F.col("key").alias("_key"), F.col("dropped").alias("_dropped")), "dropped")
+    where = repeats(docs, text, key).select(F.col("key").alias("_key"), F.col("dropped").alias("_dropped"))
     packed = docs.withColumn(text, _pack(F.col(text).cast("string")))
     met = packed.join(where.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(text, _without(text, "_dropped"))
     return met.drop("dropped", "_key").withColumnRenamed("_dropped", "dropped")
