@@ -262,8 +262,8 @@ def liquefaction_lookup(
 
     ``polygons``: ``ord, class, ring array<struct<lng,lat>>``, ``ord`` unique; ``key`` names a point.
     Bounding boxes are indexed by grid cell as narrow rows.  A point meets the boxes of its cell,
-    and the rings of the boxes that hold it; only points inside a polygon come back, to be joined
-    by their key.
+    and the rings of the boxes that hold it; one aggregate by key takes the first hit.  Points that
+    are dealt by a part of their key stay where they are if Spark finds the polygons small.
     """
     key = list(key)
     lats, lngs = F.transform("ring", lambda v: v["lat"]), F.transform("ring", lambda v: v["lng"])
@@ -278,18 +278,17 @@ def liquefaction_lookup(
     )
     rings = polygons.select(F.col("ord").alias("_ord"), F.lower("class").alias("_class"), F.col("ring").alias("_ring"))
     cells = {"_cy": cell_index(F.col("lat"), res), "_cx": cell_index(F.col("lng"), res)}
-    lat, lng = F.col("lat"), F.col("lng")
-    first = (
-        points.select(*key, "lat", "lng").withColumns(cells).join(boxes, ["_cy", "_cx"])
-        .filter(lat.between(F.col("_y0"), F.col("_y1")) & lng.between(F.col("_x0"), F.col("_x1")))
-        .join(rings, "_ord").filter(inside_ring(lat, lng, F.col("_ring")))
-        .groupBy(*key).agg(F.min(F.struct("_ord", "_class"))["_class"].alias("_class"))
-    )
-    return (
-        points.join(first, key, "left")
-        .withColumn("liquefaction_class", F.coalesce("_class", F.lit(default)))
-        .select(*points.columns, "liquefaction_class")
+    lat, lng = F.col("p.lat"), F.col("p.lng")
+    near = (F.col("p._cy") == F.col("b._cy")) & (F.col("p._cx") == F.col("b._cx"))
+    inside_box = lat.between(F.col("b._y0"), F.col("b._y1")) & lng.between(F.col("b._x0"), F.col("b._x1"))
+    rest = [c for c in points.columns if c not in key]
+    met = (
+        points.withColumns(cells).alias("p").join(boxes.alias("b"), near & inside_box, "left")
+        .select(*[F.col(f"p.{c}").alias(c) for c in points.columns], "_ord").join(rings, "_ord", "left")
     )
+    hit = F.when(inside_ring(F.col("lat"), F.col("lng"), F.col("_ring")), F.struct("_ord", "_class"))
+    first = met.withColumn("_hit", hit).groupBy(*key).agg(*[F.any_value(c).alias(c) for c in rest], F.min("_hit").alias("_hit"))
+    return first.select(*points.columns, F.coalesce("_hit._class", F.lit(default)).alias("liquefaction_class"))
 
 
 def recent_action_antijoin(
