@@ -8,8 +8,12 @@ pieces by best fit, largest first. Between two epochs every island gets the elit
 its shard. A population stops early once a packing needs no more bins than the tokens demand.
 
 Bins that a shard leaves badly filled are taken apart, and their pieces form the shards of the next
-level, until one shard is left: a shard costs no half-empty bin of its own. Nothing but counts goes
-through the driver; a task holds one shard.
+level, until one shard is left: a shard costs no half-empty bin of its own. Pieces that no packing
+fills well (many copies of one length over half the capacity) would come back on every level. So a
+level that leaves more than ``PROGRESS`` of its pieces takes only the emptiest quarter of each
+shard's badly filled bins apart, and if even that leaves so many, it is the last. So every level but
+the last leaves fewer pieces by a fixed factor. Nothing but counts goes through the driver; a task
+holds one shard.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from skarn.llm.vocab import default_path, encoder
 SHARD, ISLANDS, POPULATION, CROSSOVERS, EPOCHS = 4096, 2, 3, 6, 2
 #: A bin with less of its capacity used is taken apart for the next level.
 WELL_FILLED = 0.995
+#: Most of a level's pieces that go on to the next, and the least bins' worth of tokens of a shard.
+PROGRESS, LEAST_BINS = 0.75, 4
 
 
 def best_fit(lengths: list[int], capacity: int, order: list[int], bins: np.ndarray, free: list[int]) -> None:
@@ -162,11 +168,15 @@ def _lay_out(capacity: int):
                 ends = np.cumsum(lengths[order])
                 firsts = np.flatnonzero(np.r_[True, np.diff(bins[order]) != 0])
                 base = np.repeat((ends - lengths[order])[firsts], np.diff(np.r_[firsts, len(order)]))
+                fills = work.fills(bins)
+                bad = np.flatnonzero((fills > 0) & (fills < WELL_FILLED * capacity))
+                emptiest = np.zeros(len(fills), bool)
+                emptiest[bad[np.argsort(fills[bad], kind="stable")][: -(-len(bad) // 4)]] = True
                 n = len(order)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, shard)), pa.array(np.array(rows)[order]), pa.array(lengths[order]), pa.array(bins[order]),
-                     pa.array(ends - lengths[order] - base), pa.array(work.fills(bins)[bins[order]])],
-                    ["shard", "row", "length", "bin", "offset", "fill"],
+                     pa.array(ends - lengths[order] - base), pa.array(fills[bins[order]]), pa.array(emptiest[bins[order]])],
+                    ["shard", "row", "length", "bin", "offset", "fill", "emptiest"],
                 )
 
     return run
@@ -179,8 +189,12 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """
     full = pieces.where(F.col("length") == capacity).select("row", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, done, level = pieces.where(F.col("length") < capacity).select("row", "length"), [full], 0
-    while count := rest.count():
-        shards = math.ceil(count / SHARD)
+    while True:
+        count, tokens = rest.agg(F.count("*"), F.sum("length")).first()
+        if not count:
+            break
+        # With fewer tokens a shard would be a bin or two; it still has LEAST_BINS * capacity pieces at most.
+        shards = min(math.ceil(count / SHARD), math.ceil(tokens / (LEAST_BINS * capacity)))
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)))
         # A shard's pieces are one row: about SHARD of them, since ``row`` is unique.
         problems = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("row", "length"))).alias("p"))
@@ -198,15 +212,19 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             # Migration: the elites of a shard's islands meet; ISLANDS of them at most.
             met = found.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("island", "elite"))).alias("e"))
             elites = written(met.select("shard", F.col("e.elite").alias("elites")), "elites")
-        schema = "shard long, row long, length long, bin long, offset long, fill long"
+        schema = "shard long, row long, length long, bin long, offset long, fill long, emptiest boolean"
         placed = written(problems.join(elites, "shard").select("shard", "rows", "lengths", "elites").mapInArrow(_lay_out(capacity), schema), "packed")
-        last = shards == 1
-        kept = placed if last else placed.where(F.col("fill") >= WELL_FILLED * capacity)
+        badly_filled = F.col("fill") < WELL_FILLED * capacity
+        again = F.lit(False)
+        if shards > 1:
+            for again in (badly_filled, badly_filled & F.col("emptiest"), F.lit(False)):
+                if placed.where(again).count() <= PROGRESS * count:
+                    break
         name = F.lit(level) * F.lit(1 << 56) + F.col("shard") * F.lit(1 << 24) + F.col("bin")
-        done.append(kept.select("row", name.alias("sequence_id"), "offset"))
-        if last:
+        done.append(placed.where(~again).select("row", name.alias("sequence_id"), "offset"))
+        if shards == 1:
             break
-        rest, level = placed.where(F.col("fill") < WELL_FILLED * capacity).select("row", "length"), level + 1
+        rest, level = placed.where(again).select("row", "length"), level + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

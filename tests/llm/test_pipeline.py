@@ -105,6 +105,30 @@ def test_many_shards(spark, monkeypatch):
     assert sequences <= 1.02 * least
 
 
+def test_pieces_that_fill_no_bin(spark, monkeypatch):
+    from skarn.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD", 20)
+    plain, calls = packing.written, []
+
+    def written(df, purpose):
+        calls.append(purpose)
+        assert len(calls) < 60, "the levels do not end"
+        return plain(df, purpose)
+
+    monkeypatch.setattr(packing, "written", written)
+    cases = [([1100] * 150, 150, 150), ([600] * 150, 50, 55), ([1] * 300, 1, 1), ([1025 + 7 * k for k in range(140)] + [300] * 10, 140, 145)]
+    for lengths, least, most in cases:
+        calls.clear()
+        pieces = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
+        rows, bins = packing.pack(pieces, 2048).collect(), {}
+        assert sorted(r["row"] for r in rows) == list(range(len(lengths)))
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == bins.get(r["sequence_id"], 0)
+            bins[r["sequence_id"]] = r["offset"] + lengths[r["row"]]
+        assert max(bins.values()) <= 2048 and least <= len(bins) <= most
+
+
 def test_crossover():
     rnd = np.random.default_rng(3)
     work = Shard(rnd.integers(100, 900, 200), 2048, 1)
