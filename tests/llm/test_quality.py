@@ -54,6 +54,28 @@ def test_bands(spark):
     assert quality_rules(docs.limit(0)).count() == 0
 
 
+def test_bands_come_from_good_documents():
+    import pyarrow.parquet as pq
+
+    from skarn.llm.quality import BANDS, LEAST_WORDS, bands_of
+
+    good = {r["doc_id"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist() if r["quality"] == 1}
+    texts = [r["text"].encode() for r in pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pylist() if r["doc_id"] in good and r["text"]]
+    texts = [t for t in texts if len(t.split()) >= LEAST_WORDS and 100 * repeated_words(t.split()) <= 30 * len(t.split())]
+    assert bands_of(texts) == BANDS
+
+
+def test_random_letters_and_hex_fall(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for letters, sizes in (("abcdefghijklmnopqrstuvwxyz", (1536, 2048, 4096, 16_000, 43_000)), ("0123456789abcdef", (3072, 4096, 16_000, 43_000)), ("abcdefghijklmnopqrstuvwxyz0123456789", (768, 2048, 43_000))):
+        for size in sizes:
+            rows += [(size, " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(size))[:size]) for _ in range(3)]
+    assert quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
 def test_repeats_at_the_edges():
     assert repeated_words([]) == 0
     assert repeated_words([b"a"] * 8) == 0
