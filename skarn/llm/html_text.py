@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,23 @@ BLOCK = set(
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section select summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that hold other blocks; only these are tracked to their end.
-HOLDERS = BLOCK - set("p li dt dd h1 h2 h3 h4 h5 h6 hr option optgroup html body td th tr tbody thead tfoot".split())
+#: Elements that a start tag ends although they have no end tag, and the elements beyond which it does not look for them.
+ENDS_P = BLOCK - set("body caption head html legend optgroup option select tbody td tfoot th thead tr".split())
+_ROWS = "tbody thead tfoot"
+IMPLIED = {
+    **{name: (set(ends.split()), set(within.split())) for names, ends, within in (
+        ("li", "li", "ul ol menu table td th"), ("dt dd", "dt dd", "dl table td th"), ("td th", "td th", "tr table"), ("tr", "tr", f"{_ROWS} table"),
+        (_ROWS, _ROWS, "table"), ("option optgroup", "option", "select optgroup"),
+    ) for name in names.split()},
+}
+#: An end tag of a block looks for its start up to these; one of another element up to any block.
+SCOPE = set("html table td th caption template".split())
+TABLE = {"table"}
+IN_TABLE = set("table caption thead tbody tfoot tr td th".split())
+#: Elements that class, id and role never make furniture: they hold or name what the page is about.
+UNMARKED = set("html body main article h1".split())
+HEADINGS = set("h2 h3 h4 h5 h6".split())
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Furniture by element, and by a word of class, id or role.
 FURNITURE = set("nav header footer aside form dialog menu search noscript template svg canvas object audio video button select head".split())
 NAMES = set(
@@ -62,7 +78,9 @@ def _marks(name: str, rest: str) -> tuple[bool, bool]:
     if rest:
         for key, value in _NAMED.findall(rest):
             value = value.strip("\"'").lower()
-            furniture |= not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
+            if name not in UNMARKED:
+                words = NAMES.intersection(re.split(r"[^a-z0-9]+", value))
+                furniture |= bool(words - {"header"} if name in HEADINGS else words)
             main |= key.lower() == "role" and value == "main"
     return furniture, main and not furniture
 
@@ -72,8 +90,8 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     page = page or ""
     out: list[tuple[str, int]] = []
     part: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open holders: name, furniture, main
-    inline: list[str] = []  # open furniture that is no holder, e.g. a marked span or list item
+    stack: list[tuple[str, bool, bool]] = []  # open elements: name, furniture, main
+    opened: Counter[str] = Counter()  # by name, so that a search of the stack is made only if it can find something
     furniture = main = 0
     article_seen = False
     at = 0
@@ -83,7 +101,25 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             line = " ".join("".join(part).split())
             part.clear()
             if line:
-                out.append((line, DROPPED if furniture or inline else ARTICLE if main else OPEN))
+                out.append((line, DROPPED if furniture else ARTICLE if main else OPEN))
+
+    def close(names: set[str], within: set[str]) -> None:
+        """End the innermost open element of these names, and all in it, unless it lies beyond one of ``within``."""
+        nonlocal furniture, main
+        if not any(opened[n] for n in names):
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                break
+            if stack[k][0] in within:
+                return
+        if any(f or m for _, f, m in stack[k:]):
+            end_line()
+        for name, f, m in stack[k:]:
+            opened[name] -= 1
+            furniture -= f
+            main -= m
+        del stack[k:]
 
     def add(text: str) -> None:
         if text:
@@ -100,41 +136,33 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if found[1]:
             if name in BLOCK:
                 end_line()
-            if inline and inline[-1] == name:
-                end_line()
-                inline.pop()
-            elif name in HOLDERS or name in FURNITURE:
-                if any(s[0] == name for s in stack):
-                    while True:
-                        was, f, m = stack.pop()
-                        furniture -= f
-                        main -= m
-                        if was == name:
-                            break
+            close({name}, TABLE if name in IN_TABLE else SCOPE if name in BLOCK or name in FURNITURE else BLOCK)
             continue
         if name == "br":
             part.append(" ")
             continue
         if name in BLOCK:
             end_line()
+        if opened["head"] and name not in IN_HEAD:
+            close({"head"}, set())
+        if opened["p"] and name in ENDS_P:
+            close({"p"}, SCOPE)
+        if name in IMPLIED:
+            close(*IMPLIED[name])
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
             continue
         if name in VOID or found[3].endswith("/") and name not in BLOCK:
             continue
         f, m = _marks(name, found[3])
-        if name in HOLDERS or name in FURNITURE:
-            end_line() if f or m else None
-            stack.append((name, f, m))
-            furniture += f
-            main += m
-            article_seen |= m
-        elif f:
+        if f or m:
             end_line()
-            inline.append(name)
-        elif inline and inline[-1] == name:
-            inline.append(name)
+        stack.append((name, f, m))
+        opened[name] += 1
+        furniture += f
+        main += m
+        article_seen |= m
     add(page[at:])
     end_line()
     if article_seen:

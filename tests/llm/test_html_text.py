@@ -57,6 +57,20 @@ def test_structure():
     assert lines("<p>a<script>never closed") == [("a", 1)]
 
 
+def test_names_do_not_mark_the_page_and_open_elements_end():
+    kept = lambda page: [t for t, mark in lines(page) if mark != 2]
+    assert kept('<html class="no-search"><body class="no-sidebar"><p>one<p>two</body></html>') == ["one", "two"]
+    assert kept('<body><article class="post has-comments"><p>text</article><p>else</body>') == ["text"]
+    assert kept('<body><main id="content-with-sidebar"><h1 class="post-header">Title</h1>text</main></body>') == ["Title", "text"]
+    assert kept('<article><p class="notice">take care<p>one<div><p class="ad">buy</div>two</article>') == ["one", "two"]
+    assert kept("<article><ul><li class=ad>buy<li>one<li class=promo>more</ul>two</article>") == ["one", "two"]
+    assert kept("<dl><dt class=ad>buy<dd>one<dt>two<dd class=promo>more</dl>three") == ["one", "two", "three"]
+    assert kept("<table><tr class=ad><td>buy<tr><td>one<td class=share>send<td>two<tr><td class=ad>x</table>three") == ["one", "two", "three"]
+    assert kept("<p>one <span class=ad>buy</p>two") == ["one", "two"]
+    assert kept("<div class=ad><ul><li>buy<li>now</ul><table><tr><td></div>still</table></div>two") == ["two"]
+    assert kept("<head><title>t</title><body><p>one") == ["one"]
+
+
 def _plain_page(i, host):
     menu = "".join(f"<div>{host} menu {k}</div>" for k in range(5))
     return f"<body>{menu}<div>words of page {i} alone</div><div>more of {i}</div><div>{host} imprint</div></body>"
