@@ -149,6 +149,20 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return docs.join(first.distinct(), key, "left_semi")
 
 
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each component, with all columns: that of the smallest key, null keys last.
+
+    Rows are told apart by a number of their own, so rows without a key, and rows that share one, are
+    rows like all others. Of rows with the smallest key of a component, the first one stays.
+    """
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    numbered = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    of = dict(zip(docs.columns, names))
+    found = near_duplicates(numbered.select(F.struct(F.col(of[key]).isNull().alias("none"), F.col(of[key]).alias("key"), "row").alias("place"), F.col(of[text]).alias("text")), "text", "place")
+    first = found.select(F.col("component_id.row").alias("row")).distinct()
+    return numbered.join(first, "row", "left_semi").select(*names).toDF(*docs.columns)
+
+
 def op7_simhash_near_dedup(spark, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -87,3 +87,15 @@ def test_edges(spark):
     kept = keep_first(clash)
     assert kept.columns == clash.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 2, 7]
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    from corpus_pipeline import near_duplicate_stage
+
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(5, text, 1), (2, text, 2), (2, text, 3), (None, text, 4), (None, "other words entirely here", 5), (None, other, 6), (None, other, 7), (8, "", 8), (7, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, f int")
+    got = near_duplicate_stage(spark, docs, FOLDER)
+    assert got.columns == docs.columns and got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert [r["f"] for r in got.orderBy("f").collect()] == [2, 5, 6, 9]
+    assert near_duplicate_stage(spark, docs.limit(0), FOLDER).count() == 0
