@@ -3,8 +3,9 @@
 Two lines are alike if they are one edit of a word apart at most: a word replaced, added or left
 out. Of lines that are alike, a later one goes and the earliest stays; a line that itself goes
 still counts as an earlier one. Order is document, then place in it. Lines of fewer than
-``LEAST_WORDS`` words, blank ones among them, are left alone: short lines repeat by chance, and one
-word is most of what they say.
+``LEAST_WORDS`` words have no neighbourhood, since one word is most of what they say; with
+``short_copies`` the later exact copies of those that have a word go, without it they are left alone.
+Blank lines always stay.
 
 1. Equal lines become one row with its first place. What is left are different lines.
 2. One edit leaves the first or the last words of a line as they are: of ``h`` words at either end,
@@ -131,21 +132,23 @@ def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([one_edit(x.split(), y.split()) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
 
-def _places(rows: DataFrame, ends: bool) -> DataFrame:
+def _places(rows: DataFrame, ends: bool, short: bool = False) -> DataFrame:
     """``key, at, line`` and, if asked for, ``ends``: every line that takes part, as hashes."""
 
+    least = 1 if short else LEAST_WORDS
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             who, at, line, keys = [], [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 for place, x in enumerate((text or "").encode().split(b"\n")):
                     words = x.split()
-                    if len(words) >= LEAST_WORDS:
+                    if len(words) >= least:
                         who.append(k)
                         at.append(place)
                         line.append(_hash(b" ".join(words)))
                         if ends:
-                            keys.append(end_keys(words))
+                            keys.append(end_keys(words) if len(words) >= LEAST_WORDS else [])
             columns = {"key": b.column(0).take(pa.array(who, pa.int64())), "at": pa.array(at, pa.int32()), "line": pa.array(line, pa.int64())}
             if ends:
                 columns["ends"] = pa.array(keys, pa.list_(pa.int64()))
@@ -196,11 +199,11 @@ def _near(lines: DataFrame) -> DataFrame:
     return pairs.where(_alike("words", "other_words")).select("line").distinct()
 
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", short_copies: bool = False) -> DataFrame:
     """``key, dropped``: places (from 0) of the lines of a document that go; no row if none does."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     first = F.min(F.struct("key", "at")).alias("first")
-    different = written(_places(rows, True).groupBy("line").agg(first, F.any_value("ends").alias("ends")), "different")
+    different = written(_places(rows, True, short_copies).groupBy("line").agg(first, F.any_value("ends").alias("ends")), "different")
 
     ends = different.select("line", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
@@ -216,11 +219,11 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
     lines = different.select("line", "first").join(near, "line", "left")
     # The places are found again, which costs less than keeping them.
-    gone = _places(rows, False).join(lines, "line").where(F.col("near") | (F.col("first") < F.struct("key", "at")))
+    gone = _places(rows, False, short_copies).join(lines, "line").where(F.col("near") | (F.col("first") < F.struct("key", "at")))
     return gone.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
 
 
-def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", short_copies: bool = False) -> DataFrame:
     """All columns of ``docs``, the text without its repeated lines, and ``dropped``, their places.
 
     ``dropped`` is null where nothing goes, and replaces a column of that name. A null text stays
@@ -228,7 +231,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     document in the order: lines at the same place of it do not repeat each other, so repeated rows
     stay alike.
     """
-    where = repeats(docs, text, key).select(F.col("key").alias("_key"), F.col("dropped").alias("_dropped"))
+    where = repeats(docs, text, key, short_copies).select(F.col("key").alias("_key"), F.col("dropped").alias("_dropped"))
     packed = docs.withColumn(text, _pack(F.col(text).cast("string")))
     met = packed.join(where.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(text, _without(text, "_dropped"))
     return met.drop("dropped", "_key").withColumnRenamed("_dropped", "dropped")

@@ -83,3 +83,12 @@ def test_planted(spark):
     twice = drop_repeats(frame.where("doc_id < 1").union(frame.where("doc_id < 1"))).collect()
     assert len(twice) == 2 and twice[0] == twice[1]
     assert drop_repeats(frame.limit(0)).count() == 0
+
+
+def test_short_copies(spark):
+    long = "one two three four five six seven eight"
+    rows = [(1, "MIT License.\n\n中文没有空格\nMIT licence."), (2, f"  MIT  License. \n\n中文没有空格\nword\n{long}"), (3, f"MIT License.\nwords\n{long} nine\nword")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = lambda **how: {r["doc_id"]: list(r["dropped"]) for r in drop_repeats(frame, **how).collect() if r["dropped"]}
+    assert gone(short_copies=True) == {2: [0, 2], 3: [0, 2, 3]}
+    assert gone() == {3: [2]}
