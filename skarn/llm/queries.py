@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from skarn.llm.byte_bpe import op13_byte_bpe
 from skarn.llm.chat import op10_chat_formatting
 from skarn.llm.decontamination import op3_benchmark_decontamination
 from skarn.llm.html_text import op1_html_extraction
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "pipeline": corpus_pipeline.run,
     "op10_chat_formatting": op10_chat_formatting,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
