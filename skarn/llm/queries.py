@@ -9,6 +9,7 @@ from skarn.llm.decontamination import op3_benchmark_decontamination
 from skarn.llm.html_text import op1_html_extraction
 from skarn.llm.line_dedup import op2_line_dedup
 from skarn.llm.packing import op5_best_fit_packing
+from skarn.llm.periodic import op12_periodic_runs
 from skarn.llm.quality import op8_quality_rules
 from skarn.llm.secrets import op4_secret_scans
 from skarn.llm.simhash import op7_simhash_near_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "pipeline": corpus_pipeline.run,
     "op10_chat_formatting": op10_chat_formatting,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
