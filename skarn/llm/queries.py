@@ -7,6 +7,7 @@ from skarn.llm.byte_bpe import op13_byte_bpe
 from skarn.llm.chat import op10_chat_formatting
 from skarn.llm.decontamination import op3_benchmark_decontamination
 from skarn.llm.html_text import op1_html_extraction
+from skarn.llm.lexical import ORACLE_SQL as SEARCH_SQL, op11_ranked_search
 from skarn.llm.line_dedup import op2_line_dedup
 from skarn.llm.packing import op5_best_fit_packing
 from skarn.llm.periodic import op12_periodic_runs
@@ -28,7 +29,8 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "pipeline": corpus_pipeline.run,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_ranked_search": op11_ranked_search,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_ranked_search": SEARCH_SQL}
