@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from skarn.operators.ordered import asof_last, cell_width, ordinal, running_total, top_n
+from skarn.operators.ordered import asof_last, cell_width, ordinal, previous_row, running_total, top_n
 
 # Trend bounds of the loss slope.
 IMPROVING, DIVERGING = -0.001, 0.001
@@ -39,7 +39,9 @@ def counter_deltas(
     """
     other = [c for c in df.columns if c not in {*keys, ts, *counters}]
     scrapes = df.groupBy(*keys, ts).agg(*[F.max(c).alias(c) for c in [*counters, *other]])
-    scrapes = asof_last(scrapes, scrapes, keys, ts, ts, counters, "_prev", strict=True, cell=cell)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, ts]])
+    first = scrapes.filter(~known).withColumn("_prev", F.lit(None).cast(scrapes.select(F.struct(*counters)).schema[0].dataType))
+    scrapes = previous_row(scrapes.filter(known), keys, ts, counters, "_prev", cell=cell).unionByName(first)
     prior = {c: F.col(f"_prev.{c}") for c in counters}
     gain = lambda c: F.greatest(F.lit(0.0), F.col(c) - F.coalesce(prior[c], F.lit(0.0)))
     return scrapes.withColumns({f"{c}_delta": gain(c) for c in counters}).drop("_prev")
@@ -197,10 +199,10 @@ def delivery_health(
         .groupBy(key, ts, "_at").agg(F.count("*").alias("_n"))
     )
     reach = seconds * unit
-    upto = running_total(per_instant, [key], "_at", "_n", "_upto", cell=cell or cell_width(failures.schema[ts].dataType))
+    upto = running_total(per_instant, [key], "_at", "_n", "_upto", cell=cell)
     floor = upto.withColumn("_floor", F.col("_at") - reach)
     counted = asof_last(
-        floor, upto, [key], "_floor", "_at", ["_upto"], "_before", strict=True, cell=cell or cell_width(failures.schema[ts].dataType)
+        floor, upto, [key], "_floor", "_at", ["_upto"], "_before", strict=True, cell=cell
     ).withColumn("failures", F.col("_upto") - F.coalesce("_before._upto", F.lit(0)))
     return counted.filter(F.col("failures") > n).select(key, ts, "failures")
 

@@ -174,3 +174,42 @@ def test_shard_offsets_are_dense(spark):
     for shard in range(3):
         offsets = sorted(r[2] for r in cut.values() if r[1] == shard)
         assert offsets == list(range(len(offsets)))
+
+
+def test_a_burst_is_cut_by_number(spark):
+    # One key with all its rows in one hour, two thirds of them in one minute, and one row a year before.
+    rnd = random.Random(9)
+    hour, year = 3_600_000, 365 * 86_400_000
+    rows = [(i, "hot", year + (rnd.randrange(60_000) if i % 3 else rnd.randrange(hour)), 1.0) for i in range(20_000)]
+    rows += [(-1, "hot", 0, 1.0)] + [(-2 - k, f"k{k}", year + k, 1.0) for k in range(300)]
+    df = frame(spark, rows)
+    where = od.cuts(df, ["key"], "at", 1000)
+    placed = od.with_piece(df, where, ["key"], "at")
+    sizes = {(r["key"], r["_piece"]): r["count"] for r in placed.groupBy("key", "_piece").count().collect()}
+    hot = [n for (k, _), n in sizes.items() if k == "hot"]
+    assert len(hot) == 21 and max(hot) < 2000
+    assert len(where.collect()) == 1 and sum(sizes.values()) == len(rows)
+    # A window of the pieces is dealt over the tasks, the same places come out at every evaluation.
+    assert sorted(map(tuple, where.repartition(3).collect())) == sorted(map(tuple, od.cuts(df.repartition(7), ["key"], "at", 1000).collect()))
+    exchange = od.asof_last(df, df, ["key"], "at", "at", ["id"], cell=1000)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_k0#" in exchange and "_piece#" in exchange
+
+
+def test_previous_row(spark):
+    rows = list({(k, at): (i, k, at, v) for i, k, at, v in skewed(12)}.values()) + [(9999, None, 5, 0.0), (9998, None, 7, 0.0)]
+    for cell in (None, 50, 3):
+        got = od.previous_row(frame(spark, rows), ["key"], "at", ["id"], "before", cell=cell).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            earlier = [(at, i) for i, k, at, _ in rows if k == r["key"] and at < r["at"]]
+            assert (r["before"] and r["before"]["id"]) == (max(earlier)[1] if earlier else None)
+
+
+def test_largest_keys_are_cut_first(spark, monkeypatch):
+    monkeypatch.setattr(od, "KEYS", 2)
+    monkeypatch.setattr(od, "PIECES", 8)
+    df = spark.range(1000).selectExpr("id", "cast(floor(sqrt(id)) as string) as key", "id as at", "1.0D as v")
+    where = od.cuts(df, ["key"], "at", 5)
+    assert {r["key"]: len(r["_starts"]) for r in where.collect()} == {"30": 7, "29": 7}
+    got = od.running_total(df, ["key"], "at", "v", "s", cell=5).collect()
+    assert all(r["s"] == sum(1 for i in range(1000) if int(i**0.5) == int(r["key"]) and i <= r["at"]) for r in got)
