@@ -150,78 +150,86 @@ def zone_route_alerts(zones: DataFrame, routes: DataFrame, p: float = HIGH_DAMAG
     )
 
 
-# Square cells in degrees, 2**16 of them around the globe (600 m), doubled per level up to 5.6 degrees.
-_AROUND = 16
-_BASE_DEG = 360.0 / (1 << _AROUND)
-_LEVELS = 11
+# Cells of the nearest search: cubes around the unit sphere, halved level by level down to 49 m.
+_FINEST = 18
+# Wide cubes hold many points: down to this level (25 km, 10,000s of cubes at most) their points are dealt in so many shares.
+_WIDE, _SHARES = 9, 8
+_SPHERE = ("x", "y", "z")
 
 
-def _cells(lat: Column, lng: Column) -> tuple[Column, Column]:
-    return (
-        F.floor((lat + 90) / F.lit(_BASE_DEG)).cast("bigint"),
-        F.floor((lng + 180) / F.lit(_BASE_DEG)).cast("bigint"),
-    )
+def _on_sphere(lat: Column, lng: Column) -> dict[str, Column]:
+    """Position on the unit sphere, where neither the poles nor the date line are special."""
+    phi, lam = F.radians(lat), F.radians(lng)
+    return {"x": F.cos(phi) * F.cos(lam), "y": F.cos(phi) * F.sin(lam), "z": F.sin(phi)}
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    """Every row once per level and per neighbouring cell, plus once for the whole globe."""
-    level = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1))).alias("lvl")
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = (
-        df.select("*", level)
-        .withColumn("dy", F.explode(step))
-        .withColumn("dx", F.explode(step))
-        .withColumn("y", F.expr("shiftright(cy, lvl)") + F.col("dy"))
-        .withColumn("x", F.pmod(F.expr("shiftright(cx, lvl)") + F.col("dx"),
-                                F.expr(f"shiftleft(1L, {_AROUND} - lvl)")))
-        .drop("dy", "dx")
-    )
-    whole = df.select(
-        "*", F.lit(_LEVELS).alias("lvl"), F.lit(0).cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("x")
-    )
-    return near.unionByName(whole)
+def _cube(v: Column, lvl: Column) -> Column:
+    """Number of the cube of a level along one axis."""
+    across = F.expr("shiftleft(1L, lvl)") if lvl is None else F.lit(1 << lvl).cast("bigint")
+    return F.greatest(F.lit(0).cast("bigint"), F.least(across - 1, F.floor((v + 1) / 2 * across).cast("bigint")))
+
+
+def _node(x: Column, y: Column, z: Column) -> Column:
+    return F.call_function("shiftleft", x, F.lit(40)) + F.call_function("shiftleft", y, F.lit(20)) + z
+
+
+def _every_level(df: DataFrame) -> DataFrame:
+    """Rows with a finest ``cell`` once per level, with the ``node`` that holds it there."""
+    axis = lambda at: F.call_function("shiftright", F.col("cell"), F.lit(at)).bitwiseAND(F.lit((1 << 20) - 1).cast("bigint"))
+    up = lambda c: F.call_function("shiftright", c, F.lit(_FINEST) - F.col("lvl"))
+    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(_FINEST))).alias("lvl"))
+    return rows.withColumn("node", _node(*[up(axis(at)) for at in (40, 20, 0)])).drop("cell")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds the position on the sphere and the finest ``cell``."""
+    put = df.withColumns(_on_sphere(F.col("lat"), F.col("lng")))
+    return put.withColumn("cell", _node(*[_cube(F.col(c), _FINEST) for c in _SPHERE]))
 
 
 def nearest(points: DataFrame, targets: DataFrame, k: int = 1) -> DataFrame:
     """The ``k`` nearest targets of every point: ``id, target_id, km``.
 
-    Both frames have ``id, lat, lng``.  For each occupied finest cell of the points the smallest
-    level is found whose 3 x 3 block holds ``k`` targets; a block two or three levels up is wide
-    enough to hold the true nearest ones.  Points then meet only the targets of that block
-    through an equi-join on (level, cell).
+    Both frames have ``id, lat, lng``.  The targets of every cube of every level are counted, and
+    the box they lie in is kept: a tree of counts.  A point goes down to the smallest cube around it
+    with ``k`` targets, and the far corner of their box bounds the distance of its k-th nearest one.
+    Cubes at least twice as wide as that bound are the search level: the ball of the bound touches
+    two of them along each axis at most, so a point meets the targets of eight cubes at most, by an
+    equi-join, and keeps those inside the ball.  With fewer than ``k`` targets in all, the one cube of
+    level 0 holds these few.  Points without a position are left out.
     """
-    cy, cx = _cells(F.col("lat"), F.col("lng"))
-    at = points.select("id", "lat", "lng", cy.alias("cy"), cx.alias("cx"))
-    spots = targets.select(
-        F.col("id").alias("target_id"), F.col("lat").alias("tlat"), F.col("lng").alias("tlng"),
-        *[c.alias(n) for c, n in zip(_cells(F.col("lat"), F.col("lng")), ("cy", "cx"))],
-    )
+    at = _placed(points.select("id", "lat", "lng"))
+    spots = targets.select(F.col("id").alias("target_id"), "lat", "lng")
     # Of targets at one position no more than k can be among the nearest: those of lowest id.
-    spots = top_n(spots, ["tlat", "tlng"], [F.col("target_id")], k)
-    # Counting cells, not targets, keeps a crowded one from being copied around.
-    crowd = spots.groupBy("cy", "cx").agg(F.count("*").alias("n"))
-    occupied = (
-        _blocks(crowd).groupBy("lvl", "y", "x").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= k).select("lvl", "y", "x")
-    )
-    own = at.select("cy", "cx").distinct()
-    up = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1))).alias("lvl")).select(
-        "cy", "cx", "lvl", F.expr("shiftright(cy, lvl)").alias("y"), F.expr("shiftright(cx, lvl)").alias("x")
-    )
-    found = up.join(occupied, ["lvl", "y", "x"]).groupBy("cy", "cx").agg(F.min("lvl").alias("at_level"))
-    # A block reaches one cell width past the point; k targets lie within 2 * sqrt(2) widths of
-    # the level found.  Degrees of longitude shrink towards the poles, hence the latitude bounds.
-    edge = F.abs((F.col("cy") + 0.5) * _BASE_DEG - 90) + _BASE_DEG
-    lift = F.when(edge <= 43, 2).when(edge <= 68, 3).otherwise(_LEVELS)
-    level = F.least(F.coalesce(F.col("at_level") + lift, F.lit(_LEVELS)), F.lit(_LEVELS))
-    plan = own.join(found, ["cy", "cx"], "left").select("cy", "cx", level.alias("lvl"))
-    whole = F.col("lvl") == _LEVELS
-    placed = at.join(plan, ["cy", "cx"]).select(
-        "id", "lat", "lng", "lvl",
-        F.when(whole, F.lit(0).cast("bigint")).otherwise(F.expr("shiftright(cy, lvl)")).alias("y"),
-        F.when(whole, F.lit(0).cast("bigint")).otherwise(F.expr("shiftright(cx, lvl)")).alias("x"),
-    )
-    pairs = placed.join(_blocks(spots).drop("cy", "cx"), ["lvl", "y", "x"]).select(
+    spots = _placed(top_n(spots, ["lat", "lng"], [F.col("target_id")], k)).filter(F.col("cell").isNotNull())
+    box = [f(f"{e}{c}").alias(f"{e}{c}") for c in _SPHERE for f, e in ((F.min, "l"), (F.max, "h"))]
+    ends = [F.col(c).alias(f"{e}{c}") for c in _SPHERE for e in ("l", "h")]
+    cells = spots.select("cell", *ends).groupBy("cell").agg(F.count("*").alias("n"), *box)
+    tree = _every_level(cells).groupBy("lvl", "node").agg(F.sum("n").alias("n"), *box).filter(F.col("n") >= k)
+
+    # The deepest node of each occupied cell.  The result leaves under two columns made from the cell, so
+    # the join below shuffles it anew and Spark can split a cell that holds many points.
+    corners = [f"{e}{c}" for c in _SPHERE for e in ("l", "h")]
+    deepest = F.max_by(F.struct(*corners), "lvl").alias("box")
+    half = lambda c: [F.call_function("shiftright", c, F.lit(20)).alias("_a"), c.bitwiseAND(F.lit((1 << 20) - 1).cast("bigint")).alias("_b")]
+    found = _every_level(at.select("cell").distinct().withColumn("own", F.col("cell"))).join(tree, ["lvl", "node"])
+    found = found.groupBy("own").agg(deepest).select(*half(F.col("own")), "box.*")
+    far = [F.greatest(F.abs(F.col(c) - F.col(f"l{c}")), F.abs(F.col(c) - F.col(f"h{c}"))) for c in _SPHERE]
+    # The margin is over the rounding of a position and over the width of a tie.
+    bound = F.coalesce(F.sqrt(far[0] * far[0] + far[1] * far[1] + far[2] * far[2]) * (1 + 1e-9) + 1e-11, F.lit(2.5))
+    level = F.greatest(F.lit(0), F.least(F.lit(_FINEST), F.floor(-F.log2("d")))).cast("int")
+    balls = at.filter(F.col("cell").isNotNull()).select("*", *half(F.col("cell"))).join(found, ["_a", "_b"], "left")
+    balls = balls.select("id", "lat", "lng", *_SPHERE, bound.alias("d")).withColumn("lvl", level)
+    for c in _SPHERE:
+        touched = F.sequence(_cube(F.col(c) - F.col("d"), None), _cube(F.col(c) + F.col("d"), None))
+        balls = balls.withColumn(f"n{c}", F.explode(touched))
+    asked = balls.select("id", "lat", "lng", *_SPHERE, "d", "lvl", _node(F.col("nx"), F.col("ny"), F.col("nz")).alias("node"))
+    asked = asked.withColumn("share", F.when(F.col("lvl") <= _WIDE, F.pmod(F.xxhash64("id"), F.lit(_SHARES))).otherwise(0).cast("int"))
+    held = _every_level(spots.select("cell", "target_id", *[F.col(c).alias(f"t{c}") for c in ("lat", "lng", *_SPHERE)]))
+    held = held.withColumn("share", F.explode(F.sequence(F.lit(0), F.when(F.col("lvl") <= _WIDE, _SHARES - 1).otherwise(0))))
+    off = [F.col(c) - F.col(f"t{c}") for c in _SPHERE]
+    inside = off[0] * off[0] + off[1] * off[1] + off[2] * off[2] <= F.col("d") * F.col("d")
+    pairs = asked.join(held, ["lvl", "node", "share"]).filter(inside).select(
         "id", "target_id",
         haversine_km(F.col("lat"), F.col("lng"), F.col("tlat"), F.col("tlng")).alias("km"),
     )

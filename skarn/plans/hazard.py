@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skarn.functions import geo
 from skarn.functions.fields import rationale_text
-from skarn.operators import joins as jn, windows as wn
+from skarn.operators import joins as jn, ordered as od, windows as wn
 from skarn.operators.ordered import top_n
 from skarn.session import settle
 from skarn.sources.parsers import parse_firms, parse_usgs
@@ -18,6 +18,8 @@ from skarn.sources.parsers import parse_firms, parse_usgs
 EMBER_RISK = 0.65
 REACH_KM = 10.0
 REPOSITION_CONFIDENCE = 0.6
+#: Degrees of the neighbourhoods whose zones compete for the same crews.
+NEIGHBOURHOOD = 2
 SECTIONS = (
     "ember_risk_zones", "damage_zones", "suppression_crews", "shelters", "hospitals", "evacuation_routes",
 )
@@ -172,44 +174,80 @@ def _as_json(row) -> str:
     return json.dumps(row.asDict(recursive=True))
 
 
-def assign_in_order(zones: DataFrame, crews: DataFrame, batch: int = 4096, offers: int = 32) -> DataFrame:
+def _serve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Zones of one group in order, each with the first of its crews that none before it in the group took."""
+    taken, rows = set(), []
+    for zone, p, crews in pdf.sort_values(["order", "id"])[["id", "probability", "crews"]].itertuples(index=False):
+        crew = next((c for c in crews if c not in taken), None)
+        if crew is not None:
+            taken.add(crew)
+            rows.append((zone, crew, p))
+    return pd.DataFrame(rows, columns=["zone_id", "crew_id", "probability"])
+
+
+def assign_in_order(zones: DataFrame, crews: DataFrame, batch: int = 4096, offers: int = 64) -> DataFrame:
     """Zones by falling probability (then id) take their nearest crew that is still free.
 
-    Each choice depends on the ones before, so zones go in batches of ``batch``, each with the
-    ``offers`` nearest crews still free of each zone.  A zone all of whose offers were taken within
-    its batch ends it there; it opens the next one, so the result does not depend on either number.
-    One batch is in a task at a time, never all zones.
+    The result of that order, without going through it: deferred acceptance in rounds over all zones.
+
+    - Only as many zones as there are crews can get one: the first of the order. The rest, and zones
+      and crews without a position, are left out at once.
+    - Zones without a crew wait. Each has its ``offers`` nearest crews, less those that a zone before it
+      in the order holds: such a crew is lost to it, as holders only change to zones further ahead.
+      When some zone has lost all its offers, the zones that take part get eight times as many.
+    - The zones of a neighbourhood compete for the same crews, so they propose together, from the first
+      waiting one of it on, those that hold a crew included: in order, each to its nearest offer that
+      none before it took. A neighbourhood with more than ``batch`` of them is cut along the order.
+      Neighbourhoods are tasks of their own.
+    - A crew keeps the first zone of the order, among the one it holds and those that propose.
+
+    A round settles at least the first waiting zone for good, so it ends. Zones of one neighbourhood,
+    also such that share their nearest crew, settle in one round per cut once their offers reach far
+    enough; between neighbourhoods a displaced zone may displace another in the next round. Rounds are
+    written; a row per round goes to the driver.
     """
-    left = settle(zones.select("id", "lat", "lng", "probability"), "to-assign")
-    free, done = crews.select("id", "lat", "lng"), []
-    schema = "zone_id string, crew_id string, probability double"
-    order = [F.col("probability").desc(), F.col("id")]
+    spot = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    place = F.concat_ws(" ", F.floor(F.col("lat") / NEIGHBOURHOOD), F.floor(F.col("lng") / NEIGHBOURHOOD))
+    ahead = F.coalesce(-F.col("probability"), F.lit(float("inf")))
+    places = settle(crews.filter(spot).select("id", "lat", "lng"), "crews")
+    asking = zones.filter(spot).select("id", "lat", "lng", "probability", ahead.alias("order"), place.alias("_place"))
+    asking = settle(asking.orderBy("order", "id").limit(places.count()), "to-assign")
+    schema = f"zone_id {asking.schema['id'].dataType.simpleString()}, crew_id {places.schema['id'].dataType.simpleString()}, probability double"
+    held = crews.sparkSession.createDataFrame([], schema)
+    known: DataFrame | None = None
+    me = F.struct("order", "id")
     while True:
-        some = settle(left.orderBy(*order).limit(batch), "batch")
-        if some.isEmpty() or free.isEmpty():
-            break
-        near = jn.nearest(some.select("id", "lat", "lng"), free, offers)
-        wanted = some.join(near, "id").groupBy("id", "probability").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(geo.decimals(F.col("km"), 9), "target_id"))), lambda c: c["target_id"]).alias("crews")
-        )
-
-        def take(pdf: pd.DataFrame) -> pd.DataFrame:
-            used, rows = set(), []
-            for zone, p, crews in pdf.sort_values(["probability", "id"], ascending=[False, True])[["id", "probability", "crews"]].itertuples(index=False):
-                crew = next((c for c in crews if c not in used), None)
-                if crew is None and len(crews) == offers:
-                    break  # there may be more crews than it was offered
-                used.add(crew)
-                rows.append((zone, crew, p))
-            return pd.DataFrame(rows, columns=["zone_id", "crew_id", "probability"])
-
-        one = wanted.withColumn("_batch", F.lit(0)).groupBy("_batch").applyInPandas(take, schema)
-        done.append(settle(one, "assigned"))
-        left = left.join(done[-1].select(F.col("zone_id").alias("id")), "id", "left_anti")
-        free = free.join(done[-1].select(F.col("crew_id").alias("id")), "id", "left_anti")
-        left, free = settle(left, "to-assign"), settle(free, "free")
-    nothing = zones.select(F.col("id").alias("zone_id"), F.lit(None).cast("string").alias("crew_id"), "probability").limit(0)
-    return reduce(DataFrame.unionByName, done, nothing).filter(F.col("crew_id").isNotNull())
+        waiting = asking.join(held.select(F.col("zone_id").alias("id")), "id", "left_anti")
+        first = settle(waiting.groupBy("_place").agg(F.min(me).alias("first")), "waiting")
+        leader = first.agg(F.min("first").alias("first")).first()["first"]
+        if leader is None:
+            return held
+        active = asking.join(first, "_place").filter(me >= F.col("first")).drop("first")
+        holder = held.select(F.col("crew_id").alias("target_id"), F.struct(ahead.alias("order"), F.col("zone_id").alias("id")).alias("holder"))
+
+        def open_offers(found: DataFrame) -> DataFrame:
+            met = active.join(found, "id").join(holder, "target_id", "left")
+            return met.filter(F.col("holder").isNull() | (F.col("holder") >= me))
+
+        acceptable = None if known is None else settle(open_offers(known), "offers")
+        if known is None or not active.join(acceptable.select("id"), "id", "left_anti").isEmpty():
+            # Crews that a zone before all waiting ones holds are lost to them.
+            lead = F.struct(F.lit(leader["order"]).alias("order"), F.lit(leader["id"]).alias("id"))
+            lost = holder.filter(F.col("holder") < lead).select(F.col("target_id").alias("id"))
+            more = jn.nearest(active.select("id", "lat", "lng"), places.join(lost, "id", "left_anti"), offers)
+            more = settle(more.select("id", "target_id", geo.decimals(F.col("km"), 9).alias("near")), "nearest")
+            fresh = open_offers(more)
+            acceptable = fresh  # of all that take part
+            known = more if known is None else known.join(active.select("id"), "id", "left_anti").unionByName(more)
+            offers *= 8
+
+        crews_of = F.transform(F.array_sort(F.collect_list(F.struct("near", "target_id"))), lambda c: c["target_id"]).alias("crews")
+        wanted = acceptable.groupBy("id", "probability", "order", "_place").agg(crews_of)
+        cut = od.with_piece(wanted, od.cuts(active, ["_place"], "order", batch), ["_place"], "order")
+        proposals = cut.groupBy("_place", "_piece").applyInPandas(_serve, schema)
+        others = held.join(active.select(F.col("id").alias("zone_id")), "zone_id", "left_anti")
+        best = F.min_by(F.struct("zone_id", "probability"), F.struct(ahead.alias("order"), F.col("zone_id").alias("id"))).alias("b")
+        held = settle(others.unionByName(proposals).groupBy("crew_id").agg(best).select("b.zone_id", "crew_id", "b.probability"), "held")
 
 
 def rule_actions(

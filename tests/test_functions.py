@@ -166,3 +166,31 @@ def test_nearest_against_brute_force(spark):
         for spot in spots:
             want = [c[0] for c in sorted(crews, key=lambda c: (round(km(spot, c), 9), c[0]))[:k]]
             assert sorted(got[spot[0]]) == sorted(want), (k, spot)
+
+
+def test_nearest_everywhere(spark):
+    import random
+
+    rnd = random.Random(8)
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 6371 * 2 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+    frame = lambda rows: spark.createDataFrame(rows, "id string, lat double, lng double")
+    polar = [(f"n{i}", rnd.choice([80.0, 89.9, -89.99, 90.0, -90.0]) + 0.0, rnd.uniform(-180, 180)) for i in range(40)]
+    line = [(f"d{i}", rnd.uniform(-60, 60), rnd.choice([180.0, -180.0, 179.999, -179.999])) for i in range(40)]
+    # A city: hundreds of targets within some hundred metres, a few at the very same place.
+    city = [(f"t{i:03}", 48.85 + rnd.randrange(60) / 20000, 2.35 + rnd.randrange(60) / 20000) for i in range(600)] + [(f"s{i}", 48.85, 2.35) for i in range(30)]
+    around = [(f"a{i}", 48.85 + rnd.uniform(-1, 1) ** 5, 2.35 + rnd.uniform(-1, 1) ** 5) for i in range(60)]
+    for points, targets in ((polar, [("x" + r[0], -r[1], r[2] / 2) for r in polar]), (line, [("x" + r[0], r[1] + 0.1, -r[2]) for r in line]), (around, city)):
+        for k in (1, 5, 70):
+            got = {}
+            for r in jn.nearest(frame([*points, ("none", None, 1.0)]), frame([*targets, ("nowhere", 1.0, None)]), k).collect():
+                got.setdefault(r["id"], []).append(r["target_id"])
+            assert set(got) == {p[0] for p in points}
+            for p in points:
+                want = [t[0] for t in sorted(targets, key=lambda t: (round(km(p, t), 9), t[0]))[:k]]
+                assert sorted(got[p[0]]) == sorted(want), (k, p)
+    assert jn.nearest(frame(line), frame(city).limit(0)).count() == jn.nearest(frame(line).limit(0), frame(city)).count() == 0

@@ -74,6 +74,50 @@ def test_assign_in_order(spark, batch, offers):
     assert hz.assign_in_order(z.limit(0), c).count() == hz.assign_in_order(z, c.limit(0)).count() == 0
 
 
+def serial(zones, crews):
+    free, want = {k: (y, x) for k, y, x in crews if y is not None}, {}
+    for name, y, x, _ in sorted((z for z in zones if z[1] is not None), key=lambda z: (-z[3], z[0])):
+        if free:
+            want[name] = min(free, key=lambda k: (round(haversine(y, x, *free[k]) * 6371, 6), k))
+            del free[want[name]]
+    return want
+
+
+def assigned(spark, zones, crews, *how):
+    z = spark.createDataFrame(zones, "id string, lat double, lng double, probability double")
+    c = spark.createDataFrame(crews, "id string, lat double, lng double")
+    return {r["zone_id"]: r["crew_id"] for r in hz.assign_in_order(z, c, *how).collect()}
+
+
+def test_assignment_ends_without_positions(spark):
+    zones = [("a", None, 1.0, 0.9), ("b", 0.0, None, 0.8), ("c", 0.0, 1.0, 0.7)]
+    crews = [("x", None, None), ("y", 0.0, 1.1)]
+    assert assigned(spark, zones, crews) == {"c": "y"}
+    assert assigned(spark, zones[:2], crews) == assigned(spark, zones, crews[:1]) == {}
+
+
+def test_zones_that_share_their_nearest_crew(spark, monkeypatch):
+    # All zones at one place, more zones than crews: the order decides, in one task of a few rounds.
+    zones = [(f"z{i:03}", 10.0, 20.0, 0.9 - i / 1000) for i in range(80)]
+    crews = [(f"c{i:02}", 10.0, 20.0 + i / 50) for i in range(60)]
+    rounds, plain = [], hz.settle
+    monkeypatch.setattr(hz, "settle", lambda df, what: (rounds.append(what), plain(df, what))[1])
+    assert assigned(spark, zones, crews, 4096, 32) == serial(zones, crews)
+    assert rounds.count("held") <= 3
+    # Cut along the order: a cut settles when those before it have.
+    rounds.clear()
+    assert assigned(spark, zones, crews, 20, 60) == serial(zones, crews)
+    assert rounds.count("held") <= 8
+
+
+def test_displacements_across_neighbourhoods(spark):
+    rnd = random.Random(6)
+    zones = [(f"z{i:02}", rnd.uniform(-3, 3), rnd.uniform(-3, 3), rnd.random()) for i in range(50)]
+    crews = [(f"c{i:02}", rnd.uniform(-3, 3), rnd.uniform(-3, 3)) for i in range(40)]
+    for how in ((4096, 32), (6, 3)):
+        assert assigned(spark, zones, crews, *how) == serial(zones, crews)
+
+
 def haversine(a, b, c, d):
     a, b, c, d = map(math.radians, (a, b, c, d))
     return math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
