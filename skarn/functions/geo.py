@@ -87,6 +87,14 @@ def inside_ring(lat: Column, lng: Column, ring: Column) -> Column:
     return F.aggregate(crossings, F.lit(0), lambda n, c: n + c) % 2 == 1
 
 
+def inside_edges(lat: Column, lng: Column, edges: Column) -> Column:
+    """The same test against the ring's edges, ``array<struct<ay,ax,by,bx>>``."""
+    crosses = lambda e: ((e["ay"] > lat) != (e["by"] > lat)) & (
+        lng < (e["bx"] - e["ax"]) * (lat - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+    )
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
 def polygon_centroid(ring: Column) -> Column:
     """Mean of the ring's vertices, the closing one included."""
     n = F.size(ring)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from skarn.functions.geo import HIGH_DAMAGE, cell_index, decimals, haversine_km, inside_ring
+from skarn.functions.geo import HIGH_DAMAGE, cell_index, decimals, haversine_km, inside_edges
 from skarn.operators.ordered import asof_last, join_keys, merge_by_key, ordinal, top_n
 
 # Defaults of the feeds.
@@ -263,40 +263,52 @@ def crew_in_zone(
     return placed.join(worst, ["cy", "cx"]).select("crew_id", F.col("z.id").alias("zone_id"))
 
 
-def liquefaction_lookup(
-    points: DataFrame, polygons: DataFrame, default: str = "low", res: float = 0.1, key: list[str] = ("id",)
-) -> DataFrame:
-    """Points with the class of the first polygon holding them, lower-cased, else ``default``.
+# Degrees by which a cell counts as wider than it is, over the rounding of its borders.
+_BORDER = 1e-9
+
 
-    ``polygons``: ``ord, class, ring array<struct<lng,lat>>``, ``ord`` unique; ``key`` names a point.
-    Bounding boxes are indexed by grid cell as narrow rows.  A point meets the boxes of its cell,
-    and the rings of the boxes that hold it; one aggregate by key takes the first hit.  Points that
-    are dealt by a part of their key stay where they are if Spark finds the polygons small.
+def polygon_cells(polygons: DataFrame, res: float) -> DataFrame:
+    """``_cy, _cx, _held``: per grid cell the polygons that have a part of it, by ``ord``.
+
+    A polygon that holds a cell wholly is marked so.  Of others the cell keeps the edges that decide
+    about its points: those that span its latitudes and do not end to the west of it.  A point's test
+    with them is the same sum as with the whole ring.
     """
-    key = list(key)
     lats, lngs = F.transform("ring", lambda v: v["lat"]), F.transform("ring", lambda v: v["lng"])
-    span = lambda low, high: F.explode(F.sequence(cell_index(F.col(low), res), cell_index(F.col(high), res)))
-    boxes = (
-        polygons.select(
-            F.col("ord").alias("_ord"),
-            F.array_min(lats).alias("_y0"), F.array_max(lats).alias("_y1"),
-            F.array_min(lngs).alias("_x0"), F.array_max(lngs).alias("_x1"),
-        )
-        .withColumn("_cy", span("_y0", "_y1")).withColumn("_cx", span("_x0", "_x1"))
-    )
-    rings = polygons.select(F.col("ord").alias("_ord"), F.lower("class").alias("_class"), F.col("ring").alias("_ring"))
-    cells = {"_cy": cell_index(F.col("lat"), res), "_cx": cell_index(F.col("lng"), res)}
-    lat, lng = F.col("p.lat"), F.col("p.lng")
-    near = (F.col("p._cy") == F.col("b._cy")) & (F.col("p._cx") == F.col("b._cx"))
-    inside_box = lat.between(F.col("b._y0"), F.col("b._y1")) & lng.between(F.col("b._x0"), F.col("b._x1"))
-    rest = [c for c in points.columns if c not in key]
-    met = (
-        points.withColumns(cells).alias("p").join(boxes.alias("b"), near & inside_box, "left")
-        .select(*[F.col(f"p.{c}").alias(c) for c in points.columns], "_ord").join(rings, "_ord", "left")
-    )
-    hit = F.when(inside_ring(F.col("lat"), F.col("lng"), F.col("_ring")), F.struct("_ord", "_class"))
-    first = met.withColumn("_hit", hit).groupBy(*key).agg(*[F.any_value(c).alias(c) for c in rest], F.min("_hit").alias("_hit"))
-    return first.select(*points.columns, F.coalesce("_hit._class", F.lit(default)).alias("liquefaction_class"))
+    span = lambda of: F.explode(F.sequence(cell_index(F.array_min(of), res), cell_index(F.array_max(of), res)))
+    shifted = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
+    edge = lambda a, b: F.struct(a["lat"].alias("ay"), a["lng"].alias("ax"), b["lat"].alias("by"), b["lng"].alias("bx"))
+    cut = polygons.select(
+        F.col("ord").alias("_ord"), F.lower("class").alias("_class"), F.zip_with("ring", shifted, edge).alias("_edges"),
+        lngs.alias("_lngs"), span(lats).alias("_cy"),
+    ).withColumn("_cx", span(F.col("_lngs"))).drop("_lngs")
+    low = {c: F.col(c) * F.lit(res) - _BORDER for c in ("_cy", "_cx")}
+    high = {c: (F.col(c) + 1) * F.lit(res) + _BORDER for c in ("_cy", "_cx")}
+    spans = lambda e: (F.least(e["ay"], e["by"]) <= high["_cy"]) & (F.greatest(e["ay"], e["by"]) >= low["_cy"])
+    near = F.filter("_edges", lambda e: spans(e) & (F.greatest(e["ax"], e["bx"]) >= low["_cx"]))
+    cut = cut.withColumn("_edges", near)
+    whole = ~F.exists("_edges", lambda e: F.least(e["ax"], e["bx"]) <= high["_cx"])
+    middle = [(F.col(c) + 0.5) * F.lit(res) for c in ("_cy", "_cx")]
+    cut = cut.withColumn("_whole", whole).filter(~F.col("_whole") | inside_edges(*middle, F.col("_edges")))
+    kept = F.when(~F.col("_whole"), F.col("_edges")).alias("edges")
+    entry = F.struct(F.col("_ord").alias("ord"), F.col("_class").alias("class"), F.col("_whole").alias("whole"), kept)
+    return cut.groupBy("_cy", "_cx").agg(F.sort_array(F.collect_list(entry)).alias("_held"))
+
+
+def liquefaction_lookup(points: DataFrame, polygons: DataFrame, default: str = "low", res: float = 0.1) -> DataFrame:
+    """Points with the class of the first polygon holding them, lower-cased, else ``default``.
+
+    ``polygons``: ``ord, class, ring array<struct<lng,lat>>``, ``ord`` unique.  Polygons are cut into
+    grid cells once (``polygon_cells``).  A point meets the one row of its cell, most of them without a
+    test, so no point is multiplied or grouped again.  The cells leave their aggregate under keys of
+    another form, so that Spark can split a cell that holds many points.
+    """
+    index = polygon_cells(polygons, res).select(F.bitwise_not("_cy").alias("_y"), F.bitwise_not("_cx").alias("_x"), "_held")
+    cells = {"_y": F.bitwise_not(cell_index(F.col("lat"), res)), "_x": F.bitwise_not(cell_index(F.col("lng"), res))}
+    holds = lambda e: e["whole"] | inside_edges(F.col("lat"), F.col("lng"), e["edges"])
+    found = F.get(F.filter("_held", holds), F.lit(0))["class"]
+    met = points.withColumns(cells).join(index, ["_y", "_x"], "left")
+    return met.select(*points.columns, F.coalesce(found, F.lit(default)).alias("liquefaction_class"))
 
 
 def recent_action_antijoin(

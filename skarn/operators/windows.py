@@ -8,12 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from skarn.operators.ordered import asof_last, cell_width, ordinal, previous_row, running_total, top_n
+from skarn.operators.ordered import asof_last, cell_width, cuts, ordinal, previous_row, running_total, top_n, with_piece
 
 # Trend bounds of the loss slope.
 IMPROVING, DIVERGING = -0.001, 0.001
 #: Days of a cell of the gap rule, which runs in Python per key and cell.
 GAP_CELLS = 7
+#: Rows of a sorted table that are a top list; pages after them are found by counts.
+DEEP = 10_000
 # Order of time sensitivity.
 SENSITIVITY = ("immediate", "high", "medium", "low")
 
@@ -256,14 +258,32 @@ def sparkline(telemetry: DataFrame, n: int = 20) -> DataFrame:
     return telemetry.groupBy("ts").agg(F.avg("utilization_pct").alias("util")).orderBy(F.col("ts").desc()).limit(n)
 
 
-def table_page(df: DataFrame, key: str, tie: str, desc: bool = False, page: int = 0, size: int = 25) -> DataFrame:
-    """One page of a table sorted by a column: numbers as numbers, text without case, nulls as ''."""
-    if isinstance(df.schema[key].dataType, T.NumericType):
-        order = F.col(key).desc_nulls_last() if desc else F.col(key).asc_nulls_first()
-    else:
-        text = F.lower(F.coalesce(F.col(key).cast("string"), F.lit("")))
-        order = text.desc() if desc else text.asc()
-    return df.orderBy(order, tie).offset(page * size).limit(size)
+def table_page(
+    df: DataFrame, key: str, tie: str, desc: bool = False, page: int = 0, size: int = 25, *, cell: int | None = None
+) -> DataFrame:
+    """One page of a table sorted by a column: numbers as numbers, text without case, nulls as ''.
+
+    The first ``DEEP`` rows are a top list. A page further down reads its own part of the table: the
+    table is cut into pieces of the sort column (``ordered.cuts``), the rows of each are counted, and
+    only the pieces that hold the page are put in order.
+    """
+    number = isinstance(df.schema[key].dataType, T.NumericType)
+    value = F.col(key) if number else F.lower(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    order = value.desc_nulls_last() if desc else value.asc_nulls_first()
+    skip = page * size
+    if skip + size <= DEEP:
+        return df.orderBy(order, tie).offset(skip).limit(size)
+    cut = df.select(F.lit(0).alias("_all"), value.alias("_at"), F.struct(*df.columns).alias("_row"))
+    placed = with_piece(cut, cuts(cut.select("_all", "_at"), ["_all"], "_at", cell), ["_all"], "_at")
+    direction = F.col("_piece").desc() if desc else F.col("_piece").asc()
+    upto = F.sum("_n").over(W.orderBy(direction).rowsBetween(W.unboundedPreceding, W.currentRow))
+    pieces = placed.groupBy("_piece").agg(F.count("*").alias("_n")).select("_piece", "_n", upto.alias("_upto"))  # PIECES rows at most
+    pieces = pieces.filter((F.col("_upto") > skip) & (F.col("_upto") - F.col("_n") < skip + size))
+    held = placed.join(F.broadcast(pieces), "_piece")
+    at = F.col("_at").desc_nulls_last() if desc else F.col("_at").asc_nulls_first()
+    place = F.row_number().over(W.partitionBy("_piece").orderBy(at, f"_row.{tie}")) + F.col("_upto") - F.col("_n")
+    found = held.withColumn("_place", place).filter((F.col("_place") > skip) & (F.col("_place") <= skip + size))
+    return found.orderBy("_place").select("_row.*")
 
 
 def recent_fire_coords(zones: DataFrame, n: int = 5) -> DataFrame:

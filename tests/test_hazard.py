@@ -134,6 +134,35 @@ def test_polygons(spark):
     assert {r[0]: r["liquefaction_class"] for r in jn.liquefaction_lookup(points, polys, "moderate").collect()} == want
 
 
+def test_polygons_against_whole_rings(spark):
+    # Concave, touching and overlapping rings, points on borders and corners of cells and rings.
+    rnd = random.Random(3)
+    star = [(2 + r * math.cos(a), 2 + r * math.sin(a)) for k in range(16) for a, r in [(k * math.pi / 8, 1.7 if k % 2 else 0.6)]]
+    comb = [(3.0, 0.0), (5.0, 0.0), (5.0, 3.0), (4.6, 3.0), (4.6, 0.5), (4.2, 0.5), (4.2, 3.0), (3.0, 3.0)]
+    left, right = [(-2.0, -1.0), (-1.0, -1.0), (-1.0, 1.0), (-2.0, 1.0), (-2.0, -1.0)], [(-1.0, -1.0), (0.5, -1.0), (0.5, 1.0), (-1.0, 1.0)]
+    tiny = [(1.01, 1.01), (1.03, 1.01), (1.02, 1.04)]
+    rings = [star, comb, left, right, tiny, [(x + 0.05, y) for x, y in star]]
+    polys = spark.createDataFrame([(i, f"C{i}", r) for i, r in enumerate(rings)], "ord int, class string, ring array<struct<lng double, lat double>>")
+    spots = [(rnd.uniform(-2.5, 5.5), rnd.uniform(-1.5, 4.5)) for _ in range(3000)]
+    spots += [(rnd.randrange(-25, 55) / 10, rnd.randrange(-15, 45) / 10) for _ in range(800)] + [p for r in rings for p in r]
+
+    def inside(x, y, ring):
+        odd = False
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                odd = not odd
+        return odd
+
+    points = spark.createDataFrame([(i, y, x) for i, (x, y) in enumerate(spots)], "id int, lat double, lng double")
+    for res in (0.1, 0.7):
+        found = jn.liquefaction_lookup(points, polys, "none", res)
+        got = {r["id"]: r["liquefaction_class"] for r in found.collect()}
+        assert got == {i: next((f"c{k}" for k, r in enumerate(rings) if inside(x, y, r)), "none") for i, (x, y) in enumerate(spots)}
+    assert found.count() == len(spots)
+    plan = jn.liquefaction_lookup(points.repartition(3), polys)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1  # of the cells, none of the points
+
+
 def test_payload_parts_hold_all_records(spark):
     import json
 

@@ -213,3 +213,28 @@ def test_largest_keys_are_cut_first(spark, monkeypatch):
     assert {r["key"]: len(r["_starts"]) for r in where.collect()} == {"30": 7, "29": 7}
     got = od.running_total(df, ["key"], "at", "v", "s", cell=5).collect()
     assert all(r["s"] == sum(1 for i in range(1000) if int(i**0.5) == int(r["key"]) and i <= r["at"]) for r in got)
+
+
+@pytest.mark.parametrize("desc", [False, True])
+@pytest.mark.parametrize("key", ["v", "key", "name"])
+def test_deep_pages(spark, monkeypatch, desc, key):
+    monkeypatch.setattr(wn, "DEEP", 50)
+    rows = [(i, k, at, v) for i, k, at, v in skewed(13, 900)] + [(1000 + i, None, 0, None) for i in range(40)]
+    df = frame(spark, rows).selectExpr("*", "concat('N', lpad(cast(at % 90 AS string), 2, '0')) AS name").repartition(6)
+    number = key == "v"
+    every = sorted(df.collect(), key=lambda r: r["id"])
+    rank = lambda r: (r[key] is not None, r[key] or 0) if number else (r[key] or "").lower()
+    every.sort(key=rank, reverse=desc)
+    if desc:
+        every = [r for k in sorted({rank(r) for r in every}, reverse=True) for r in sorted((x for x in every if rank(x) == k), key=lambda r: r["id"])]
+    for page in (0, 2, 7, 30, 36, 37, 40):
+        got = [r["id"] for r in wn.table_page(df, key, "id", desc, page, 25, cell=60).collect()]
+        assert got == [r["id"] for r in every[25 * page : 25 * page + 25]], page
+
+
+def test_a_deep_page_orders_its_pieces_only(spark):
+    df = spark.range(20_000).selectExpr("id", "cast(id * 7919 % 20011 AS double) AS v")
+    page = wn.table_page(df, "v", "id", page=600, size=25, cell=200)
+    where = od.cuts(df.selectExpr("0 AS _all", "v AS _at"), ["_all"], "_at", 200)
+    assert len(where.first()["_starts"]) == 99
+    assert [r["v"] for r in page.collect()] == sorted(r["v"] for r in df.collect())[15_000:15_025]
