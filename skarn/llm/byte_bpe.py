@@ -28,6 +28,7 @@ import base64
 import sys
 import types
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from skarn.llm.common import slices, table, written
 
 #: Matches, and pairs of tokens, that a worker remembers before it starts afresh; bounds memory, not the result.
-REMEMBERED_MATCHES, REMEMBERED_PAIRS = 150_000, 300_000
+REMEMBERED_MATCHES, REMEMBERED_PAIRS = 300_000, 300_000
 #: Longest match that is remembered, in characters.
 LONGEST_REMEMBERED = 48
 #: Fixed value: the library's tables and the pattern module's agree on all code points below this one.
@@ -74,6 +75,7 @@ class BytePairs:
             raise ValueError("a byte-level vocabulary has all 256 bytes")
         self.ranks, self.pattern = ranks, pattern
         self.bytes_of = {i: entry for entry, i in ranks.items()}
+        self.size = {i: len(entry) for entry, i in ranks.items()}
         self.cut = regex.compile(pattern).findall
         #: Places of tokens that a merge made: rank, left part, right part. A byte has rank -1.
         self.made: dict[int, tuple[int, int, int]] = {}
@@ -87,7 +89,7 @@ class BytePairs:
                 self.made[i] = (i, ranks[parts[0]], ranks[parts[1]])
             else:
                 self.made[i] = (-1, -1, -1)
-            self.automaton.add_word(entry.decode("latin-1"), i)
+            self.automaton.add_word(entry.decode("latin-1"), (i, len(entry) - 1))
         self.automaton.make_automaton()
         for i in self.made:
             entry = self.bytes_of[i]
@@ -98,13 +100,10 @@ class BytePairs:
         self.cuts: dict[str, object] = {}
 
     def neighbours(self, left: int, right: int) -> bool:
-        """Whether the merges of both tokens' bytes together give these two tokens."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= REMEMBERED_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self._border_holds(left, right)
+        """Whether the merges of both tokens' bytes together give these two tokens; remembered in ``pairs``."""
+        if len(self.pairs) >= REMEMBERED_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left << 32 | right] = self._border_holds(left, right)
         return found
 
     def _border_holds(self, left: int, right: int) -> bool:
@@ -126,26 +125,31 @@ class BytePairs:
 
     def _search(self, data: bytes) -> list[int]:
         length = len(data)
-        longest = [0] * length
-        of = self.bytes_of
-        for end, token in self.automaton.iter(data.decode("latin-1")):
-            longest[end + 1 - len(of[token])] = token  # ends ascend: the last one is the longest
+        longest, size = [0] * length, self.size
+        for end, (token, back) in self.automaton.iter(data.decode("latin-1")):
+            longest[end - back] = token  # ends ascend: the last one is the longest
         dead = bytearray(length + 1)
+        known, shorter = self.pairs.get, self.prefix
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while True:
-            end = at + len(of[token])
-            if not dead[end] and (not out or self.neighbours(out[-1], token)):
-                out.append(token)
-                if end == length:
-                    return out
-                at, token = end, longest[end]
-                continue
-            token = self.prefix[token]
+            end = at + size[token]
+            if not dead[end]:
+                good = last < 0 or known(last << 32 | token)
+                if good is None:
+                    good = self.neighbours(last, token)
+                if good:
+                    out.append(token)
+                    if end == length:
+                        return out
+                    at, last, token = end, token, longest[end]
+                    continue
+            token = shorter[token]
             while token < 0:
                 dead[at] = 1
-                at -= len(of[out[-1]])
-                token = self.prefix[out.pop()]
+                out.pop()
+                at -= size[last]
+                token, last = shorter[last], out[-1] if out else -1
 
     def match_ids(self, match: str) -> list[int]:
         """Ids of one match of the pattern."""
@@ -188,7 +192,7 @@ class BytePairs:
                     match = matches[k]
                     ids = self.known.get(match)
                     if ids is None:
-                        ids = np.array(self.match_ids(match), "<i4").tobytes()
+                        ids = array("i", self.match_ids(match)).tobytes()
                         if len(match) <= LONGEST_REMEMBERED:
                             if len(self.known) >= REMEMBERED_MATCHES:
                                 self.known.clear()
