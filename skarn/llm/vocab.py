@@ -1,11 +1,14 @@
 """Whole texts to token ids with a public word-level BPE vocabulary, a batch of texts at a time.
 
 The library spends its time on short, repeated words. A batch is therefore cut at white space and
-coded as a dictionary by Arrow, a worker keeps the ids of words it has met, and only new ones go
-through the library, many in one call; numpy then lays the ids of all words end to end. Words are
-cut the way the vocabulary's own pattern cuts them, for Latin text only: a text with any other
-character, or with the start of a special token's string, goes through the library whole. The ids
-are the library's in all cases (``tests/llm/test_tokens.py`` compares them).
+coded as a dictionary by Arrow, a worker keeps the ids of words it has met, and only new ones are
+merged; numpy then lays the ids of all words end to end. Words are cut the way the vocabulary's own
+pattern cuts them, for Latin text only: a text with any other character, or with the start of a
+special token's string, goes through the library whole. The merges of a new word are those of
+``tiktoken``, which takes ids for ranks, as they are given in the order of the merges; a byte that no
+text has stands for the end of a word. It merges any two tokens that make up an entry, the library
+only those of its list: both give the same for entries that the library gives for their own bytes,
+so others are left out. The ids are the library's in all cases (``tests/llm/test_tokens.py``).
 """
 
 from __future__ import annotations
@@ -15,17 +18,21 @@ import re
 import sys
 import types
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words, and parts of words, that a worker remembers before it starts afresh; bounds memory, not the result.
-REMEMBERED_WORDS, REMEMBERED_PARTS = 80_000, 150_000
+REMEMBERED_WORDS, REMEMBERED_PARTS = 120_000, 300_000
 #: A word is remembered if a portion of the texts has it so many times.
-COMMON = 3
+COMMON = 2
 #: Characters of text coded at a time.
-PORTION = 1_500_000
+PORTION = 3_000_000
+
+#: A byte that no text has in UTF-8; after a word it stands for the word's end.
+MARK = b"\xff"
 
 #: Contractions that the vocabulary's pattern takes as words of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -52,6 +59,39 @@ def _plain(text: str) -> bool:
         return _OTHER.search(text) is None
 
 
+def _byte_letters() -> dict[str, int]:
+    """The character that stands for each byte in the entries of a byte-level vocabulary -> the byte."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def _merger(vocabulary: dict[str, int], words, end_of_word: str):
+    """Function from a word's bytes and ``MARK`` to its ids."""
+    import tiktoken
+
+    letter, ranks, whole = _byte_letters(), {}, []
+    for entry, i in vocabulary.items():
+        ends = entry.endswith(end_of_word)
+        body = entry.removesuffix(end_of_word)
+        if not all(c in letter for c in body):
+            continue
+        data = bytes(letter[c] for c in body)
+        if len(data) > 1 and ends:
+            try:
+                whole.append((data.decode(), data + MARK, i))
+                continue
+            except UnicodeDecodeError:
+                pass
+        ranks[data + MARK if ends else data] = i
+    # Entries that end a word and that the library gives for their own letters.
+    for (_, data, i), found in zip(whole, words.encode_batch_fast([w for w, _, _ in whole], add_special_tokens=False)):
+        if found.ids == [i]:
+            ranks[data] = i
+    ranks.setdefault(MARK, max(vocabulary.values()) + 1)
+    return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Encoder:
     """Ids of texts under one vocabulary file of the ``tokenizers`` library."""
 
@@ -63,13 +103,13 @@ class Encoder:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.ends = np.zeros(self.size, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith(end_of_word)]] = True
         # The same vocabulary over lower-case words that are cut already.
-        self.words = Tokenizer(self.library.model)
-        self.words.normalizer = normalizers.Sequence([])
+        words = Tokenizer(self.library.model)
+        words.normalizer = normalizers.Sequence([])
         cut = pre_tokenizers.Split(" ", "removed")
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        words.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merge = _merger(self.library.get_vocab(with_added_tokens=False), words, end_of_word)
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
@@ -84,15 +124,9 @@ class Encoder:
         if len(self.parts) + len(new) > REMEMBERED_PARTS:
             self.parts = {}
             new = list(dict.fromkeys(p for c in cut for p in c))
-        if new:
-            ids = np.asarray(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
-            stops = np.flatnonzero(self.ends[ids]) + 1  # a part's ids run up to the next end-of-word id
-            if len(stops) == len(new):
-                data = ids.tobytes()
-                stops = (stops * self.kind.itemsize).tolist()
-                self.parts.update(zip(new, (data[a:b] for a, b in zip([0, *stops], stops))))
-            else:
-                self.parts.update((p, self.whole(p).tobytes()) for p in new)
+        merge, code = self.merge, self.code
+        for p in new:
+            self.parts[p] = array(code, merge(p.encode() + MARK)).tobytes()
         parts = self.parts
         return [b"".join([parts[p] for p in ps]) for ps in cut]
 
