@@ -59,43 +59,42 @@ def _binary(values: list[bytes]) -> pa.Array:
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, ids``: the ids of each whole text as little-endian bytes of the vocabulary's width.
+    """``key, ids, counts``: the ids of each whole text as little-endian bytes of the vocabulary's width.
 
-    A null text counts as empty. ``end_id`` is appended unless it is None.
+    A null text counts as empty. ``end_id`` is appended unless it is None. The last row of a task has
+    no ids but ``counts``, how often each id of the vocabulary occurs in its rows (64-bit integers).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder, names = encoder(path), ["key", "ids", "counts"]
         end = b"" if end_id is None else np.array([end_id], coder.kind).tobytes()
+        seen, kind = np.zeros(coder.size, np.int64), None
         for b in slices(batches, 1024):
             ids = [x.tobytes() + end for x in coder.batch(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), _binary(ids)], ["key", "ids"])
+            kind = b.column(0).type
+            seen += np.bincount(np.frombuffer(b"".join(ids), coder.kind), minlength=coder.size)
+            yield pa.RecordBatch.from_arrays([b.column(0), _binary(ids), pa.nulls(len(ids), pa.binary())], names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), _binary([seen.tobytes()])], names)
 
     key_type = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {key_type}, ids binary")
+    return rows.mapInArrow(run, f"key {key_type}, ids binary, counts binary")
 
 
-def ranking(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
+def ranking(tokens: DataFrame, size: int) -> np.ndarray:
     """Ids of a vocabulary of ``size`` in descending order of frequency over all documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.int64)
-        for b in batches:
-            for ids in b.column(0).to_pylist():
-                seen += np.bincount(np.frombuffer(ids, kind), minlength=size)
+        for b in slices(batches, 16):
+            for counts in b.column(0).to_pylist():
+                seen += np.frombuffer(counts, np.int64)
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen[found])], ["id", "n"])
 
-    def count_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One bincount per batch: a document's own histogram would cost the whole vocabulary.
-        def joined():
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([_binary([b"".join(b.column(0).to_pylist())])], ["ids"])
-
-        return count(joined())
-
-    totals = tokens.select("ids").mapInArrow(count_joined, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("counts").where("counts IS NOT NULL")
+    totals = counts.mapInArrow(unfold, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     seen = np.zeros(size, np.int64)
     for row in totals.collect():  # a row per id of the vocabulary at most
         seen[row["id"]] = row["n"]
@@ -105,40 +104,37 @@ def ranking(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None) -> tuple[str, np.ndarray]:
     """Write all documents; returns the folder and the ranking (place -> id).
 
-    Texts are cut once; the ids wait in a written table while their frequencies are counted. Rows
-    are dealt by ranges of ``doc_id`` after they are coded, so the shuffle carries the small form.
+    Texts are cut once and their ids counted; the ids wait in a written table for the ranking. Rows
+    are dealt by ranges of ``doc_id`` before they are coded, as the ranges are found by a pass of their own.
     """
     coder = encoder(path)
     kind, size = coder.kind, coder.size
     tokens = written(token_ids(docs, path, end_id), "tokens")
-    order = ranking(tokens, kind, size)
+    order = ranking(tokens, size)
     place = np.empty(size, "<u4")
     place[order] = np.arange(size)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
         for b in slices(batches, 1024):
             ids = [np.frombuffer(x, kind) for x in b.column(1).to_pylist()]
             pairs = [pack_ids(place[x]) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), _binary([c for c, _ in pairs]), _binary([d for _, d in pairs])],
-                ["doc_id", "n_tokens", "control", "data"],
-            )
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = b.column("n_tokens").to_numpy()
+            n = np.array([len(x) for x in ids], np.int64)
             starts = before + np.cumsum(n) - n
             before += int(n.sum())
+            coded = [_binary([c for c, _ in pairs]), _binary([d for _, d in pairs])]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(starts, pa.int64())], [*b.schema.names, "part", "local_start"]
+                [b.column(0), pa.array(n), *coded, pa.array(np.full(len(n), part, np.int32)), pa.array(starts, pa.int64())],
+                ["doc_id", "n_tokens", "control", "data", "part", "local_start"],
             )
 
     key_type = tokens.schema["key"].dataType.simpleString()
-    schema = f"doc_id {key_type}, n_tokens long, control binary, data binary"
-    rows = tokens.mapInArrow(code, schema).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "data")
+    # Rows that share a key, or have none, may lie in several ranges: their order goes on to the ids.
+    order_by = ("key", F.length("ids"), "ids")
+    rows = tokens.where("ids IS NOT NULL").select("key", "ids").repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     folder = folder or scratch_dir(docs.sparkSession, "token-files")
-    rows.mapInArrow(number, f"{schema}, part int, local_start long").write.option("compression", "zstd").parquet(folder)
+    coded = rows.mapInArrow(code, f"doc_id {key_type}, n_tokens long, control binary, data binary, part int, local_start long")
+    coded.write.option("compression", "zstd").parquet(folder)
     return folder, order
 
 
