@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -66,7 +67,8 @@ NAMES = set(
 )
 MAIN = set("article main".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*")
+_SIGNS = re.compile("[\"'>]")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Marks of a line.
 ARTICLE, OPEN, DROPPED = 0, 1, 2
@@ -85,6 +87,62 @@ def _marks(name: str, rest: str) -> tuple[bool, bool]:
     return furniture, main and not furniture
 
 
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of all quotes and ``>``, and for each the ``>`` that ends a tag read on from there (-1: none).
+
+    A quote leads to the sign after the next one of its kind. All are found by one walk from the end, so
+    a tag that never ends costs nothing but itself, however many there are.
+    """
+    signs = [m.start() for m in _SIGNS.finditer(page)]
+    ends = [-1] * (len(signs) + 1)
+    later = {'"': len(signs), "'": len(signs)}
+    for k in range(len(signs) - 1, -1, -1):
+        sign = page[signs[k]]
+        if sign == ">":
+            ends[k] = signs[k]
+        else:
+            after = later[sign]
+            ends[k] = ends[after + 1] if after < len(signs) else -1
+            later[sign] = k
+    return signs, ends
+
+
+def tag_finder(page: str):
+    """Function from a place to the next tag: (start, end, closing, name, rest) or None; places must not fall.
+
+    Comments and declarations have no name.
+    """
+    signs, ends = _tag_ends(page)
+    last = page.rfind(">")
+    named = name_end = 0
+
+    def after(at: int) -> tuple[int, int, bool, str | None, str] | None:
+        nonlocal named, name_end
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, False, None, ""
+            if page[at : at + 1] in ("!", "?") and at < len(page):
+                end = page.find(">", start) if start < last else -1
+                if end < 0:
+                    continue
+                return start, end + 1, False, None, ""
+            if not named <= start < name_end:  # a name that runs over further "<" is read once
+                if not (found := _NAME.match(page, start)):
+                    continue
+                named, name_end = start, found.end()
+            elif not _NAME.match(page, start, start + 3):
+                continue
+            end = ends[bisect_left(signs, name_end)]
+            if end >= 0:
+                closing = page[at] == "/"
+                return start, end + 1, closing, page[at + closing : name_end], page[name_end:end]
+        return None
+
+    return after
+
+
 def lines(page: str | None) -> list[tuple[str, int]]:
     """The page's lines with their marks."""
     page = page or ""
@@ -125,15 +183,15 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if text:
             part.append(entities.unescape(text) if "&" in text else text)
 
-    search = _TAG.search
-    while found := search(page, at):
-        add(page[at : found.start()])
-        at = found.end()
-        name = found[2]
+    last, after = page.rfind(">") + 1, tag_finder(page)
+    while found := after(at):
+        start, end, closing, name, rest = found
+        add(page[at:start])
+        at = end
         if name is None:
             continue
         name = name.lower()
-        if found[1]:
+        if closing:
             if name in BLOCK:
                 end_line()
             close({name}, TABLE if name in IN_TABLE else SCOPE if name in BLOCK or name in FURNITURE else BLOCK)
@@ -150,12 +208,12 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if name in IMPLIED:
             close(*IMPLIED[name])
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at, max(at, last))
+            at = found.end() if found else len(page)
             continue
-        if name in VOID or found[3].endswith("/") and name not in BLOCK:
+        if name in VOID or rest.endswith("/") and name not in BLOCK:
             continue
-        f, m = _marks(name, found[3])
+        f, m = _marks(name, rest)
         if f or m:
             end_line()
         stack.append((name, f, m))

@@ -36,7 +36,8 @@ HEX = r"[0-9a-f]{24,}"
 #: Weak kinds.
 LOGIN = r"""(?i)\b(user|username|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)"""
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}"
-ENDPOINT = r"""\b[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+"""
+#: A scheme is a whole run of its characters, taken once: no text is read twice.
+ENDPOINT = r"""(?<![A-Za-z0-9_+.-])[a-z][a-z0-9+.-]*+://[^\x20\x09-\x0D"'<>]+"""
 
 KINDS = ("assign", "access", "hex", "login", "token", "endpoint")
 #: Kinds that complete a weak part.

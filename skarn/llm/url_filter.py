@@ -122,10 +122,10 @@ def judge(pages: DataFrame, words: DataFrame, rules=RULES) -> DataFrame:
     cuts = segment(split.select("name").distinct(), words)
     named = sorted({w for h, p, _ in rules for w in f"{h} {p}".replace(".", " ").replace("/", " ").split()})
     said = F.array(*map(F.lit, named)) if named else F.array().cast("array<string>")
-    own = split.join(cuts, "name").select("host", F.explode(F.array_except("words", said)).alias("word"))
+    own = split.join(cuts, "name").select("host", F.explode(F.filter("words", lambda w: ~F.array_contains(said, w))).alias("word"))
     host_words = written(own.select("host", F.concat(F.lit("host "), "word").alias("word")), "host-words")
     routes = counts.select("route").distinct()
-    of_route = F.explode(F.array_except(F.split("route", " "), F.concat(said, F.array(F.lit("")))))
+    of_route = F.explode(F.filter(F.split("route", " "), lambda w: (w != "") & ~F.array_contains(said, w)))
     route_words = routes.select("route", of_route.alias("word")).select("route", F.concat(F.lit("path "), "word").alias("word"))
 
     labelled = counts.where("label IS NOT NULL")
@@ -140,7 +140,8 @@ def judge(pages: DataFrame, words: DataFrame, rules=RULES) -> DataFrame:
 
     def scores(of: DataFrame, key: str) -> DataFrame:
         known = of.join(model, "word", "left").select(key, F.coalesce("weight", F.lit(even)).alias("weight"))
-        return known.groupBy(key).agg(F.sum("weight").alias(f"{key}_score"))
+        # Written: below the join each side is then just shuffled and sorted, so Spark can split a hot host.
+        return written(known.groupBy(key).agg(F.sum("weight").alias(f"{key}_score")), f"{key}-scores")
 
     scored = rows.join(scores(host_words, "host"), "host", "left").join(scores(route_words, "route"), "route", "left")
     score = F.round(F.coalesce("host_score", F.lit(0.0)) + F.coalesce("route_score", F.lit(0.0)), 9)

@@ -28,9 +28,9 @@ def plain(rows, words):
     letters = lambda t: [w for w in re.split(r"[\W\d_]+", t) if w]
 
     def tokens(host, path):
-        own = ["host " + w for name in letters(host) for w in dict.fromkeys(cut(name, words, total)) if w not in named]
+        own = ["host " + w for name in letters(host) for w in cut(name, words, total) if w not in named]
         route = [w for w in re.split(r"[^a-z0]+", re.sub("[0-9]+", " 0 ", path.lower())) if w]
-        return own + ["path " + w for w in dict.fromkeys(route) if w not in named]
+        return own + ["path " + w for w in route if w not in named]
 
     counts = {"block": Counter(), "allow": Counter()}
     for _, url in rows:
