@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from skarn.llm.common import slices, table, written
@@ -122,19 +122,35 @@ def render(steps: list[tuple[int, str]], texts: list[str]) -> str:
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of sorted rows: a new one for each conversation, each range and every SLICE turns."""
-    number = TaskContext.get().partitionId() << 40
-    started, last, count = False, None, 0
+    """Numbers sorted rows: their range, the number of their conversation's first row in it, and their own place from there."""
+    part, row, first, last = TaskContext.get().partitionId(), 0, 0, None
     for b in batches:
-        slices = []
+        bases, places = [], []
         for conv in b.column("conv").to_pylist():
-            if not started or conv != last or count == SLICE:
-                number, last, count, started = number + 1, conv, 0, True
-            count += 1
-            slices.append((number, count))
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns, pa.array([s for s, _ in slices], pa.int64()), pa.array([c for _, c in slices], pa.int32())], [*b.schema.names, "slice", "at"]
-        )
+            if conv != last or row == 0:
+                first, last = row, conv
+            bases.append((part << 40) + first)
+            places.append(row - first)
+            row += 1
+        added = {"rng": pa.array([part] * b.num_rows, pa.int32()), "base": pa.array(bases, pa.int64()), "n": pa.array(places, pa.int64())}
+        yield pa.RecordBatch.from_arrays([*b.columns, *added.values()], [*b.schema.names, *added])
+
+
+def _sliced(rows: DataFrame) -> DataFrame:
+    """Rows of ``_number`` with ``slice`` and ``at``: every SLICE turns of a conversation, wherever ranges end.
+
+    Only the first conversation of a range can have begun in one before it, so what is added to its
+    numbers is a row per range at most.
+    """
+    by_range = Window.partitionBy("conv").orderBy("rng")
+    held = rows.groupBy("conv", "rng").agg(F.count("*").alias("rows"), F.min("base").alias("base"))
+    before = F.sum("rows").over(by_range.rowsBetween(Window.unboundedPreceding, -1)).alias("before")
+    start = F.first("base").over(by_range.rowsBetween(Window.unboundedPreceding, 0)).alias("start")
+    carried = held.select("rng", "base", before, start).where("before > 0")
+    place = F.col("n") + F.coalesce("before", F.lit(0))
+    met = rows.join(F.broadcast(carried), ["rng", "base"], "left")
+    numbered = met.withColumn("place", place).withColumn("slice", F.coalesce("start", "base") + F.floor(F.col("place") / SLICE))
+    return numbered.select("conv", "turn", "role", "text", "slice", (F.col("place") % SLICE + 1).cast("int").alias("at"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -204,8 +220,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     order = ["conv", F.col("turn").asc_nulls_last(), "role", "text", "row"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"conv {types['conv']}, turn {types['turn']}, role string, text string, slice long, at int"
-    rows = written(rows.mapInArrow(_number, schema), "turns")
+    schema = f"conv {types['conv']}, turn {types['turn']}, role string, text string, rng int, base long, n long"
+    rows = _sliced(written(rows.mapInArrow(_number, schema), "turns"))
 
     dealt = rows.select("slice", "at", "role").repartition("slice").sortWithinPartitions("slice", "at")
     matrices = dealt.mapInArrow(_matrices, "slice long, costs array<double>")
