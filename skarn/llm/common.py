@@ -24,6 +24,22 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of the batches that go to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits for Arrow batches to those above: a batch of whole texts is large.
+
+    Both sides hold a batch or two, outside the heap, for each task.
+    """
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    for name, most in limits.items():
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if now.isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -146,9 +146,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, that hold no item of the benchmark."""
-    held = leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("_held")).distinct()
-    held = written(held, "contaminated")
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
+    held = written(leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("held")).distinct(), "contaminated")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column of the documents can clash
+    own = F.col(names[docs.columns.index("doc_id")])
+    return docs.toDF(*names).join(held, own.eqNullSafe(F.col("held")), "left_anti").toDF(*docs.columns)
 
 
 def op3_benchmark_decontamination(spark, folder: str) -> DataFrame:

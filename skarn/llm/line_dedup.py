@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StringType
 
-from skarn.llm.common import by_slices, slices, table, written
+from skarn.llm.common import by_slices, slices, small_batches, table, written
 
 #: Words of the shortest line that takes part.
 LEAST_WORDS = 8
@@ -182,32 +182,44 @@ def _neighbourhoods(texts: DataFrame) -> DataFrame:
     return texts.select("packed", "lines").mapInArrow(emit, f"line long, first {first}, words string, variants array<long>")
 
 
+def _fresh(k: str) -> Column:
+    """The key in another form: a join on it shuffles both sides anew, and Spark can split a crowded key."""
+    return F.bitwise_not(F.col(k)).alias(f"not_{k}")
+
+
 def _near(lines: DataFrame) -> DataFrame:
     """``line`` of those with an earlier line one edit away."""
-    keys = lines.select("line", "first", F.posexplode("variants").alias("place", "k"))
+    keys = lines.select("line", F.posexplode("variants").alias("place", "k"))
+    # Most keys have one line: they go before anything else is known of them.
+    shared = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(_fresh("k"))
+    met = keys.select("*", _fresh("k")).join(shared, "not_k", "left_semi").drop("not_k")
+    keys = written(met.join(lines.select("line", "first"), "line"), "variants")
     me = F.struct("first", "line")
     same_place = keys.where("place > 0").groupBy("k", "place").agg(F.min(me).alias("m"), F.count("*").alias("n")).where("n > 1")
-    replaced = keys.join(same_place, ["k", "place"]).where(F.col("m.first") < F.col("first")).select("line", F.col("m.line").alias("other"))
+    same_place = same_place.select(_fresh("k"), _fresh("place"), "m")
+    again = keys.select("*", _fresh("k"), _fresh("place"))
+    replaced = again.join(same_place, ["not_k", "not_place"]).where(F.col("m.first") < F.col("first")).select("line", F.col("m.line").alias("other"))
     whole = F.min(F.when(F.col("place") == 0, me)).alias("whole")
     part = F.min(F.when(F.col("place") > 0, me)).alias("part")
-    both = keys.groupBy("k").agg(whole, part).where("whole IS NOT NULL AND part IS NOT NULL")
+    both = keys.groupBy("k").agg(whole, part).where("whole IS NOT NULL AND part IS NOT NULL").select(_fresh("k"), "whole", "part")
     other = F.when(F.col("place") == 0, F.col("part")).otherwise(F.col("whole"))
-    added = keys.join(both, "k").select("line", "first", other.alias("m")).where(F.col("m.first") < F.col("first")).select("line", F.col("m.line").alias("other"))
+    added = again.join(both, "not_k").select("line", "first", other.alias("m")).where(F.col("m.first") < F.col("first")).select("line", F.col("m.line").alias("other"))
     pairs = replaced.union(added).distinct()
     words = lines.select("line", "words")
     pairs = pairs.join(words, "line").join(words.select(F.col("line").alias("other"), F.col("words").alias("other_words")), "other")
     return pairs.where(_alike("words", "other_words")).select("line").distinct()
 
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", short_copies: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", short_copies: bool = True) -> DataFrame:
     """``key, dropped``: places (from 0) of the lines of a document that go; no row if none does."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     first = F.min(F.struct("key", "at")).alias("first")
     different = written(_places(rows, True, short_copies).groupBy("line").agg(first, F.any_value("ends").alias("ends")), "different")
 
     ends = different.select("line", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
-    going_on = ends.join(shared, "end", "left_semi").select("line").distinct()
+    shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select(_fresh("end"))
+    going_on = ends.select("line", _fresh("end")).join(shared, "not_end", "left_semi").select("line").distinct()
     going_on = different.select("line", "first").join(going_on, "line", "left_semi")
 
     wanted = going_on.groupBy(F.col("first.key").alias("of")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "line", "first")).alias("lines"))
@@ -217,13 +229,13 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", short_copi
     neighbours = written(_neighbourhoods(texts).dropDuplicates(["line"]), "neighbourhoods")
     near = _near(neighbours).withColumn("near", F.lit(True))
 
-    lines = different.select("line", "first").join(near, "line", "left")
+    lines = different.select("line", "first").join(near, "line", "left").select(_fresh("line"), "first", "near")
     # The places are found again, which costs less than keeping them.
-    gone = _places(rows, False, short_copies).join(lines, "line").where(F.col("near") | (F.col("first") < F.struct("key", "at")))
+    gone = _places(rows, False, short_copies).select("key", "at", _fresh("line")).join(lines, "not_line").where(F.col("near") | (F.col("first") < F.struct("key", "at")))
     return gone.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
 
 
-def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", short_copies: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", short_copies: bool = True) -> DataFrame:
     """All columns of ``docs``, the text without its repeated lines, and ``dropped``, their places.
 
     ``dropped`` is null where nothing goes, and replaces a column of that name. A null text stays
@@ -231,10 +243,13 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", short
     document in the order: lines at the same place of it do not repeat each other, so repeated rows
     stay alike.
     """
-    where = repeats(docs, text, key, short_copies).select(F.col("key").alias("_key"), F.col("dropped").alias("_dropped"))
-    packed = docs.withColumn(text, _pack(F.col(text).cast("string")))
-    met = packed.join(where.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(text, _without(text, "_dropped"))
-    return met.drop("dropped", "_key").withColumnRenamed("_dropped", "dropped")
+    columns = [c for c in docs.columns if c != "dropped"]
+    names = [f"c{k}" for k in range(len(columns))]  # so that no column of the documents can clash
+    own, body = names[columns.index(key)], names[columns.index(text)]
+    where = repeats(docs, text, key, short_copies).withColumnRenamed("key", "whose")
+    packed = docs.select(*columns).toDF(*names).withColumn(body, _pack(F.col(body).cast("string")))
+    met = packed.join(where.hint("merge"), F.col(own).eqNullSafe(F.col("whose")), "left").withColumn(body, _without(body, "dropped"))
+    return met.select(*names, "dropped").toDF(*columns, "dropped")
 
 
 def op2_line_dedup(spark, folder: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skarn.llm.common import by_slices, table
+from skarn.llm.common import by_slices, small_batches, table
 
 #: Bytes of a text, its least and its most bytes per compressed byte.
 BANDS = (
@@ -147,7 +147,11 @@ def quality(text: Column, bands=BANDS, chunk: int = CHUNK, bad_share: float = BA
 
 def quality_rules(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The documents that pass, with their own columns; repeated rows each pass or fail alone."""
-    return docs.withColumn("_quality", quality(F.col(text), **limits)).where("_quality.kept").drop("_quality")
+    small_batches(docs.sparkSession)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column of the documents can clash
+    rows = docs.toDF(*names)
+    judged = rows.withColumn("quality", quality(F.col(names[docs.columns.index(text)]), **limits)).where("quality.kept")
+    return judged.select(*names).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark, folder: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from skarn.llm.common import by_slices, table, written
+from skarn.llm.common import by_slices, small_batches, table, written
 from skarn.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -118,7 +118,9 @@ def links(prints: DataFrame) -> DataFrame:
     keyed = _keyed(prints, COARSE)
     counted = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
     # The keys that several fingerprints have, then their rows: groups of known size.
-    rows = written(keyed.join(counted, ["mask", "key"]), "blocks")
+    # Joined on another form of the key: both sides are shuffled anew, and Spark can split a crowded one.
+    other = F.bitwise_not("key").alias("not_key")
+    rows = written(keyed.select("*", other).join(counted.select("mask", other, "n"), ["mask", "not_key"]).drop("not_key"), "blocks")
     small = rows.where(F.col("n") <= CROWD).groupBy("mask", "key").agg(F.collect_list("f").alias("fs"))
     crowded = rows.where(F.col("n") > CROWD).select("f").distinct()
     fine = _keyed(crowded, FINE).groupBy("mask", "key").agg(F.collect_list("f").alias("fs")).where(F.size("fs") > 1)
@@ -132,6 +134,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Rows of one fingerprint, empty and null texts among them, are linked. A null key never names a
     component unless all its keys are null. Repeated rows give repeated results.
     """
+    small_batches(docs.sparkSession)
     rows = written(docs.select(F.col(key), fingerprint(F.col(text)).alias("f")), "prints")
     nodes = rows.groupBy("f").agg(F.min(key).alias("least"))
     labels = components(links(nodes.select("f")))
@@ -142,13 +145,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return rows.join(by_print, "f").select(key, F.col("f").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each component: its smallest key, with all columns."""
-    found = near_duplicates(docs, text, key)
-    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key)
-    return docs.join(first.distinct(), key, "left_semi")
-
-
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each component, with all columns: that of the smallest key, null keys last.
 

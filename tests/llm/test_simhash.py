@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from skarn.llm import simhash
-from skarn.llm.simhash import keep_first, links, near_duplicates, op7_simhash_near_dedup
+from skarn.llm.simhash import keep_one, links, near_duplicates, op7_simhash_near_dedup
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -84,9 +84,9 @@ def test_edges(spark):
     assert got == sorted([(5, 2), (2, 2), (2, 2), (9, 7), (8, 7), (7, 7), (None, None)], key=str)
     assert near_duplicates(docs.limit(0)).count() == 0
     clash = docs.selectExpr("*", "1 AS f", "2 AS component_id", "3 AS fingerprint")
-    kept = keep_first(clash)
+    kept = keep_one(clash)
     assert kept.columns == clash.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 2, 7]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 7, None]
 
 
 def test_stage_keeps_one_row_of_each_group(spark):
