@@ -303,11 +303,11 @@ def liquefaction_lookup(points: DataFrame, polygons: DataFrame, default: str = "
     test, so no point is multiplied or grouped again.  The cells leave their aggregate under keys of
     another form, so that Spark can split a cell that holds many points.
     """
-    index = polygon_cells(polygons, res).select(F.bitwise_not("_cy").alias("_y"), F.bitwise_not("_cx").alias("_x"), "_held")
-    cells = {"_y": F.bitwise_not(cell_index(F.col("lat"), res)), "_x": F.bitwise_not(cell_index(F.col("lng"), res))}
+    index = polygon_cells(polygons, res).select(F.bitwise_not("_cy").alias("_not_cy"), F.bitwise_not("_cx").alias("_not_cx"), "_held")
+    cells = {"_not_cy": F.bitwise_not(cell_index(F.col("lat"), res)), "_not_cx": F.bitwise_not(cell_index(F.col("lng"), res))}
     holds = lambda e: e["whole"] | inside_edges(F.col("lat"), F.col("lng"), e["edges"])
     found = F.get(F.filter("_held", holds), F.lit(0))["class"]
-    met = points.withColumns(cells).join(index, ["_y", "_x"], "left")
+    met = points.withColumns(cells).join(index, ["_not_cy", "_not_cx"], "left")
     return met.select(*points.columns, F.coalesce(found, F.lit(default)).alias("liquefaction_class"))
 
 
