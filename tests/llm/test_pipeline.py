@@ -26,7 +26,8 @@ def test_stages(spark, tmp_path):
         if k < 4:
             assert docs.columns == columns
             after = {r["doc_id"]: r for r in rows}
-            assert len(after) == len(rows) and set(after) < set(before), name
+            # The line dedup leaves these few documents without copies of each other.
+            assert len(after) == len(rows) and (set(after) <= set(before) if k == 2 else set(after) < set(before)), name
         if k == 0:
             for d, r in before.items():
                 n, _, _, _, repeated = plain_counts(r["text"])
@@ -50,6 +51,15 @@ def test_stages(spark, tmp_path):
             assert {r["doc_id"] for r in rows} == set(before)
 
 
+def test_near_duplicates_of_whole_documents(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    before = {r["doc_id"]: r for r in docs.collect()}
+    after = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER).collect()}
+    ids = sorted(before)
+    names = plain_components([plain_print(before[d]["text"]) for d in ids])
+    assert after == {ids[i] for i, c in enumerate(names) if c == i} and len(after) < len(before)
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert rows and set(rows[0].asDict()) >= {"doc_id", "piece", "sequence_id", "offset", "length"}
