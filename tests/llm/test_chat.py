@@ -93,3 +93,19 @@ def test_slices_change_nothing(spark, monkeypatch):
 
 def test_rendering():
     assert render([(0, "keep"), (1, "keep"), (1, "merge"), (1, "insert")], list("abcd")) == "<|system|>\na\n<|user|>\nb\n\nc\n<|assistant|>\n\n<|user|>\nd\n"
+
+
+def test_rows_do_not_depend_on_partitions(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    found = []
+    try:
+        spark.conf.set(names[1], "false")
+        for parts in (8, 40, 211):
+            spark.conf.set(names[0], str(parts))
+            found.append(sorted(tuple(map(str, r)) for r in op10_chat_formatting(spark, FOLDER).collect()))
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert found[0] == found[1] == found[2]
+    assert len(found[0]) == spark.read.parquet(f"{FOLDER}/conversations.parquet").select("conv_id").distinct().count()
