@@ -129,9 +129,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str |
             )
 
     key_type = tokens.schema["key"].dataType.simpleString()
-    # Rows that share a key, or have none, may lie in several ranges: their order goes on to the ids.
-    order_by = ("key", F.length("ids"), "ids")
-    rows = tokens.where("ids IS NOT NULL").select("key", "ids").repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    # Rows that share a key, or have none, may lie in several ranges: their order goes on to length and hash,
+    # not to the ids, as the driver gets a sample of what the ranges are made of.
+    order_by = ("key", F.length("ids"), F.xxhash64("ids"))
+    rows = tokens.where("ids IS NOT NULL").select("key", "ids").repartitionByRange(*order_by).sortWithinPartitions(*order_by, "ids")
     folder = folder or scratch_dir(docs.sparkSession, "token-files")
     coded = rows.mapInArrow(code, f"doc_id {key_type}, n_tokens long, control binary, data binary, part int, local_start long")
     coded.write.option("compression", "zstd").parquet(folder)
