@@ -28,32 +28,78 @@ from skarn.session import scratch_dir
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.uint8)
 
 
-def pack_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of ranks (unsigned, below 2 ** 32)."""
+#: Ids coded at a time; more of them only if one document has more.
+PORTION = 1 << 20
+
+
+def _slots(n: np.ndarray) -> np.ndarray:
+    """Place of each id of documents of ``n`` ids where every document begins a control byte of its own."""
+    room = -(-n // 4) * 4
+    return np.arange(int(n.sum())) + np.repeat((np.cumsum(room) - room) - (np.cumsum(n) - n), n)
+
+
+def pack_many(ranks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes, their number by document, data bytes and theirs, of ranks end to end (unsigned, below 2 ** 32)."""
     ranks = ranks.astype("<u4", copy=False)
-    n = len(ranks)
     length = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-n // 4) * 4, np.uint8)
-    codes[:n] = length - 1
+    controls = -(-n // 4)
+    codes = np.zeros(int(controls.sum()) * 4, np.uint8)
+    codes[_slots(n)] = length - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    every = ranks.view(np.uint8).reshape(n, 4)
-    return control.tobytes(), every[np.arange(4) < length[:, None]].tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]]
+    upto = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    return control, controls, data, np.diff(upto[np.concatenate([[0], np.cumsum(n)])])
 
 
-def unpack_ids(n: int, control: bytes, data: bytes) -> np.ndarray:
-    """The ranks behind ``pack_ids``: lengths from the table, then all bytes in one gather."""
-    length = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    first = np.cumsum(length) - length
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = raw[first].astype("<u4")
+def unpack_many(n: np.ndarray, control: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The ranks behind ``pack_many``, end to end: lengths from the table, then all bytes in one gather."""
+    length = LENGTHS[control].reshape(-1)[_slots(n)]
+    first = np.cumsum(length, dtype=np.int64) - length
+    out = data[first].astype("<u4")
     for k in (1, 2, 3):
         longer = np.flatnonzero(length > k)
         if len(longer):
-            out[longer] |= raw[first[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+            out[longer] |= data[first[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def pack_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of one document's ranks."""
+    control, _, data, _ = pack_many(ranks, np.array([len(ranks)]))
+    return control.tobytes(), data.tobytes()
+
+
+def unpack_ids(n: int, control: bytes, data: bytes) -> np.ndarray:
+    """The ranks behind ``pack_ids``."""
+    return unpack_many(np.array([n]), np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8))
+
+
+def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, end to end, and where each value begins and the last ends."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
+
+
+def _values(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column of values of the given lengths in bytes, laid end to end in ``data``."""
+    at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _portions(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatch]:
+    """The same rows, with about ``PORTION`` ids at a time; ``count`` gives the ids of each row."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        which = (np.cumsum(count(b)) - 1) // PORTION
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [b.num_rows]])
+        for first, end in zip(bounds, bounds[1:]):
+            yield b.slice(int(first), int(end - first))
+
+
 def _binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
@@ -116,15 +162,17 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str |
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for b in slices(batches, 1024):
-            ids = [np.frombuffer(x, kind) for x in b.column(1).to_pylist()]
-            pairs = [pack_ids(place[x]) for x in ids]
-            n = np.array([len(x) for x in ids], np.int64)
+        for b in _portions(batches, lambda b: np.diff(_raw(b.column(1))[1]) // kind.itemsize):
+            raw, at = _raw(b.column(1))
+            n = np.diff(at) // kind.itemsize
+            control, controls, data, sizes = pack_many(place[raw[at[0] : at[-1]].view(kind)], n)
             starts = before + np.cumsum(n) - n
             before += int(n.sum())
-            coded = [_binary([c for c, _ in pairs]), _binary([d for _, d in pairs])]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), *coded, pa.array(np.full(len(n), part, np.int32)), pa.array(starts, pa.int64())],
+                [
+                    b.column(0), pa.array(n), _values(control, controls), _values(data, sizes),
+                    pa.array(np.full(len(n), part, np.int32)), pa.array(starts, pa.int64()),
+                ],
                 ["doc_id", "n_tokens", "control", "data", "part", "local_start"],
             )
 
@@ -139,34 +187,43 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, folder: str |
     return folder, order
 
 
-def read_token_files(spark, folder: str, order: np.ndarray) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32-bit) from the files alone."""
+def read_token_files(spark, folder: str, order: np.ndarray, digest: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32-bit) from the files alone.
+
+    ``digest`` gives ``ids_crc32``, the unsigned crc32 of these bytes, in place of ``ids``.
+    """
     stored = spark.read.parquet(folder)
     ids = order.astype("<u4")
+    last = "ids_crc32 long" if digest else "ids binary"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1024):
-            n, control, data = (b.column(c).to_pylist() for c in ("n_tokens", "control", "data"))
-            out = [ids[unpack_ids(*x)] for x in zip(n, control, data)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("part"), b.column("local_start"), pa.array([len(x) for x in out], pa.int64()), _binary([x.tobytes() for x in out])],
-                ["doc_id", "part", "local_start", "n_tokens", "ids"],
-            )
+        for b in _portions(batches, lambda b: b.column("n_tokens").to_numpy()):
+            n = b.column("n_tokens").to_numpy()
+            (control, c), (data, d) = _raw(b.column("control")), _raw(b.column("data"))
+            out = ids[unpack_many(n, control[c[0] : c[-1]], data[d[0] : d[-1]])].view(np.uint8)
+            if digest:
+                ends, view = np.cumsum(4 * n).tolist(), memoryview(out)
+                column = pa.array([zlib.crc32(view[a:z]) for a, z in zip([0, *ends], ends)], pa.int64())
+            else:
+                column = _values(out, 4 * n)
+            columns = [b.column("doc_id"), b.column("part"), b.column("local_start"), b.column("n_tokens"), column]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "local_start", "n_tokens", last.split()[0]])
 
     key_type = stored.schema["doc_id"].dataType.simpleString()
-    rows = stored.mapInArrow(decode, f"doc_id {key_type}, part int, local_start long, n_tokens long, ids binary")
+    rows = stored.mapInArrow(decode, f"doc_id {key_type}, part int, local_start long, n_tokens long, {last}")
     # A row per file: what the files before it hold.
     sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("part", F.coalesce(before, F.lit(0)).alias("offset"))
-    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(offsets), "part").select(
+        "doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", last.split()[0]
+    )
 
 
 def op9_token_files(spark, folder: str) -> DataFrame:
     """Contract of the query: see the module; a null text is empty and keeps its end id."""
     where, order = write_token_files(table(spark, folder, "documents"), default_path())
-    rows = read_token_files(spark, where, order)
-    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, where, order, digest=True)
 
 
 def crc(ids: np.ndarray) -> int:

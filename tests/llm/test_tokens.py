@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from skarn.llm import vocab
-from skarn.llm.token_files import crc, op9_token_files, pack_ids, read_token_files, unpack_ids, write_token_files
+from skarn.llm import token_files, vocab
+from skarn.llm.token_files import (
+    crc, op9_token_files, pack_ids, pack_many, read_token_files, unpack_ids, unpack_many, write_token_files,
+)
 from skarn.llm.vocab import Encoder, default_path
 
 FOLDER = "/root/testdata/sf0.01"
@@ -46,6 +48,31 @@ def test_code():
             assert len(control) == -(-n // 4) and (unpack_ids(n, control, data) == ranks).all()
 
 
+def test_code_of_many():
+    rnd = np.random.default_rng(1)
+    for n in ([], [0], [0, 3, 0, 4, 1, 0], rnd.integers(0, 40, 200)):
+        n = np.asarray(n, np.int64)
+        ranks = rnd.integers(0, 1 << 17, int(n.sum()), dtype=np.uint64).astype("<u4")
+        control, controls, data, sizes = pack_many(ranks, n)
+        assert (unpack_many(n, control, data) == ranks).all()
+        parts = [pack_ids(r) for r in np.split(ranks, np.cumsum(n)[:-1])] if len(n) else []
+        assert [(len(c), len(d)) for c, d in parts] == list(zip(controls.tolist(), sizes.tolist()))
+        assert b"".join(c for c, _ in parts) == control.tobytes() and b"".join(d for _, d in parts) == data.tobytes()
+
+
+def test_portions(spark, library, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = None
+    for portion in (token_files.PORTION, 700, 1):
+        monkeypatch.setattr(token_files, "PORTION", portion)
+        folder, order = write_token_files(docs, default_path())
+        got = read_token_files(spark, folder, order).orderBy("start").collect()
+        digests = read_token_files(spark, folder, order, digest=True).orderBy("start").collect()
+        assert [r["ids_crc32"] for r in digests] == [crc(np.frombuffer(r["ids"], "<u4")) for r in got]
+        want = want or got
+        assert got == want
+
+
 def test_query(spark, library):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").collect()
     got, start = op9_token_files(spark, FOLDER).orderBy("doc_id").collect(), 0
