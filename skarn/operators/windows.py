@@ -6,14 +6,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from skarn.operators.ordered import asof_last, cell_width, cuts, ordinal, previous_row, running_total, top_n, with_piece
+from skarn.operators.ordered import asof_last, cuts, join_keys, ordinal, piece_of, previous_row, running_total, top_n, with_piece
 
 # Trend bounds of the loss slope.
 IMPROVING, DIVERGING = -0.001, 0.001
-#: Days of a cell of the gap rule, which runs in Python per key and cell.
-GAP_CELLS = 7
+#: Rows of a run that the gap rule folds as one array.
+FOLD = 1024
 #: Rows of a sorted table that are a top list; pages after them are found by counts.
 DEEP = 10_000
 # Order of time sensitivity.
@@ -108,16 +109,6 @@ def row_count_bound(df: DataFrame, ts: str, days: int = 7, k: float = 3.0) -> Da
     )
 
 
-def _greedy(times: np.ndarray, gap: int, last: int | None) -> list[int]:
-    """Positions kept when a time is kept only ``gap`` or more after the last kept one."""
-    i = 0 if last is None else int(np.searchsorted(times, last + gap))
-    kept = []
-    while i < len(times):
-        kept.append(i)
-        i = int(np.searchsorted(times, times[i] + gap))
-    return kept
-
-
 def action_dedup(
     actions: DataFrame,
     keys: list[str],
@@ -125,27 +116,62 @@ def action_dedup(
     row_id: str = "id",
     seconds: int = 10,
     cell: int | None = None,
+    fold: int = FOLD,
 ) -> DataFrame:
     """Per key in time order: a row is kept if none was kept in the seconds before it.
 
     Rows without a time wait for nothing and are kept.  Skipped rows do not extend the wait, so
-    each decision depends on the one before.  Rows of one
-    instant are first reduced to their lowest id.  Each cell of time is summarised as "last time
-    kept on entry -> last time kept on exit", the summaries are chained per key, and every cell
-    then runs on its own from its entry.
+    each decision depends on the one before.  Rows of one instant are first reduced to their lowest
+    id (null ids last); rows that share key, instant and id stay together.
+
+    A row that follows its key's previous instant by the gap or more is kept whatever came before it.
+    Such rows cut a key into runs that do not depend on each other.  A run of up to ``fold`` instants
+    is one short array, folded in order.  Longer runs, and keys that are cut for their number of rows
+    (more than ``cell``), go by pieces (``_in_pieces``).
     """
-    timed = actions.filter(F.col(ts).isNotNull())
-    at = timed.select(*keys, ordinal(actions, ts).alias("_at"), F.col(row_id).alias("_id"))
+    timed = actions.filter(F.col(ts).isNotNull()).withColumn("_instant", ordinal(actions, ts))
+    at = timed.select(*keys, F.col("_instant").alias("_at"), F.col(row_id).alias("_id"))
     firsts = at.groupBy(*keys, "_at").agg(F.min("_id").alias("_id"))
     gap = seconds * (1000 if isinstance(actions.schema[ts].dataType, T.LongType) else 1_000_000)
-    id_type = firsts.schema["_id"].dataType
-    kept_schema = T.StructType([T.StructField("_id", id_type)])
-    width = cell or GAP_CELLS * cell_width(actions.schema[ts].dataType)
-    cut = firsts.withColumn("_cell", F.floor(F.col("_at") / F.lit(width)).cast("bigint"))
-    group = [*keys, "_cell"]
-    key_fields = [cut.schema[c] for c in group]
+    placed = join_keys(firsts, F.broadcast(cuts(firsts, keys, "_at", cell)), keys)
+    cut = F.col("_starts").isNotNull()
+    placed = placed.select(*keys, "_at", "_id", piece_of(F.col("_at"), F.col("_starts")).alias("_piece"), cut.alias("_cut"))
+    order = W.partitionBy(*keys, "_piece").orderBy("_at")
+    opens = F.coalesce(F.col("_at") - F.lag("_at").over(order) >= gap, F.lit(True))
+    run = [*keys, "_piece", "_run"]
+    runs = (
+        placed.withColumn("_opens", opens.cast("int")).withColumn("_run", F.sum("_opens").over(order)).drop("_opens")
+        .withColumn("_hard", F.col("_cut") | (F.count("*").over(W.partitionBy(*run)) > fold))
+    )
+
+    rows = runs.filter(~F.col("_hard")).groupBy(*run).agg(F.sort_array(F.collect_list(F.struct("_at", "_id"))).alias("_rows"))
+    kind = rows.schema["_rows"].dataType
+    none = F.struct(F.lit(None).cast(kind.elementType["_at"].dataType).alias("last"), F.array().cast(kind).alias("kept"))
+
+    def step(done: Column, row: Column) -> Column:
+        free = done["last"].isNull() | (row["_at"] - done["last"] >= gap)
+        taken = F.struct(row["_at"].alias("last"), F.concat(done["kept"], F.array(row)).alias("kept"))
+        return F.when(free, taken).otherwise(done)
+
+    short = rows.select(*keys, F.explode(F.aggregate("_rows", none, step, lambda done: done["kept"])).alias("_row"))
+    # The pieces of a cut key belong together, whatever runs they have.
+    hard = runs.filter("_hard").withColumn("_run", F.when(F.col("_cut"), 0).otherwise(F.col("_run")))
+    long = _in_pieces(hard.drop("_hard", "_cut"), [*keys, "_run"], gap)
+    kept = short.select(*keys, "_row._at", "_row._id").unionByName(long.select(*keys, "_at", "_id"))
+    wanted = kept.select(*keys, F.col("_at").alias("_instant"), F.col("_id").alias(row_id))
+    decided = join_keys(timed, wanted, [*keys, "_instant", row_id], "left_semi").select(actions.columns)
+    return decided.unionByName(actions.filter(F.col(ts).isNull()))
+
+
+def _in_pieces(rows: DataFrame, run: list[str], gap: int) -> DataFrame:
+    """Rows that the gap rule keeps of ``run, _piece, _at``, a piece at a time.
+
+    A piece is summed up as "first time kept -> last time kept", the sums are chained per run, and each
+    piece is then played from its entry.
+    """
+    group = [*run, "_piece"]
+    fields = [rows.schema[c] for c in group]
     array = T.ArrayType(T.LongType())
-    summary_schema = T.StructType([*key_fields, T.StructField("heads", array), T.StructField("exits", array)])
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_at"].to_numpy())
@@ -154,17 +180,15 @@ def action_dedup(
         for i in range(len(times) - 1, -1, -1):
             if following[i] < len(times):
                 last[i] = last[following[i]]
-        # Only times within one gap of the cell's start can be the first kept one.
+        # Only times within one gap of the piece's start can be the first kept one.
         some = min(int(np.searchsorted(times, times[0] + gap)) + 1, len(times))
         heads, exits = times[:some], last[:some]
         ends = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
         row = {c: pdf[c].iloc[0] for c in group}
         return pd.DataFrame([{**row, "heads": heads[ends].tolist(), "exits": exits[ends].tolist()}])
 
-    entry_schema = T.StructType([*key_fields, T.StructField("_last", T.LongType())])
-
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, entries = pdf.sort_values("_cell"), None, []
+        pdf, last, entries = pdf.sort_values("_piece"), None, []
         for heads, exits in zip(pdf["heads"], pdf["exits"]):
             entries.append(last)
             i = 0 if last is None else int(np.searchsorted(heads, last + gap))
@@ -174,17 +198,20 @@ def action_dedup(
         out["_last"] = pd.array(entries, dtype="Int64")
         return out
 
-    def replay(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        last = entry["_last"].iloc[0]
-        start = None if pd.isna(last) else int(last)
-        return pdf.iloc[_greedy(pdf["_at"].to_numpy(), gap, start)][["_id"]]
-
-    summaries = cut.groupBy(*group).applyInPandas(summarise, summary_schema)
-    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema)
-    kept = cut.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(replay, kept_schema)
-    decided = timed.join(kept.select(F.col("_id").alias(row_id)), row_id, "left_semi").select(actions.columns)
-    return decided.unionByName(actions.filter(F.col(ts).isNull()))
+    def replay(part: pa.Table, entry: pa.Table) -> pa.Table:
+        part = part.sort_by("_at")
+        times, last, kept = part["_at"].to_numpy(), entry["_last"][0].as_py(), []
+        i = 0 if last is None else int(np.searchsorted(times, last + gap))
+        while i < len(times):
+            kept.append(i)
+            i = int(np.searchsorted(times, times[i] + gap))
+        return part.take(pa.array(kept, pa.int64()))
+
+    sums = rows.groupBy(*group).applyInPandas(
+        summarise, T.StructType([*fields, T.StructField("heads", array), T.StructField("exits", array)])
+    )
+    entries = sums.groupBy(*run).applyInPandas(chain, T.StructType([*fields, T.StructField("_last", T.LongType())]))
+    return rows.groupBy(*group).cogroup(entries.groupBy(*group)).applyInArrow(replay, rows.schema)
 
 
 def delivery_health(

@@ -127,6 +127,24 @@ def test_action_dedup(spark, cell):
     assert {r["id"] for r in got.collect()} == greedy_model(rows, 9000)
 
 
+@pytest.mark.parametrize(("cell", "fold", "spread"), [(None, 1, 1), (20, 3, 1), (7, 10_000, 1), (40, 16, 3)])
+def test_action_dedup_of_long_runs(spark, cell, fold, spread):
+    """Runs over the fold go by pieces, whatever their number of rows; the gap makes one run of a key or many."""
+    rows = [(i, k, at * 1000 * spread, v) for i, k, at, v in skewed(8, times=900)]
+    for seconds in (2, 9, 50):
+        got = wn.action_dedup(frame(spark, rows), ["key"], "at", seconds=seconds, cell=cell, fold=fold)
+        assert sorted(r["id"] for r in got.collect()) == sorted(greedy_model(rows, seconds * 1000))
+
+
+def test_action_dedup_ids_and_null_keys(spark):
+    """Ids that repeat over keys or are null, null keys: a row goes by its own key and time."""
+    rows = [(1, "a", 0, 0.0), (1, "a", 5000, 1.0), (1, "b", 5000, 2.0), (None, "c", 0, 3.0), (None, "c", 1000, 4.0), (7, None, 0, 5.0), (8, None, 9000, 6.0), (9, None, 12000, 7.0)]
+    for fold in (1, 100):
+        got = wn.action_dedup(frame(spark, rows), ["key"], "at", fold=fold)
+        assert sorted(r["v"] for r in got.collect()) == [0.0, 2.0, 3.0, 5.0, 7.0]
+    assert wn.action_dedup(frame(spark, rows).limit(0), ["key"], "at").count() == 0
+
+
 def test_action_dedup_without_times(spark):
     rows = spark.createDataFrame([(1, "a", 1000), (2, "a", None), (3, "a", 2000), (4, "a", None)], "id int, key string, at bigint")
     assert {r["id"] for r in wn.action_dedup(rows, ["key"], "at").collect()} == {1, 2, 4}
