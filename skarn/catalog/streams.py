@@ -14,7 +14,7 @@ from skarn.functions.fields import ts_of_ms
 from skarn.operators import corpus as cp, quality as ql, registry as rg
 from skarn.session import scratch_dir
 from skarn.sources import schemas, tables as tb
-from skarn.streaming import jobs, state
+from skarn.streaming import changes, jobs, state
 
 
 def live(v, name: str) -> DataFrame:
@@ -199,6 +199,20 @@ def _(v):
     return v.spark.read.parquet(f"{base}/out").drop("_bucket")
 
 
+@query(
+    "stream_change_view",
+    """SELECT id, status, created_at FROM (SELECT resource_id AS id, status, created_at FROM actions)
+       QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1""",
+)
+def _(v):
+    base = scratch_dir(v.spark, "changes")
+    rows = live(v, "actions").select(F.col("resource_id").alias("id"), "status", "created_at")
+    for start in ("a", "b"):  # a query that starts over writes its changes beside the others
+        changes.append_changes(rows, ["id"], "created_at", f"{base}/out", f"{base}/{start}").awaitTermination()
+    changes.merge_changes(v.spark, f"{base}/out", ["id"], "created_at", fan=2)
+    return changes.latest_view(v.spark, f"{base}/out", ["id"], "created_at")
+
+
 @query(
     "stream_quality_monitor",
     result_sql("bronze.gpu_telemetry", "SELECT * FROM telemetry", TELEMETRY_CHECKS).replace("'2024-01-31 00:00:00' AS run_at", "'batch-0' AS run_at"),

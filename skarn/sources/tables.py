@@ -100,6 +100,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(place)
 
 
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path whose writing has ended (``_SUCCESS``), last in order first."""
+    fs, place = _hadoop(spark, path)
+    if not fs.exists(place):
+        return []
+    names = sorted((f.getPath().getName() for f in fs.listStatus(place) if f.isDirectory()), reverse=True)
+    return [n for n in names if path_exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS")]
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders; one that is gone already is no error."""
+    for path in paths:
+        fs, place = _hadoop(spark, path)
+        fs.delete(place, True)
+
+
 def _partition_columns(path: str, table: DataFrame) -> list[str]:
     """Names in ``name=value`` folders of one of the table's files."""
     folders = (_a_file(table) or "").rsplit(path.rstrip("/").rsplit("/", 1)[-1] + "/", 1)[-1].split("/")[:-1]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skarn.operators import joins as jn, quality as ql, windows as wn
 from skarn.sources import tables as tb
-from skarn.streaming import jobs, state
+from skarn.streaming import changes, jobs, state
 
 T0 = datetime(2024, 1, 1)
 
@@ -132,6 +132,47 @@ def test_compacted_table_over_batches(spark, tmp_path):
         jobs.compact_latest(other, ["id"], "at", out, str(tmp_path / "c3"), buckets=3).awaitTermination()
 
 
+def test_change_view_over_batches_and_merges(spark, tmp_path):
+    schema, out = "id string, status string, at bigint", str(tmp_path / "out")
+    view = lambda: changes.latest_view(spark, out, ["id"], "at", schema)
+    merge = lambda: changes.merge_changes(spark, out, ["id"], "at", fan=2)
+    folders = lambda: [n for n in tb.complete_folders(spark, out) if n.startswith("changes-")]
+    assert view().collect() == [] and merge() == 0
+
+    batches = [[("a", "new", 1), ("b", "new", 1)], [("a", "done", 5), ("a", "old", 4)], [("a", "late", 3), ("b", "again", 1), (None, "x", 1)]]
+    stream = files(spark, str(tmp_path / "in"), schema, batches)
+    changes.append_changes(stream, ["id"], "at", out, str(tmp_path / "c")).awaitTermination()
+    # A batch writes one row per key of its own; of one version the later batch counts.
+    assert sorted(spark.read.parquet(f"{out}/{n}").count() for n in folders()) == [1, 2, 3]
+    want = [(None, "x", 1), ("a", "done", 5), ("b", "again", 1)]
+    key = lambda r: (r[0] is not None, r)
+    got = lambda df: sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0] is not None, str(r)))
+    assert got(view()) == sorted(want, key=key)
+
+    # A reader from before a merge goes on; what was merged goes with the next merge.
+    before = view()
+    assert merge() == 1 and len(folders()) == 4
+    assert got(before) == got(view()) == sorted(want, key=key)
+    assert merge() == 0 and len(folders()) == 1
+    # A batch that runs again after its folder went, and a folder that was not finished, change nothing.
+    query = spark.read.json(f"{tmp_path}/c/metadata").first()["id"]
+    again = spark.createDataFrame([("a", "new", 1, 0), ("b", "new", 1, 0)], f"{schema}, _batch bigint")
+    again.write.parquet(f"{out}/changes-0-{query}-0")
+    again.withColumn("at", F.lit(99).cast("bigint")).write.parquet(f"{out}/changes-0-half")
+    (tmp_path / "out" / "changes-0-half" / "_SUCCESS").unlink()
+    assert got(view()) == sorted(want, key=key)
+
+    # A query that starts over adds to the table; many batches leave few folders; another shape fails.
+    more = files(spark, str(tmp_path / "in2"), schema, [[("d", "new", i), ("b", "old", 0)] for i in range(3)])
+    changes.append_changes(more, ["id"], "at", out, str(tmp_path / "c2")).awaitTermination()
+    merge(), merge()
+    assert len(folders()) <= 3
+    assert got(view()) == sorted([*want, ("d", "new", 2)], key=key)
+    other = files(spark, str(tmp_path / "in3"), "id string, at bigint", [[("e", 1)]])
+    with pytest.raises(StreamingQueryException, match="another table"):
+        changes.append_changes(other, ["id"], "at", out, str(tmp_path / "c3")).awaitTermination()
+
+
 def test_dual_sink_retry_replaces_a_batch(spark, tmp_path):
     stream = files(spark, str(tmp_path / "in"), "id bigint", [[(1,), (2,)], [(3,), (4,)]])
     ok, bad = str(tmp_path / "ok"), str(tmp_path / "bad")
