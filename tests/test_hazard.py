@@ -204,3 +204,40 @@ def test_seismic_actions_wait_ten_seconds(spark):
     _, made = hz.seismic_actions(feed, seen, None, ember, crews, res=0.05, at=at, recent=log)
     got = sorted((r["event_id"], r["resource_id"], r["created_at"]) for r in made.collect())
     assert got == [("a", "c2", 100_000), ("a", "c4", 100_000)]  # c1 acted 5 seconds ago; b repeats a
+
+
+def soil(spark):
+    ring = lambda y, x, d: [(x, y), (x + d, y), (x + d, y + d), (x, y + d), (x, y)]
+    rows = [(0, "HIGH", ring(33.9, -118.4, 0.23)), (1, "very_high", ring(34.0, -118.3, 0.31)), (2, "odd", ring(34.4, -118.9, 0.1))]
+    return spark.createDataFrame(rows, "ord int, class string, ring array<struct<lng:double,lat:double>>")
+
+
+def test_folded_grid_equals_its_rows(spark):
+    # Two epicentres, one of them crowded beyond one copy of its classes; one event lacks its depth.
+    rnd = random.Random(3)
+    rows = [(f"e{i}", 5 + rnd.random(), rnd.uniform(5, 20), 34.2, -118.5) for i in range(300)]
+    rows += [("far", 6.2, 8.0, 34.05, -118.31), ("none", 6.0, None, 34.2, -118.5), ("lost", 6.0, 9.0, None, -118.5)]
+    events, polygons = spark.createDataFrame(rows, EVENT), soil(spark)
+    grid = hz.damage_grid(events, 0.02, polygons=polygons).cache()
+    keys = ["event_id", "liquefaction_class"]
+    sums = {tuple(r)[:5]: tuple(r)[5:] for r in hz.damage_by_class(events, polygons, 0.02).select(
+        *keys, "cells", "cell_sum", "first_id", "probability_sum", "most", "lat_sum", "lng_sum").collect()}
+    want = {tuple(r)[:5]: tuple(r)[5:] for r in grid.groupBy(*keys).agg(
+        F.count("*"), F.sum("cell"), F.min("id"), F.sum("damage_probability"), F.max("damage_probability"), F.sum("lat"), F.sum("lng")).collect()}
+    assert sums.keys() == want.keys() and len({k[1] for k in sums}) == 4
+    assert all(a == b or a == pytest.approx(b, abs=1e-6) for k in sums for a, b in zip(sums[k], want[k]))
+    first = hz.first_damaged(events, polygons, 3, 0.02)
+    worst = hz.top_n(jn.high_damage(grid), ["event_id"], [F.col("cell")], 3)
+    assert first.exceptAll(worst).isEmpty() and worst.exceptAll(first).isEmpty() and not first.isEmpty()
+    counted = {r["event_id"]: tuple(r)[1:] for r in hz.damage_counts(events, 0.02).collect()}
+    p = F.col("damage_probability")
+    plain = hz.damage_cells(events, 0.02).groupBy("event_id").agg(F.count("*"), F.count_if(p > 0.05), F.count_if(p > 0.7))
+    assert counted == {r[0]: tuple(r)[1:] for r in plain.collect()} and counted["none"] == (2601,) * 3
+
+
+def test_folded_grid_looks_up_each_epicentre_once(spark):
+    events = spark.createDataFrame([(f"e{i}", 6.0, 9.0, 34.2, -118.5) for i in range(600)], EVENT)
+    runs = hz.soil_runs(events.withColumnRenamed("id", "event_id"), soil(spark), 0.02, 0.5)
+    assert runs.count() == 600 * 3 + 600  # low, high, very_high, odd: a row an event and class
+    assert runs.select("starts").distinct().count() == 4
+    assert runs.agg(F.sum(F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a + 1), F.lit(0), lambda s, x: s + x))).first()[0] == 600 * 2601
