@@ -241,3 +241,12 @@ def test_folded_grid_looks_up_each_epicentre_once(spark):
     assert runs.count() == 600 * 3 + 600  # low, high, very_high, odd: a row an event and class
     assert runs.select("starts").distinct().count() == 4
     assert runs.agg(F.sum(F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a + 1), F.lit(0), lambda s, x: s + x))).first()[0] == 600 * 2601
+
+
+def test_nearest_asks_once_per_position(spark):
+    points = spark.range(2000).select("id", F.lit(34.0).alias("lat"), (F.col("id") % 2 / 10 - 118.0).alias("lng"))
+    crews = spark.createDataFrame([(i, 34.0, -118.2 + i / 50) for i in range(9)], "id int, lat double, lng double")
+    got = jn.nearest(points, crews, 2)
+    assert got.count() == 4000 and got.select("km", "target_id").distinct().count() <= 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_at" in plan
