@@ -4,6 +4,7 @@ import random
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -208,3 +209,97 @@ def test_corpus_job_keeps_rejected_copies(spark, tmp_path):
     assert [r["document_id"] for r in spark.read.parquet(f"{out}/clean").collect()] == ["d1"]
     assert sorted(r["document_id"] for r in spark.read.parquet(f"{out}/rejected").collect()) == ["d2", "d4"]
     assert spark.read.text(f"{out}/metadata").count() == 1
+
+
+class _Value:
+    def __init__(self, calls):
+        self.v, self.calls = None, calls
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.calls.append("value")
+        self.v = v
+
+    put = update
+
+    def clear(self):
+        self.v = None
+
+
+class _Map(dict):
+    def __init__(self, calls):
+        super().__init__()
+        self.calls = calls
+
+    def getValue(self, key):
+        self.calls.append("get")
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls.append("put")
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def containsKey(self, key):
+        return key in self
+
+
+class _Handle:
+    """State of one key in memory, with its calls counted."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps = [], set(), []
+
+    def getMapState(self, *_):
+        self.maps.append(_Map(self.calls))
+        return self.maps[-1]
+
+    def getValueState(self, *_):
+        return _Value(self.calls)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def to(self, processor, watermark):
+        """Fires the timers that a watermark has passed."""
+        class Now:
+            getCurrentWatermarkInMs = staticmethod(lambda: watermark)
+
+        out = []
+        for at in sorted(t for t in self.timers if t <= watermark):
+            self.timers.discard(at)
+            class Fired:
+                getExpiryTimeInMs = staticmethod(lambda at=at: at)
+            out += list(processor.handleExpiredTimer(None, Now, Fired))
+        return pd.concat(out) if out else pd.DataFrame()
+
+
+def test_alert_state_calls_go_with_parts_not_rows():
+    handle, processor = _Handle(), state.AlertGpuProcessor(3_600_000)
+    processor.init(handle)
+    minutes = range(0, 30 * 1440, 10)  # a month, a row every ten minutes
+    rows = pd.DataFrame({"at_ms": [m * 60_000 for m in minutes], "is_alert": [i % 5 == 0 for i in range(len(minutes))]})
+    rows["alert"] = [f"a{m}" if a else None for m, a in zip(minutes, rows["is_alert"])]
+    for n, kind in zip(state.GPU.values(), (1.0, 2.0, 3.0, "g")):
+        rows[n] = [None if a else kind for a in rows["is_alert"]]
+    assert list(processor.handleInputRows(None, iter([rows[2000:], rows[:2000]]), None)) == []
+    half = handle.to(processor, 15 * 86_400_000)
+    assert handle.timers and min(handle.timers) > 15 * 86_400_000 and len(handle.timers) == 1
+    rest = handle.to(processor, 60 * 86_400_000)
+    done = pd.concat([half, rest])
+    assert sorted(done["alert"]) == sorted(rows["alert"].dropna()) and (done["gpu_utilization_pct"] == 1.0).all()
+    assert len(half) == 15 * 1440 // 50 + 1 and not handle.timers and not handle.maps[0]
+    assert len(handle.calls) < len(rows) / 4  # before: several a row
