@@ -303,3 +303,13 @@ def test_alert_state_calls_go_with_parts_not_rows():
     assert sorted(done["alert"]) == sorted(rows["alert"].dropna()) and (done["gpu_utilization_pct"] == 1.0).all()
     assert len(half) == 15 * 1440 // 50 + 1 and not handle.timers and not handle.maps[0]
     assert len(handle.calls) < len(rows) / 4  # before: several a row
+
+
+def test_gap_state_calls_go_with_parts_not_rows():
+    handle, processor = _Handle(), state.ActionGapProcessor(86_400_000, ["id"])
+    processor.init(handle)
+    rows = pd.DataFrame({"id": range(4320), "row_id": range(4320), "at_ms": [m * 600_000 for m in range(4320)]})
+    list(processor.handleInputRows(None, iter([rows]), None))
+    kept = handle.to(processor, 40 * 86_400_000)
+    assert kept["id"].tolist() == list(range(0, 4320, 144)) and not handle.timers
+    assert len(handle.calls) < len(rows) / 4  # before: several a row
