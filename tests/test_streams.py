@@ -313,3 +313,22 @@ def test_gap_state_calls_go_with_parts_not_rows():
     kept = handle.to(processor, 40 * 86_400_000)
     assert kept["id"].tolist() == list(range(0, 4320, 144)) and not handle.timers
     assert len(handle.calls) < len(rows) / 4  # before: several a row
+
+
+def test_alert_enrichment_uses_the_spans(spark, tmp_path):
+    # A day of alerts and samples every 20 seconds: rows enough that calls to the state for each would show.
+    ids = spark.range(4320).withColumn("at", F.timestamp_seconds(1704067200 + F.col("id") * 20))
+    alerts = ids.filter("id % 4 = 0").selectExpr("concat('a', id) alert_id", "'n1' node_id", "at triggered_at", "'s' k8s_namespace", "'p' k8s_pod_name")
+    told = ids.filter("id % 4 <> 0").selectExpr("'n1' node_id", "'g' device_id", "unix_millis(at) timestamp_ms", "id * 1D utilization_pct", "1D temperature_c", "1D power_draw_w")
+    for name, rows in (("a", alerts), ("t", told)):
+        rows.coalesce(1).write.parquet(str(tmp_path / name))
+    nodes = spark.createDataFrame([("n1", "host", 8)], "node_id string, hostname string, gpu_count int")
+    pods = spark.createDataFrame([("s", "p", "Running", 1, 1)], "namespace string, pod_name string, phase string, timestamp_ms bigint, event_id bigint")
+    stream = lambda name: tb.parquet_stream(spark, str(tmp_path / name))
+    out = str(tmp_path / "out")
+    job = jobs.alert_job(stream("a"), stream("t"), nodes, pods, out, str(tmp_path / "c"), "0 seconds")
+    job.awaitTermination()
+    body = F.from_json("value", "alert_id string, gpu_utilization_pct double, pod_phase string").alias("r")
+    got = {r["alert_id"]: tuple(r)[1:] for r in spark.read.schema("key string, value string").parquet(out).select(body).select("r.*").collect()}
+    assert got == {f"a{i}": (float(i - 1 if i else 1), "Running") for i in range(0, 4320, 4)}
+    assert state.SPAN_MS >= 3_600_000
