@@ -250,3 +250,20 @@ def test_nearest_asks_once_per_position(spark):
     assert got.count() == 4000 and got.select("km", "target_id").distinct().count() <= 4
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [_at" in plan
+
+
+def test_assignment_meets_bounded_pairs(spark, monkeypatch):
+    # One place, ten zones take part at a time, each with four offers: before, offers grew to all crews for all zones.
+    zones = [(f"z{i:02}", 10.0, 20.0, 0.9 - i / 1000) for i in range(40)]
+    crews = [(f"c{i:02}", 10.0, 20.0 + i / 50) for i in range(30)]
+    pairs, plain = [], hz.settle
+
+    def settle(df, what):
+        kept = plain(df, what)
+        if what in ("nearest", "offers"):
+            pairs.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(hz, "settle", settle)
+    assert assigned(spark, zones, crews, 10, 4) == serial(zones, crews)
+    assert max(pairs) <= 2 * 10 * 4
