@@ -315,6 +315,22 @@ def test_gap_state_calls_go_with_parts_not_rows():
     assert len(handle.calls) < len(rows) / 4  # before: several a row
 
 
+def test_gap_state_calls_go_with_rows_not_time(monkeypatch):
+    # Three years with a row every seven hours, in no order: nearly every row has a span of its own.
+    monkeypatch.setattr(state, "RUN_ROWS", 1000, raising=False)
+    monkeypatch.setattr(state, "PART_ROWS", 50, raising=False)
+    handle, processor = _Handle(), state.ActionGapProcessor(86_400_000, ["id"])
+    processor.init(handle)
+    times = [i * 25_200_000 for i in range(3754)] * 2  # two rows an instant
+    rows = pd.DataFrame({"id": range(len(times)), "row_id": range(len(times)), "at_ms": times}).sample(frac=1, random_state=3)
+    list(processor.handleInputRows(None, (rows[i:i + 400] for i in range(0, 5000, 400)), None))
+    list(processor.handleInputRows(None, iter([rows[5200:].astype({"at_ms": "float64"})]), None))
+    kept = pd.concat([handle.to(processor, day * 86_400_000) for day in (100, 101, 500, 2000)])
+    assert kept["id"].tolist() == list(range(0, 3754, 4))  # seven hours four times is the first that is over a day
+    assert not handle.timers and not handle.maps[0]
+    assert len(handle.calls) < len(rows) / 4  # before: two a row
+
+
 def test_alert_enrichment_uses_the_spans(spark, tmp_path):
     # A day of alerts and samples every 20 seconds: rows enough that calls to the state for each would show.
     ids = spark.range(4320).withColumn("at", F.timestamp_seconds(1704067200 + F.col("id") * 20))
