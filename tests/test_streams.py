@@ -331,6 +331,32 @@ def test_gap_state_calls_go_with_rows_not_time(monkeypatch):
     assert len(handle.calls) < len(rows) / 4  # before: two a row
 
 
+def test_alert_state_calls_go_with_rows_not_time(monkeypatch):
+    # Alerts of three years, each with samples before, at or after it, or none near; in no order and in several runs.
+    monkeypatch.setattr(state, "RUN_ROWS", 900, raising=False)
+    monkeypatch.setattr(state, "PART_ROWS", 40, raising=False)
+    rnd, hour, rows, want = random.Random(4), 3_600_000, [], {}
+    for i in range(3000):
+        at = (i + 1) * 9 * hour
+        rows.append((at, True, f"a{i}", None))
+        near = rnd.choice([(), (-hour + 1,), (-hour,), (0, 0), (hour - 1,), (hour,), (-60_000, 5), (-2 * hour, 7)])
+        fit = [d for d in near if -hour < d <= 0] or [d for d in near if 0 < d < hour]
+        rows += [(at + d, False, None, f"g{i}-{n}") for n, d in enumerate(near)]
+        want[f"a{i}"] = max((f"g{i}-{n}" for n, d in enumerate(near) if d in fit[:1]), default=None)
+    given = pd.DataFrame(rows, columns=["at_ms", "is_alert", "alert", "gpu_device_id"]).sample(frac=1, random_state=5)
+    for n in list(state.GPU.values())[:3]:
+        given[n] = [None if a else 1.0 for a in given["is_alert"]]
+        given[n] = given[n].astype("float64")
+    handle, processor = _Handle(), state.AlertGpuProcessor(hour)
+    processor.init(handle)
+    list(processor.handleInputRows(None, (given[i:i + 500] for i in range(0, len(given), 500)), None))
+    done = pd.concat([handle.to(processor, day * 86_400_000) for day in (100, 101, 500, 2000)])
+    got = dict(zip(done["alert"], done["gpu_device_id"].astype(object).where(done["gpu_device_id"].notna(), None)))
+    assert got == want and len(done) == 3000 and None in want.values()
+    assert not handle.timers and not handle.maps[0]
+    assert len(handle.calls) < len(rows) / 4  # before: one a row and more
+
+
 def test_alert_enrichment_uses_the_spans(spark, tmp_path):
     # A day of alerts and samples every 20 seconds: rows enough that calls to the state for each would show.
     ids = spark.range(4320).withColumn("at", F.timestamp_seconds(1704067200 + F.col("id") * 20))
