@@ -11,8 +11,8 @@ from skarn.catalog.quality import AS_OF_MS, TELEMETRY_CHECKS, result_sql
 from skarn.catalog.sources import telemetry_json
 from skarn.catalog.telemetry import HOURLY, rounded
 from skarn.functions.fields import ts_of_ms
-from skarn.operators import corpus as cp, quality as ql, registry as rg
-from skarn.session import scratch_dir
+from skarn.operators import corpus as cp, joins as jn, quality as ql, registry as rg
+from skarn.session import scratch_dir, settle
 from skarn.sources import schemas, tables as tb
 from skarn.streaming import changes, jobs, state
 
@@ -163,7 +163,10 @@ def _(v):
 )
 def _(v):
     base = scratch_dir(v.spark, "alerts")
-    job = jobs.alert_job(live(v, "alerts"), live_quiet_telemetry(v), v.nodes, v.k8s, f"{base}/out", f"{base}/checkpoint", "0 seconds")
+    pods = settle(jn.latest_pods(v.k8s), "pods")  # once, and not in every batch
+    job = jobs.alert_job(
+        live(v, "alerts"), live_quiet_telemetry(v), v.nodes, pods, f"{base}/out", f"{base}/checkpoint", "0 seconds", latest=True
+    )
     job.awaitTermination()
     body = "alert_id STRING, gpu_utilization_pct DOUBLE, hostname STRING, pod_phase STRING"
     messages = v.spark.read.schema("key STRING, value STRING").parquet(f"{base}/out")

@@ -19,7 +19,8 @@ def parquet_stream(spark: SparkSession, path: str, max_files: int = 100) -> Data
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     folder, _, name = path.rstrip("/").rpartition("/")
-    if (_a_file(spark.read.parquet(path)) or "").endswith(f"/{name}"):
+    fs, place = _hadoop(spark, path)
+    if fs.getFileStatus(place).isFile():
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 

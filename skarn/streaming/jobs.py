@@ -86,11 +86,14 @@ def corpus_job(
 
 def alert_job(
     alerts: DataFrame, telemetry: DataFrame, nodes: DataFrame, events: DataFrame, out: str, checkpoint: str,
-    lateness: str = "30 seconds", **trigger
+    lateness: str = "30 seconds", latest: bool = False, **trigger
 ) -> StreamingQuery:
-    """Alerts joined with telemetry (state), nodes and pod events (tables), as keyed JSON messages."""
+    """Alerts joined with telemetry (state), nodes and pod events (tables), as keyed JSON messages.
+
+    Every batch reads the tables anew; ``latest`` says that the events are one per pod already.
+    """
     with_gpu = alert_join(alerts, telemetry, lateness=lateness)
-    wide = jn.k8s_enrich(jn.node_enrich(with_gpu, nodes), events)
+    wide = jn.k8s_enrich(jn.node_enrich(with_gpu, nodes), events, latest)
     messages = sink_json(wide, event_key(F.col("node_id"), F.col("alert_id")))
     with rocksdb(alerts.sparkSession):
         return append_rows(messages, out, checkpoint, **trigger)

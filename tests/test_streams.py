@@ -374,3 +374,48 @@ def test_alert_enrichment_uses_the_spans(spark, tmp_path):
     got = {r["alert_id"]: tuple(r)[1:] for r in spark.read.schema("key string, value string").parquet(out).select(body).select("r.*").collect()}
     assert got == {f"a{i}": (float(i - 1 if i else 1), "Running") for i in range(0, 4320, 4)}
     assert state.SPAN_MS >= 3_600_000
+
+
+def test_state_partitions_go_with_the_cluster(spark, tmp_path):
+    # Partitions of the state cost time in every batch, with rows or without; before there were as many as shuffles have.
+    alerts, told = "alert_id string, node_id string, triggered_at timestamp", "node_id string, device_id string, timestamp_ms long, utilization_pct double, temperature_c double, power_draw_w double"
+    ms = int(T0.timestamp() * 1000)
+    asked = files(spark, str(tmp_path / "a"), alerts, [[(f"a{i}", f"n{i}", T0) for i in range(40)]])
+    samples = files(spark, str(tmp_path / "t"), told, [[(f"n{i}", "g", ms + i, float(i), 1.0, 1.0) for i in range(40)]])
+    nodes = spark.createDataFrame([], "node_id string, hostname string, gpu_count int")
+    pods = spark.createDataFrame([("s", "p", "Running", 1, 1)], "namespace string, pod_name string, phase string, timestamp_ms bigint, event_id bigint")
+    asked = asked.withColumns({"k8s_namespace": F.lit("s"), "k8s_pod_name": F.lit("p")})
+    out, check, name = str(tmp_path / "out"), tmp_path / "c", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "48")
+        job = jobs.alert_job(asked, samples, nodes, pods, out, str(check), "0 seconds")
+        job.awaitTermination()
+        assert spark.conf.get(name) == "48"
+        most = max(2 * spark.sparkContext.defaultParallelism, state.STORES)
+        assert most < 48 and state.stores(spark) == most
+        spark.conf.set(name, "4")
+        assert state.stores(spark) == 4
+    finally:
+        spark.conf.set(name, before)
+    assert len([d for d in (check / "state" / "0").iterdir() if d.name.isdigit()]) == most
+    got = [r["key"] for r in spark.read.schema("key string, value string").parquet(out).collect()]
+    assert sorted(got) == sorted(f"n{i}:a{i}" for i in range(40))
+
+
+def test_pod_events_are_taken_once(spark):
+    # Batches join the latest events themselves, a row per pod, and do not aggregate all events anew.
+    kind = "namespace string, pod_name string, phase string, timestamp_ms bigint, event_id bigint"
+    events = spark.createDataFrame(
+        [("s", "p", "Running", 5, 1), ("s", "p", "Failed", 5, 2), ("s", "p", "Pending", 4, 9), ("s", None, "Failed", 1, 1), ("t", "p", None, 7, 3), ("t", "p", "Running", 6, 4)], kind
+    )
+    pods = jn.latest_pods(events)
+    assert sorted(map(tuple, pods.select("namespace", "pod_name", "phase", "timestamp_ms", "event_id").collect()), key=str) == sorted(
+        [("s", "p", "Failed", 5, 2), ("s", None, "Failed", 1, 1), ("t", "p", None, 7, 3)], key=str
+    )
+    asked = spark.createDataFrame([("a", "s", "p"), ("b", "t", "p"), ("c", "u", "p"), ("d", "s", None)], "alert_id string, k8s_namespace string, k8s_pod_name string")
+    rows = lambda df: sorted(map(tuple, df.select("alert_id", "pod_phase", "namespace").collect()))
+    small = spark.createDataFrame(pods.collect(), pods.schema)
+    taken = jn.k8s_enrich(asked, small, latest=True)
+    assert rows(taken) == rows(jn.k8s_enrich(asked, events)) == [("a", "Failed", "s"), ("b", "Unknown", "t"), ("c", "Unknown", "u"), ("d", "Unknown", "s")]
+    assert "Aggregate" not in taken._jdf.queryExecution().optimizedPlan().toString()
