@@ -1,14 +1,15 @@
 """Whole texts to token ids with a public word-level BPE vocabulary, a batch of texts at a time.
 
-The library spends its time on short, repeated words. A batch is therefore cut at white space and
-coded as a dictionary by Arrow, a worker keeps the ids of words it has met, and only new ones are
-merged; numpy then lays the ids of all words end to end. Words are cut the way the vocabulary's own
-pattern cuts them, for Latin text only: a text with any other character, or with the start of a
-special token's string, goes through the library whole. The merges of a new word are those of
-``tiktoken``, which takes ids for ranks, as they are given in the order of the merges; a byte that no
-text has stands for the end of a word. It merges any two tokens that make up an entry, the library
-only those of its list: both give the same for entries that the library gives for their own bytes,
-so others are left out. The ids are the library's in all cases (``tests/llm/test_tokens.py``).
+The library spends its time on short, repeated words. Numpy therefore cuts the texts of a batch into
+words by the kinds of their characters, Arrow codes the words as a dictionary, its words are merged
+in a few calls, and numpy lays the ids of all words end to end; no step goes word by word in Python.
+Words are cut the way the vocabulary's own pattern cuts them, for Latin text only: a text with any
+other character, or with the start of a special token's string, goes through the library whole. The
+merges are those of ``tiktoken``, which takes ids for ranks, as they are given in the order of the
+merges; a character that no text cut here has stands for the end of a word. It merges any two tokens
+that make up an entry, the library only those of its list: both give the same for entries that the
+library gives for their own bytes, so others are left out. The ids are the library's in all cases
+(``tests/llm/test_tokens.py``).
 """
 
 from __future__ import annotations
@@ -18,21 +19,17 @@ import re
 import sys
 import types
 import unicodedata
-from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-#: Words, and parts of words, that a worker remembers before it starts afresh; bounds memory, not the result.
+#: Different words, and bytes of them, that one call merges; bounds memory, not the result.
 REMEMBERED_WORDS, REMEMBERED_PARTS = 120_000, 300_000
-#: A word is remembered if a portion of the texts has it so many times.
-COMMON = 2
 #: Characters of text coded at a time.
 PORTION = 3_000_000
 
-#: A byte that no text has in UTF-8; after a word it stands for the word's end.
-MARK = b"\xff"
+#: A character of one byte that no text cut here has; after a word it stands for the word's end.
+MARK = 1
 
 #: Contractions that the vocabulary's pattern takes as words of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -42,11 +39,16 @@ _ONE_BYTE = b" \t\n\r" + bytes(ord(c) for c in _LATIN if ord(c) < 256)
 _OTHER = re.compile("[^ \t\n\r" + "".join(map(re.escape, _LATIN)) + "]")
 
 
-def _of(kind: str) -> str:
-    return "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == kind)
+#: Kinds of lower-case characters: white space, letter, digit, sign.
+SPACE, LETTER, DIGIT, SIGN = range(4)
 
 
-_WORD = re.compile(f"{'|'.join(CONTRACTIONS)}|[{_of('L')}]+|[{_of('N')}]|[^ {_of('L')}{_of('N')}]+")
+def _kinds() -> np.ndarray:
+    """The kind of each UTF-16 unit of the texts cut here, lower-cased."""
+    kinds = np.full(1 << 16, SPACE, np.uint8)
+    for c in {x for c in _LATIN for x in c.lower()}:
+        kinds[ord(c)] = {"L": LETTER, "N": DIGIT}.get(unicodedata.category(c)[0], SIGN)
+    return kinds
 
 
 def _plain(text: str) -> bool:
@@ -67,29 +69,55 @@ def _byte_letters() -> dict[str, int]:
 
 
 def _merger(vocabulary: dict[str, int], words, end_of_word: str):
-    """Function from a word's bytes and ``MARK`` to its ids."""
+    """``tiktoken`` over words that end with ``MARK``, laid end to end, and whether each id ends a word."""
     import tiktoken
 
-    letter, ranks, whole = _byte_letters(), {}, []
+    letter, ranks, whole, mark = _byte_letters(), {}, [], bytes([MARK])
     for entry, i in vocabulary.items():
         ends = entry.endswith(end_of_word)
         body = entry.removesuffix(end_of_word)
         if not all(c in letter for c in body):
             continue
         data = bytes(letter[c] for c in body)
+        if mark in data:
+            continue
         if len(data) > 1 and ends:
             try:
-                whole.append((data.decode(), data + MARK, i))
+                whole.append((data.decode(), data + mark, i))
                 continue
             except UnicodeDecodeError:
                 pass
-        ranks[data + MARK if ends else data] = i
+        ranks[data + mark if ends else data] = i
     # Entries that end a word and that the library gives for their own letters.
     for (_, data, i), found in zip(whole, words.encode_batch_fast([w for w, _, _ in whole], add_special_tokens=False)):
         if found.ids == [i]:
             ranks[data] = i
-    ranks.setdefault(MARK, max(vocabulary.values()) + 1)
-    return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    ranks.setdefault(mark, max(vocabulary.values()) + 1)
+    ends = np.zeros(max(ranks.values()) + 1, bool)
+    ends[[i for data, i in ranks.items() if data.endswith(mark)]] = True
+    pattern = f"[^{chr(MARK)}]*{chr(MARK)}"
+    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ends
+
+
+def _begins(units: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether a word begins at each unit: ``CONTRACTIONS``, runs of letters, digits one by one, runs of signs."""
+    begins = np.ones(len(units), bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == DIGIT
+    begins &= kind != SPACE
+    # An apostrophe inside a run of signs begins none; behind a contraction, which ends in a letter, it may.
+    ticks = np.flatnonzero(begins & (units == ord("'")))
+    if len(ticks):
+        after = np.concatenate([units, np.zeros(2, units.dtype)])
+        for letters in (c[1:] for c in CONTRACTIONS):
+            found = ticks
+            for k, x in enumerate(letters, 1):
+                found = found[after[found + k] == ord(x)]
+            begins[found + 1] = False
+            ends = found + 1 + len(letters)
+            ends = ends[ends < len(units)]
+            begins[ends] = kind[ends] != SPACE
+    return begins
 
 
 class Encoder:
@@ -108,53 +136,51 @@ class Encoder:
         words.normalizer = normalizers.Sequence([])
         cut = pre_tokenizers.Split(" ", "removed")
         words.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.merge = _merger(self.library.get_vocab(with_added_tokens=False), words, end_of_word)
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.ends_word = _merger(self.library.get_vocab(with_added_tokens=False), words, end_of_word)
+        self.kinds = _kinds()
 
     def whole(self, text: str) -> np.ndarray:
         """Ids of one text by the library alone."""
         return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        """Ids of new words, from those of their parts."""
-        cut = [_WORD.findall(c) for c in chunks]
-        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.parts]
-        if len(self.parts) + len(new) > REMEMBERED_PARTS:
-            self.parts = {}
-            new = list(dict.fromkeys(p for c in cut for p in c))
-        merge, code = self.merge, self.code
-        for p in new:
-            self.parts[p] = array(code, merge(p.encode() + MARK)).tobytes()
-        parts = self.parts
-        return [b"".join([parts[p] for p in ps]) for ps in cut]
+    def _merged(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that lie end to end in UTF-8 and end at ``ends``, and where the ids of each word end."""
+        call = np.arange(len(ends)) // REMEMBERED_WORDS + ends // REMEMBERED_PARTS
+        bounds = [0, *ends[np.flatnonzero(np.diff(call))].tolist(), int(ends[-1])]
+        found = [
+            self.words.encode_to_numpy(data[a:z].tobytes().decode(), disallowed_special=())
+            for a, z in zip(bounds, bounds[1:])
+        ]
+        ids = np.concatenate(found)
+        return ids.astype(self.kind), np.flatnonzero(self.ends_word[ids]) + 1
 
     def _cut(self, texts: list[str]) -> list[np.ndarray]:
-        flat = pa.array([t.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts], pa.large_string())
-        split = pc.split_pattern(flat, " ")
-        coded = split.flatten().dictionary_encode()
-        chunks, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        data = list(map(self.known.get, chunks))
-        new = [k for k, d in enumerate(data) if d is None]
-        if new:
-            often = np.bincount(which, minlength=len(chunks)) >= COMMON
-            found = self._learn([chunks[k] for k in new])
-            if len(self.known) + int(often[new].sum()) > REMEMBERED_WORDS:
-                self.known = {"": b""}
-            for k, d in zip(new, found):
-                data[k] = d
-                if often[k]:
-                    self.known[chunks[k]] = d
-        ids = np.frombuffer(b"".join(data), self.kind)
-        length = np.fromiter(map(len, data), np.int64, len(data)) // self.kind.itemsize
-        first = np.cumsum(length) - length
+        low = [t.lower() for t in texts]
+        # A unit of UTF-16 is a character here; a blank stands behind each text.
+        units = np.frombuffer(" ".join([*low, ""]).encode("utf-16-le"), "<u2")
+        kind = self.kinds[units]
+        begins = _begins(units, kind)
+        first = np.flatnonzero(begins)
+        if not len(first):
+            return [np.zeros(0, self.kind)] * len(texts)
+        words_upto = np.searchsorted(first, np.cumsum([0] + [len(t) + 1 for t in low]))
+        inside = kind != SPACE
+        letters = units[inside]
+        marked = np.insert(letters, np.append(np.flatnonzero(begins[inside])[1:], len(letters)), MARK)
+        data = np.frombuffer(marked.tobytes().decode("utf-16-le").encode(), np.uint8)
+        offsets = np.concatenate([[0], np.flatnonzero(data == MARK) + 1])
+        words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = words.dictionary_encode()
+        which = coded.indices.to_numpy()
+        _, offsets, data = coded.dictionary.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[1 : len(coded.dictionary) + 1]
+        ids, ends = self._merged(np.frombuffer(data, np.uint8), offsets)
+        length = np.diff(ends, prepend=0)
         of_word = length[which]
-        ends = np.cumsum(of_word)
-        place = np.arange(ends[-1] if len(ends) else 0)
-        place += np.repeat(first[which] - (ends - of_word), of_word)
-        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
-        out = ids[place]
+        upto = np.concatenate([[0], np.cumsum(of_word)])
+        place = np.arange(upto[-1])
+        place += np.repeat((ends - length)[which] - upto[:-1], of_word)
+        out, bounds = ids[place], upto[words_upto]
         return [out[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:

@@ -1,6 +1,7 @@
 """Ids against the library, the code's round trip, and the files read back."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -39,6 +40,32 @@ def test_ids_of_odd_texts(library, monkeypatch):
     assert [len(x) for x in coder.batch([None, ""])] == [0, 0]
 
 
+def test_lower_case_beyond_latin(library):
+    """Lower-case letters may lie outside the range that texts are cut for; contractions meet every kind of neighbour."""
+    texts = [f"{a}{c}{b}" for c in "ȺȾɃɄɅƁƆɈ" for a in ("", "a", "'", "1") for b in ("b", "'s", "2", ".")]
+    texts += [f"{a}'{c}{b}" for c in ("s", "T", "re", "vE", "m", "ll", "d", "l", "r") for a in ("", "a", "'", "1", ".", " ") for b in ("", "'", "'s", "e", "1", ".", " ")]
+    assert [x.tolist() for x in Encoder(default_path()).batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_no_call_per_word(library):
+    """Python's calls go with the texts, not with their words, none of which come twice here."""
+    rnd = random.Random(2)
+    texts = [" ".join("".join(rnd.choices("aeéinrst", k=9)) + ",'" for _ in range(3000)) for _ in range(20)]
+    coder, calls = Encoder(default_path()), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = coder.batch(texts)
+    finally:
+        sys.setprofile(None)
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert calls < 2000
+
+
 def test_code():
     rnd = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
