@@ -19,6 +19,7 @@ import re
 import sys
 import types
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,17 @@ _LATIN = [chr(c) for c in range(0x21, 0x250) if not 0x7F <= c <= 0xA0 and c not
 _ONE_BYTE = b" \t\n\r" + bytes(ord(c) for c in _LATIN if ord(c) < 256)
 _OTHER = re.compile("[^ \t\n\r" + "".join(map(re.escape, _LATIN)) + "]")
 
+_BLANK = re.compile("[ \t\n\r]")
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about ``PORTION`` characters that begin at white space, so no word is cut."""
+    at = 0
+    while len(text) - at > PORTION and (blank := _BLANK.search(text, at + PORTION)):
+        yield text[at : blank.start()]
+        at = blank.start()
+    yield text[at:]
+
 
 #: Kinds of lower-case characters: white space, letter, digit, sign.
 SPACE, LETTER, DIGIT, SIGN = range(4)
@@ -194,6 +206,9 @@ class Encoder:
             if not _plain(text):
                 out[i] = self.whole(text)
                 continue
+            if len(text) > PORTION:
+                out[i] = np.concatenate([self._cut([p])[0] for p in _pieces(text)])
+                continue
             waiting.append(i)
             size += len(text)
             if size >= PORTION:

@@ -66,6 +66,17 @@ def test_no_call_per_word(library):
     assert calls < 2000
 
 
+def test_long_text_in_pieces(library, monkeypatch):
+    """What is held at a time goes with ``PORTION``, not with the longest text."""
+    monkeypatch.setattr(vocab, "PORTION", 100)
+    coder, sizes = Encoder(default_path()), []
+    cut = coder._cut
+    monkeypatch.setattr(coder, "_cut", lambda texts: sizes.append(sum(map(len, texts))) or cut(texts))
+    texts = ["it's the été's ''s end\n" * 500, "short", "x" * 300 + " y'll " * 90]
+    assert [x.tolist() for x in coder.batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(sizes) <= 300 and len(sizes) > 100
+
+
 def test_code():
     rnd = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
