@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skarn.operators import joins as jn
-from skarn.plans import hazard as hz
+from skarn.plans import assignment as at, hazard as hz
 
 REPLAY = [("n94", 6.7, 17.0, 34.213, -118.537)]
 EVENT = "id string, magnitude double, depth double, lat double, lng double"
@@ -267,3 +267,78 @@ def test_assignment_meets_bounded_pairs(spark, monkeypatch):
     monkeypatch.setattr(hz, "settle", settle)
     assert assigned(spark, zones, crews, 10, 4) == serial(zones, crews)
     assert max(pairs) <= 2 * 10 * 4
+
+
+def in_order(zones, crews):
+    """``serial`` with the ties of the SQL, crews listed at several places and zones of one id."""
+    free, got = {}, []
+    for name, y, x in crews:
+        free.setdefault(name, []).append((y, x))
+    for name, y, x, _ in sorted(zones, key=lambda z: (-z[3], *z[:3]))[: len(crews)]:
+        if free:
+            crew = min(free, key=lambda k: (min(round(haversine(y, x, *s) * 2 * 6371, 9) for s in free[k]), k))
+            got.append((name, crew))
+            del free[crew]
+    return got
+
+
+def test_assignment_of_a_crowded_part_is_one_round(spark, monkeypatch):
+    # All zones lie away from the crews, so that they want the same ones: before, a round settled about as many zones as each had offers.
+    rnd = random.Random(8)
+    spots = [(rnd.randrange(30) / 80, 0.5 + rnd.randrange(5) / 100) for _ in range(1200)] + [(rnd.random() / 3, 0.6 + rnd.random() / 20) for _ in range(300)]
+    zones = [(f"z{i:04}", y, x, rnd.choice([0.7, 0.8, 0.9])) for i, (y, x) in enumerate(spots)]
+    crews = [(f"c{i:04}", i % 37 / 80, i % 41 / 90) for i in range(1100)] + [(f"d{i:03}", rnd.random() / 3, rnd.random() / 3) for i in range(400)]
+    want = dict(in_order(zones, crews))
+    rounds, plain = [], hz.settle
+    monkeypatch.setattr(hz, "settle", lambda df, what: (rounds.append(what), plain(df, what))[1])
+    assert assigned(spark, zones, crews) == want
+    assert rounds.count("held") == 1
+
+
+def test_assignment_around_the_globe(spark):
+    # Parts of three zones, poles and date line, crews listed at two places, two zones of one id.
+    rnd = random.Random(9)
+    far = [(rnd.choice([-89.9, -40.0, 0.0, 51.5, 89.9]), rnd.choice([-179.99, -60.0, 0.1, 179.99])) for _ in range(24)]
+    zones = [(f"z{i:02}", y, x, rnd.choice([0.7, 0.9])) for i, (y, x) in enumerate(far)] + [("z99", 0.0, 0.0, 0.95), ("z99", 1.0, 0.0, 0.95)]
+    crews = [(f"c{i:02}", rnd.uniform(-1, 1), 10.0 + i) for i in range(20)] + [(f"c{i:02}", 60.0, 10.0 + i) for i in range(9)]
+    want = in_order(zones, crews)
+    z = spark.createDataFrame(zones, "id string, lat double, lng double, probability double")
+    c = spark.createDataFrame(crews + [(None, 0.0, 0.0), ("nan", float("nan"), 0.0)], "id string, lat double, lng double")
+    for how in ((3, 1), (100, 8)):
+        assert sorted((r["zone_id"], r["crew_id"]) for r in hz.assign_in_order(z, c, *how).collect()) == sorted(want)
+
+
+def test_free_crews_against_all_pairs():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(10)
+    crews = [(f"c{rnd.randrange(180):03}", rnd.randrange(20) / 10, rnd.randrange(20) / 10) for _ in range(240)]
+    ids, lat, lng = zip(*crews)
+    free = at.FreeCrews(pa.chunked_array([ids[:100], ids[100:]]), np.array(lat), np.array(lng))
+    left = {k: [c[1:] for c in crews if c[0] == k] for k in ids}
+    while left:
+        y, x = rnd.randrange(40) / 20, rnd.choice([rnd.random(), 1.0, 180.0])
+        _, places = free.nearest(y, x, *at.on_sphere(np.array([y]), np.array([x]))[0].tolist())
+        crew = min(map(free.first_of, places))
+        want = min(left, key=lambda k: (min(at.near_km(y, x, *s) for s in left[k]), k))
+        assert free.names[crew].as_py() == want
+        free.take(crew)
+        del left[want]
+        if left and rnd.random() < 0.2:
+            gone = rnd.choice(sorted(left))
+            free.take(free.names.index(gone).as_py())
+            del left[gone]
+    assert not free.any() and free.nearest(0.0, 0.0, 1.0, 0.0, 0.0)[1] == []
+
+
+def test_parts_and_reach():
+    zones, crews = {(5, 5, 5): 4, (5, 5, 6): 3, (40, 40, 40): 9}, {(5, 5, 6): 2, (5, 5, 9): 2, (63, 0, 0): 7}
+    assert at.split_cubes(zones, crews, 16, 16) == [sorted(zones)]
+    assert at.split_cubes(zones, crews, 9, 16) == [[(5, 5, 5), (5, 5, 6)], [(40, 40, 40)]]
+    assert len(at.split_cubes(zones, crews, 4, 16)) == 3 and at.split_cubes({}, crews, 1, 1) == []
+    part = [(5, 5, 5), (5, 5, 6)]
+    assert at.cubes_in_reach(part, crews, 2) == ([(5, 5, 6)], 2 * at.SIDE)
+    cubes, reach = at.cubes_in_reach(part, crews, 3)
+    assert cubes == [(5, 5, 6), (5, 5, 9)] and reach > 50 * at.SIDE
+    assert at.cubes_in_reach(part, crews, 12) == (list(crews), math.inf)
