@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -13,6 +14,8 @@ from skarn.functions.geo import EARTH_RADIUS_KM
 #: Cubes that positions are counted by: 64 along an axis of the unit sphere, some 200 km wide, 20,000 around the globe.
 LEVEL = 6
 SIDE = 2.0 / (1 << LEVEL)
+#: The holder of a free crew, behind every zone.
+FREE = (1 << 63) - 1
 #: Positions in a leaf of the tree.
 LEAF = 32
 #: Chords this much apart may be one distance; a chord this much below the reach is safely inside.
@@ -20,8 +23,8 @@ TIE, INSIDE = 1e-11, 1e-9
 
 
 def split_cubes(zones: dict[tuple, int], crews: dict[tuple, int], most_zones: int, most_crews: int, level: int = 0) -> list[list[tuple]]:
-    """The cubes of ``zones`` in parts: an octree whose cubes are cut while they hold more zones or crews than that."""
-    if not zones:
+    """The cubes of ``zones`` in parts that have any: an octree whose cubes are cut while they hold more zones or crews than that."""
+    if not any(zones.values()):
         return []
     if level == LEVEL or (sum(zones.values()) <= most_zones and sum(crews.values()) <= most_crews):
         return [sorted(zones)]
@@ -51,6 +54,11 @@ def on_sphere(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
     return np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], axis=1)
 
 
+def place_of(lat: float, lng: float) -> tuple[float, float, float]:
+    y, x = math.radians(lat), math.radians(lng)
+    return math.cos(y) * math.cos(x), math.cos(y) * math.sin(x), math.sin(y)
+
+
 def near_km(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
     """``geo.haversine_km`` of one pair, rounded to a micrometre."""
     half_lat, half_lng = math.sin(math.radians(lat2 - lat1) / 2), math.sin(math.radians(lng2 - lng1) / 2)
@@ -181,43 +189,44 @@ class FreeCrews:
 
 
 def serve(zones: pa.Table, crews: pa.Table) -> pa.Table:
-    """``part, key, zone_id, crew_id, probability, sure``: zones of one part by rising ``key``, each with its nearest free crew.
+    """``key, crew_id, sure``: zones of one part by rising ``key``, each with its nearest crew that is free or held by a zone behind it.
 
-    ``crews`` are those within the chord ``reach`` of every zone, ``holder`` is the key of the zone of another
-    part that holds a crew: it is lost to the zones behind that one.  A zone whose nearest free crew may lie
-    beyond the reach takes none and is not ``sure``; one that has no crew left anywhere is sure to get none.
+    ``crews`` are those within the chord ``reach`` of any zone of the part, with the key ``holder`` of the zone that holds one and,
+    where that zone is of this part, its position ``hlat, hlng``: it is served again, after those before it, if its crew goes.  A zone whose
+    nearest crew may lie beyond the reach takes none and is not ``sure``; one that has no crew left anywhere is sure to get none.
     """
-    zones = zones.sort_by("key")
     numbers = lambda table, c: table[c].to_numpy()
+    zones = zones.sort_by("key")
+    holder = pc.fill_null(crews["holder"], FREE).to_numpy()
+    if len(zones):  # crews held by zones before all of these are lost to them
+        crews = crews.filter(pa.array(holder > zones["key"][0].as_py()))
+        holder = pc.fill_null(crews["holder"], FREE).to_numpy()
     free = FreeCrews(crews["id"], numbers(crews, "lat").astype(float), numbers(crews, "lng").astype(float))
-    held = np.flatnonzero(pc.is_valid(crews["holder"]).to_numpy())
-    by = numbers(crews.take(held), "holder").astype(np.int64)
-    turn = np.argsort(by, kind="stable")
-    lost = list(zip(by[turn].tolist(), free.rank[held[turn]].tolist()))[::-1]
-    lat, lng = numbers(zones, "lat").astype(float), numbers(zones, "lng").astype(float)
-    spots = on_sphere(lat, lng).tolist()
-    keys, lat, lng = numbers(zones, "key").tolist(), lat.tolist(), lng.tolist()
-    reach = zones["reach"][0].as_py() if len(keys) else math.inf
+    held = np.flatnonzero(holder < FREE)
+    turn = held[np.argsort(holder[held], kind="stable")]
+    lost = list(zip(holder[turn].tolist(), free.rank[turn].tolist()))[::-1]
+    back = dict(zip(free.rank[held].tolist(), zip(*(numbers(crews.take(held), c).tolist() for c in ("holder", "hlat", "hlng")))))
+    todo = list(zip(*(numbers(zones, c).tolist() for c in ("key", "lat", "lng"))))  # sorted, so a heap
+    reach = zones["reach"][0].as_py() if todo else math.inf
     known: dict[tuple, tuple[float, list[int]]] = {}
-    got: list[int | None] = [None] * len(keys)
-    sure = [math.isinf(reach)] * len(keys)
-    for i, key in enumerate(keys):
+    keys: list[int] = []
+    got: list[int | None] = []
+    sure: list[bool] = []
+    while todo:
+        key, lat, lng = heapq.heappop(todo)
         while lost and lost[-1][0] < key:
             free.take(lost.pop()[1])
-        if not free.any():
-            break
-        # Crews only ever go: what was nearest to a place stays so while a crew is left there.
-        me = (lat[i], lng[i])
-        chord, places = known.get(me, (0.0, ()))
+        # The zones come by rising keys, so crews only ever go: what was nearest to a place stays so while a crew is left there.
+        chord, places = known.get((lat, lng), (0.0, ()))
         places = [p for p in places if free.left[p]]
         if not places:
-            chord, places = known[me] = free.nearest(*me, *spots[i])
-        if chord < reach - INSIDE:
-            got[i] = min(map(free.first_of, places))
-            free.take(got[i])
-            sure[i] = True
-    crew = free.names.take(pa.array(got, pa.int64()))
-    return pa.table(
-        {"part": zones["part"], "key": zones["key"], "zone_id": zones["id"], "crew_id": crew,
-         "probability": zones["probability"], "sure": pa.array(sure, pa.bool_())}
-    )
+            chord, places = known[lat, lng] = free.nearest(lat, lng, *place_of(lat, lng))
+        crew = min(map(free.first_of, places)) if chord < reach - INSIDE else None
+        keys.append(key)
+        got.append(crew)
+        sure.append(crew is not None or math.isinf(reach))
+        if crew is not None:
+            free.take(crew)
+            if crew in back and back[crew][1] is not None and not math.isnan(back[crew][1]):
+                heapq.heappush(todo, back[crew])
+    return pa.table({"key": pa.array(keys, pa.int64()), "crew_id": free.names.take(pa.array(got, pa.int64())), "sure": pa.array(sure, pa.bool_())})
